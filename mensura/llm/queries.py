@@ -8,22 +8,49 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mensura.llm import packing, tokenfile
+from mensura.llm import licenses, packing, perspectives, pii, tokenfile, topk
 from mensura.session import table
 
 VOCABULARY = "word_bpe_49k.json"
 
 
+def op1_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.scan(table(spark, sf, "documents"))
+
+
+def op2_pii_spans(spark: SparkSession, sf: str) -> DataFrame:
+    found = pii.detect(table(spark, sf, "documents").select("doc_id", "text"))
+    counts = [pii.count(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.BASE]
+    digest = F.sha2(pii.listed(F.col("base")).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, pii.listed(F.col("spans")).alias("spans"))
+
+
+def op3_block_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return topk.search(table(spark, sf, "embeddings"), every=50, k=5)
+
+
 def op4_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return tokenfile.round_trip(table(spark, sf, "documents"), public_tokenizers.path(VOCABULARY), end=1)
 
 
+def op7_perspectives(spark: SparkSession, sf: str) -> DataFrame:
+    return perspectives.rotate(table(spark, sf, "conversations"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), public_tokenizers.path(VOCABULARY), 4096, end=1, keep_ids=False)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
+    "op2_pii_spans": op2_pii_spans,
+    "op3_block_topk": op3_block_topk,
     "op4_token_files": op4_token_files,
+    "op7_perspectives": op7_perspectives,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_license_scan": licenses.oracle(),
+    "op3_block_topk": topk.ORACLE,
+    "op7_perspectives": perspectives.ORACLE,
+}
