@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mensura.llm import licenses, packing, perspectives, pii, tokenfile, topk
+from mensura.llm import licenses, linededup, packing, perspectives, pii, quality, tokenfile, topk
 from mensura.session import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -37,6 +37,15 @@ def op7_perspectives(spark: SparkSession, sf: str) -> DataFrame:
     return perspectives.rotate(table(spark, sf, "conversations"))
 
 
+def op8_site_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return linededup.clean(table(spark, sf, "documents").select("doc_id", "text", "source")).drop("source")
+
+
+def op9_bayes_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "source", "lang")
+    return quality.score(docs, table(spark, sf, "labels")).drop("text")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), public_tokenizers.path(VOCABULARY), 4096, end=1, keep_ids=False)
 
@@ -47,10 +56,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_block_topk": op3_block_topk,
     "op4_token_files": op4_token_files,
     "op7_perspectives": op7_perspectives,
+    "op8_site_lines": op8_site_lines,
+    "op9_bayes_quality": op9_bayes_quality,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLES: dict[str, str] = {
     "op1_license_scan": licenses.oracle(),
     "op3_block_topk": topk.ORACLE,
     "op7_perspectives": perspectives.ORACLE,
+    "op8_site_lines": linededup.oracle(),
 }
