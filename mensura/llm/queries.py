@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mensura.llm import licenses, linededup, neardup, packing, perspectives, pii, quality, tokenfile, topk
+from mensura.llm import decontam, licenses, linededup, neardup, packing, perspectives, pii, quality, tokenfile, topk
 from mensura.session import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -37,6 +37,10 @@ def op5_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.join(table(spark, sf, "documents"))
 
 
+def op6_latent_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def op7_perspectives(spark: SparkSession, sf: str) -> DataFrame:
     return perspectives.rotate(table(spark, sf, "conversations"))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_block_topk": op3_block_topk,
     "op4_token_files": op4_token_files,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_latent_decontamination": op6_latent_decontamination,
     "op7_perspectives": op7_perspectives,
     "op8_site_lines": op8_site_lines,
     "op9_bayes_quality": op9_bayes_quality,
