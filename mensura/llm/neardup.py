@@ -185,14 +185,9 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
             )
 
 
-def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-7) -> DataFrame:
-    """One row a document: doc_id, class_id (least doc_id of those with the same words), n_copies
-    (rows of its class), n_links (other classes whose n-word shingle sets have a Jaccard similarity
-    of the threshold or more), group_id (least class_id that links lead to).
-
-    A text of fewer than n words has one shingle of them all. Null and wordless texts share the
-    class of no words, which has no links. Repeated rows are copies; null doc_ids are rows too and
-    the least only where a class has no other. Other columns are ignored."""
+def classed(docs: DataFrame, n: int, threshold: float, tolerance: float) -> tuple[DataFrame, DataFrame]:
+    """(rows: doc_id, hash of the text, key of the class; classes: key, class_id, hash of the row that
+    stands for it, n_copies, n_links, group_id, group_hash)."""
     steps = least_matches(threshold, tolerance)
     typed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
     schema = "doc_id long, hash long, key binary, n long, sig binary, bands array<long>"
@@ -257,9 +252,36 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: float =
     links = found.filter("b IS NULL").groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("n_links"))
     linked = components(found.filter("b IS NOT NULL"), "a", "b")
     linked = linked.union(linked.select("root").distinct().select(F.col("root").alias("node"), "root"))
-    named = linked.join(classes.select(F.col("key").alias("node"), "class_id"), "node")
-    groups = named.groupBy("root").agg(F.min("class_id").alias("group_id"))
-    grouped = linked.join(groups, "root").select(F.col("node").alias("key"), "group_id")
+    named = linked.join(classes.select(F.col("key").alias("node"), F.col("class_id").alias("doc_id"), "hash"), "node")
+    groups = named.groupBy("root").agg(first)
+    grouped = linked.join(groups, "root").select(F.col("node").alias("key"), "first")
+    alone = F.col("first").isNull()
     known = classes.join(links, "key", "left").join(grouped, "key", "left").select(
-        "key", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("group_id", "class_id").alias("group_id"))
-    return signed.select("doc_id", "key").join(known, "key").select("doc_id", "class_id", "n_copies", "n_links", "group_id")
+        "key", "class_id", "hash", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.when(alone, F.col("class_id")).otherwise(F.col("first.doc_id")).alias("group_id"),
+        F.when(alone, F.col("hash")).otherwise(F.col("first.hash")).alias("group_hash"),
+    )
+    return signed.select("doc_id", "hash", "key"), known
+
+
+def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-7) -> DataFrame:
+    """One row a document: doc_id, class_id (least doc_id of those with the same words), n_copies
+    (rows of its class), n_links (other classes whose n-word shingle sets have a Jaccard similarity
+    of the threshold or more), group_id (least class_id that links lead to).
+
+    A text of fewer than n words has one shingle of them all. Null and wordless texts share the
+    class of no words, which has no links. Repeated rows are copies; null doc_ids are rows too and
+    the least only where a class has no other. Other columns are ignored."""
+    rows, known = classed(docs, n, threshold, tolerance)
+    return rows.select("doc_id", "key").join(known, "key").select("doc_id", "class_id", "n_copies", "n_links", "group_id")
+
+
+def representatives(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-7) -> DataFrame:
+    """The rows of docs that stay when one document of each group of ``join`` does: the one of the
+    least doc_id, and of the least text hash where doc_ids are equal or null; all wordless texts are
+    one group. All columns."""
+    _, known = classed(docs, n, threshold, tolerance)
+    stay = known.filter(F.col("class_id").eqNullSafe(F.col("group_id")) & (F.col("hash") == F.col("group_hash")))
+    stay = stay.select(F.col("class_id").alias("_id"), F.col("hash").alias("_hash"))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_hash"))
+    return docs.join(stay, same, "left_semi").dropDuplicates(["doc_id", "text"])
