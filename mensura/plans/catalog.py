@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from mensura.plans import core
+from mensura.plans import core, tabular
 
 QUERIES = {}
 ORACLES = {}
-for part in (core,):
+for part in (core, tabular):
     QUERIES |= part.QUERIES
     ORACLES |= part.ORACLES
