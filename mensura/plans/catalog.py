@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from mensura.plans import core, tabular
+from mensura.plans import core, geometry, tabular
 
 QUERIES = {}
 ORACLES = {}
-for part in (core, tabular):
+for part in (core, tabular, geometry):
     QUERIES |= part.QUERIES
     ORACLES |= part.ORACLES
