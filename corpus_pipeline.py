@@ -13,7 +13,7 @@ from mensura.session import reachable, table
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    return quality.score(docs, table(spark, sf_dir, "labels")).filter("accepted").select(*docs.columns)
+    return quality.accept(docs, table(spark, sf_dir, "labels"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mensura.llm.shared import narrowed
+
 BROADCAST_LINES = 1_000_000  # boilerplate lines (8 bytes each) up to which their table is broadcast
 
 
@@ -38,6 +40,8 @@ def clean(docs: DataFrame, host: str = "source", ratio: float = 0.02, pages: int
     existing column of these names is replaced). Other lines, blank ones too, stay as they are and in
     order; a line counts once a page however often it stands there, and repeated rows count as pages.
     Null text is empty and yields ''; null hosts form one host."""
+    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    docs, columns = narrowed(docs.select(*[f"`{c}`" for c in names]), "text", host)
     common = boilerplate(docs, host, ratio, pages)
     few = (common.agg(F.sum(F.size("_common")).alias("n")).first()["n"] or 0) <= BROADCAST_LINES
     joined = docs.join(F.broadcast(common) if few else common, docs[host].eqNullSafe(common["_host"]), "left")
@@ -50,7 +54,7 @@ def clean(docs: DataFrame, host: str = "source", ratio: float = 0.02, pages: int
     out = out.withColumn("_kept", kept)
     size = F.size(_lines(F.col("text")))
     out = out.withColumns({"n_lines": size, "n_dropped": size - F.size("_kept"), "text": F.array_join("_kept", "\n")})
-    return out.select(*docs.columns, *[c for c in ("n_lines", "n_dropped") if c not in docs.columns])
+    return out.select(*columns, "n_lines", "n_dropped")
 
 
 def oracle(ratio: float = 0.02, pages: int = 3) -> str:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mensura.llm.shared import chunked, hashed_words, mix, shingles, stage
+from mensura.llm.shared import chunked, hashed_words, mix, narrowed, shingles, stage
 
 HASHES, ROWS, STEP = 128, 4, 16
 BUCKET, BLOCK = 512, 512
@@ -283,5 +283,6 @@ def representatives(docs: DataFrame, n: int = 5, threshold: float = 0.8, toleran
     _, known = classed(docs, n, threshold, tolerance)
     stay = known.filter(F.col("class_id").eqNullSafe(F.col("group_id")) & (F.col("hash") == F.col("group_hash")))
     stay = stay.select(F.col("class_id").alias("_id"), F.col("hash").alias("_hash"))
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_hash"))
-    return docs.join(stay, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    packed, columns = narrowed(docs, "doc_id", "text")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_hash"))
+    return packed.join(stay, same, "left_semi").dropDuplicates(["doc_id", "text"]).select(*columns)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mensura.llm.shared import chunked, hashed_words, stage
+from mensura.llm.shared import chunked, hashed_words, narrowed, stage
 
 MARKS = "!#$%&*|=<>{}[]\\^~+"
 N_SHAPE = 8
@@ -134,12 +134,8 @@ def _strength(mean: str, n: str):
     return centre, F.least(F.greatest(centre * (1 - centre) / spread - 1, F.lit(4.0)), F.lit(1000.0))
 
 
-def score(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", most: int = 4000, keep: float = 0.5, seed: int = 11, name: str = "quality") -> DataFrame:
-    """docs (all columns and rows) with p_doc, p_host, p_path, p_good, p_toxic and accepted: p_good at
-    least ``keep`` and p_toxic below one half. Labels may repeat or lack rows; with no usable label
-    every document gets one half and is accepted. Null text is empty; null hosts and paths form
-    groups of their own. Two classifiers are fitted on at most ``most`` labelled texts: good
-    quality, and toxic. Group sums are partial before the shuffle, so hosts of any size will do."""
+def _scored(docs: DataFrame, labels: DataFrame, host: str, path: str, most: int, keep: float, seed: int) -> DataFrame:
+    """docs has the needed columns and ``rest`` only."""
     texts, good, toxic = sample(docs, labels, most, seed)
     models = [fit(texts, y) if len(texts) and 0 < y.mean() < 1 else None for y in (good, toxic)]
 
@@ -169,5 +165,25 @@ def score(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
     margin = logit(F.col("_p")) + logit(F.col("_pp")) - logit(F.lit(float(top["c"])))
     out = out.withColumns({"p_doc": F.col("_p"), "p_host": F.col("_ph"), "p_path": F.col("_pp"), "p_good": 1 / (1 + F.exp(-margin)), "p_toxic": F.col("_toxic")})
     out = out.withColumn("accepted", (F.col("p_good") >= keep) & (F.col("p_toxic") < 0.5))
-    added = ["p_doc", "p_host", "p_path", "p_good", "p_toxic", "accepted"]
-    return out.select(*[c for c in docs.columns if c not in added], *added)
+    return out.drop("_p", "_toxic", "_h", "_s", "_ph", "_pp")
+
+
+ADDED = ["p_doc", "p_host", "p_path", "p_good", "p_toxic", "accepted"]
+
+
+def score(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", most: int = 4000, keep: float = 0.5, seed: int = 11) -> DataFrame:
+    """docs (all rows; columns of the added names are replaced) with p_doc, p_host, p_path, p_good,
+    p_toxic and accepted: p_good at least ``keep`` and p_toxic below one half. Labels may repeat or
+    lack rows; with no usable label every document gets one half and is accepted. Null text is empty;
+    null hosts and paths form groups of their own. Two classifiers are fitted on at most ``most``
+    labelled texts: good quality, and toxic. Group sums are partial before the shuffle, so hosts of
+    any size will do."""
+    packed, columns = narrowed(docs, "doc_id", "text", host, path)
+    out = _scored(packed, labels, host, path, most, keep, seed)
+    return out.select(*[x for c, x in zip(docs.columns, columns) if c not in ADDED], *ADDED)
+
+
+def accept(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", most: int = 4000, keep: float = 0.5, seed: int = 11) -> DataFrame:
+    """The rows of docs that ``score`` accepts, as they are."""
+    packed, columns = narrowed(docs, "doc_id", "text", host, path)
+    return _scored(packed, labels, host, path, most, keep, seed).filter("accepted").select(*columns)

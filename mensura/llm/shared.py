@@ -36,6 +36,23 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Arrow batches for rows that hold whole texts: fewer rows and bytes than Spark's default, unless
+    the session asks for fewer still. What a worker holds doesn't grow with the table either way."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
+        now = (spark.conf.get(key, None) or "").rstrip("b")
+        if not now or now.lstrip("-").isdigit() and not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
+def narrowed(docs: DataFrame, *needed: str) -> tuple[DataFrame, list[Column]]:
+    """docs as the needed columns and one struct ``rest`` of all others, whatever their names, and the
+    expressions that give docs' columns again."""
+    rest = [c for c in docs.columns if c not in needed]
+    packed = docs.select(*needed, (F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.lit(0)).alias("rest"))
+    return packed, [F.col(c) if c in needed else F.col("rest").getField(c).alias(c) for c in docs.columns]
+
+
 def spread(key: Column, buckets: int) -> Column:
     """A bucket number by hash."""
     return F.pmod(F.xxhash64(key), F.lit(buckets))
