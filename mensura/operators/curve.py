@@ -50,7 +50,6 @@ def smoothed(df: DataFrame, path: list[str], order: str, x: str, window: int = 1
     total = F.lit(0.0)
     for k in range(-h, h + 1):
         v = F.lag(x, -k).over(o) if k < 0 else F.lead(x, k).over(o) if k > 0 else F.col(x)
-        v = F.lag(x, abs(k)).over(o) if k < 0 else v
         inside = F.when(F.col("_i") + k < 0, first).when(F.col("_i") + k >= F.col("_n"), last).otherwise(v)
         total = total + F.when(F.lit(abs(k)) <= half, inside).otherwise(0.0)
     pinned = (F.col("_i") == 0) | (F.col("_i") == F.col("_n") - 1)
