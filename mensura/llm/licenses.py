@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 
@@ -25,6 +26,10 @@ TEMPLATES = {
 }
 
 
+# Words too common to tell a notice from prose.
+COMMON = "a an and any but so are as at by for from if in is it may not of on or out that the this to under was with you your".split()
+
+
 def bigrams(text: str) -> list[str]:
     words = re.sub("[^a-z0-9]+", " ", text.lower()).split()
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
@@ -35,6 +40,24 @@ def bounds(size: int, threshold: float) -> tuple[int, int]:
     return math.ceil(size * threshold / (2 - threshold) - 1e-9), math.floor(size * (2 - threshold) / threshold + 1e-9)
 
 
+def needles(templates: dict[str, str], threshold: float) -> list[str]:
+    """Words of which every unit that reaches the threshold with any template has one: it shares so
+    many of the template's bigrams that, of any selection with one more than may be missing, one is
+    there. Words that cover most bigrams are taken first."""
+    found: list[str] = []
+    for text in templates.values():
+        grams = bigrams(text)
+        open_, need = set(grams), len(grams) - bounds(len(grams), threshold)[0] + 1
+        need -= len(grams) - len(open_ := {g for g in open_ if not any(w in g for w in found)})
+        while need > 0 and open_:
+            words = {w for g in open_ for w in g.split()}
+            best = max(sorted(words), key=lambda w: (len(w) > 1 and w not in COMMON, sum(w in g for g in open_), len(w)))
+            found.append(best)
+            need -= sum(best in g for g in open_)
+            open_ = {g for g in open_ if best not in g}
+    return found
+
+
 def _units(text: Column) -> Column:
     """Lines; blocks of lines between blank ones, if of two lines or more; the whole text, if of two
     blocks or more. All with their number from 0."""
@@ -64,11 +87,14 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
         return spark.createDataFrame([], "doc_id long, unit string, number int, licence string, dice double")
     small, large = min(r[0] for r in rows), max(r[0] for r in rows)
     sized = spark.createDataFrame(rows, "_size int, licence string, _grams array<string>, _n int")
-    units = docs.select("doc_id", F.explode(_units(F.col("text"))).alias("u")).select("doc_id", "u.*")
+    words_ = needles(templates, threshold)
+    holds = lambda text: functools.reduce(lambda a, b: a | b, (text.contains(w) for w in words_))
+    lower = docs.select("doc_id", F.lower("text").alias("text")).filter(holds(F.col("text")))
+    units = lower.select("doc_id", F.explode(_units(F.col("text"))).alias("u")).select("doc_id", "u.*").filter(holds(F.col("body")))
     # A bigram takes three characters of a unit at least, and words beyond those of the largest set
     # would have to repeat bigrams; so only the lower bound on length is sound.
     units = units.filter(F.length("body") >= 2 * small + 1)
-    plain = F.trim(F.regexp_replace(F.lower("body"), "[^a-z0-9]+", " "))
+    plain = F.trim(F.regexp_replace("body", "[^a-z0-9]+", " "))
     words = units.select("doc_id", "unit", "number", F.split(plain, " ").alias("w")).filter(F.size("w") > small)
     pairs = F.array_distinct(F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b)))
     sets = words.select("doc_id", "unit", "number", pairs.alias("b"))
