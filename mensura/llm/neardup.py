@@ -265,15 +265,15 @@ def classed(docs: DataFrame, n: int, threshold: float, tolerance: float) -> tupl
 
 
 def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-7) -> DataFrame:
-    """One row a document: doc_id, class_id (least doc_id of those with the same words), n_copies
-    (rows of its class), n_links (other classes whose n-word shingle sets have a Jaccard similarity
-    of the threshold or more), group_id (least class_id that links lead to).
+    """One row a document: doc_id, class_id (least doc_id that links lead to), copy_id (least doc_id
+    of those with the same words), n_copies (how many those are), n_links (texts of other words whose
+    n-word shingle sets have a Jaccard similarity of the threshold or more).
 
     A text of fewer than n words has one shingle of them all. Null and wordless texts share the
     class of no words, which has no links. Repeated rows are copies; null doc_ids are rows too and
     the least only where a class has no other. Other columns are ignored."""
     rows, known = classed(docs, n, threshold, tolerance)
-    return rows.select("doc_id", "key").join(known, "key").select("doc_id", "class_id", "n_copies", "n_links", "group_id")
+    return rows.select("doc_id", "key").join(known, "key").select("doc_id", F.col("group_id").alias("class_id"), F.col("class_id").alias("copy_id"), "n_copies", "n_links")
 
 
 def representatives(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-7) -> DataFrame:
