@@ -115,13 +115,13 @@ def nearest_neighbour_radius(spark, sf):
     return match.nearest(_points(spark, sf, 1, 2), b, "item", "vec_id", "target", 12.0).withColumn("distance", F.round("distance", 6))
 
 
-@query(f"""WITH a AS ({_POINTS.format(i=1, j=2)}), v AS (SELECT * FROM (VALUES ('identity', 1.0, 0.0, 0.0, 0.0, 1.0, 0.0), ('flip', -1.0, 0.0, 200.0, 0.0, 1.0, 0.0), ('turn', 0.8, -0.6, 30.0, 0.6, 0.8, -20.0)) AS t(view, a, b, tx, d, e, ty)),
-m AS (SELECT vec_id, view, (e * x - b * y + b * ty - e * tx) / (a * e - b * d) AS x, (a * y - d * x + d * tx - a * ty) / (a * e - b * d) AS y FROM (SELECT a.vec_id, a.x, a.y, v.view, v.a, v.b, v.tx, v.d, v.e, v.ty FROM a, v))
-SELECT vec_id, view, round(x, 4) AS x, round(y, 4) AS y FROM m WHERE x >= 0 AND x < 200 AND y >= 0 AND y < 200""")
+@query(f"""WITH a AS ({_POINTS.format(i=1, j=2)}), v AS (SELECT * FROM (VALUES ('identity', 1.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE), ('flip', -1.0, 0.0, 200.0, 0.0, 1.0, 0.0), ('turn', 0.8, -0.6, 30.0, 0.6, 0.8, -20.0)) AS t(view, a, b, tx, d, e, ty)),
+m AS (SELECT vec_id, view, e / (a * e - b * d) * x + -b / (a * e - b * d) * y + (b * ty - e * tx) / (a * e - b * d) AS x, -d / (a * e - b * d) * x + a / (a * e - b * d) * y + (d * tx - a * ty) / (a * e - b * d) AS y FROM (SELECT a.vec_id, a.x, a.y, v.view, v.a, v.b, v.tx, v.d, v.e, v.ty FROM a, v))
+SELECT vec_id, view, round(x, 6) AS x, round(y, 6) AS y FROM m WHERE x >= 0 AND x < 200 AND y >= 0 AND y < 200""")
 def view_back_mapping(spark, sf):
     views = spark.createDataFrame([("identity", [1.0, 0.0, 0.0, 0.0, 1.0, 0.0]), ("flip", [-1.0, 0.0, 200.0, 0.0, 1.0, 0.0]), ("turn", [0.8, -0.6, 30.0, 0.6, 0.8, -20.0])], "view string, m array<double>")
     p = _points(spark, sf, 1, 2).withColumn("view", F.explode(F.array(*map(F.lit, ("identity", "flip", "turn")))))
-    return match.back_mapped(p, views, 200.0).select("vec_id", "view", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+    return match.back_mapped(p, views, 200.0).select("vec_id", "view", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
 @query("""WITH o AS (SELECT l_partkey AS point, l_returnflag || l_linestatus AS view, l_discount / 3 AS distance, l_quantity / 50 AS score FROM lineitem),
