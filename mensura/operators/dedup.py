@@ -9,15 +9,19 @@ from mensura.functions.scalar import c, hamming64, half64
 
 
 def token_simhash(df: DataFrame, id_: str, text: str) -> DataFrame:
-    """(id, simhash): the 64-bit simhash in hex of the distinct words by MD5. Votes of the bits are 64
+    """(id, simhash): the 64-bit simhash in hex of the distinct words by MD5. Votes of the bits are
     sums in one aggregate, partial before the shuffle; rows without words get all zeros."""
     words = F.array_distinct(F.filter(F.split(F.lower(c(text)), r"[^a-z0-9]+"), lambda w: w != ""))
     each = df.select(c(id_).alias(id_), F.explode_outer(words).alias("w")).withColumn("h", F.md5("w"))
     each = each.select(id_, *[half64("h", k).alias(f"h{k}") for k in (0, 1)])
-    vote = lambda k, bit: F.coalesce(F.sum(F.shiftright(f"h{k}", bit).bitwiseAND(F.lit(1)) * 2 - 1), F.lit(0)) > 0
-    votes = each.groupBy(id_).agg(*[vote(k, bit).alias(f"b{k}_{bit}") for k in (0, 1) for bit in range(32)])
-    half = lambda k: sum((F.when(F.col(f"b{k}_{bit}"), F.lit(1 << bit)).otherwise(F.lit(0)).cast("bigint") for bit in range(32)), F.lit(0).cast("bigint"))
-    return votes.select(id_, F.concat(*[F.lower(F.lpad(F.hex(half(k)), 8, "0")) for k in (0, 1)]).alias("simhash"))
+    # Two counters of 32 bits share a sum, which keeps the aggregate within one compiled stage.
+    one = lambda k, bit: F.shiftright(f"h{k}", bit).bitwiseAND(F.lit(1))
+    pairs = [(k, bit) for k in (0, 1) for bit in range(16)]
+    sums = each.groupBy(id_).agg(F.count("h0").alias("n"), *[F.coalesce(F.sum(one(k, bit) + F.shiftleft(one(k, bit + 16), 32)), F.lit(0)).alias(f"s{k}_{bit}") for k, bit in pairs])
+    put = lambda cond, bit: F.when(cond, F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).otherwise(F.lit(0).cast("bigint"))
+    both = lambda x, i: put(x.bitwiseAND(F.lit(0xFFFFFFFF)) * 2 > F.col("n"), i) + put(F.shiftright(x, 32) * 2 > F.col("n"), i + 16)
+    half = lambda k: F.aggregate(F.transform(F.array(*[f"s{k}_{bit}" for bit in range(16)]), both), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return sums.select(id_, F.concat(*[F.lower(F.lpad(F.hex(half(k)), 8, "0")) for k in (0, 1)]).alias("simhash"))
 
 
 def band_pairs(df: DataFrame, id_: str, hashed: str, most: int) -> DataFrame:
