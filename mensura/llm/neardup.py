@@ -20,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mensura.llm.shared import chunked, hashed_words, mix, narrowed, shingles, stage
+from mensura.llm.shared import chunked, hashed_words, mix, narrowed, shingles, stage, text_batches
 
 HASHES, ROWS, STEP = 128, 4, 16
 BUCKET, BLOCK = 512, 512
+BROADCAST_ROWS = 200_000  # rows of under 100 bytes up to which a table is broadcast
 _R = np.random.default_rng(20240501)
 _A = (_R.integers(0, 1 << 31, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)).astype(np.uint32)
 _B = _R.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
@@ -152,7 +153,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 def _signed(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         text = batch.column(1).to_pylist()
-        for s, e in chunked(text, 1_000_000):
+        for s, e in chunked(text, 500_000):
             words, at = hashed_words(text[s:e])
             keys = [hashlib.blake2b(words[x:y].tobytes(), digest_size=16).digest() for x, y in zip(at, at[1:])]
             sh, starts = shingles(words, at, n)
@@ -169,20 +170,15 @@ def _signed(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """key, set of rows whose text still has the key that they were joined for."""
+    """Adds the shingle set and the MinHash values of each text, which leaves."""
     for batch in batches:
-        text, wanted = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for s, e in chunked(text, 1_000_000):
-            words, at = hashed_words(text[s:e])
-            sh, starts = shingles(words, at, n)
-            rows = [k for k in range(e - s) if hashlib.blake2b(words[at[k] : at[k + 1]].tobytes(), digest_size=16).digest() == wanted[s + k]]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([wanted[s + k] for k in rows], pa.binary()),
-                    pa.array([np.unique(sh[starts[k] : starts[k + 1]]).tobytes() for k in rows], pa.binary()),
-                ],
-                names=["key", "set"],
-            )
+        text = batch.column(0).to_pylist()
+        for s, e in chunked(text, 500_000):
+            sh, starts = shingles(*hashed_words(text[s:e]), n)
+            sets = [np.unique(sh[x:y]).tobytes() for x, y in zip(starts, starts[1:])]
+            sig = [r.tobytes() for r in minhash(sh, starts)]
+            rest = [batch.column(k).slice(s, e - s) for k in range(1, batch.num_columns)]
+            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.binary()), pa.array(sig, pa.binary()), *rest], names=["set", "sig", *batch.schema.names[1:]])
 
 
 def classed(docs: DataFrame, n: int, threshold: float, tolerance: float) -> tuple[DataFrame, DataFrame]:
@@ -191,19 +187,24 @@ def classed(docs: DataFrame, n: int, threshold: float, tolerance: float) -> tupl
     steps = least_matches(threshold, tolerance)
     typed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
     schema = "doc_id long, hash long, key binary, n long, sig binary, bands array<long>"
+    text_batches(docs.sparkSession)
     signed = stage(typed.mapInArrow(lambda it: _signed(it, n), schema), "signed")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "hash")).alias("first")
-    classes = signed.groupBy("key").agg(first, F.count("*").alias("n_copies"))
-    classes = stage(classes.select("key", F.col("first.doc_id").alias("class_id"), F.col("first.hash").alias("hash"), "n_copies"), "classes")
-    one = classes.select("key", F.col("class_id").alias("doc_id"), "hash")
-    same = (signed["key"] == one["key"]) & signed["doc_id"].eqNullSafe(one["doc_id"]) & (signed["hash"] == one["hash"])
-    nodes = stage(signed.join(one, same, "left_semi").filter("n > 0").dropDuplicates(["key"]).select("key", "sig", "bands"), "nodes")
+    same = (F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))  # equal in a class
+    nodes = stage(signed.groupBy("key").agg(first, F.count("*").alias("n_copies"), *same), "nodes")
+    classes = nodes.select("key", F.col("first.doc_id").alias("class_id"), F.col("first.hash").alias("hash"), "n_copies")
 
     # Buckets of two classes or more; of those with the same members, one.
-    there = nodes.select("key", F.explode("bands").alias("bucket"))
+    worded = nodes.filter("n > 0")
+    there = worded.select("key", F.explode("bands").alias("bucket"))
     marks = (F.count("*").alias("c"), F.min(F.xxhash64("key")).alias("low"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("x"))
     full = there.groupBy("bucket").agg(*marks).filter("c > 1").groupBy("c", "low", "x").agg(F.min("bucket").alias("bucket"))
-    members = stage(there.join(full.select("bucket", "c"), "bucket"), "members")
+    full = stage(full.select("bucket", "c"), "buckets")
+    if full.count() <= BROADCAST_ROWS:
+        members = worded.select("key", "sig", F.explode("bands").alias("bucket")).join(F.broadcast(full), "bucket")
+    else:
+        members = there.join(full, "bucket").join(worded.select("key", "sig"), "key")
+    members = stage(members.select("bucket", "c", "key", F.when(F.col("c") <= BUCKET, F.col("sig")).alias("sig")), "members")
 
     def prune(t: pa.Table) -> pa.Table:
         keys = t.column("key").to_pylist()
@@ -211,10 +212,10 @@ def classed(docs: DataFrame, n: int, threshold: float, tolerance: float) -> tupl
         pairs = forest(len(keys), *surviving(sig, sig, True, steps))
         return pa.table({"a": pa.array([keys[a] for a, _ in pairs], pa.binary()), "b": pa.array([keys[b] for _, b in pairs], pa.binary())})
 
-    few = members.filter(F.col("c") <= BUCKET).join(nodes.select("key", "sig"), "key")
+    few = members.filter(F.col("c") <= BUCKET).select("bucket", "key", "sig")
     edges = few.groupBy("bucket").applyInArrow(prune, "a binary, b binary")
     # A larger bucket is no bound on its pairs: its members go on together, to be compared in blocks.
-    many = members.filter(F.col("c") > BUCKET)
+    many = members.filter(F.col("c") > BUCKET).select("bucket", "key")
     star = many.join(many.groupBy("bucket").agg(F.min("key").alias("b")), "bucket").select(F.col("key").alias("a"), "b")
     near = components(edges.union(star), "a", "b")
     roots = near.select("root").distinct()
@@ -223,9 +224,11 @@ def classed(docs: DataFrame, n: int, threshold: float, tolerance: float) -> tupl
     # Each component in blocks: a class goes to the tasks of its block with every block.
     blocks = near.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     chosen = near.join(blocks, "root").join(classes, F.col("node") == F.col("key")).select("key", "root", "blocks", "class_id", F.col("hash").alias("_hash"))
-    text = typed.join(chosen, typed["doc_id"].eqNullSafe(chosen["class_id"]) & (typed["hash"] == chosen["_hash"])).select("text", "key")
-    sets = text.mapInArrow(lambda it: _sets(it, n), "key binary, set binary").dropDuplicates(["key"])
-    payload = sets.join(chosen.select("key", "root", "blocks"), "key").join(nodes.select("key", "sig"), "key")
+    chosen = stage(chosen, "chosen")
+    small = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
+    text = typed.join(small, typed["doc_id"].eqNullSafe(chosen["class_id"]) & (typed["hash"] == chosen["_hash"]))
+    text = text.select("text", "key", "root", "blocks").dropDuplicates(["key"])  # repeated rows
+    payload = text.mapInArrow(lambda it: _sets(it, n), "set binary, sig binary, key binary, root binary, blocks long")
     payload = payload.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")))
     payload = payload.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     payload = payload.select("key", "set", "sig", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
+import shutil
 import tempfile
 import uuid
 
@@ -21,7 +23,10 @@ def folder(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not (master == "local" or master.startswith("local[")):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return _local.setdefault("dir", tempfile.mkdtemp(prefix="mensura-"))
+    if "dir" not in _local:
+        _local["dir"] = tempfile.mkdtemp(prefix="mensura-")
+        atexit.register(shutil.rmtree, _local["dir"], ignore_errors=True)
+    return _local["dir"]
 
 
 def place(spark: SparkSession, name: str) -> str:
@@ -123,14 +128,14 @@ def hashed_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     if not len(first):
         return np.zeros(0, np.uint64), np.zeros(len(raw) + 1, np.int64)
     size = 1 << max(16, int(len(b)).bit_length())
-    up, down = _powers(size) if size <= 1 << 24 else _powers.__wrapped__(size)
+    up, down = (_powers(1 << 20) if size <= 1 << 20 else _powers.__wrapped__(size))  # one table stays in memory
     total = np.zeros(len(b) + 1, np.uint64)
     np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], out=total[1:])
     h = mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64))
     return h, np.concatenate([[0], np.searchsorted(first, ends)]).astype(np.int64)
 
 
-def chunked(texts: list[str | None], most: int = 4_000_000):
+def chunked(texts: list[str | None], most: int = 500_000):
     """Ranges of texts with about ``most`` characters each, so that arrays stay small."""
     i = 0
     while i < len(texts):
