@@ -21,6 +21,7 @@ from mensura.llm.shared import chunked, hashed_words, narrowed, stage
 MARKS = "!#$%&*|=<>{}[]\\^~+"
 N_SHAPE = 8
 MOST_WORDS = 400
+BROADCAST_SITES = 200_000  # paths (a few dozen bytes each) up to which their table is broadcast
 _CAPITALS = re.compile("[A-ZÀ-ÖØ-Þ]")
 
 
@@ -159,8 +160,9 @@ def _scored(docs: DataFrame, labels: DataFrame, host: str, path: str, most: int,
     shrink = lambda mean, n, prior, s: (F.col(mean) * F.col(n) + prior * s) / (F.col(n) + s)
     hosts = hosts.withColumn("_ph", shrink("_hm", "_hn", F.lit(top["c"]), F.lit(top["s"]))).withColumnRenamed("_h", "_g")
     sites = paths.join(hosts, F.col("_h").eqNullSafe(F.col("_g"))).withColumn("_pp", shrink("_m", "_n", F.col("_ph"), F.lit(low["s"])))
-    sites = sites.select("_h", "_s", "_ph", "_pp")
-    out = scored.join(sites, scored[host].eqNullSafe(F.col("_h")) & scored[path].eqNullSafe(F.col("_s")))
+    sites = stage(sites.select("_h", "_s", "_ph", "_pp"), "sites")
+    small = F.broadcast(sites) if sites.count() <= BROADCAST_SITES else sites
+    out = scored.join(small, scored[host].eqNullSafe(F.col("_h")) & scored[path].eqNullSafe(F.col("_s")))
     logit = lambda p: F.log(F.greatest(p, F.lit(1e-9)) / F.greatest(1 - p, F.lit(1e-9)))
     margin = logit(F.col("_p")) + logit(F.col("_pp")) - logit(F.lit(float(top["c"])))
     out = out.withColumns({"p_doc": F.col("_p"), "p_host": F.col("_ph"), "p_path": F.col("_pp"), "p_good": 1 / (1 + F.exp(-margin)), "p_toxic": F.col("_toxic")})
