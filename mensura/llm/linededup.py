@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mensura.llm.shared import narrowed
+from mensura.llm.shared import narrowed, stage
 
 BROADCAST_LINES = 1_000_000  # boilerplate lines (8 bytes each) up to which their table is broadcast
 
@@ -42,7 +42,7 @@ def clean(docs: DataFrame, host: str = "source", ratio: float = 0.02, pages: int
     Null text is empty and yields ''; null hosts form one host."""
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     docs, columns = narrowed(docs.select(*[f"`{c}`" for c in names]), "text", host)
-    common = boilerplate(docs, host, ratio, pages)
+    common = stage(boilerplate(docs, host, ratio, pages), "boilerplate")
     few = (common.agg(F.sum(F.size("_common")).alias("n")).first()["n"] or 0) <= BROADCAST_LINES
     joined = docs.join(F.broadcast(common) if few else common, docs[host].eqNullSafe(common["_host"]), "left")
     none = F.array().cast("array<bigint>")
