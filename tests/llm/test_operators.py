@@ -266,6 +266,34 @@ def test_decontamination_finds_copies_and_paraphrases(spark, docs, empty):
     assert decontam.clean(docs, bench).count() == docs.count()
 
 
+def test_decontamination_loses_nothing_of_many_items(spark):
+    r = np.random.default_rng(61)
+    vocabulary = ["".join(r.choice(list("abcdefgh"), 6)) for _ in range(1500)]
+    text = lambda n: " ".join(r.choice(vocabulary, n))
+    items = [text(12 if i % 3 == 0 else 40) for i in range(240)] + ["y z w x x x x x x x"]
+    docs_ = [text(150) + " " + x + " " + text(150) for x in items]
+    for i in range(0, 240, 4):  # a quarter of the words left out, others put between
+        w = [x for k, x in enumerate(items[i].split()) if k % 4 != 1]
+        docs_.append(text(40) + " " + " ".join(x + " " + text(1) for x in w) + " " + text(40))
+    docs_.append(text(50) + " x x x x x x x " + text(1) + " " + text(50))
+    split = [words(x) for x in items]
+
+    def holds(t, item):
+        w = words(t)
+        for p in range(0, len(w), 32):
+            region = w[max(0, p - len(item)) : min(len(w), p + 64) + len(item)]
+            tail = item[-max(3, len(item) // 4) :]
+            if decontam.common(item, region) / len(item) >= 0.7 and decontam.common(tail, region) / len(tail) >= 0.5:
+                return True
+        return False
+
+    want = {(d, i) for d, t in enumerate(docs_) for i, w in enumerate(split) if sum(map(set(words(t)).__contains__, w)) >= 0.7 * len(w) and holds(t, w)}
+    assert {(i, i) for i in range(len(items))} <= want and len(want) > 280
+    got = decontam.contaminated(spark.createDataFrame(rows_of(docs_), SCHEMA), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    found = {(x["doc_id"], x["item_id"]) for x in got.collect()}
+    assert found == want, f"{len(want - found)} of {len(want)} lost"
+
+
 def test_common_subsequence():
     r = np.random.default_rng(0)
     for _ in range(50):
