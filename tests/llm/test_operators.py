@@ -294,6 +294,18 @@ def test_decontamination_loses_nothing_of_many_items(spark):
     assert found == want, f"{len(want - found)} of {len(want)} lost"
 
 
+def test_decontamination_of_frequent_items_and_tiny_tables(spark):
+    r = np.random.default_rng(62)
+    word = lambda: "".join(r.choice(list("abcdefgh"), 6))
+    text = lambda n: " ".join(word() for _ in range(n))
+    items = [text(40) for _ in range(3)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for texts in ([text(60) + " " + items[0] + " " + text(60) if i % 3 == 0 else text(160) for i in range(60)], [text(30) + " " + items[1], text(80), items[2], text(50), text(90)]):
+        want = {(d, i) for d, t in enumerate(texts) for i, x in enumerate(items) if x in t}
+        got = decontam.contaminated(spark.createDataFrame(rows_of(texts), SCHEMA), bench).collect()
+        assert {(x["doc_id"], x["item_id"]) for x in got} == want and all(x["cosine"] > 0.2 for x in got)
+
+
 def test_common_subsequence():
     r = np.random.default_rng(0)
     for _ in range(50):
