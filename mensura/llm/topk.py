@@ -84,8 +84,8 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, bl
             s = _dot(m[q], m)
             own = a[q][:, None] == a[None, :]
             # The k-th score within its own block is a floor for a query's k-th score.
-            s = np.where(own, np.iinfo(np.int64).min, s)
-            floors = -np.partition(-s, k - 1, axis=1)[:, k - 1] if n > k else np.full(len(q), np.iinfo(np.int64).min)
+            worst = np.where(own, np.iinfo(np.int64).max, -s)
+            floors = -np.partition(worst, k - 1, axis=1)[:, k - 1] if n > k else np.full(len(q), np.iinfo(np.int64).min)
             number += 1
             values = (part, number - 1, a.tobytes(), dims, m.tobytes(), a[q].tobytes(), m[q].tobytes(), floors.astype(np.int64).tobytes())
             kinds = (pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())

@@ -171,6 +171,21 @@ def test_topk_equals_brute_force(spark):
     assert [(g["rank"], g["vec_id"]) for g in two] == [(1, 1)]
 
 
+def test_topk_keeps_the_last_rank_of_one_block(spark):
+    r = np.random.default_rng(31)
+    for n, block in ((40, 1024), (200, 50)):  # one block; the nearest ids are the nearest vectors
+        centre = np.repeat(r.normal(size=(-(-n // 50), 8)) * 4, 50, axis=0)[:n]
+        v = (centre + r.normal(size=(n, 8)) * 0.1).round(2)
+        a = np.floor(256 * v.astype(np.float32).astype(float)).astype(int)
+        df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>").coalesce(1)
+        got = {(g["query_id"], g["rank"], g["vec_id"], g["score"]) for g in topk.search(df, block=block).collect()}
+        want = set()
+        for q in range(0, n, 50):
+            best = sorted((-int(a[q] @ a[i]), i) for i in range(n) if i != q)[:5]
+            want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(best)}
+        assert got == want
+
+
 # --- op4 ---
 
 
