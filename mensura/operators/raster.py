@@ -302,12 +302,16 @@ def phenotype_roi(plant: np.ndarray, green: np.ndarray, root: np.ndarray, keep:
 
 def per_item(pixels: DataFrame, f, schema: str, item: str = "item") -> DataFrame:
     """One item's mask (as an array over its bounding box from the origin) through f, which returns a
-    data frame; an item is one image, whose pixels bound the group."""
+    data frame; an item is one image, whose pixels bound the group. Pixels before the origin move it
+    for f, and back in the columns x, y, cx and cy."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        m = np.zeros((int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1), bool)
-        m[pdf["y"].to_numpy(int), pdf["x"].to_numpy(int)] = True
-        return f(key[0], m)
+        x, y = pdf["x"].to_numpy(int), pdf["y"].to_numpy(int)
+        left, top = min(0, int(x.min())), min(0, int(y.min()))
+        m = np.zeros((int(y.max()) - top + 1, int(x.max()) - left + 1), bool)
+        m[y - top, x - left] = True
+        out = f(key[0], m)
+        return out.assign(**{c: out[c] + by for c, by in (("x", left), ("cx", left), ("y", top), ("cy", top)) if c in out})
 
     return pixels.groupBy(item).applyInPandas(run, schema)
 

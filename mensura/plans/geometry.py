@@ -248,18 +248,18 @@ def dijkstra_paths(spark, sf):
 
 @query()
 def mask_skeleton(spark, sf):
-    return raster.skeleton_pixels(raster.dilate_pixels(_mask(spark, sf).filter("x > 3 AND y > 3"), 3))
+    return raster.skeleton_pixels(raster.dilate_pixels(_mask(spark, sf), 3))
 
 
 @query()
 def mask_components(spark, sf):
-    return raster.component_sizes(raster.dilate_pixels(_mask(spark, sf).filter("x > 3 AND y > 3"), 2))
+    return raster.component_sizes(raster.dilate_pixels(_mask(spark, sf), 2))
 
 
 @query()
 def point_conditioned_sweep(spark, sf):
-    skel = raster.skeleton_pixels(raster.dilate_pixels(_mask(spark, sf).filter("x > 3 AND y > 3"), 3))
-    p = _points(spark, sf, 5, 6).filter("vec_id % 7 = 0").withColumn("score", F.lit(1.0))
+    skel = raster.skeleton_pixels(raster.dilate_pixels(_mask(spark, sf), 3))
+    p = _points(spark, sf, 5, 6).withColumn("score", F.lit(1.0))
     return graph.point_graphs(skel, p, [0.015, 0.025, 0.05])
 
 

@@ -225,3 +225,32 @@ def test_structural_support():
     m[10:50, 25:33] = True
     support, skel = raster.structural_support(m)
     assert support.sum() >= m.sum() and raster.label(skel)[1] == 1
+
+
+def test_mask_queries_take_every_pixel_and_point(spark, tmp_path):
+    from mensura.plans import geometry
+
+    r = np.random.default_rng(7)
+    v = [[0.0] * 4 + (r.random(2) * 0.1 - 0.52).round(3).tolist() + [0.0] * 4 for _ in range(15)]  # x and y from -4 to 16
+    spark.createDataFrame([(i, x, 0) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    at = [(round(x[4] * 200 + 100, 6), round(x[5] * 200 + 100, 6)) for x in v]
+
+    def dilated(k, by=20):
+        m = np.zeros((60, 60), bool)
+        for x, y in at:
+            m[math.floor(y) + by - k : math.floor(y) + by + k + 1, math.floor(x) + by - k : math.floor(x) + by + k + 1] = True
+        return m
+
+    skel = raster.skeleton(dilated(3))
+    want = sorted((int(x) - 20, int(y) - 20) for y, x in zip(*np.nonzero(skel)))
+    assert sorted((p["x"], p["y"]) for p in geometry.mask_skeleton(spark, str(tmp_path)).collect()) == want
+    got = geometry.mask_components(spark, str(tmp_path)).collect()
+    assert sum(g["pixels"] for g in got) == int(dilated(2).sum())
+    ys, xs = np.nonzero(skel)
+    diagonal = math.hypot(xs.max() - xs.min() + 1, ys.max() - ys.min() + 1)
+    given = points(*[(x + 20, y + 20) for x, y in sorted(at)])
+    for g in geometry.point_conditioned_sweep(spark, str(tmp_path)).collect():
+        w = graph.point_graph(skel, given, diagonal, g["ratio"])
+        assert (g["nodes"], g["rejected"], g["merged"], g["edges"]) == (len(w["nodes"]), len(w["rejected"]), w["merged"], len(w["edges"]))
+        assert g["coverage"] == pytest.approx(w["coverage"])
+        assert g["nodes"] + g["rejected"] + g["merged"] == len(v)
