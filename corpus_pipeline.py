@@ -17,8 +17,9 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts less the boilerplate lines of their site; documents of nothing else go."""
-    cleaned = linededup.clean(docs).filter("n_dropped = 0 OR trim(text) <> ''")
+    """Texts less the boilerplate lines of their site; documents of nothing else stay as they are, as
+    copies have all their lines in common: the next stage keeps one of each."""
+    cleaned = linededup.clean(docs, whole=True)
     size = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cleaned.withColumn("n_chars", size).select(*docs.columns)
 

@@ -35,11 +35,12 @@ def boilerplate(docs: DataFrame, host: str, ratio: float, pages: int) -> DataFra
     return often.groupBy("_host").agg(F.collect_set("_line").alias("_common"))
 
 
-def clean(docs: DataFrame, host: str = "source", ratio: float = 0.02, pages: int = 3) -> DataFrame:
+def clean(docs: DataFrame, host: str = "source", ratio: float = 0.02, pages: int = 3, whole: bool = False) -> DataFrame:
     """docs, each row kept, with text less its boilerplate lines, and n_lines and n_dropped added (an
     existing column of these names is replaced). Other lines, blank ones too, stay as they are and in
     order; a line counts once a page however often it stands there, and repeated rows count as pages.
-    Null text is empty and yields ''; null hosts form one host."""
+    Null text is empty and yields ''; null hosts form one host. With ``whole`` a page of nothing but
+    boilerplate lines stays as it is: copies of a page have all their lines in common."""
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     docs, columns = narrowed(docs.select(*[f"`{c}`" for c in names]), "text", host)
     common = stage(boilerplate(docs, host, ratio, pages), "boilerplate")
@@ -51,6 +52,8 @@ def clean(docs: DataFrame, host: str = "source", ratio: float = 0.02, pages: int
     out = joined.withColumn("_drop", drop)
     kept = F.when(F.size("_drop") == 0, _lines(F.col("text"))).otherwise(
         F.filter(_lines(F.col("text")), lambda x: (F.trim(x) == "") | ~F.array_contains("_drop", F.xxhash64(F.trim(x)))))
+    if whole:
+        kept = F.when(F.forall(kept, lambda x: F.trim(x) == ""), _lines(F.col("text"))).otherwise(kept)
     out = out.withColumn("_kept", kept)
     size = F.size(_lines(F.col("text")))
     out = out.withColumns({"n_lines": size, "n_dropped": size - F.size("_kept"), "text": F.array_join("_kept", "\n")})

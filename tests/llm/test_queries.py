@@ -158,3 +158,13 @@ def test_pipeline_takes_odd_tables(spark, tmp_path):
     empty = docs.limit(0)
     for name, f in corpus_pipeline.STAGES:
         assert f(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_pipeline_keeps_one_of_many_copies(spark, tmp_path):
+    lines = lambda i: "\n".join(" ".join(f"w{i}x{k}y{j}" for j in range(9)) for k in range(5))
+    rows = [(i, lines(0 if i % 3 == 0 else i) + ("" if i % 3 == 0 else "\nmenu of the site"), "en", "s", 1) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    second = stages["line dedup"](spark, docs, str(tmp_path))
+    kept = stages["n-gram Jaccard join"](spark, spark.createDataFrame(second.collect(), second.schema), str(tmp_path)).collect()
+    assert sorted(r["text"] for r in kept) == sorted([lines(0), *(lines(i) for i in range(90) if i % 3)])
