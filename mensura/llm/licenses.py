@@ -1,14 +1,19 @@
-"""Licence scan: normalised units of text against templates by Dice coefficient of word bigrams."""
+"""Licence scan: normalised units of text, and runs of words where no unit is one, against templates
+by Dice coefficient of word bigrams."""
 
 from __future__ import annotations
 
 import functools
 import math
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mensura.llm.shared import text_batches
+
 # Notices as their licences word them.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -71,9 +76,64 @@ def _units(text: Column) -> Column:
     )
 
 
+def _dice(grams: list[str], template: set[str]) -> float:
+    own = set(grams)
+    return 2.0 * len(own & template) / (len(own) + len(template))
+
+
+def _taken(text: str, grams: list[str], template: set[str], threshold: float) -> list[tuple[int, int]]:
+    """First and end word of the lines, blocks and text that reach the threshold themselves."""
+    out = []
+    for parts in (text.split("\n"), re.split(r"\n[ \t\r]*\n", text), [text]):
+        at = 0
+        for part in parts:
+            n = len(re.findall("[a-z0-9]+", part))
+            if n > 1 and _dice(grams[at : at + n - 1], template) >= threshold:
+                out.append((at, at + n))
+            at += n
+    return out
+
+
+def windows(text: str, templates: dict[str, tuple[set[str], int]], threshold: float) -> list[tuple[int, str, float]]:
+    """First word, template and Dice of the runs of words that reach the threshold and share no word
+    with a unit or better run that does, for templates as (bigrams, bigrams with repeats). ``text`` is
+    in lower case. A run is at most ``(2 - t) / t`` times as long as its template."""
+    words = re.findall("[a-z0-9]+", text)
+    grams = [f"{a} {b}" for a, b in zip(words, words[1:])]
+    there = set(grams)
+    out = []
+    for name, (template, length) in templates.items():
+        # Dice d with sets of s and n shares d (s + n) / 2 of at most s: at least n d / (2 - d).
+        need = bounds(len(template), threshold)[0]
+        if not template or len(template & there) < need:
+            continue
+        most = bounds(length, threshold)[1]
+        at = [i for i, g in enumerate(grams) if g in template]
+        found = []
+        for k, first in enumerate(at):
+            if k + need > len(at) or at[k + need - 1] >= first + most:
+                continue
+            seen: set[str] = set()
+            shared, best = 0, (0.0, 0)
+            for i in range(first, min(first + most, len(grams))):
+                if grams[i] not in seen:
+                    seen.add(grams[i])
+                    shared += grams[i] in template
+                    best = max(best, (2.0 * shared / (len(seen) + len(template)), -i))
+            if best[0] >= threshold:
+                found.append((-best[0], first, 2 - best[1]))
+        taken = _taken(text, grams, template, threshold) if found else []
+        for dice, first, end in sorted(found):
+            if all(end <= a or first >= b for a, b in taken):
+                taken.append((first, end))
+                out.append((first, name, -dice))
+    return out
+
+
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
     """doc_id, unit (line, block or text), number, licence, dice for every unit and template of at
-    least the threshold. Null and empty texts match nothing; repeated rows match each; other columns
+    least the threshold; and as unit ``window``, numbered by its first word, every run of words that
+    does where no unit has the licence, such as a notice of several blocks or within a line. Null and empty texts match nothing; repeated rows match each; other columns
     are ignored. Candidates are joined on the size of the bigram set: a template stands under each
     size that can reach the threshold with its own, at most ``(2 - t) / t`` times its size, so the
     joined side is bounded by the templates alone."""
@@ -101,7 +161,19 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     sets = sets.withColumn("_size", F.size("b")).filter(F.col("_size").between(small, large))
     dice = 2.0 * F.size(F.array_intersect("b", "_grams")) / (F.col("_size") + F.col("_n"))
     found = sets.join(F.broadcast(sized), "_size").withColumn("dice", dice).filter(F.col("dice") >= threshold)
-    return found.select("doc_id", "unit", "number", "licence", F.round("dice", 6).alias("dice"))
+    found = found.select("doc_id", "unit", "number", "licence", F.round("dice", 6).alias("dice"))
+    known = {name: (set(g), max(0, len(re.findall("[a-z0-9]+", templates[name].lower())) - 1)) for name, g in grams.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [(i, *w) for i, t in enumerate(batch.column(1).to_pylist()) for w in windows(t, known, threshold)]
+            ids = batch.column(0).take(pa.array([g[0] for g in got], pa.int64()))
+            columns = [pa.array(["window"] * len(got), pa.string()), pa.array([g[1] for g in got], pa.int32()), pa.array([g[2] for g in got], pa.string()), pa.array([round(g[3], 6) for g in got], pa.float64())]
+            yield pa.RecordBatch.from_arrays([ids, *columns], names=["doc_id", "unit", "number", "licence", "dice"])
+
+    text_batches(spark)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return found.unionByName(lower.mapInArrow(run, f"doc_id {kind}, unit string, number int, licence string, dice double"))
 
 
 def oracle(templates: dict[str, str] = TEMPLATES, threshold: float = 0.8) -> str:

@@ -100,6 +100,18 @@ def test_licences(spark, docs, empty):
     assert licenses.scan(empty).count() == 0 and licenses.scan(docs).count() == 0
 
 
+def test_licences_anywhere(spark):
+    prose = " ".join(f"plain{i} words about nothing" for i in range(80))
+    gpl = re.sub(r"([,.]) (This|See|either)", r"\1\n\n\2", licenses.TEMPLATES["GPL-header"])
+    apache = licenses.TEMPLATES["Apache-2.0-header"].replace(" http", "\n\n    http").replace(" Unless", "\n\nUnless").replace(" See", "\nSee")
+    assert gpl.count("\n\n") >= 2
+    wrapped = licenses.TEMPLATES["MPL-2.0"].replace("the terms", "\nthe terms").replace("You can", "\nYou can")
+    texts = [f"{prose}\n\n{gpl}\n\n{prose}", f"{prose}\n{apache}\n\n{prose}", f"Some tool. Released under the MIT License. See the docs for {prose}", f"{wrapped}\nimport {prose}", prose]
+    got = {(r["doc_id"], r["licence"]): r for r in licenses.scan(spark.createDataFrame(rows_of(texts), SCHEMA)).collect() if r["unit"] == "window"}
+    assert {(0, "GPL-header"), (1, "Apache-2.0-header"), (2, "MIT"), (3, "MPL-2.0")} <= set(got) and not any(d == 4 for d, _ in got)
+    assert got[2, "MIT"]["number"] == 2 and all(got[k]["dice"] == 1.0 for k in ((0, "GPL-header"), (2, "MIT"), (3, "MPL-2.0")))
+
+
 # --- op2 ---
 
 
