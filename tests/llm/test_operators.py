@@ -162,6 +162,13 @@ def test_pii_model_adds_secrets_and_redacts(spark):
         assert y[chosen].mean() >= 0.93 and chosen[y == 1].mean() >= 0.8
 
 
+def test_pii_takes_secrets_of_any_length(spark):
+    tokens = [hashlib.sha512(str(i).encode()).hexdigest() * 2 for i in range(3)] + ["Qx" * 70 + hashlib.sha256(b"k").hexdigest()]
+    texts = [f'api token = "{t}" in the file' for t in tokens]
+    got = pii.redact(spark.createDataFrame(rows_of(texts), SCHEMA)).collect()
+    assert len(got) == 4 and all(g["redacted"] == 'api token = "[secret]" in the file' for g in got)
+
+
 # --- op3 ---
 
 
