@@ -6,7 +6,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
-from test_operators import VOCABULARY, base_spans, jaccard_plain, words
+from test_llm_operators import VOCABULARY, base_spans, jaccard_plain, words
 
 import __spark_entry__ as entry
 import corpus_pipeline
