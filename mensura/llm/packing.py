@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mensura.llm.shared import spread, stage
+from mensura.llm.shared import own_batches, spread, stage
 from mensura.llm.wordids import word_ids
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -30,19 +30,21 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, end: int = 1, keep_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = word_ids(vocabulary)
-        tail = ids_of.pack([end])
+        names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + keep_ids]
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.frombuffer(ids_of.of(text.as_py()) + tail, ids_of.dtype).astype("<u4")
-                for k, at in enumerate(range(0, len(ids), capacity)):
-                    raw = ids[at : at + capacity].tobytes()
-                    for column, x in zip(out, (doc, k, at, len(raw) // 4, zlib.crc32(raw), raw if keep_ids else None)):
-                        column.append(x)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-            n = 5 + keep_ids
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(out[:n], kinds)], names=names[:n])
+            for i, j, ids, ends in ids_of.ended(batch.column(1), end):
+                size = np.diff(ends)
+                n = -(-size // capacity)
+                row = np.repeat(np.arange(j - i), n)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                start = piece * capacity
+                length = np.minimum(size[row] - start, capacity)
+                raw = [ids[a : a + m] for a, m in zip((ends[:-1][row] + start).tolist(), length.tolist())]
+                out = [
+                    batch.column(0).take(pa.array(row + i)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()),
+                    pa.array([zlib.crc32(x) for x in raw], pa.int64()),
+                ]
+                yield pa.record_batch(out + [pa.array([x.tobytes() for x in raw], pa.binary())] * keep_ids, names=names)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES + ", ids binary" * keep_ids)
 
@@ -93,9 +95,10 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 4096, end: int = 1, k
 
     The plan's rows grow with ``capacity`` only, which bounds what is collected and broadcast."""
     spark = docs.sparkSession
-    cut = stage(pieces(docs, vocabulary, capacity, end, keep_ids), "pieces")
+    with own_batches(spark, 4000):
+        cut = stage(pieces(docs, vocabulary, capacity, end, keep_ids), "pieces")
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    buckets = min(4096, max(1, math.ceil(sum(counts.values()) / 20_000)))
+    buckets = max(1, math.ceil(sum(counts.values()) / 20_000))
     slots = spark.createDataFrame(plan(counts, capacity), "_length long, _lo long, _hi long, _first long, _each long, _at long")
     cut = cut.withColumn("_bucket", spread(F.struct("doc_id", "piece", "start", "ids_crc32"), buckets))
     own = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "ids_crc32")

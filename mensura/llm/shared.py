@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import functools
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -41,15 +43,34 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_batches(spark: SparkSession) -> None:
+BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches for rows that hold whole texts: fewer rows and bytes than Spark's default, unless
-    the session asks for fewer still. What a worker holds doesn't grow with the table either way."""
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
+    the session asks for fewer still. What a worker holds doesn't grow with the table either way. The
+    setting stays, as a plan that the caller runs later needs it."""
+    for key, most in zip(BATCHES, (rows, 16 << 20)):
         now = (spark.conf.get(key, None) or "").rstrip("b")
         if not now or now.lstrip("-").isdigit() and not 0 < int(now) <= most:
             spark.conf.set(key, str(most))
 
 
+@contextlib.contextmanager
+def own_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """``text_batches`` for what runs within, after which the session has its own settings again."""
+    before = {key: spark.conf.get(key, None) for key in BATCHES}
+    text_batches(spark, rows)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
 def narrowed(docs: DataFrame, *needed: str) -> tuple[DataFrame, list[Column]]:
     """docs as the needed columns and one struct ``rest`` of all others, whatever their names, and the
     expressions that give docs' columns again."""

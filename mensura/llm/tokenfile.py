@@ -8,6 +8,7 @@ exception list of (place, high bits) for the outliers.
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -18,73 +19,88 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mensura.llm.shared import place, stage
+from mensura.llm.shared import own_batches, place, stage
 from mensura.llm.wordids import word_ids
 
 MAGIC, BLOCK = b"PFOR0001", 256
 HEAD = struct.Struct("<8sQQQ")  # magic, documents, ids, blocks
-BLOCK_HEAD = struct.Struct("<IBBH")  # minimum, width, unused, exceptions
+BLOCK_HEAD = np.dtype([("low", "<u4"), ("width", "u1"), ("unused", "u1"), ("exceptions", "<u2")])
 _BITS = np.frexp(np.arange(1 << 16))[1].astype(np.uint8)  # bits that each number takes
 DOCS = "file string, row long, doc_id long, local_start long, n_tokens long, ids_crc32 long, ids binary"
 
 
+def _places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[i], start[i] + 1, ... for each i, size[i] of them."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+def _some(width: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(width, its blocks), at most 4,096 at a time."""
+    for w in np.unique(width):
+        rows = np.flatnonzero(width == w)
+        for some in np.array_split(rows, -(-len(rows) // 4096)):
+            yield int(w), some
+
+
 def encode_blocks(ids: np.ndarray, percentile: float = 0.9) -> tuple[np.ndarray, bytes]:
     """(starts of the blocks with the end appended, payload)."""
     n = len(ids)
     blocks = -(-n // BLOCK)
-    v = np.full(blocks * BLOCK, ids[-1] if n else 0, np.uint32)
+    if not blocks:
+        return np.zeros(1, "<u8"), b""
+    v = np.full(blocks * BLOCK, ids[-1], np.uint32)
     v[:n] = ids
     v = v.reshape(blocks, BLOCK)
-    low = v.min(axis=1) if blocks else np.zeros(0, np.uint32)
+    low = v.min(axis=1)
     d = v - low[:, None]
-    if d.size and d.max() < 1 << 16:
+    if d.max() < 1 << 16:
         d = d.astype(np.uint16)
         need = _BITS[d]
     else:
         need = np.frexp(d.astype(np.float64))[1].astype(np.uint8)
-    k = min(BLOCK - 1, int(np.ceil(percentile * BLOCK)) - 1)
-    width = np.partition(need, k, axis=1)[:, k] if blocks else np.zeros(0, np.uint8)
-    parts: list[bytes] = [b""] * blocks
-    for w in np.unique(width):
-        rows = np.flatnonzero(width == w)
-        for some in np.array_split(rows, max(1, len(rows) // 4096)):
-            x = d[some]
-            planes = np.empty((len(some), int(w), BLOCK // 8), np.uint8)
-            for b in range(int(w)):
-                planes[:, b] = np.packbits((x >> x.dtype.type(b)).astype(np.uint8) & 1, axis=1, bitorder="little")
-            over = need[some] > w
-            outliers = over.sum(axis=1).tolist()
-            for i, (row, n_out, lowest) in enumerate(zip(some.tolist(), outliers, low[some].tolist())):
-                parts[row] = BLOCK_HEAD.pack(lowest, int(w), 0, n_out) + planes[i].tobytes()
-                if n_out:
-                    at = np.flatnonzero(over[i])
-                    parts[row] += at.astype(np.uint8).tobytes() + (x[i][at].astype(np.uint32) >> np.uint32(w)).astype("<u4").tobytes()
-    return np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype("<u8"), b"".join(parts)
+    k = min(BLOCK - 1, math.ceil(percentile * BLOCK) - 1)
+    width = np.partition(need, k, axis=1)[:, k]
+    row, at = np.nonzero(need > width[:, None])
+    outliers = np.bincount(row, minlength=blocks)
+    head = np.zeros(blocks, BLOCK_HEAD)
+    head["low"], head["width"], head["exceptions"] = low, width, outliers
+    packed = BLOCK_HEAD.itemsize + width.astype(np.int64) * (BLOCK // 8)  # where the exceptions begin
+    starts = np.concatenate([[0], np.cumsum(packed + 5 * outliers)])
+    payload = np.empty(starts[-1], np.uint8)
+    payload[starts[:-1, None] + np.arange(BLOCK_HEAD.itemsize)] = head.view(np.uint8).reshape(blocks, -1)
+    for w, some in _some(width):
+        planes = np.empty((len(some), w, BLOCK // 8), np.uint8)
+        for b in range(w):
+            planes[:, b] = np.packbits((d[some] >> d.dtype.type(b)).astype(np.uint8) & 1, axis=1, bitorder="little")
+        payload[starts[some, None] + BLOCK_HEAD.itemsize + np.arange(w * BLOCK // 8)] = planes.reshape(len(some), -1)
+    first = starts[:-1] + packed
+    payload[_places(first, outliers)] = at
+    high = (d[row, at].astype(np.uint32) >> width[row].astype(np.uint32)).astype("<u4")
+    payload[_places(first + outliers, 4 * outliers)] = high.view(np.uint8)
+    return starts.astype("<u8"), payload.tobytes()
 
 
 def decode_blocks(starts: np.ndarray, payload: memoryview, n: int) -> np.ndarray:
     """The ids again."""
-    out = np.zeros((len(starts) - 1, BLOCK), np.uint32)
-    heads = [BLOCK_HEAD.unpack_from(payload, int(s)) for s in starts[:-1]]
-    width = np.array([h[1] for h in heads], np.uint8)
+    at = starts[:-1].astype(np.int64)
+    if not len(at):
+        return np.zeros(0, np.uint32)
     raw = np.frombuffer(payload, np.uint8)
-    for w in np.unique(width):
-        rows = np.flatnonzero(width == w)
-        size = BLOCK * int(w) // 8
-        for some in np.array_split(rows, max(1, len(rows) // 4096)):
-            at = starts[some].astype(np.int64) + BLOCK_HEAD.size
-            planes = raw[at[:, None] + np.arange(size)].reshape(len(some), int(w), BLOCK // 8)
-            kind = np.uint16 if w <= 16 else np.uint32
-            got = np.zeros((len(some), BLOCK), kind)
-            for b in range(int(w)):
-                got |= np.unpackbits(planes[:, b], axis=1, bitorder="little").astype(kind) << kind(b)
-            out[some] = got
-    for row, (low, w, _, exceptions) in enumerate(heads):
-        if exceptions:
-            at = int(starts[row]) + BLOCK_HEAD.size + BLOCK * w // 8
-            places = np.frombuffer(payload, np.uint8, exceptions, at)
-            out[row, places] |= np.frombuffer(payload, "<u4", exceptions, at + exceptions) << np.uint32(w)
-    out += np.array([h[0] for h in heads], np.uint32)[:, None] if heads else np.uint32(0)
+    head = raw[at[:, None] + np.arange(BLOCK_HEAD.itemsize)].reshape(-1).view(BLOCK_HEAD)
+    out = np.empty((len(at), BLOCK), np.uint32)
+    for w, some in _some(head["width"]):
+        planes = raw[at[some, None] + BLOCK_HEAD.itemsize + np.arange(w * BLOCK // 8)].reshape(len(some), w, BLOCK // 8)
+        kind = np.uint16 if w <= 16 else np.uint32
+        got = np.zeros((len(some), BLOCK), kind)
+        for b in range(w):
+            got |= np.unpackbits(planes[:, b], axis=1, bitorder="little").astype(kind) << kind(b)
+        out[some] = got
+    outliers = head["exceptions"].astype(np.int64)
+    first = at + BLOCK_HEAD.itemsize + head["width"].astype(np.int64) * (BLOCK // 8)
+    row = np.repeat(np.arange(len(at)), outliers)
+    high = raw[_places(first + outliers, 4 * outliers)].view("<u4")
+    out[row, raw[_places(first, outliers)]] |= high << head["width"][row].astype(np.uint32)
+    out += head["low"][:, None]
     return out.reshape(-1)[:n]
 
 
@@ -110,7 +126,7 @@ def decode_file(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None if z else int(d) for d, z in zip(docs, null)], lengths, decode_blocks(starts, payload, n_ids)
 
 
-def write(docs: DataFrame, path: str, vocabulary: str, end: int = 1, file_ids: int = 4_000_000, percentile: float = 0.9) -> DataFrame:
+def write(docs: DataFrame, path: str, vocabulary: str, end: int = 1, file_ids: int = 2_000_000, percentile: float = 0.9) -> DataFrame:
     """Writes the ids of all texts, ``end`` after each, in ascending doc_id order (nulls first; equal
     doc_ids by a hash of the text) to files of about ``file_ids`` ids under path, a folder that all
     executors share. Null text is empty. Returns the manifest (file, part, number, documents, ids,
@@ -122,7 +138,6 @@ def write(docs: DataFrame, path: str, vocabulary: str, end: int = 1, file_ids: i
         store, root = fs.FileSystem.from_uri(path)
         ids_of, context = word_ids(vocabulary), TaskContext.get()
         part, attempt = context.partitionId(), context.taskAttemptId()
-        tail = ids_of.pack([end])
         made, docs_, lengths, parts, size = [], [], [], [], 0
 
         def flush() -> None:
@@ -130,7 +145,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end: int = 1, file_ids: i
             if docs_:
                 store.create_dir(root, recursive=True)
                 name = f"part-{part:06d}-{len(made):05d}.pfor"
-                raw = encode_file(docs_, lengths, np.frombuffer(b"".join(parts), ids_of.dtype).astype(np.uint32), percentile)
+                raw = encode_file(docs_, lengths, np.concatenate(parts), percentile)
                 with store.open_output_stream(f"{root}/.{name}.{attempt}") as out:
                     out.write(raw)
                 store.move(f"{root}/.{name}.{attempt}", f"{root}/{name}")
@@ -139,14 +154,18 @@ def write(docs: DataFrame, path: str, vocabulary: str, end: int = 1, file_ids: i
                 size = 0
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                raw = ids_of.of(text.as_py()) + tail
-                docs_.append(doc)
-                parts.append(raw)
-                lengths.append(len(raw) // ids_of.dtype.itemsize)
-                size += lengths[-1]
-                if size >= file_ids:
-                    flush()
+            doc_ids = batch.column(0).to_pylist()
+            for i, j, ids, ends in ids_of.ended(batch.column(1), end):
+                k = i
+                while k < j:  # a file ends with the document that fills it
+                    last = min(j, i + int(np.searchsorted(ends[1:], ends[k - i] + file_ids - size)) + 1)
+                    docs_ += doc_ids[k:last]
+                    lengths += np.diff(ends[k - i : last - i + 1]).tolist()
+                    parts.append(ids[ends[k - i] : ends[last - i]])
+                    size += int(ends[last - i] - ends[k - i])
+                    k = last
+                    if size >= file_ids:
+                        flush()
         flush()
         names, kinds = ["file", "part", "number", "documents", "ids"], [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
         yield pa.record_batch([pa.array([m[i] for m in made], k) for i, k in enumerate(kinds)], names=names)
@@ -155,9 +174,15 @@ def write(docs: DataFrame, path: str, vocabulary: str, end: int = 1, file_ids: i
     order = [F.col("doc_id").asc_nulls_first(), F.col("_tie")]
     ranged = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("_tie"))
     ranged = ranged.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    manifest = stage(ranged.mapInArrow(run, "file string, part int, number int, documents long, ids long"), "manifest")
-    before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
-    return manifest.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0)).cast("long"))
+    with own_batches(docs.sparkSession, 4000):
+        manifest = stage(ranged.mapInArrow(run, "file string, part int, number int, documents long, ids long"), "manifest")
+    # Within a part by window, over the parts (a row each) likewise.
+    earlier = Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts_ = manifest.groupBy("part").agg(F.sum("ids").alias("_all"))
+    parts_ = parts_.select("part", F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_before"))
+    based = manifest.withColumn("_own", F.coalesce(F.sum("ids").over(earlier), F.lit(0))).join(parts_, "part")
+    return based.select("file", "part", "number", "documents", "ids", (F.col("_own") + F.col("_before")).cast("long").alias("base"))
 
 
 def read(spark: SparkSession, path: str, keep_ids: bool = True) -> DataFrame:
@@ -169,12 +194,12 @@ def read(spark: SparkSession, path: str, keep_ids: bool = True) -> DataFrame:
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 docs, lengths, ids = decode_file(content.as_py())
                 starts = np.cumsum(lengths) - lengths
-                raw = [ids[s : s + n].astype("<u4").tobytes() for s, n in zip(starts, lengths)]
+                raw = [ids[s : s + n] for s, n in zip(starts.tolist(), lengths.tolist())]
                 yield pa.record_batch(
                     [
                         pa.array([file] * len(docs), pa.string()), pa.array(np.arange(len(docs))), pa.array(docs, pa.int64()),
                         pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array([zlib.crc32(x) for x in raw], pa.int64()),
-                        pa.array(raw if keep_ids else [None] * len(docs), pa.binary()),
+                        pa.array([x.tobytes() for x in raw] if keep_ids else [None] * len(docs), pa.binary()),
                     ],
                     names=["file", "row", "doc_id", "local_start", "n_tokens", "ids_crc32", "ids"],
                 )

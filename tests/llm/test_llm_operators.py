@@ -65,17 +65,27 @@ def test_hashed_words_follow_the_pattern():
     assert {a: b for a, b in zip(every, h.tolist())} == {a: b for a, b in zip(reversed(every), reversed(h.tolist()))}
 
 
-def test_word_ids_equal_the_library(tokenizer):
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_word_ids_equal_the_library(monkeypatch, name):
+    import pyarrow as pa
     from hypothesis import given, settings
     from hypothesis import strategies as st
+    from tokenizers import Tokenizer
 
-    ids = wordids.WordIds(VOCABULARY, limit=50)
-    alphabet = st.sampled_from(list("aZé's\x1c\x85  \n1½ªµ×İΣ中́_-.!<|>endoftx") + ["<|endoftext|>", "'ll", "don't"])
+    monkeypatch.setattr(wordids, "STRETCH", 40)
+    ids, tokenizer = wordids.WordIds(public_tokenizers.path(name), limit=50), Tokenizer.from_file(public_tokenizers.path(name))
+    assert ids.by_chunk == name.startswith("word")  # white space belongs to tokens of the other
+    alphabet = st.sampled_from(list("aZé's\x1c\x85  \n1½ªµ×İΣ中́_-.!<|>endoftx") + ["<|endoftext|>", "'ll", "don't", "!'s", "''s", "É'LL"])
 
     @settings(max_examples=300, deadline=None)
-    @given(st.lists(alphabet, max_size=30).map("".join))
-    def check(text):
-        assert np.frombuffer(ids.of(text), ids.dtype).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    @given(st.lists(st.none() | st.lists(alphabet, max_size=60).map("".join), max_size=4))
+    def check(texts):
+        want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert [np.frombuffer(ids.of(t), ids.dtype).tolist() for t in texts] == want
+        got = {}
+        for i, j, all_, ends in ids.ended(pa.array(["x", *texts], pa.string()).slice(1), 7):
+            got |= {k: all_[ends[k - i] : ends[k - i + 1]].tolist() for k in range(i, j)}
+        assert got == {k: w + [7] for k, w in enumerate(want)}
 
     check()
 
