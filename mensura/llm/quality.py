@@ -1,8 +1,9 @@
 """Quality classifier: document evidence combined with host and path posteriors (empirical Bayes).
 
-A linear document classifier gives the evidence for good text. Its mean over a path (a section of a
-host) shrinks toward the host's, and the host's toward the global one, each with a prior strength
-fitted from the spread between groups; the path's posterior then replaces the classifier's prior.
+Linear classifiers give each document's evidence for good and for toxic text. A document's prior is
+the posterior mean of its path (a section of a host): the path's mean of all other documents shrinks
+toward its host's, and the host's toward the global one, each by the variance between groups that is
+left after the noise within them, so that sparse sites lean on what is above them.
 """
 
 from __future__ import annotations
@@ -13,15 +14,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mensura.llm.shared import chunked, hashed_words, narrowed, stage
+from mensura.llm.shared import chunked, hashed_words, narrowed, own_batches, stage
 
 MARKS = "!#$%&*|=<>{}[]\\^~+"
+SEPARATORS = "|\u00bb\u203a\u2022\u00b7"
 N_SHAPE = 8
 MOST_WORDS = 400
 BROADCAST_SITES = 200_000  # paths (a few dozen bytes each) up to which their table is broadcast
+KINDS = ("good", "toxic")
 _CAPITALS = re.compile("[A-ZÀ-ÖØ-Þ]")
 
 
@@ -77,109 +80,203 @@ def features(texts: list[str | None]) -> Features:
             m = max(1, len(t))
             marks = sum(map(t.count, MARKS))
             shape[k] = (
-                np.log1p(len(t)), np.log1p(1000 * marks / m), t.count(" | ") > 0, np.log1p(100 * len(_CAPITALS.findall(t)) / m),
+                np.log1p(len(t)), np.log1p(1000 * marks / m), np.log1p(1000 * sum(map(t.count, SEPARATORS)) / m), np.log1p(100 * len(_CAPITALS.findall(t)) / m),
                 np.log1p(1000 * t.count("!") / m), repeats[k - i] / max(1, n[k - i]), distinct[k - i] / max(1, n[k - i]), not t.strip(),
             )
     return Features(shape, np.concatenate(docs), np.concatenate(words))
 
 
-def telling(x: Features, y: np.ndarray, least: float = 5.0) -> np.ndarray:
-    """Words whose share of texts differs between the classes by ``least`` standard errors (beyond
-    chance among all words of a sample) and that some texts hold; at most MOST_WORDS."""
-    word, place = np.unique(x.word, return_inverse=True)
-    n1, n0 = y.sum(), len(y) - y.sum()
-    with1 = np.bincount(place, y[x.doc], minlength=len(word))
-    total = np.bincount(place, minlength=len(word))
-    share = total / len(y)
-    z = (with1 / n1 - (total - with1) / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n1 + 1 / n0))
-    fine = np.flatnonzero((np.abs(z) >= least) & (total >= 4))
-    return np.sort(word[fine[np.argsort(-np.abs(z[fine]), kind="stable")[:MOST_WORDS]]])
-
-
-def fit(texts: list[str | None], y: np.ndarray, epochs: int = 300, rate: float = 0.3, decay: float = 1e-4) -> Linear:
-    """Logistic regression on telling words and shape, by full-batch adaptive gradients."""
-    f = features(texts)
-    centre, scale = f.shape.mean(axis=0), f.shape.std(axis=0) + 1e-6
-    x = (f.shape - centre) / scale
-    words = telling(f, y)
-    doc, place = f.hits(words)
+def telling(counts: DataFrame, y: str, total: float, positive: float, least: float = 5.0) -> np.ndarray:
+    """Words (w, of n texts, of which n_<y> are positive) whose share of texts differs between the
+    classes by ``least`` standard errors (beyond chance among all words of a sample) and that some
+    texts hold; at most MOST_WORDS."""
+    n, n1, share = F.col("n"), F.col(f"n_{y}"), F.col("n") / total
+    error = F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)) * (1 / positive + 1 / (total - positive)))
+    z = F.abs((n1 / positive - (n - n1) / (total - positive)) / error)
+    best = counts.filter(n >= 4).select("w", z.alias("z")).filter(F.col("z") >= least).orderBy(F.desc("z"), "w").limit(MOST_WORDS)
+    return np.sort(np.array([r["w"] for r in best.collect()], np.int64).astype(np.uint64))
+
+
+def fit(shape: np.ndarray, hits: list[np.ndarray], words: np.ndarray, y: np.ndarray, epochs: int = 300, rate: float = 0.3, decay: float = 1e-4) -> Linear:
+    """Logistic regression on shape and the words that each text hits, by full-batch adaptive gradients."""
+    centre, scale = shape.mean(axis=0), shape.std(axis=0) + 1e-6
+    x = (shape - centre) / scale
+    doc, place = np.repeat(np.arange(len(hits)), [len(h) for h in hits]), np.searchsorted(words, np.concatenate([np.zeros(0, np.uint64), *hits]))
     w, s, b = np.zeros(len(words)), np.zeros(N_SHAPE), 0.0
     gw, gs, gb = np.full(len(words), 1e-8), np.full(N_SHAPE, 1e-8), 1e-8
     share = y.mean()
     weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share))  # classes count alike
     for _ in range(epochs):
-        m = np.bincount(doc, w[place], minlength=len(texts)) + x @ s + b
-        e = weight * (y - 1 / (1 + np.exp(-np.clip(m, -30, 30)))) / len(texts)
+        m = np.bincount(doc, w[place], minlength=len(y)) + x @ s + b
+        e = weight * (y - 1 / (1 + np.exp(-np.clip(m, -30, 30)))) / len(y)
         dw, ds, db = np.bincount(place, e[doc], minlength=len(words)) - decay * w, e @ x - decay * s, e.sum()
         gw, gs, gb = gw + dw * dw, gs + ds * ds, gb + db * db
         w, s, b = w + rate * dw / np.sqrt(gw), s + rate * ds / np.sqrt(gs), b + rate * db / np.sqrt(gb)
     return Linear(words, w, s, float(b), centre, scale)
 
 
-def sample(docs: DataFrame, labels: DataFrame, most: int, seed: int) -> tuple[list, np.ndarray, np.ndarray]:
-    """At most ``most`` labelled texts in hash order: (texts, quality, toxic)."""
-    known = labels.filter("quality IS NOT NULL AND toxic IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("quality").alias("_q"), F.col("toxic").alias("_t"))
-    chosen = known.orderBy(F.xxhash64("_id", F.lit(seed)), "_id", "_q", "_t").limit(most)
-    # Whole texts, but a bounded number of them.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_q", "_t")
-    rows = sorted(rows.distinct().limit(2 * most).collect(), key=lambda r: (r["doc_id"], r["text"] or "", r["_q"], r["_t"]))
-    return [r["text"] for r in rows], np.array([r["_q"] for r in rows], float), np.array([r["_t"] for r in rows], float)
+def sample(docs: DataFrame, labels: DataFrame, most: int, seed: int) -> DataFrame:
+    """At most ``most`` labelled documents in hash order, one row a label: good, toxic, shape (doubles)
+    and words (sorted hashes) as bytes. Of documents with one doc_id that of the least text hash
+    counts. Texts stay in the executors."""
+    known = labels.filter("quality IS NOT NULL AND toxic IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("quality").cast("double").alias("good"), F.col("toxic").cast("double").alias("toxic"))
+    chosen = known.distinct().orderBy(F.xxhash64("_id", F.lit(seed)), "_id", "good", "toxic").limit(most)
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", "good", "toxic", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column(3).to_pylist()
+            for s, e in chunked(text):
+                x = features(text[s:e])
+                at = np.searchsorted(x.doc, np.arange(e - s + 1))
+                made = [pa.array([r.tobytes() for r in x.shape], pa.binary()), pa.array([x.word[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(s, e - s) for k in range(3)], *made, batch.column(4).slice(s, e - s)], names=["_id", "good", "toxic", "shape", "words", "hash"])
+
+    read = texts.withColumn("hash", F.xxhash64("text")).mapInArrow(run, f"_id {labels.schema['doc_id'].dataType.simpleString()}, good double, toxic double, shape binary, words binary, hash long")
+    one = read.groupBy("_id", "good", "toxic").agg(F.min_by(F.struct("shape", "words"), F.struct("hash", "shape")).alias("x"))
+    return one.select("_id", "good", "toxic", "x.shape", "x.words")
+
+
+def fitted(docs: DataFrame, labels: DataFrame, most: int, seed: int) -> list[Linear | None]:
+    """A classifier for each of KINDS; None where the labels don't have both classes. The driver gets
+    the telling words, and of each sampled document its shape and which of these it has."""
+    with own_batches(docs.sparkSession):
+        seen = stage(sample(docs, labels, most, seed), "sample")
+    n, *positive = seen.agg(F.count("*"), *map(F.sum, KINDS)).first()
+    able = [bool(n) and 0 < p < n for p in positive]
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
+            size = [len(f) for f in found]
+            word, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_inverse=True)
+            sums = [np.bincount(at, np.repeat(batch.column(k).to_numpy(), size), minlength=len(word)) for k in range(2)]
+            columns = [word.astype(np.int64), np.bincount(at, minlength=len(word)).astype(float), *sums]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["w", "n", *[f"n_{k}" for k in KINDS]])
+
+    counted = seen.select(*KINDS, "words").mapInArrow(words, "w long, n double, " + ", ".join(f"n_{k} double" for k in KINDS))
+    counts = stage(counted.groupBy("w").agg(*[F.sum(c).alias(c) for c in counted.columns[1:]]), "words") if any(able) else None
+    chosen = [telling(counts, k, float(n), float(p)) if ok else None for k, p, ok in zip(KINDS, positive, able)]
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
+            own = [pa.array([np.intersect1d(f, c, assume_unique=True).tobytes() if c is not None else b"" for f in found], pa.binary()) for c in chosen]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *own, *batch.columns[2:]], names=["shape", *KINDS, *[f"y_{k}" for k in KINDS]])
+
+    if not any(able):
+        return [None] * len(KINDS)
+    marked = seen.select("shape", "words", *KINDS)
+    rows = marked.mapInArrow(hits, "shape binary, good binary, toxic binary, y_good double, y_toxic double").collect()
+    rows.sort(key=lambda r: (r["shape"], r["good"], r["toxic"], r["y_good"], r["y_toxic"]))
+    shape = np.array([np.frombuffer(r["shape"]) for r in rows])
+    out: list[Linear | None] = []
+    for k, c, ok in zip(KINDS, chosen, able):
+        own = [np.frombuffer(r[k], np.uint64) for r in rows]
+        out.append(fit(shape, own, c, np.array([r[f"y_{k}"] for r in rows])) if ok else None)
+    return out
 
 
-def _strength(mean: str, n: str):
-    """Prior strength by moments: the between-group variance of means left after sampling noise.
-    Small spread gives a strong prior. Aggregates of (weighted) group means only."""
-    w = F.col(n).cast("double")
-    centre = F.sum(F.col(mean) * w) / F.sum(w)
-    spread = F.greatest(F.sum(F.pow(F.col(mean), 2) * w) / F.sum(w) - centre * centre, F.lit(1e-6))
-    return centre, F.least(F.greatest(centre * (1 - centre) / spread - 1, F.lit(4.0)), F.lit(1000.0))
+@dataclass(frozen=True)
+class Spread:
+    """Sums over all documents and the variances of a score: within paths, between the paths of a
+    host, between hosts."""
+
+    n: float
+    total: float
+    within: float
+    paths: float
+    hosts: float
+
+
+def spreads(sites: DataFrame, score: str) -> Spread:
+    """Variances by moments. ``sites`` has a row a path: _h, _n, and of the score sum and sum of
+    squares, ``<score>_1`` and ``<score>_2``. What a sum of squares between groups owes to the noise
+    within them is subtracted, so sparse groups widen no prior."""
+    s1, s2, n = F.col(f"{score}_1"), F.col(f"{score}_2"), F.col("_n").cast("double")
+    of_host = (F.sum(n).alias("size"), F.sum(n * n).alias("squares"), F.sum(s1).alias("score"), F.sum(s1 * s1 / n).alias("between"), F.sum(s2 - s1 * s1 / n).alias("inside"), F.count("*").alias("k"))
+    hosts = sites.groupBy("_h").agg(*of_host).withColumns({"own": F.col("score") * F.col("score") / F.col("size"), "share": F.col("squares") / F.col("size")})
+    sums = hosts.agg(
+        F.sum("size").alias("n"), F.sum("score").alias("total"), F.sum("inside").alias("inside"), F.sum("k").alias("k"), F.count("*").alias("h"),
+        F.sum(F.col("between") - F.col("own")).alias("paths"), F.sum(F.col("size") - F.col("share")).alias("paths_n"), F.sum("own").alias("hosts"),
+        F.sum(F.col("size") * F.col("size")).alias("hosts_nn"), F.sum("share").alias("share"), F.sum("squares").alias("squares"),
+    ).first()
+    if not sums["n"]:
+        return Spread(0.0, 0.0, 0.0, 0.0, 0.0)
+    n_, inside, k, h = sums["n"], max(sums["inside"], 0.0), sums["k"], sums["h"]
+    within = inside / (n_ - k) if n_ > k else 0.0
+    paths = max(0.0, (sums["paths"] - (k - h) * within) / sums["paths_n"]) if sums["paths_n"] > 0 else 0.0
+    # A host's mean has the noise within / N + paths * nn / N**2 about its own value.
+    noise = within * (h - 1) + paths * (sums["share"] - sums["squares"] / n_)
+    room = n_ - sums["hosts_nn"] / n_
+    hosts_ = max(0.0, (sums["hosts"] - sums["total"] ** 2 / n_ - noise) / room) if room > 0 else 0.0
+    return Spread(n_, sums["total"], within, paths, hosts_)
+
+
+def posteriors(x: Column, s: Spread, score: str) -> tuple[Column, Column, Column]:
+    """(centre, host's posterior mean, path's posterior mean), all without the document itself, whose
+    score is x. Columns _n, <score>_1 (path sums) and _host_n, _host_nn, <score>_host (host sums) are there."""
+    one, n, host_n = F.lit(1.0), F.col("_n").cast("double") - 1, F.col("_host_n").cast("double") - 1
+    safe = lambda a, b, other: F.when(b > 0, a / b).otherwise(other)
+    centre = F.lit(s.total) - x if s.n > 1 else F.lit(s.total)
+    centre = centre / F.lit(max(s.n - 1, 1.0))
+    squares = F.col("_host_nn") - 2 * F.col("_n") + one  # sum of squares of the host's path sizes, one document less
+    noise = safe(F.lit(s.within), host_n, F.lit(0.0)) + F.lit(s.paths) * safe(squares, host_n * host_n, F.lit(0.0))
+    weight = F.when(host_n > 0, safe(F.lit(s.hosts), s.hosts + noise, F.lit(0.0))).otherwise(0.0)
+    host = centre + weight * (safe(F.col(f"{score}_host") - x, host_n, centre) - centre)
+    inner = F.when(n > 0, safe(F.lit(s.paths), s.paths + safe(F.lit(s.within), n, F.lit(0.0)), F.lit(0.0))).otherwise(0.0)
+    path = host + inner * (safe(F.col(f"{score}_1") - x, n, host) - host)
+    return centre, host, path
+
+
+def combined(scored: DataFrame, host: str, path: str, able: list[bool], keep: float) -> DataFrame:
+    """The posteriors of rows with the classifiers' scores _good and _toxic, in place of these; kinds
+    that no classifier was fitted for keep their score."""
+    moments = [f for k in KINDS for f in (F.sum(f"_{k}").alias(f"{k}_1"), F.sum(F.col(f"_{k}") * F.col(f"_{k}")).alias(f"{k}_2"))]
+    paths = stage(scored.groupBy(F.col(host).alias("_h"), F.col(path).alias("_s")).agg(F.count("*").alias("_n"), *moments), "paths")
+    spread = {k: spreads(paths, k) for k in KINDS}
+    hosts = paths.groupBy(F.col("_h").alias("_g")).agg(F.sum("_n").alias("_host_n"), F.sum(F.col("_n") * F.col("_n").cast("double")).alias("_host_nn"), *[F.sum(f"{k}_1").alias(f"{k}_host") for k in KINDS])
+    sites = paths.join(hosts, F.col("_h").eqNullSafe(F.col("_g"))).drop("_g")
+    small = F.broadcast(sites) if paths.count() <= BROADCAST_SITES else sites
+    out = scored.join(small, scored[host].eqNullSafe(F.col("_h")) & scored[path].eqNullSafe(F.col("_s")))
+    logit = lambda p: F.log(F.greatest(p, F.lit(1e-9)) / F.greatest(1 - p, F.lit(1e-9)))
+    found = {k: posteriors(F.col(f"_{k}"), spread[k], k) for k in KINDS}
+    posterior = {k: 1 / (1 + F.exp(-(logit(F.col(f"_{k}")) + logit(found[k][2]) - logit(found[k][0])))) if ok else F.col(f"_{k}") for k, ok in zip(KINDS, able)}
+    out = out.withColumns({"p_doc": F.col("_good"), "p_host": found["good"][1], "p_path": found["good"][2], "p_good": posterior["good"], "p_toxic": posterior["toxic"]})
+    out = out.withColumn("accepted", (F.col("p_good") >= keep) & (F.col("p_toxic") < 0.5))
+    return out.drop("_good", "_toxic", *paths.columns, *hosts.columns)
 
 
 def _scored(docs: DataFrame, labels: DataFrame, host: str, path: str, most: int, keep: float, seed: int) -> DataFrame:
     """docs has the needed columns and ``rest`` only."""
-    texts, good, toxic = sample(docs, labels, most, seed)
-    models = [fit(texts, y) if len(texts) and 0 < y.mean() < 1 else None for y in (good, toxic)]
+    models = fitted(docs, labels, most, seed)
+    neutral = (0.5, 0.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column(batch.schema.get_field_index("text")).to_pylist()
             x = features(text)
-            p = [1 / (1 + np.exp(-np.clip(m.margin(x), -30, 30))) if m else np.full(len(text), 0.5 if k == 0 else 0.0) for k, m in enumerate(models)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, p)], names=[*batch.schema.names, "_p", "_toxic"])
+            p = [1 / (1 + np.exp(-np.clip(m.margin(x), -30, 30))) if m else np.full(len(text), e) for m, e in zip(models, neutral)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, p)], names=[*batch.schema.names, "_good", "_toxic"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    scored = stage(docs.mapInArrow(run, fields + ", _p double, _toxic double"), "scored")
-    paths = scored.groupBy(F.col(host).alias("_h"), F.col(path).alias("_s")).agg(F.avg("_p").alias("_m"), F.count("*").alias("_n"))
-    hosts = paths.groupBy("_h").agg((F.sum(F.col("_m") * F.col("_n")) / F.sum("_n")).alias("_hm"), F.sum("_n").alias("_hn"))
-    centre, strength = _strength("_hm", "_hn")
-    top = hosts.agg(centre.alias("c"), strength.alias("s")).first()
-    inner, within = _strength("_m", "_n")
-    low = paths.agg(inner.alias("c"), within.alias("s")).first()
-    if top["c"] is None:  # no rows
-        top, low = {"c": 0.5, "s": 4.0}, {"s": 4.0}
-    shrink = lambda mean, n, prior, s: (F.col(mean) * F.col(n) + prior * s) / (F.col(n) + s)
-    hosts = hosts.withColumn("_ph", shrink("_hm", "_hn", F.lit(top["c"]), F.lit(top["s"]))).withColumnRenamed("_h", "_g")
-    sites = paths.join(hosts, F.col("_h").eqNullSafe(F.col("_g"))).withColumn("_pp", shrink("_m", "_n", F.col("_ph"), F.lit(low["s"])))
-    sites = stage(sites.select("_h", "_s", "_ph", "_pp"), "sites")
-    small = F.broadcast(sites) if sites.count() <= BROADCAST_SITES else sites
-    out = scored.join(small, scored[host].eqNullSafe(F.col("_h")) & scored[path].eqNullSafe(F.col("_s")))
-    logit = lambda p: F.log(F.greatest(p, F.lit(1e-9)) / F.greatest(1 - p, F.lit(1e-9)))
-    margin = logit(F.col("_p")) + logit(F.col("_pp")) - logit(F.lit(float(top["c"])))
-    out = out.withColumns({"p_doc": F.col("_p"), "p_host": F.col("_ph"), "p_path": F.col("_pp"), "p_good": 1 / (1 + F.exp(-margin)), "p_toxic": F.col("_toxic")})
-    out = out.withColumn("accepted", (F.col("p_good") >= keep) & (F.col("p_toxic") < 0.5))
-    return out.drop("_p", "_toxic", "_h", "_s", "_ph", "_pp")
+    with own_batches(docs.sparkSession):
+        scored = stage(docs.mapInArrow(run, fields + ", _good double, _toxic double"), "scored")
+    return combined(scored, host, path, [m is not None for m in models], keep)
 
 
 ADDED = ["p_doc", "p_host", "p_path", "p_good", "p_toxic", "accepted"]
 
 
 def score(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", most: int = 4000, keep: float = 0.5, seed: int = 11) -> DataFrame:
-    """docs (all rows; columns of the added names are replaced) with p_doc, p_host, p_path, p_good,
-    p_toxic and accepted: p_good at least ``keep`` and p_toxic below one half. Labels may repeat or
-    lack rows; with no usable label every document gets one half and is accepted. Null text is empty;
-    null hosts and paths form groups of their own. Two classifiers are fitted on at most ``most``
-    labelled texts: good quality, and toxic. Group sums are partial before the shuffle, so hosts of
-    any size will do."""
+    """docs (all rows; columns of the added names are replaced) with p_doc (the classifier's own), p_host
+    and p_path (posterior means of the site's other documents), p_good (all of it), p_toxic (likewise)
+    and accepted: p_good at least ``keep`` and p_toxic below one half. Labels may repeat or lack rows;
+    with no usable label every document gets one half and is accepted. Null text is empty; null hosts
+    and paths form groups of their own. Two classifiers are fitted on at most ``most`` labels, in hash
+    order and then by doc_id and label, so that ties at the bound don't matter: good quality, and
+    toxic. All other sums are over all documents, and partial before the shuffle, so hosts of any size
+    will do. Columns of tables with addresses: ``sites``."""
     packed, columns = narrowed(docs, "doc_id", "text", host, path)
     out = _scored(packed, labels, host, path, most, keep, seed)
     return out.select(*[x for c, x in zip(docs.columns, columns) if c not in ADDED], *ADDED)
@@ -189,3 +286,12 @@ def accept(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
     """The rows of docs that ``score`` accepts, as they are."""
     packed, columns = narrowed(docs, "doc_id", "text", host, path)
     return _scored(packed, labels, host, path, most, keep, seed).filter("accepted").select(*columns)
+
+
+def sites(pages: DataFrame, url: str = "url") -> DataFrame:
+    """Adds site_host and site_path, the host and first folder of an address, in lower case; null
+    where the address has none. Columns of these names are replaced."""
+    address = F.concat(F.when(F.col(url).contains("://"), "").otherwise("http://"), F.trim(F.col(url)))
+    host = F.regexp_extract(F.lower(address), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1)
+    folder = F.regexp_extract(F.lower(address), r"^[a-z][a-z0-9+.-]*://[^/?#]*/([^/?#]+)/", 1)
+    return pages.withColumns({"site_host": F.nullif(host, F.lit("")), "site_path": F.nullif(folder, F.lit(""))})

@@ -436,6 +436,78 @@ def test_quality_classifier(spark, docs, empty):
     assert quality.score(docs, known.limit(0)).filter("accepted").count() == docs.count()
 
 
+def sites_plain(rows):
+    """Posterior means of (host, path, score) rows, each without itself, and the three variances."""
+    paths, hosts = {}, {}
+    for h, s, x in rows:
+        paths.setdefault((h, s), []).append(x)
+        hosts.setdefault(h, []).append(x)
+    n, k, mean = len(rows), len(paths), lambda v: sum(v) / len(v)
+    within = sum((x - mean(v)) ** 2 for v in paths.values() for x in v) / (n - k)
+    of = lambda h: [v for (g, _), v in paths.items() if g == h]
+    spread = sum(len(v) * (mean(v) - mean(hosts[h])) ** 2 for h in hosts for v in of(h))
+    between = max(0.0, (spread - sum(len(of(h)) - 1 for h in hosts) * within) / sum(len(v) - sum(len(p) ** 2 for p in of(h)) / len(v) for h, v in hosts.items()))
+    noise = lambda sizes: within / sum(sizes) + between * sum(a * a for a in sizes) / sum(sizes) ** 2
+    weight = {h: len(v) * (1 - len(v) / n) for h, v in hosts.items()}
+    centre = mean([x for *_, x in rows])
+    top = sum(len(v) * (mean(v) - centre) ** 2 for v in hosts.values()) - sum(weight[h] * noise([len(v) for v in of(h)]) for h in hosts)
+    top = max(0.0, top / sum(weight.values()))
+    out = []
+    for i, (h, s, x) in enumerate(rows):
+        others = [r for j, r in enumerate(rows) if j != i]
+        c = mean([r[2] for r in others])
+        same = [r for r in others if r[0] == h]
+        ph = c
+        if same and top > 0:
+            sizes = [sum(r[1] == q for r in same) for q in {r[1] for r in same}]
+            ph = c + top / (top + noise(sizes)) * (mean([r[2] for r in same]) - c)
+        own = [r[2] for r in same if r[1] == s]
+        out.append((ph, ph + between / (between + within / len(own)) * (mean(own) - ph) if own and between > 0 else ph))
+    return out, (within, between, top)
+
+
+@pytest.mark.parametrize("hosts,paths", [(0.0, 0.0), (1.0, 0.0), (1.0, 1.5)])
+def test_site_posteriors_equal_plain_ones(spark, hosts, paths):
+    r = np.random.default_rng(int(10 * hosts + paths))
+    rows = []
+    for h in range(12):
+        up = hosts * r.normal()
+        for s in range(int(r.integers(1, 5))):
+            level = up + paths * r.normal()
+            rows += [(f"h{h}" if h else None, f"p{s}" if s else None, float(1 / (1 + np.exp(-(level + r.normal()))))) for _ in range(int(r.choice([1, 2, 30])))]
+    df = spark.createDataFrame([(i, *x, x[2]) for i, x in enumerate(rows)], "i int, host string, path string, _good double, _toxic double")
+    got = {g["i"]: g for g in quality.combined(df, "host", "path", [True, False], 0.5).collect()}
+    want, variances = sites_plain(rows)
+    if not hosts:
+        assert variances[2] < 0.1 * variances[0]
+    logit = lambda p: np.log(p / (1 - p))
+    for i, ((h, s, x), (ph, pp)) in enumerate(zip(rows, want)):
+        centre = (sum(y for *_, y in rows) - x) / (len(rows) - 1)
+        good = 1 / (1 + np.exp(-(logit(x) + logit(pp) - logit(centre))))
+        assert got[i]["p_host"] == pytest.approx(ph, abs=1e-9) and got[i]["p_path"] == pytest.approx(pp, abs=1e-9)
+        assert got[i]["p_good"] == pytest.approx(good, abs=1e-9) and got[i]["p_toxic"] == x
+
+
+def test_classifier_bound_ties_and_sites(spark, docs):
+    # Ties at the bound: whichever way the tables are dealt, the same labels are taken.
+    texts = spark.createDataFrame(rows_of([("fine words of a page " if i % 2 else "bad *** bad ***") + f" w{i % 5}" for i in range(60)]) * 2, SCHEMA)
+    labels = spark.createDataFrame([(i % 60, i % 2, 0) for i in range(120)], "doc_id long, quality int, toxic int")
+    seen = [sorted((r["_id"], r["good"]) for r in quality.sample(t, x, 25, 11).collect()) for t, x in ((texts, labels), (texts.repartition(7), labels.repartition(5)))]
+    assert seen[0] == seen[1] and len(seen[0]) == 25
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = quality.sites(pages).select("url", "site_host", "site_path").collect()
+    from urllib.parse import urlsplit
+
+    for g in got:
+        u = urlsplit(g["url"].strip())
+        folders = u.path.split("/")[1:-1]
+        assert g["site_host"] == (u.hostname or None) and g["site_path"] == (folders[0].lower() if folders and folders[0] else None)
+    odd = spark.createDataFrame([(None,), ("",), ("example.org/A/b",), ("https://u@Host:8/x",)], "url string")
+    assert [tuple(r)[1:] for r in quality.sites(odd).collect()] == [(None, None), (None, None), ("example.org", "a"), ("host", None)]
+    out = quality.score(quality.sites(pages.withColumnsRenamed({"page_id": "doc_id", "html": "text"})), labels.limit(0), "site_host", "site_path")
+    assert out.count() == pages.count() and out.filter("accepted").count() == pages.count()
+
+
 # --- op10 ---
 
 
