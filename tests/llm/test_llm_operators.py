@@ -423,7 +423,7 @@ def test_decontamination_loses_nothing_of_many_items(spark):
         for p in range(0, len(w), 32):
             region = w[max(0, p - len(item)) : min(len(w), p + 64) + len(item)]
             tail = item[-max(3, len(item) // 4) :]
-            if decontam.common(item, region) / len(item) >= 0.7 and decontam.common(tail, region) / len(tail) >= 0.5:
+            if decontam.common(decontam.places(item), len(item), region) / len(item) >= 0.7 and decontam.common(decontam.places(tail), len(tail), region) / len(tail) >= 0.5:
                 return True
         return False
 
@@ -454,7 +454,7 @@ def test_common_subsequence():
         for i in range(12):
             for j in range(17):
                 t[i + 1, j + 1] = t[i, j] + 1 if a[i] == b[j] else max(t[i, j + 1], t[i + 1, j])
-        assert decontam.common(a, b) == t[-1, -1]
+        assert decontam.common(decontam.places(a), len(a), b) == t[-1, -1] <= decontam.shared(decontam.places(a), b)
 
 
 # --- op7 ---

@@ -111,6 +111,29 @@ def test_decontamination_query(spark, duck, documents):
     assert got == held(duck, documents)
 
 
+def test_decontamination_equals_subsequences(spark):
+    """Every document and item of a larger table: what the candidate search finds is what a longest
+    common subsequence of each passage with each item gives."""
+    sf = SF.replace("0.001", "0.01")
+    from mensura.llm import decontam
+
+    docs, items = (duckdb.sql(f"SELECT {k}, text FROM '{sf}/{t}.parquet'").fetchall() for t, k in (("documents", "doc_id"), ("benchmark", "item_id")))
+    want, split = set(), [(i, words(t)) for i, t in items]
+    for d, t in docs:
+        own = words(t)
+        for i, w in split:
+            tail, n = w[-max(3, len(w) // 4) :], len(w)
+            if len(set(w) & set(own)) < 0.3 * len(set(w)):
+                continue
+            for at in range(0, len(own), 32):
+                region = own[max(0, at - n) : min(len(own), at + 64) + n]
+                if decontam.common(decontam.places(w), n, region) / n >= 0.7 and decontam.common(decontam.places(tail), len(tail), region) / len(tail) >= 0.5:
+                    want.add((d, i))
+                    break
+    got = {(r["doc_id"], r["item_id"]) for r in entry.queries()["op6_latent_decontamination"](spark, sf).collect()}
+    assert got == want and len(want) > 20
+
+
 def test_pipeline_stages(spark, duck):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     stages = dict(corpus_pipeline.STAGES)
