@@ -20,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mensura.llm.shared import chunked, hashed_words, mix, narrowed, shingles, stage, text_batches
+from mensura.llm.shared import chunked, hashed_words, mix, narrowed, own_batches, shingles, stage
 
 HASHES, ROWS, STEP = 128, 4, 16
 BUCKET, BLOCK = 512, 512
+ONE_TASK = 300_000  # edges of two keys
 BROADCAST_ROWS = 200_000  # rows of under 100 bytes up to which a table is broadcast
 _R = np.random.default_rng(20240501)
 _A = (_R.integers(0, 1 << 31, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)).astype(np.uint32)
@@ -112,30 +113,47 @@ def overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray
     return out
 
 
-def forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the pairs."""
-    parent = list(range(n))
+def _root(parent: list[int], x: int) -> int:
+    while parent[x] != x:
+        parent[x] = parent[parent[x]]
+        x = parent[x]
+    return x
 
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
 
-    out = []
+def forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the pairs."""
+    parent, out = list(range(n)), []
     for a, b in zip(i.tolist(), j.tolist()):
-        ra, rb = root(a), root(b)
+        ra, rb = _root(parent, a), _root(parent, b)
         if ra != rb:
             parent[max(ra, rb)] = min(ra, rb)
             out.append((a, b))
     return out
 
 
+def _rooted(t: pa.Table) -> pa.Table:
+    """components in one task."""
+    u, v = t.column("u").to_pylist(), t.column("v").to_pylist()
+    names = sorted(set(u) | set(v))
+    at = {x: i for i, x in enumerate(names)}
+    parent = list(range(len(names)))
+    for a, b in zip(u, v):
+        ra, rb = _root(parent, at[a]), _root(parent, at[b])
+        parent[max(ra, rb)] = min(ra, rb)
+    roots = [_root(parent, i) for i in range(len(names))]
+    some = [i for i, r in enumerate(roots) if i != r]
+    return pa.table({"node": pa.array([names[i] for i in some], t.schema.field("u").type), "root": pa.array([names[roots[i]] for i in some], t.schema.field("u").type)})
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """node and root (the least node of its component) of every node in an edge but the roots, by
-    alternating large and small stars; each round is a table in the shared folder."""
+    """node and root (the least node of its component) of every node in an edge but the roots. Up to
+    ONE_TASK edges are solved in one task; more by alternating large and small stars, each round a
+    table in the shared folder."""
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
     e, before = stage(e, "edges"), None
+    if e.count() <= ONE_TASK:
+        kind = e.schema["u"].dataType.simpleString()
+        return stage(e.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_rooted, f"node {kind}, root {kind}"), "roots")
     while True:
         both = e.union(e.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
@@ -187,8 +205,8 @@ def classed(docs: DataFrame, n: int, threshold: float, tolerance: float) -> tupl
     steps = least_matches(threshold, tolerance)
     typed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
     schema = "doc_id long, hash long, key binary, n long, sig binary, bands array<long>"
-    text_batches(docs.sparkSession)
-    signed = stage(typed.mapInArrow(lambda it: _signed(it, n), schema), "signed")
+    with own_batches(docs.sparkSession):
+        signed = stage(typed.mapInArrow(lambda it: _signed(it, n), schema), "signed")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "hash")).alias("first")
     same = (F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))  # equal in a class
     nodes = stage(signed.groupBy("key").agg(first, F.count("*").alias("n_copies"), *same), "nodes")
@@ -251,7 +269,8 @@ def classed(docs: DataFrame, n: int, threshold: float, tolerance: float) -> tupl
         out = [(keys[k], None, int(links[k])) for k in has] + [(keys[x], keys[y], 0) for x, y in tree]
         return pa.table({"a": pa.array([r[0] for r in out], pa.binary()), "b": pa.array([r[1] for r in out], pa.binary()), "links": pa.array([r[2] for r in out], pa.int64())})
 
-    found = stage(payload.groupBy("root", "i", "j").applyInArrow(verify, "a binary, b binary, links long"), "found")
+    with own_batches(docs.sparkSession):
+        found = stage(payload.groupBy("root", "i", "j").applyInArrow(verify, "a binary, b binary, links long"), "found")
     links = found.filter("b IS NULL").groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("n_links"))
     linked = components(found.filter("b IS NOT NULL"), "a", "b")
     linked = linked.union(linked.select("root").distinct().select(F.col("root").alias("node"), "root"))
@@ -288,4 +307,7 @@ def representatives(docs: DataFrame, n: int = 5, threshold: float = 0.8, toleran
     stay = stay.select(F.col("class_id").alias("_id"), F.col("hash").alias("_hash"))
     packed, columns = narrowed(docs, "doc_id", "text")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_hash"))
-    return packed.join(stay, same, "left_semi").dropDuplicates(["doc_id", "text"]).select(*columns)
+    # Of rows with the same doc_id and text, the one of the least other columns, as JSON has them.
+    there = packed.join(stay, same, "left_semi").withColumns({"_h": F.xxhash64("text"), "_j": F.to_json(F.struct("rest"))})
+    one = there.groupBy("doc_id", "_h").agg(F.min_by(F.struct("text", "rest"), "_j").alias("x"))
+    return one.select("doc_id", "x.text", "x.rest").select(*columns)

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mensura.llm.shared import spread, stage
@@ -113,10 +113,10 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, bl
     asked = blocks.filter(F.length("queries") > 0).withColumn("s", spread(F.struct("number", "part"), sets))
     asked = asked.select("queries", "dims", "query_rows", "floors", "s", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
     found = index.groupBy("g", "s").cogroup(asked.groupBy("g", "s")).applyInArrow(score, "query_id long, vec_id long, score long")
-    # Each group returned its k best; the best of those are the best of all.
-    best = found.groupBy("query_id").agg(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id")).alias("all"))
-    best = best.select("query_id", F.posexplode(F.slice(F.array_sort("all"), 1, k)).alias("rank", "x"))
-    return best.select("query_id", (F.col("rank") + 1).alias("rank"), "x.vec_id", (-F.col("x.s")).alias("score"))
+    # Each group returned its k best; the best of those are the best of all, k a task before the shuffle.
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score")
 
 
 def _score(blocks: list[dict], asked: list[dict], k: int) -> pa.RecordBatch:
