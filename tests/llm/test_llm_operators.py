@@ -65,6 +65,19 @@ def test_hashed_words_follow_the_pattern():
     assert {a: b for a, b in zip(every, h.tolist())} == {a: b for a, b in zip(reversed(every), reversed(h.tolist()))}
 
 
+def test_staged_tables_go(spark):
+    import os
+
+    kept = dict(shared._placed)
+    shared._placed.clear()
+    df = shared.stage(spark.range(5), "some")
+    root = shared._placed[spark.sparkContext.applicationId][0]
+    assert df.count() == 5 and os.path.isdir(root.removeprefix("file:"))
+    shared.clear(spark)
+    assert not os.path.exists(root.removeprefix("file:"))
+    shared._placed.update(kept)
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_word_ids_equal_the_library(monkeypatch, name):
     import pyarrow as pa
