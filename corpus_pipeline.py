@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mensura.llm import decontam, linededup, neardup, packing, quality
-from mensura.llm.shared import stage
+from mensura.llm.shared import narrowed, stage
 from mensura.session import reachable, table
 
 
@@ -19,9 +19,10 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts less the boilerplate lines of their site; documents of nothing else stay as they are, as
     copies have all their lines in common: the next stage keeps one of each."""
-    cleaned = linededup.clean(docs, whole=True)
+    packed, columns = narrowed(docs, "text", "source", "n_chars")  # columns named as the operator's own stay
+    cleaned = linededup.clean(packed, whole=True)
     size = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return cleaned.withColumn("n_chars", size).select(*docs.columns)
+    return cleaned.withColumn("n_chars", size).select(*columns)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
