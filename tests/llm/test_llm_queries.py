@@ -174,8 +174,9 @@ def test_pipeline_stages(spark, duck):
 
 
 def test_pipeline_takes_odd_tables(spark, tmp_path):
-    schema = "doc_id long, text string, lang string, source string, n_chars long, accepted string, _h int, rest string"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, accepted string, _h int, rest string, n_lines string"
     rows = [(1, "a b c d e f g", "en", "s", 13, "x", 1, "r"), (1, "a b c d e f g", "en", "s", 13, "x", 1, "r"), (2, None, None, None, None, None, None, None), (None, "only text without an id", None, "s", 1, None, 2, None), (None, None, None, None, None, None, None, None), (5, "", "en", "s", 0, "y", 3, "q"), (6, "w " * 60_000, "de", "t", 1, "z", 4, "q")]
+    rows = [(*r, "mine") for r in rows]
     spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
@@ -185,6 +186,7 @@ def test_pipeline_takes_odd_tables(spark, tmp_path):
         assert out.columns == docs.columns
         docs = spark.createDataFrame(out.collect(), out.schema)
     assert docs.count() == 4  # copies, and the wordless, are one document each
+    assert {r["n_lines"] for r in docs.collect()} == {"mine"}
     assert corpus_pipeline.run(spark, str(tmp_path)).agg({"length": "sum"}).first()[0] > 0
     empty = docs.limit(0)
     for name, f in corpus_pipeline.STAGES:
