@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mensura.llm.shared import text_batches
+from mensura.llm.shared import stage, text_batches
 
 # Notices and texts as their licences word them.
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."""
@@ -58,7 +58,7 @@ def templates_of(folder: str) -> dict[str, str]:
 
 
 # Words too common to tell a notice from prose.
-COMMON = "a an and any but so are as at by for from if in is it may not of on or out that the this to under was with you your".split()
+COMMON = "a an and any but so are as at by for from if in is it may not of on or out that the this to under was with you your version".split()
 
 
 def bigrams(text: str) -> list[str]:
@@ -71,21 +71,42 @@ def bounds(size: int, threshold: float) -> tuple[int, int]:
     return math.ceil(size * threshold / (2 - threshold) - 1e-9), math.floor(size * (2 - threshold) / threshold + 1e-9)
 
 
+def _has(gram: str, word: str) -> bool:
+    """Long words count as parts of others too, which is the quicker test; short ones on their own."""
+    return word in gram if len(word) > 4 else word in gram.split()
+
+
+def _holds(text: Column, words: list[str]) -> Column:
+    """Some of the words by the rule of _has."""
+    alone = lambda w: text.contains(w) & text.rlike(f"(?<![a-z0-9]){w}(?![a-z0-9])")
+    tests = [text.contains(w) if len(w) > 4 else alone(w) for w in words]
+    return functools.reduce(lambda a, b: a | b, tests, F.lit(False))
+
+
 def needles(templates: dict[str, str], threshold: float) -> list[str]:
     """Words of which every unit that reaches the threshold with any template has one: it shares so
     many of the template's bigrams that, of any selection with one more than may be missing, one is
-    there. Words that cover most bigrams are taken first."""
+    there. Taken are the words that cover most of what the templates still need; ones that are common
+    in prose, or short, only where no other word is left."""
+    open_ = {name: set(bigrams(t)) for name, t in templates.items()}
+    need = {name: len(g) - bounds(len(g), threshold)[0] + 1 for name, g in open_.items() if g}
     found: list[str] = []
-    for text in templates.values():
-        grams = bigrams(text)
-        open_, need = set(grams), len(grams) - bounds(len(grams), threshold)[0] + 1
-        need -= len(grams) - len(open_ := {g for g in open_ if not any(w in g for w in found)})
-        while need > 0 and open_:
-            words = {w for g in open_ for w in g.split()}
-            best = max(sorted(words), key=lambda w: (len(w) > 1 and w not in COMMON, sum(w in g for g in open_), len(w)))
-            found.append(best)
-            need -= sum(best in g for g in open_)
-            open_ = {g for g in open_ if best not in g}
+    while need:
+        gain: dict[str, int] = {}
+        for name, n in need.items():
+            own: dict[str, int] = {}
+            for w in {w for g in open_[name] for w in g.split()}:
+                own[w] = sum(_has(g, w) for g in open_[name])
+            for w, k in own.items():
+                gain[w] = gain.get(w, 0) + min(n, k)
+        best = max(sorted(gain), key=lambda w: (w not in COMMON, len(w) > 4, gain[w], len(w)))
+        found.append(best)
+        for name in list(need):
+            there = {g for g in open_[name] if _has(g, best)}
+            open_[name] -= there
+            need[name] -= len(there)
+            if need[name] <= 0:
+                del need[name]
     return found
 
 
@@ -174,9 +195,10 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     small, large = min(r[0] for r in rows), max(r[0] for r in rows)
     sized = spark.createDataFrame(rows, "_size int, licence string, _grams array<string>, _n int")
     words_ = needles(templates, threshold)
-    holds = lambda text: functools.reduce(lambda a, b: a | b, (text.contains(w) for w in words_))
-    lower = docs.select("doc_id", F.lower("text").alias("text")).filter(holds(F.col("text")))
-    units = lower.select("doc_id", F.explode(_units(F.col("text"))).alias("u")).select("doc_id", "u.*").filter(holds(F.col("body")))
+    # Each text is lowered once for all words; what has none of them leaves here.
+    some = F.exists(F.array(F.lower("text")), lambda t: _holds(t, words_))
+    lower = stage(docs.select("doc_id", "text").filter(some).select("doc_id", F.lower("text").alias("text")), "noticed")
+    units = lower.select("doc_id", F.explode(_units(F.col("text"))).alias("u")).select("doc_id", "u.*").filter(_holds(F.col("body"), words_))
     # A bigram takes three characters of a unit at least, and words beyond those of the largest set
     # would have to repeat bigrams; so only the lower bound on length is sound.
     units = units.filter(F.length("body") >= 2 * small + 1)
