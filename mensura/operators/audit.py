@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mensura.functions.scalar import c, clip, flagged
 from mensura.operators.robust import MAD_SCALE, quantile
+from mensura.staging import numbered
 
 
 def cascade(rules: list[tuple[Column, str]], otherwise: str) -> Column:
@@ -58,8 +59,7 @@ def nuisance(df: DataFrame, x: str, tail: float = 0.08) -> DataFrame:
 def exact_groups(df: DataFrame, key: str, id_: str, prefix: str = "exact") -> DataFrame:
     """Rows whose key repeats, with a group label numbered by first member."""
     groups = df.groupBy(key).agg(F.min(id_).alias("first"), F.count("*").alias("size")).filter("size > 1")
-    # Groups of copies only: far fewer than rows, yet all in one order.
-    groups = groups.withColumn("label", F.format_string(f"{prefix}_%03d", F.row_number().over(Window.orderBy("first"))))
+    groups = numbered(groups, ["first"], "_n").withColumn("label", F.format_string(f"{prefix}_%03d", "_n")).drop("_n")
     return df.join(groups.withColumnRenamed(key, "_k"), F.col(key) == F.col("_k")).drop("_k")
 
 

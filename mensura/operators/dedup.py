@@ -2,40 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import hashlib
+import itertools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mensura.functions.scalar import c, hamming64, half64
+from mensura.functions.scalar import c, hamming64
+from mensura.staging import numbered, stage
+
+
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The votes of each row's words, bit by bit; words are hashed once a batch."""
+    for batch in batches:
+        words = batch.column(1)
+        known = words.flatten().dictionary_encode()
+        raw = b"".join(hashlib.md5(w.encode("utf-8", "replace")).digest()[:8] for w in known.dictionary.to_pylist())
+        bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1)
+        size = words.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+        at, index = np.cumsum(size) - size, known.indices.to_numpy()
+        some = np.flatnonzero(size)
+        votes = np.zeros((len(size), 64), np.int64)
+        step = max(1, 2_000_000 // max(1, int(size.max(initial=1))))
+        for k in range(0, len(some), step):  # bounded rows of bits at a time
+            part = some[k : k + step]
+            first, last = at[part[0]], at[part[-1]] + size[part[-1]]
+            votes[part] = np.add.reduceat(bits[index[first:last]], at[part] - first, axis=0, dtype=np.int64)
+        out = np.packbits(2 * votes > size[:, None], axis=1)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes().hex() for r in out], pa.string())], names=[batch.schema.names[0], "simhash"])
 
 
 def token_simhash(df: DataFrame, id_: str, text: str) -> DataFrame:
-    """(id, simhash): the 64-bit simhash in hex of the distinct words by MD5. Votes of the bits are
-    sums in one aggregate, partial before the shuffle; rows without words get all zeros."""
-    words = F.array_distinct(F.filter(F.split(F.lower(c(text)), r"[^a-z0-9]+"), lambda w: w != ""))
-    each = df.select(c(id_).alias(id_), F.explode_outer(words).alias("w")).withColumn("h", F.md5("w"))
-    each = each.select(id_, *[half64("h", k).alias(f"h{k}") for k in (0, 1)])
-    # Two counters of 32 bits share a sum, which keeps the aggregate within one compiled stage.
-    one = lambda k, bit: F.shiftright(f"h{k}", bit).bitwiseAND(F.lit(1))
-    pairs = [(k, bit) for k in (0, 1) for bit in range(16)]
-    sums = each.groupBy(id_).agg(F.count("h0").alias("n"), *[F.coalesce(F.sum(one(k, bit) + F.shiftleft(one(k, bit + 16), 32)), F.lit(0)).alias(f"s{k}_{bit}") for k, bit in pairs])
-    put = lambda cond, bit: F.when(cond, F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).otherwise(F.lit(0).cast("bigint"))
-    both = lambda x, i: put(x.bitwiseAND(F.lit(0xFFFFFFFF)) * 2 > F.col("n"), i) + put(F.shiftright(x, 32) * 2 > F.col("n"), i + 16)
-    half = lambda k: F.aggregate(F.transform(F.array(*[f"s{k}_{bit}" for bit in range(16)]), both), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return sums.select(id_, F.concat(*[F.lower(F.lpad(F.hex(half(k)), 8, "0")) for k in (0, 1)]).alias("simhash"))
+    """(id, simhash): the 64-bit simhash in hex of the distinct words by MD5, row by row and without a
+    shuffle. Rows without words, null texts too, get all zeros."""
+    words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c(text), F.lit(""))), r"[^a-z0-9]+"), lambda w: w != ""))
+    return df.select(c(id_).alias(id_), words.alias("words")).mapInArrow(_signatures, f"{id_} {df.schema[id_].dataType.simpleString()}, simhash string")
+
+
+def _bands(most: int, rows: int) -> tuple[list[int], list[tuple[int, ...]]]:
+    """(edges of blocks of bits, sets of blocks): hashes within ``most`` bits agree on all blocks of one
+    set, as at most so many blocks differ. More rows get wider keys, so that few others share one."""
+    for k in range(1, 5):
+        sets = list(itertools.combinations(range(most + k), k))
+        if len(sets) * rows / 2 ** (64 * k / (most + k)) <= 64 or k == 4:
+            return [round(64 * i / (most + k)) for i in range(most + k + 1)], sets
+    raise AssertionError
 
 
 def band_pairs(df: DataFrame, id_: str, hashed: str, most: int) -> DataFrame:
     """Pairs id_a < id_b whose hashes differ in at most ``most`` bits; exact, as such a pair agrees on
-    one of most + 1 bands. Equal hashes meet as one row first: a group of copies is joined once."""
-    bands = most + 1
-    edges = [round(64 * k / bands) for k in range(bands + 1)]
+    one of the keys of ``_bands``. Equal hashes meet as one row first: a group of copies is joined once."""
+    distinct = stage(df.select(c(hashed).alias("h")).distinct(), "hashes")
+    edges, sets = _bands(most, distinct.count())
     bits = F.concat(*[F.lpad(F.conv(F.substring("h", 1 + 8 * k, 8), 16, 2), 32, "0") for k in (0, 1)])
-    distinct = df.select(c(hashed).alias("h")).distinct()
-    parts = F.array(*[F.struct(F.lit(k).alias("band"), F.substring(bits, edges[k] + 1, edges[k + 1] - edges[k]).alias("value")) for k in range(bands)])
-    banded = distinct.withColumn("p", parts).select("h", F.explode("p").alias("b")).select("h", "b.*")
+    block = lambda i: F.substring(F.col("bits"), edges[i] + 1, edges[i + 1] - edges[i])
+    keys = F.array(*[F.struct(F.lit(n).alias("band"), F.concat(*map(block, s)).alias("value")) for n, s in enumerate(sets)])
+    banded = distinct.withColumn("bits", bits).select("h", F.explode(keys).alias("b")).select("h", "b.*")
     a, b = banded.alias("a"), banded.alias("b")
     close = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.h") < F.col("b.h")))
-    close = close.select(F.col("a.h").alias("ha"), F.col("b.h").alias("hb")).distinct().withColumn("distance", hamming64("ha", "hb")).filter(F.col("distance") <= most)
+    close = close.select(F.col("a.h").alias("ha"), F.col("b.h").alias("hb")).withColumn("distance", hamming64("ha", "hb")).filter(F.col("distance") <= most).distinct()
     same = distinct.select(F.col("h").alias("ha"), F.col("h").alias("hb"), F.lit(0).alias("distance"))
     pairs = close.union(same)
     left, right = df.select(c(id_).alias("ia"), c(hashed).alias("ha")), df.select(c(id_).alias("ib"), c(hashed).alias("hb"))
@@ -43,31 +71,30 @@ def band_pairs(df: DataFrame, id_: str, hashed: str, most: int) -> DataFrame:
     return out.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"), "distance")
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, root): the least node that edges (a, b) lead to. Labels of neighbours spread, then jump
-    to their label's label; each round's table is cached by reliable checkpoint where one is set."""
-    both = edges.select(F.col("a").alias("s"), F.col("b").alias("t")).union(edges.select("b", "a")).distinct()
-    spark = nodes.sparkSession
-    reliable = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    keep = (lambda d: d.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda d: d.persist())
-    if reliable and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(reliable)
-        keep = lambda d: d.checkpoint()
-    both = keep(both)
-    label = keep(nodes.select(F.col("node"), F.col("node").alias("root")).distinct())
-    for _ in range(rounds):
-        low = both.join(label.select(F.col("node").alias("t"), "root"), "t").groupBy(F.col("s").alias("node")).agg(F.min("root").alias("m"))
-        new = label.join(low, "node", "left").select("node", F.least("root", F.coalesce("m", "root")).alias("root"), F.col("root").alias("old"))
-        jump = new.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        new = keep(new.join(jump, "root", "left").select("node", F.least("root", F.coalesce("up", "root")).alias("root"), "old"))
-        label, changed = new.select("node", "root"), not new.filter("root <> old").isEmpty()
-        if not changed:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, root): the least node that edges (a, b) lead to, by alternating large and small stars
+    until nothing changes. Each round is a table in the shared folder."""
+    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
+    e, before = stage(e, "edges"), None
+    while True:
+        both = e.union(e.select("v", "u"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        large = both.join(low, "u").filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        direct = low.filter("m < u").select("u", F.col("m").alias("v"))
+        large = large.union(direct).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = stage(small.union(low.select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("v", "u").cast("long"))).first()
+        if now == before:
             break
-    return label
+        before = now
+    roots = e.select(F.col("u").alias("_u"), F.col("v").alias("_v"))
+    return nodes.select("node").distinct().join(roots, F.col("node") == F.col("_u"), "left").select("node", F.coalesce("_v", "node").alias("root"))
 
 
 def near_labels(label: DataFrame, prefix: str = "near") -> DataFrame:
     """Labels of components of two nodes or more, numbered by least member."""
     sized = label.groupBy("root").agg(F.count("*").alias("size")).filter("size > 1")
-    sized = sized.withColumn("label", F.format_string(f"{prefix}_%03d", F.row_number().over(Window.orderBy("root"))))
+    sized = numbered(sized, ["root"], "_k").withColumn("label", F.format_string(f"{prefix}_%03d", "_k")).drop("_k")
     return label.join(sized, "root")

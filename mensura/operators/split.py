@@ -54,7 +54,9 @@ def one_per_series(df: DataFrame, series: str, order: list, most: int) -> DataFr
 
 def exact_counts(df: DataFrame, group: str, stratum: str, targets: dict[str, int], seed: str) -> DataFrame:
     """Groups (with their rows together) to splits of wanted sizes: the largest group first, each to
-    the split with the greatest need, globally and (by 1.7) in its stratum; ties in hash order.
+    the split with the greatest need, globally and (by 1.7) in its stratum; ties in hash order. A group
+    that fits no split any more, or targets that don't add up to the rows, raise an error in the plan:
+    the counts are exact or there is no result.
 
     The sequential choice runs over groups summed beforehand, in one grouped-map task."""
     import pandas as pd
@@ -68,11 +70,15 @@ def exact_counts(df: DataFrame, group: str, stratum: str, targets: dict[str, int
         got, by_stratum, out = dict.fromkeys(targets, 0), {}, []
         for n, s in zip(pdf["n"], pdf["s"]):
             need = {k: (share[k] * total - got[k]) / total + 1.7 * (share[k] * want.get(s, n) - by_stratum.get((k, s), 0)) / max(1, want.get(s, n)) for k in targets}
-            fits = [k for k in targets if got[k] + n <= targets[k]] or list(targets)
+            fits = [k for k in targets if got[k] + n <= targets[k]]
+            if not fits:
+                raise ValueError(f"a group of {n} rows fits no split: {got} of {targets}")
             k = max(fits, key=lambda k: (need[k], k))
             got[k] += n
             by_stratum[k, s] = by_stratum.get((k, s), 0) + n
             out.append(k)
+        if got != targets:
+            raise ValueError(f"splits of {got} rows rather than {targets}")
         return pd.DataFrame({"_g": pdf[group].to_numpy(), "part": out})
 
     kind = df.schema[group].dataType.simpleString()

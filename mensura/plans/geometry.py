@@ -100,12 +100,13 @@ def local_contrast_to_centroid(spark, sf):
     return keypoints.contrast(table(spark, sf, "embeddings"), "label", "embedding").select("vec_id", F.round("contrast", 6).alias("contrast"))
 
 
-_POINTS = "SELECT vec_id, label AS item, round(embedding[{i}]::DOUBLE * 200 + 100, 6) AS x, round(embedding[{j}]::DOUBLE * 200 + 100, 6) AS y FROM embeddings"
+# An item is a run of fifty vectors, so items grow in number with the table and not in size.
+_POINTS = "SELECT vec_id, vec_id // 50 AS item, round(embedding[{i}]::DOUBLE * 200 + 100, 6) AS x, round(embedding[{j}]::DOUBLE * 200 + 100, 6) AS y FROM embeddings"
 
 
 def _points(spark, sf, i: int, j: int) -> DataFrame:
     at = lambda k: F.round(F.col("embedding")[k - 1].cast("double") * 200 + 100, 6)
-    return table(spark, sf, "embeddings").select("vec_id", F.col("label").alias("item"), at(i).alias("x"), at(j).alias("y"))
+    return table(spark, sf, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 50).cast("long").alias("item"), at(i).alias("x"), at(j).alias("y"))
 
 
 @query(f"""WITH a AS ({_POINTS.format(i=1, j=2)}), b AS ({_POINTS.format(i=3, j=4)}), d AS (SELECT a.item, a.vec_id, b.vec_id AS target, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM a JOIN b ON a.item = b.item)
@@ -165,7 +166,7 @@ def pixel_degrees(spark, sf):
 
 @query("""WITH s AS (SELECT doc_id, CASE (doc_id % 5) WHEN 0 THEN 'endpoint' WHEN 1 THEN 'junction' WHEN 2 THEN 'basal_transition' WHEN 3 THEN 'corner' ELSE 'distinctive' END AS kind, least(n_chars / 2000.0, 1) AS c, (doc_id % 10) / 10.0 AS a FROM documents),
 v AS (SELECT *, CASE kind WHEN 'endpoint' THEN 0.68 WHEN 'junction' THEN 0.76 WHEN 'basal_transition' THEN 0.80 WHEN 'corner' THEN 0.32 ELSE 0.30 END::DOUBLE + 0.24::DOUBLE * c + 0.08::DOUBLE * a AS score FROM s)
-SELECT doc_id, kind, round(score, 6) AS score FROM v WHERE CASE kind WHEN 'corner' THEN score >= 0.5601 WHEN 'distinctive' THEN score >= 0.57 ELSE TRUE END""".replace("0.5601", "0.56"))
+SELECT doc_id, kind, round(score, 6) AS score FROM v WHERE CASE kind WHEN 'corner' THEN score >= 0.56 WHEN 'distinctive' THEN score >= 0.57 ELSE TRUE END""")
 def structure_scores(spark, sf):
     kinds = F.array(*map(F.lit, ("endpoint", "junction", "basal_transition", "corner", "distinctive")))
     d = table(spark, sf, "documents").select("doc_id", kinds[(F.col("doc_id") % 5).cast("int")].alias("kind"), F.least(F.col("n_chars") / 2000.0, F.lit(1.0)).alias("c"), ((F.col("doc_id") % 10) / 10.0).alias("a"))

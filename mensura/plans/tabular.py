@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mensura.functions import scalar as S
 from mensura.operators import audit, dedup, robust, split
 from mensura.session import table
+from mensura.staging import numbered
 
 QUERIES, ORACLES = {}, {}
 
@@ -203,12 +204,10 @@ def one_per_series_top80(spark, sf):
 
 
 @query("""SELECT c_custkey, CASE WHEN r <= 400 THEN 'top' ELSE 'holdout' END AS part, (floor((r - 1) / 24) + 1)::BIGINT AS page FROM (
-SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, c_mktsegment, c_custkey) AS r FROM customer) WHERE r <= 600""")
+SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, c_mktsegment, c_custkey) AS r FROM customer)""")
 def rank_top_and_holdout(spark, sf):
-    top = table(spark, sf, "customer").orderBy(F.desc("c_acctbal"), "c_mktsegment", "c_custkey").limit(600)
-    r = F.row_number().over(Window.orderBy(F.desc("c_acctbal"), "c_mktsegment", "c_custkey"))
-    top = top.withColumn("r", r)
-    return top.select("c_custkey", F.when(F.col("r") <= 400, "top").otherwise("holdout").alias("part"), (F.floor((F.col("r") - 1) / 24) + 1).alias("page"))
+    ranked = numbered(table(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_mktsegment"), [F.desc("c_acctbal"), "c_mktsegment", "c_custkey"], "r")
+    return ranked.select("c_custkey", F.when(F.col("r") <= 400, "top").otherwise("holdout").alias("part"), (F.floor((F.col("r") - 1) / 24) + 1).alias("page"))
 
 
 @query()
@@ -241,9 +240,9 @@ def left_lookup_defaults(spark, sf):
 
 
 @query("""SELECT l_orderkey, l_linenumber, coalesce(c_mktsegment, '') AS segment, coalesce(n_name, '') AS nation FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey
-LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey WHERE l_quantity >= 45""")
+LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey""")
 def two_hop_lookup(spark, sf):
-    l_ = table(spark, sf, "lineitem").filter("l_quantity >= 45").select("l_orderkey", "l_linenumber")
+    l_ = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     cu = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
     n = table(spark, sf, "nation").select("n_nationkey", "n_name")  # fixed in size
@@ -251,9 +250,9 @@ def two_hop_lookup(spark, sf):
     return out.select("l_orderkey", "l_linenumber", F.coalesce("c_mktsegment", F.lit("")).alias("segment"), F.coalesce("n_name", F.lit("")).alias("nation"))
 
 
-@query("""SELECT o.o_orderkey AS order_id, o_totalprice AS total_left, sum(l_extendedprice) AS total_right FROM orders o JOIN lineitem ON l_orderkey = o.o_orderkey WHERE o_orderstatus = 'F' GROUP BY ALL""".replace("sum(l_extendedprice)", "round(sum(l_extendedprice), 2)"))
+@query("""SELECT o.o_orderkey AS order_id, o_totalprice AS total_left, round(sum(l_extendedprice), 2) AS total_right FROM orders o JOIN lineitem ON l_orderkey = o.o_orderkey GROUP BY ALL""")
 def inner_join_suffixes(spark, sf):
-    left = table(spark, sf, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("order_id"), F.col("o_totalprice").alias("total_left"))
+    left = table(spark, sf, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_totalprice").alias("total_left"))
     right = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("order_id")).agg(F.round(F.sum("l_extendedprice"), 2).alias("total_right"))
     return left.join(right, "order_id")
 

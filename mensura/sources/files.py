@@ -7,11 +7,12 @@ import os
 import shutil
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mensura.functions.scalar import basename, c, parent, slashes, suffix
+from mensura.staging import numbered
 
 IMAGE_SUFFIXES = (".bmp", ".jpeg", ".jpg", ".png", ".tif", ".tiff", ".webp")
 
@@ -67,8 +68,8 @@ def scan_images(spark: SparkSession, root, prefix: str = "img") -> DataFrame:
     id by position, length and SHA-256. The order is over paths only; contents are hashed apart."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     files = files.filter(suffix("path").isin(*IMAGE_SUFFIXES))
-    where = Window.orderBy(F.lower(parent("path")), F.lower(basename("path")), "path")
-    ids = files.select("path").withColumn("id", F.format_string(f"{prefix}_%04d", F.row_number().over(where)))
+    keys = files.select("path", F.lower(parent("path")).alias("_p"), F.lower(basename("path")).alias("_b"))
+    ids = numbered(keys, ["_p", "_b", "path"], "_n").select("path", F.format_string(f"{prefix}_%04d", "_n").alias("id"))
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"), "content").join(ids, "path")
 
 
