@@ -162,3 +162,46 @@ def test_streaming_windows(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("seen").agg(F.sum("n")).first()[0] == e.count()
+
+
+def test_components_of_a_long_chain(spark):
+    # Longer than any fixed number of rounds would follow, in an order that helps no label to spread.
+    order = [(i * 377) % 600 for i in range(600)]
+    edges = spark.createDataFrame(list(zip(order, order[1:])), "a long, b long")
+    got = dedup.components(spark.range(605).withColumnRenamed("id", "node"), edges).collect()
+    assert {r["root"] for r in got if r["node"] < 600} == {0} and {r["root"] for r in got if r["node"] >= 600} == set(range(600, 605))
+    assert dedup.components(spark.range(3).withColumnRenamed("id", "node"), edges.limit(0)).filter("node = root").count() == 3
+
+
+@pytest.mark.parametrize("rows", [10, 10**6, 10**9])
+def test_band_keys_lose_no_pair(rows):
+    import random
+
+    r = random.Random(rows)
+    for most in (1, 3, 5):
+        edges, sets = dedup._bands(most, rows)
+        assert edges[0] == 0 and edges[-1] == 64
+        for _ in range(200):
+            flipped = r.sample(range(64), most)
+            assert any(all(not any(edges[i] <= f < edges[i + 1] for f in flipped) for i in s) for s in sets)
+
+
+def test_exact_counts_or_an_error(spark):
+    df = spark.createDataFrame([(i, i if i < 6 else 6, "s") for i in range(10)], "id int, g int, s string")
+    got = split.exact_counts(df, "g", "s", {"test": 2, "train": 8}, "x").groupBy("part").count().collect()
+    assert {r["part"]: r["count"] for r in got} == {"test": 2, "train": 8}
+    for targets in ({"test": 3, "train": 3, "val": 4, "more": 0}, {"test": 5, "train": 6}, {"a": 3, "b": 3, "c": 3}):
+        if sum(targets.values()) == 10 and max(targets.values()) >= 4:
+            assert split.exact_counts(df, "g", "s", targets, "x").count() == 10
+        else:
+            with pytest.raises(Exception, match="rows"):
+                split.exact_counts(df, "g", "s", targets, "x").count()
+
+
+def test_numbered_equals_one_order(spark):
+    from mensura.staging import numbered
+
+    df = spark.createDataFrame([((i * 37) % 101, i) for i in range(300)], "a long, b long").repartition(7)
+    got = sorted((r["n"], r["a"], r["b"]) for r in numbered(df, ["a", "b"], "n").collect())
+    assert [g[0] for g in got] == list(range(1, 301)) and [g[1:] for g in got] == sorted(g[1:] for g in got)
+    assert numbered(df.limit(0), ["a"], "n").count() == 0
