@@ -183,6 +183,13 @@ def grid_peaks(df: DataFrame, item: str, value: str, least: float, radius: int =
     return out
 
 
+def quantile_peaks(df: DataFrame, item: str, value: str, share: float) -> DataFrame:
+    """Inner cells of a grid that reach their 3 x 3 neighbourhood's maximum and the item's quantile."""
+    levels = df.groupBy(item).agg(F.percentile(value, share).alias("_level")).withColumnRenamed(item, "_i")
+    high = grid_peaks(df, item, value, float("-inf"))
+    return high.join(levels, F.col(item) == F.col("_i")).filter(F.col(value) >= F.col("_level")).drop("_i", "_level")
+
+
 def decoded(df: DataFrame, item: str, value: str, least: float = 0.35, most: int = 64) -> DataFrame:
     """Peaks of a heatmap in 5 x 5 neighbourhoods, the best ``most`` an item (the operator's cap)."""
     p = grid_peaks(df, item, value, least, 2, inner=False)

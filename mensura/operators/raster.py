@@ -26,6 +26,25 @@ def vegetation(pixels: DataFrame, least: float = 20.0, chroma: float = 25.0) ->
     return pixels.filter((excess_green("r", "g", "b") >= least) & (spread >= chroma))
 
 
+def hsv(r, g, b) -> tuple[Column, Column, Column]:
+    """Hue (0 to 179), saturation and value (0 to 255) of eight-bit channels."""
+    r, g, b = c(r), c(g), c(b)
+    top, spread = F.greatest(r, g, b), F.greatest(r, g, b) - F.least(r, g, b)
+    part = lambda x, y: 60.0 * (x - y) / spread
+    angle = F.when(spread == 0, 0.0).when(top == r, part(g, b)).when(top == g, 120 + part(b, r)).otherwise(240 + part(r, g))
+    hue = half_even(F.when(angle < 0, angle + 360).otherwise(angle) / 2) % 180
+    return hue, F.when(top == 0, 0.0).otherwise(half_even(255.0 * spread / top)), top
+
+
+def audit_vegetation(pixels: DataFrame) -> DataFrame:
+    """Pixels of the inclusive rule for audits and crop proposals: a green hue with some colour, or
+    green in excess."""
+    hue, saturation, value = hsv("r", "g", "b")
+    green = hue.between(18, 100) & (saturation >= 24) & (value >= 22)
+    more = (excess_green("r", "g", "b") >= 10) & (F.col("g") >= 35) & (F.col("g") >= F.col("r") - 3) & (F.col("g") >= F.col("b") - 3)
+    return pixels.filter(green | more)
+
+
 def border(pixels: DataFrame, item: str = "item", band: int = 1) -> DataFrame:
     """Mean, median and deviation of the border's luminance; corner pixels count once."""
     lum = 0.299 * F.col("r") + 0.587 * F.col("g") + 0.114 * F.col("b")

@@ -66,6 +66,21 @@ def best(df: DataFrame, by: list[str], *order: Column) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
+def first_n(df: DataFrame, by: list[str], n: int, *order: Column) -> DataFrame:
+    """The first n rows of each group by order; each task keeps no more of a group before the shuffle."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+
+
+def runs(df: DataFrame, by: list[str], x: str, gap: float, order: list[str]) -> DataFrame:
+    """Adds run: the number, from one, of the stretch of a group's rows, in order of x, whose steps are
+    at most ``gap``."""
+    w = Window.partitionBy(*by).orderBy(x, *order)
+    step = F.col(x) - F.lag(x).over(w)
+    new = (step.isNull() | (step > gap)).cast("int")
+    return df.withColumn("_new", new).withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_new")
+
+
 def tertiles(df: DataFrame, x: str, name: str, low: float = 1 / 3, high: float = 2 / 3) -> DataFrame:
     """low, medium or high against the global quantiles; ties share a bin. The quantiles are one
     row."""

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from mensura.plans import core, geometry, tabular
+from mensura.plans import core, geometry, measures, tabular
 
 QUERIES = {}
 ORACLES = {}
-for part in (core, tabular, geometry):
+for part in (core, tabular, geometry, measures):
     QUERIES |= part.QUERIES
     ORACLES |= part.ORACLES
