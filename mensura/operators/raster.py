@@ -298,27 +298,6 @@ def structural_support(mask: np.ndarray, least: int = 16) -> tuple[np.ndarray, n
     return m, pruned(skeleton(m), max(4.0, 0.012 * diagonal))[0]
 
 
-def phenotype_roi(plant: np.ndarray, green: np.ndarray, root: np.ndarray, keep: float = 0.9) -> dict:
-    """The part of the plant on the shoot side of the seed: pixels are projected on the direction from
-    root to green; the boundary moves towards the root until ``keep`` of the green stays. Also the
-    transition band beside the boundary."""
-    gy, gx = np.nonzero(green & plant)
-    ry, rx = np.nonzero(root & plant)
-    if not len(gx):
-        return {"roi": np.zeros_like(plant, bool), "transition": np.zeros_like(plant, bool), "direction": (0.0, 0.0), "retention": 0.0, "source": "no_green"}
-    centre = np.array([gx.mean(), gy.mean()])
-    base = np.array([rx.mean(), ry.mean()]) if len(rx) else np.array([np.nonzero(plant)[1].mean(), np.nonzero(plant)[0].max()])
-    d = (centre - base) / max(np.linalg.norm(centre - base), 1e-9)
-    y, x = np.mgrid[: plant.shape[0], : plant.shape[1]]
-    along = (x - base[0]) * d[0] + (y - base[1]) * d[1]
-    own = along[gy, gx]
-    edge = float(np.quantile(along[ry, rx], 0.9)) if len(rx) else float(own.min())
-    edge = min(edge, float(np.quantile(own, 1 - keep)))
-    roi = plant.astype(bool) & (along >= edge)
-    band = max(3.0, 0.02 * float(np.hypot(*plant.shape)))
-    return {"roi": roi, "transition": roi & (along < edge + band), "direction": (float(d[0]), float(d[1])), "retention": float(roi[gy, gx].mean()), "source": "root_mask" if len(rx) else "hint_fallback"}
-
-
 def per_item(pixels: DataFrame, f, schema: str, item: str = "item") -> DataFrame:
     """One item's mask (as an array over its bounding box from the origin) through f, which returns a
     data frame; an item is one image, whose pixels bound the group. Pixels before the origin move it

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mensura.functions import scalar as S
-from mensura.operators import audit, curve, graph, keypoints, match, raster, robust
+from mensura.operators import audit, curve, graph, keypoints, match, phenotype, raster, robust
 from mensura.session import table
 
 QUERIES, ORACLES = {}, {}
@@ -290,6 +290,23 @@ def mask_components(spark, sf):
     return c.select("item", "pixels", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"))
 
 
+@query()
+def skeleton_structures(spark, sf):
+    return graph.structures(raster.dilate_pixels(_mask(spark, sf), 6))
+
+
+@query()
+def rooted_organ_paths(spark, sf):
+    return graph.organ_path_table(raster.dilate_pixels(_mask(spark, sf), 6))
+
+
+@query()
+def structural_candidates(spark, sf):
+    m = raster.dilate_pixels(_mask(spark, sf), 6)
+    maps = {"contrast": ((F.col("x") * 7 + F.col("y") * 13) % 50) / 50.0, "attention": ((F.col("x") + F.col("y") * 3) % 20) / 20.0}
+    return phenotype.candidate_table(m.withColumns(maps))
+
+
 @query()
 def point_conditioned_sweep(spark, sf):
     skel = raster.skeleton_pixels(raster.dilate_pixels(_mask(spark, sf), 3))

@@ -209,17 +209,6 @@ def test_raster_properties():
     assert (raster.whiten(image, np.zeros((30, 60), bool)) == 255).all()
 
 
-@pytest.mark.parametrize("turn", [0, 1])
-def test_region_of_interest(turn):
-    plant, green, root = np.zeros((60, 60), bool), np.zeros((60, 60), bool), np.zeros((60, 60), bool)
-    plant[28:32, 5:55], green[28:32, 25:55], root[28:32, 5:20] = True, True, True
-    if turn:
-        plant, green, root = plant.T, green.T, root.T
-    out = raster.phenotype_roi(plant, green, root)
-    assert out["retention"] > 0.9 and (out["roi"] & root).sum() < 0.2 * root.sum() and out["direction"][turn] > 0.7
-    assert raster.phenotype_roi(plant, green, np.zeros_like(root))["source"] == "hint_fallback"
-
-
 def test_structural_support():
     m = np.zeros((60, 60), bool)
     m[10:50, 25:33] = True
