@@ -160,6 +160,19 @@ REGISTERED = {
 }
 
 
+def prefixed(df, prefix: str, keep: list[str]):
+    """All columns but the kept ones under a prefix."""
+    return df.select(*[F.col(f"`{x}`").alias(x if x in keep else prefix + x) for x in df.columns])
+
+
+def relabelled(x, names: dict[str, str]) -> Column:
+    """Values by another name; those without one stay."""
+    out = c(x)
+    for old, new in names.items():
+        out = F.when(c(x) == old, F.lit(new)).otherwise(out)
+    return out
+
+
 def register(spark) -> None:
     """The SQL functions of the engine, for spark.sql users."""
     for name, body in REGISTERED.items():

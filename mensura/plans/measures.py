@@ -244,3 +244,27 @@ SELECT item, gx AS x, gy AS y, round(v, 6) AS value FROM n WHERE v >= top AND v
 def quantile_peaks_2d(spark, sf):
     d = _image(spark, sf).select("item", "x", "y", (F.col("r") / 255.0).alias("value"))
     return match.quantile_peaks(d, "item", "value", 0.9).select("item", "x", "y", F.round("value", 6).alias("value"))
+
+
+@query("""SELECT r_regionkey, n_nationkey AS nation_n_nationkey, n_name AS nation_n_name FROM region JOIN nation ON n_regionkey = r_regionkey""")
+def prefixed_join(spark, sf):
+    n = S.prefixed(table(spark, sf, "nation").select(F.col("n_regionkey").alias("r_regionkey"), "n_nationkey", "n_name"), "nation_", ["r_regionkey"])
+    return table(spark, sf, "region").select("r_regionkey").join(F.broadcast(n), "r_regionkey")
+
+
+@query("SELECT conv_id, turn, CASE role WHEN 'user' THEN 'reviewer' WHEN 'assistant' THEN 'model' ELSE role END AS role, count(*) AS n FROM conversations GROUP BY ALL")
+def roles_relabelled(spark, sf):
+    d = table(spark, sf, "conversations").select("conv_id", "turn", S.relabelled("role", {"user": "reviewer", "assistant": "model"}).alias("role"))
+    return d.groupBy("conv_id", "turn", "role").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT doc_id, ((r - 1) // 12)::BIGINT AS sheet, (((r - 1) % 12) // 4)::BIGINT AS "row", ((r - 1) % 12 % 4)::BIGINT AS "column" FROM (SELECT doc_id, row_number() OVER (ORDER BY n_chars, doc_id) AS r FROM documents)""")
+def contact_sheet_places(spark, sf):
+    got = files.contact_sheets(table(spark, sf, "documents").select("doc_id", "n_chars"), ["n_chars", "doc_id"], 4, 3)
+    return got.select("doc_id", "sheet", "row", "column")
+
+
+@query("SELECT upper(substr(md5(text), 1, 4)) AS block, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1")
+def hash_blocks(spark, sf):
+    d = table(spark, sf, "documents").select(F.upper(F.substring(F.md5("text"), 1, 4)).alias("block"), "doc_id")
+    return d.groupBy("block").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))

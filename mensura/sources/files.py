@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import json
 import os
 import shutil
@@ -17,11 +18,12 @@ from mensura.staging import numbered
 IMAGE_SUFFIXES = (".bmp", ".jpeg", ".jpg", ".png", ".tif", ".tiff", ".webp")
 
 
-def read_csv(spark: SparkSession, path, schema: T.StructType | str | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path, schema: T.StructType | str | None = None, infer: bool = False) -> DataFrame:
     """CSV with header; BOM, CRLF and doubled quotes are accepted. Without a schema all columns are
-    text; with one, values that don't fit fail."""
+    text or, with infer, what all their values fit (a pass of its own over the files); with a schema,
+    values that don't fit fail."""
     r = spark.read.option("header", True).option("escape", '"').option("quote", '"').option("multiLine", True).option("mode", "FAILFAST")
-    return r.schema(schema).option("enforceSchema", False).csv(path) if schema else r.option("inferSchema", False).csv(path)
+    return r.schema(schema).option("enforceSchema", False).csv(path) if schema else r.option("inferSchema", infer).csv(path)
 
 
 def evolve(frames: list[DataFrame], defaults: dict[str, object]) -> DataFrame:
@@ -59,8 +61,10 @@ def json_document(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("value"))
 
 
-def write_by_split(df: DataFrame, path: str, split: str = "split") -> None:
-    df.write.mode("errorifexists").partitionBy(split).parquet(path)
+def write_by_split(df: DataFrame, path: str, split: str = "split", kind: str = "parquet", single: bool = False) -> None:
+    """A folder for each split, as Parquet or as CSV with header; with single each holds one file."""
+    out = df.repartition(split) if single else df
+    out.write.mode("errorifexists").partitionBy(split).option("header", True).option("escape", '"').format(kind).save(path)
 
 
 def scan_images(spark: SparkSession, root, prefix: str = "img") -> DataFrame:
@@ -152,10 +156,44 @@ def load_config(path: str) -> dict:
     return {k: os.path.normpath(os.path.join(base, slashes_text(v))) if isinstance(v, str) and k.endswith(("_path", "_dir")) else v for k, v in found.items()}
 
 
-def review_page(df: DataFrame, id_: str, fields: list[str], title: str) -> DataFrame:
-    """One row of HTML with a card for each row, escaped; for work lists of a bounded size."""
+# The page keeps decisions in the browser under its title and gives them back as CSV.
+_SCRIPT = """
+const store = 'review:' + document.title, fields = [...document.querySelectorAll('[data-id]')];
+const known = JSON.parse(localStorage.getItem(store) || '{}');
+for (const f of fields) {
+  const key = f.dataset.id + '/' + f.name;
+  if (key in known) f.value = known[key];
+  f.addEventListener('change', () => { known[key] = f.value; localStorage.setItem(store, JSON.stringify(known)); });
+}
+function exported() {
+  const cell = x => '"' + String(x).replaceAll('"', '""') + '"', rows = new Map();
+  for (const f of fields) rows.set(f.dataset.id, {...rows.get(f.dataset.id), [f.name]: f.value});
+  const lines = ['id,decision,note', ...[...rows].map(([id, r]) => [id, r.decision, r.note].map(cell).join(','))];
+  const link = document.createElement('a');
+  link.href = URL.createObjectURL(new Blob(['\\ufeff' + lines.join('\\r\\n')], {type: 'text/csv'}));
+  link.download = document.title + '.csv';
+  link.click();
+}
+"""
+
+
+def review_page(df: DataFrame, id_: str, fields: list[str], title: str, choices: tuple[str, ...] = ("", "accept", "reject", "unsure")) -> DataFrame:
+    """One row of HTML with a card for each row, escaped, each with a decision and a note, which the
+    browser stores and exports as CSV; for work lists of a bounded size."""
     escape = lambda x: F.replace(F.replace(F.replace(F.replace(F.coalesce(x.cast("string"), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
-    rows = [F.concat(F.lit(f"<dt>{f}</dt><dd>"), escape(c(f)), F.lit("</dd>")) for f in fields]
-    card = F.concat(F.lit('<section id="'), escape(c(id_)), F.lit('"><dl>'), *rows, F.lit("</dl></section>"))
+    rows = [F.concat(F.lit(f"<dt>{html.escape(f)}</dt><dd>"), escape(c(f)), F.lit("</dd>")) for f in fields]
+    options = "".join(f"<option>{html.escape(o)}</option>" for o in choices)
+    form = F.concat(F.lit('<select name="decision" data-id="'), escape(c(id_)), F.lit(f'">{options}</select><input name="note" data-id="'), escape(c(id_)), F.lit('">'))
+    card = F.concat(F.lit('<section id="'), escape(c(id_)), F.lit('"><dl>'), *rows, F.lit("</dl>"), form, F.lit("</section>"))
     cards = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(id_, card.alias("card")))), lambda x: x["card"]), "\n")
-    return df.agg(F.concat(F.lit(f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{title}</title></head><body>\n"), cards, F.lit("\n</body></html>")).alias("value"))
+    head = f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><button onclick='exported()'>CSV</button>\n"
+    return df.agg(F.concat(F.lit(head), cards, F.lit(f"\n<script>{_SCRIPT}</script></body></html>")).alias("value"))
+
+
+def contact_sheets(df: DataFrame, order: list[str], columns: int, rows: int) -> DataFrame:
+    """The place of each image on numbered sheets: adds sheet, row and column (from 0) in the order,
+    which must tell rows apart."""
+    each = columns * rows
+    at = numbered(df, order, "_n").withColumn("_n", F.col("_n") - 1)
+    inside = F.col("_n") % each
+    return at.withColumns({"sheet": F.floor(F.col("_n") / each), "row": F.floor(inside / columns), "column": inside % columns}).drop("_n")

@@ -16,6 +16,11 @@ def test_csv_dialects(spark, tmp_path):
     rows = files.read_csv(spark, str(tmp_path / "a.csv"), "id int, path string, cell string").orderBy("id").collect()
     assert rows[0]["path"] == "dir\\x\\" and json.loads(rows[0]["cell"]) == {"a": 1} and rows[1]["cell"] is None
     assert files.read_csv(spark, str(tmp_path / "a.csv")).columns == ["id", "path", "cell"]
+    assert dict(files.read_csv(spark, str(tmp_path / "a.csv"), infer=True).dtypes) == {"id": "int", "path": "string", "cell": "string"}
+    parts = spark.createDataFrame([(i, f"s{i % 2}", 'q"x') for i in range(6)], "id int, split string, note string")
+    files.write_by_split(parts, str(tmp_path / "splits"), kind="csv", single=True)
+    assert sorted(p.name for p in (tmp_path / "splits").iterdir() if p.is_dir()) == ["split=s0", "split=s1"]
+    assert {(r["id"], r["note"]) for r in files.read_csv(spark, str(tmp_path / "splits" / "split=s1"), infer=True).collect()} == {(i, 'q"x') for i in (1, 3, 5)}
     df = spark.createDataFrame([(1, ["a", "b"], float("nan"))], "id int, flags array<string>, v double")
     files.write_csv(df, str(tmp_path / "out"), ["id", "flags"], single=True)
     assert files.read_csv(spark, str(tmp_path / "out")).first()["flags"] == "a;b"
@@ -56,6 +61,8 @@ def test_manifest_lock_and_images(spark, tmp_path):
     assert [r["link"] for r in files.missing_files(links, m).collect()] == ["no.png"]
     assert files.package([root], str(tmp_path / "p.zip")) == ["in/A/c.jpg", "in/A/d.txt", "in/b/Z.png", "in/b/a.PNG"]
     page = files.review_page(spark.createDataFrame([("a<", 'x"&')], "id string, note string"), "id", ["note"], "t").first()["value"]
+    assert page.count('data-id="a&lt;"') == 2
+    assert "localStorage" in page and "text/csv" in page and "\\r\\n" in page and "<option>accept</option>" in page
     assert "x&quot;&amp;" in page and 'id="a&lt;"' in page
     good, bad = files.quarantine(spark.createDataFrame([("1",), ("x",), (None,)], "v string"), "v", F.expr("try_cast(v AS int)"))
     assert good.count() == 2 and bad.count() == 1
