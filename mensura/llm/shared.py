@@ -2,68 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import functools
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_local: dict[str, str] = {}
-
-
-def folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; in local mode a temporary one if none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if not (master == "local" or master.startswith("local[")):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if "dir" not in _local:
-        _local["dir"] = tempfile.mkdtemp(prefix="mensura-")
-        atexit.register(shutil.rmtree, _local["dir"], ignore_errors=True)
-    return _local["dir"]
-
-
-_placed: dict[str, list[str]] = {}
-
-
-def place(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder. What is written there goes when the application ends, or by
-    ``clear``."""
-    root = f"{folder(spark)}/mensura-{uuid.uuid4().hex}"
-    store, path = _store(spark, root)
-    store.deleteOnExit(path)
-    _placed.setdefault(spark.sparkContext.applicationId, []).append(root)
-    return f"{root}/{name}"
-
-
-def _store(spark: SparkSession, root: str):
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
-
-
-def clear(spark: SparkSession) -> None:
-    """Deletes what operators staged in this application so far. DataFrames that they returned before
-    can't be read any more, so write or collect these first."""
-    for root in _placed.pop(spark.sparkContext.applicationId, []):
-        store, path = _store(spark, root)
-        store.delete(path, True)
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes the table to the shared folder and reads it again: lineage ends there, and a lost
-    executor costs nothing that was computed before."""
-    spark, path = df.sparkSession, place(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from mensura.staging import clear, place, stage
 
+__all__ = ["clear", "place", "stage"]
 
 BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 

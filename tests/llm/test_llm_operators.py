@@ -68,14 +68,16 @@ def test_hashed_words_follow_the_pattern():
 def test_staged_tables_go(spark):
     import os
 
-    kept = dict(shared._placed)
-    shared._placed.clear()
+    from mensura import staging
+
+    kept = dict(staging._placed)
+    staging._placed.clear()
     df = shared.stage(spark.range(5), "some")
-    root = shared._placed[spark.sparkContext.applicationId][0]
+    root = staging._placed[spark.sparkContext.applicationId][0]
     assert df.count() == 5 and os.path.isdir(root.removeprefix("file:"))
     shared.clear(spark)
     assert not os.path.exists(root.removeprefix("file:"))
-    shared._placed.update(kept)
+    staging._placed.update(kept)
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
@@ -530,6 +532,23 @@ def test_perspectives(spark):
     assert perspectives.rotate(df.limit(0)).count() == 0
 
 
+def test_perspectives_of_large_and_odd_conversations(spark):
+    rows = [(1, i, ("ann", "bob", "cat")[i % 3], f"t{i}") for i in range(2000)] + [(2, None, "ann", "x" * 300_000), (2, None, "bob", None), (2, 1, None, ""), (2, 1, "system", "be kind"), (2, 1, "ann", "late")]
+    df = spark.createDataFrame([(*r, "mine") for r in rows], "conv_id long, turn int, role string, text string, rendered string")
+    got = perspectives.rotate(df).collect()
+    assert sum(g["conv_id"] == 1 for g in got) == 3 * 2000
+    for conv, who in ((1, "bob"), (2, "unknown"), (2, "ann")):
+        own = sorted((g for g in got if g["conv_id"] == conv and g["perspective"] == who), key=lambda g: g["position"])
+        said = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "unknown", r[3] or ""))
+        assert [(g["position"], g["speaker"]) for g in own] == [(k, r[2] or "unknown") for k, r in enumerate(said)]
+        whole = "".join(g["rendered"] for g in own)
+        for g, r in zip(own, said):
+            assert whole[g["start"] : g["start"] + len(g["rendered"])] == g["rendered"]
+            counted = whole[g["mask_start"] : g["mask_end"]]
+            assert counted == ((r[3] or "") + perspectives.CLOSE if g["speaker"] == who else "")
+    assert {g["perspective"] for g in got if g["conv_id"] == 2} == {"ann", "bob", "unknown"}
+
+
 def test_positions_of_one_large_group(spark):
     df = spark.range(5000).select(F.lit(1).alias("g"), "id", (F.col("id") % 3).alias("w")).repartition(7)
     got = sorted(shared.positioned(df, ["g"], ["id"], "w").collect(), key=lambda r: r["id"])
