@@ -28,7 +28,8 @@ def folder(spark: SparkSession) -> str:
     return _local["dir"]
 
 
-def _store(spark: SparkSession, root: str):
+def reached(spark: SparkSession, root: str):
+    """The file system of a path, and the path as it names it."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
@@ -37,7 +38,7 @@ def place(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder. What is written there goes when the application ends, or by
     ``clear``."""
     root = f"{folder(spark)}/mensura-{uuid.uuid4().hex}"
-    store, path = _store(spark, root)
+    store, path = reached(spark, root)
     store.deleteOnExit(path)
     _placed.setdefault(spark.sparkContext.applicationId, []).append(root)
     return f"{root}/{name}"
@@ -47,7 +48,7 @@ def clear(spark: SparkSession) -> None:
     """Deletes what operators staged in this application so far. DataFrames that they returned before
     can't be read any more, so write or collect these first."""
     for root in _placed.pop(spark.sparkContext.applicationId, []):
-        store, path = _store(spark, root)
+        store, path = reached(spark, root)
         store.delete(path, True)
 
 

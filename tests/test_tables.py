@@ -212,3 +212,14 @@ def test_numbered_equals_one_order(spark):
     got = sorted((r["n"], r["a"], r["b"]) for r in numbered(df, ["a", "b"], "n").collect())
     assert [g[0] for g in got] == list(range(1, 301)) and [g[1:] for g in got] == sorted(g[1:] for g in got)
     assert numbered(df.limit(0), ["a"], "n").count() == 0
+
+
+def test_archive_holds_the_package(tmp_path):
+    import subprocess
+    import sys
+
+    from mensura import session
+
+    (tmp_path / "m.zip").write_bytes(session._archive())
+    code = f"import sys; sys.path.insert(0, {str(tmp_path / 'm.zip')!r}); import mensura.operators.graph as g; print(g.__file__)"
+    assert "m.zip" in subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd="/").stdout
