@@ -242,14 +242,43 @@ def heatmap_peaks(spark, sf):
     return match.decoded(h, "item", "value").select("item", "x", "y", F.round("value", 6).alias("value"))
 
 
-@query()
+@query(f"""WITH RECURSIVE p AS (SELECT user_id, t, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k FROM ({_SERIES})),
+s(user_id, a, b) AS (SELECT user_id, 0::BIGINT, max(k) FROM p GROUP BY user_id UNION ALL SELECT user_id, unnest([a, m]), unnest([m, b]) FROM (
+ SELECT user_id, a, b, arg_max(k, (off, -k)) AS m, max(off) AS off FROM (SELECT user_id, a, b, k, sqrt((qx - r * dx) ** 2 + (qy - r * dy) ** 2) AS off FROM (SELECT *, CASE WHEN dx * dx + dy * dy > 0 THEN least(greatest((qx * dx + qy * dy) / (dx * dx + dy * dy), 0), 1) ELSE 0 END AS r FROM (
+  SELECT s.user_id, s.a, s.b, q.k, y.t - x.t AS dx, y.v - x.v AS dy, q.t - x.t AS qx, q.v - x.v AS qy FROM s JOIN p x ON x.user_id = s.user_id AND x.k = s.a JOIN p y ON y.user_id = s.user_id AND y.k = s.b JOIN p q ON q.user_id = s.user_id AND q.k > s.a AND q.k < s.b))) GROUP BY user_id, a, b) WHERE off > 5),
+k AS (SELECT user_id, a AS k FROM s UNION SELECT user_id, b FROM s) SELECT user_id, k::INT AS position, round(t, 6) AS x, round(v, 6) AS y FROM k JOIN p USING (user_id, k)""")
 def rdp_simplify(spark, sf):
-    return curve.simplified_paths(_series(spark, sf), "user_id", "event_id", "t", "value", 5.0)
+    out = curve.simplified_paths(_series(spark, sf), "user_id", "event_id", "t", "value", 5.0)
+    return out.withColumns({"x": F.round("x", 6), "y": F.round("y", 6)})
 
 
-@query()
+def _slope(d: str) -> str:
+    """SQL of the slope at a point from the steps d of the stretches and their lengths h."""
+
+    def end(h0: str, h1: str, d0: str, d1: str) -> str:
+        e = f"((2 * {h0} + {h1}) * {d0} - {h0} * {d1}) / ({h0} + {h1})"
+        return f"CASE WHEN {e} * {d0} <= 0 THEN 0 WHEN {d0} * {d1} <= 0 AND abs({e}) > 3 * abs({d0}) THEN 3 * {d0} ELSE {e} END"
+
+    before = lambda c, n=1: f"lag({c}, {n}) OVER w"
+    inner = f"CASE WHEN {before(d)} * {d} > 0 THEN (3 * h + 3 * {before('h')}) / ((2 * h + {before('h')}) / {before(d)} + (h + 2 * {before('h')}) / {d}) ELSE 0 END"
+    first, last = end("h", "lead(h) OVER w", d, f"lead({d}) OVER w"), end(before("h"), before("h", 2), before(d), before(d, 2))
+    return f"CASE WHEN n = 2 THEN coalesce({d}, {before(d)}) WHEN k = 0 THEN {first} WHEN k = n - 1 THEN {last} ELSE {inner} END"
+
+
+_HERMITE = lambda v, m: f"(1 + 2 * u) * (1 - u) ** 2 * {v} + u * (1 - u) ** 2 * h * {m} + u ** 2 * (3 - 2 * u) * {v}1 + u ** 2 * (u - 1) * h * {m}1"
+
+
+@query(f"""WITH r AS (SELECT user_id, event_id, t AS x, value AS y, lag(t) OVER w AS px, lag(value) OVER w AS py FROM ({_SERIES}) WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+p AS (SELECT user_id, x, y, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k, count(*) OVER (PARTITION BY user_id) AS n FROM r WHERE px IS NULL OR px <> x OR py <> y),
+g AS (SELECT *, sqrt((lead(x) OVER w - x) ** 2 + (lead(y) OVER w - y) ** 2) AS h FROM p WINDOW w AS (PARTITION BY user_id ORDER BY k)),
+d AS (SELECT *, (lead(x) OVER w - x) / h AS dx, (lead(y) OVER w - y) / h AS dy, coalesce(sum(h) OVER (PARTITION BY user_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM g WINDOW w AS (PARTITION BY user_id ORDER BY k)),
+m AS (SELECT *, {_slope("dx")} AS mx, {_slope("dy")} AS my FROM d WINDOW w AS (PARTITION BY user_id ORDER BY k)),
+i AS (SELECT *, lead(x) OVER w AS x1, lead(y) OVER w AS y1, lead(mx) OVER w AS mx1, lead(my) OVER w AS my1, s + h AS s1, max(s) OVER (PARTITION BY user_id) AS total FROM m WINDOW w AS (PARTITION BY user_id ORDER BY k)),
+j AS (SELECT *, unnest(range(48)) AS position FROM i WHERE k < n - 1 OR n = 1), c AS (SELECT *, total * (position / 47.0::DOUBLE) AS z FROM j), u AS (SELECT *, (z - s) / h AS u FROM c WHERE n = 1 OR (z >= s AND (z < s1 OR k = n - 2)))
+SELECT user_id, position::INT AS position, round(CASE WHEN n = 1 THEN x ELSE {_HERMITE("x", "mx")} END, 5) AS x, round(CASE WHEN n = 1 THEN y ELSE {_HERMITE("y", "my")} END, 5) AS y FROM u""")
 def pchip_resample(spark, sf):
-    return curve.resampled_paths(_series(spark, sf), "user_id", "event_id", "t", "value", 48)
+    out = curve.resampled_paths(_series(spark, sf), "user_id", "event_id", "t", "value", 48)
+    return out.withColumns({"x": F.round("x", 5), "y": F.round("y", 5)})
 
 
 # The parts and suppliers of an order are a small graph, and orders grow in number.
