@@ -103,29 +103,33 @@ SPANS = "array<struct<start:int,rank:int,end:int,kind:string,body:string>>"
 PIECE = 4096
 
 
-def matches(text: Column, pattern: str, kind: str, keep=None) -> Column:
-    """The matches as SPANS, leftmost and non-overlapping; code points, end exclusive. With keep, only
-    those for which it holds, a function of the body and the CONTEXT characters before it."""
-    gaps = F.split(text, pattern, -1)
+def matches(text: Column, patterns: list[tuple[str, str, str]]) -> Column:
+    """The matches of each (kind, pattern, sign that a text must have for it) as SPANS with also
+    ``before``, the CONTEXT characters before each: leftmost and non-overlapping for each pattern, code
+    points, end exclusive. Signs are "@", "+", "digit", and "dotted" for digits about a dot."""
 
-    def paired(found: Column) -> Column:
-        last = F.concat(F.array(F.lit("")), F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0))))
-        pairs = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("body"), last.alias("last"))
-        return F.when(F.size(found) > 0, let(pairs, placed)).otherwise(F.array().cast(SPANS))
+    def raw(kind: str, pattern: str, sign: Column) -> Column:
+        found = F.when(sign, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+        gaps = lambda f: F.when(F.size(f) > 0, F.split(text, pattern, -1))
+        return let(found, lambda f: F.struct(F.lit(kind).alias("kind"), F.lit(KINDS.index(kind)).alias("rank"), f.alias("found"), gaps(f).alias("gaps")))
 
-    def placed(pairs: Column) -> Column:
-        before = running(F.transform(pairs, lambda x: F.length(x["gap"]) + F.length(x["body"])), lambda a, b: a + b)
-        both = F.zip_with(pairs, before, lambda x, at: F.struct(x.alias("x"), (at + F.length(x["gap"])).alias("start")))
-        if keep:
-            both = F.filter(both, lambda p: keep(p["x"]["body"], F.right(F.concat(p["x"]["last"], p["x"]["gap"]), F.lit(CONTEXT))))
+    def placed(p: Column) -> Column:
+        last = F.concat(F.array(F.lit("")), F.slice(p["found"], 1, F.greatest(F.size(p["found"]) - 1, F.lit(0))))
+        pairs = F.arrays_zip(F.slice(p["gaps"], 1, F.size(p["found"])).alias("gap"), p["found"].alias("body"), F.slice(last, 1, F.size(p["found"])).alias("last"))
+        length = lambda x: F.length(x["gap"]) + F.length(x["body"])
 
-        def one(p: Column) -> Column:
-            end = p["start"] + F.length(p["x"]["body"])
-            return F.struct(p["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), p["x"]["body"].alias("body"))
+        def one(x: Column, at: Column) -> Column:
+            start = at + F.length(x["gap"])
+            before = F.right(F.concat(x["last"], x["gap"]), F.lit(CONTEXT))
+            return F.struct(start.alias("start"), p["rank"].alias("rank"), (start + F.length(x["body"])).alias("end"), p["kind"].alias("kind"), x["body"].alias("body"), before.alias("before"))
 
-        return F.transform(both, one)
+        return let(pairs, lambda x: F.zip_with(x, running(F.transform(x, length), lambda a, b: a + b), one))
 
-    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), paired)
+    # Each sign is looked for once, dots and plus signs only where there are digits.
+    digit = let(text.rlike("[0-9]"), lambda d: F.struct(d.alias("digit"), (d & text.contains("+")).alias("plus"), (d & text.rlike(r"[0-9]\.[0-9]")).alias("dotted"), text.contains("@").alias("at")))
+    names = {"@": "at", "+": "plus"}
+    all_ = let(digit, lambda g: F.array(*[raw(k, p, g[names.get(sign, sign)]) for k, p, sign in patterns]))
+    return F.flatten(F.transform(F.filter(all_, lambda p: F.size(p["found"]) > 0), placed))
 
 
 def _valid(kind: str):
@@ -155,10 +159,11 @@ class Tree:
         a, b, c, d = self.leaves
         return np.where(side(self.root), np.where(side(self.left), a, b), np.where(side(self.right), c, d))
 
-    def expression(self, x: list[Column]) -> Column:
-        side = lambda s: x[s[0]] <= F.lit(s[1])
-        a, b, c, d = map(F.lit, self.leaves)
-        return F.when(side(self.root), F.when(side(self.left), a).otherwise(b)).otherwise(F.when(side(self.right), c).otherwise(d))
+    def literal(self) -> str:
+        """SQL of the tree as a struct: features f and cuts c of the root, left and right split, leaves."""
+        splits = (self.root, self.left, self.right)
+        f = [f"{s[0]} AS f{i}, double('{s[1]!r}') AS c{i}" for i, s in enumerate(splits)]
+        return f"struct({', '.join(f + [f"double('{v!r}') AS l{i}" for i, v in enumerate(self.leaves)])})"
 
 
 @dataclass(frozen=True)
@@ -172,32 +177,39 @@ class Model:
     def margin(self, x: np.ndarray) -> np.ndarray:
         return self.prior + sum(t.score(x) for t in self.trees)
 
-    def chosen(self, x: list[Column]) -> Column:
-        margin = functools.reduce(lambda a, b: a + b, (t.expression(x) for t in self.trees), F.lit(self.prior))
+    def chosen(self, x: Column) -> Column:
+        """Whether the features, an array, reach the threshold. The trees are data, so that the
+        expression is small."""
+        trees = F.expr(f"array({', '.join(t.literal() for t in self.trees)})")
+        low = lambda t, i: F.get(x, t[f"f{i}"]) <= t[f"c{i}"]
+        leaf = lambda t: F.when(low(t, 0), F.when(low(t, 1), t["l0"]).otherwise(t["l1"])).otherwise(F.when(low(t, 2), t["l2"]).otherwise(t["l3"]))
+        margin = F.aggregate(trees, F.lit(self.prior), lambda total, t: total + leaf(t))
         return 1 / (1 + F.exp(-(self.slope * margin + self.offset))) >= self.threshold
 
 
-def _split(x: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[int, float]:
+def _split(bins: np.ndarray, cuts: list[np.ndarray], g: np.ndarray, h: np.ndarray) -> tuple[int, float]:
+    """(feature, cut) of the largest gain, the first of equals, from the sums in each bin."""
     best, at = -1.0, (0, float("inf"))
-    for f in range(x.shape[1]):
-        for cut in np.unique(np.quantile(x[:, f], np.linspace(0.04, 0.96, 24))) if len(x) else ():
-            left = x[:, f] <= cut
-            gain = sum(g[m].sum() ** 2 / (h[m].sum() + 1.0) for m in (left, ~left))
-            if gain > best + 1e-9:
-                best, at = gain, (f, float(cut))
+    for f, c in enumerate(cuts):
+        left_g, left_h = (np.cumsum(np.bincount(bins[:, f], v, minlength=len(c) + 1))[:-1] for v in (g, h))
+        gain = left_g**2 / (left_h + 1.0) + (g.sum() - left_g) ** 2 / (h.sum() - left_h + 1.0)
+        if len(gain) and gain.max() > best + 1e-9:
+            best, at = float(gain.max()), (f, float(c[np.argmax(gain)]))
     return at
 
 
 def boost(x: np.ndarray, y: np.ndarray, rounds: int = 24, rate: float = 0.3) -> tuple[tuple[Tree, ...], float]:
-    """Newton boosting of depth-two trees for the log loss."""
+    """Newton boosting of depth-two trees for the log loss, with cuts at quantiles of the features."""
     prior = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
+    cuts = [np.unique(np.quantile(c, np.linspace(0.02, 0.98, 33))) for c in x.T]
+    bins = np.column_stack([np.searchsorted(c, v, side="left") for c, v in zip(cuts, x.T)])  # v <= c[k] from bin k down
     m, trees = np.full(len(y), prior), []
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-m))
         g, h = y - p, p * (1 - p)
-        root = _split(x, g, h)
+        root = _split(bins, cuts, g, h)
         at_left = x[:, root[0]] <= root[1]
-        splits = [_split(x[s], g[s], h[s]) for s in (at_left, ~at_left)]
+        splits = [_split(bins[s], cuts, g[s], h[s]) for s in (at_left, ~at_left)]
         leaves = []
         for s, cut in zip((at_left, ~at_left), splits):
             for low in (True, False):
@@ -335,7 +347,8 @@ def _made(pattern: str, r: np.random.Generator) -> str:
     pools = {"#": "0123456789", "?": "0123456789abcdef", "@": "abcdefghijklmnopqrstuvwxyz", "^": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
     pools["*"] = pools["#"] + pools["@"] + pools["^"]
     plain = re.sub(r"(.)\{([0-9]+)\}", lambda m: m[1] * int(m[2]), pattern)
-    return "".join(r.choice(list(pools[c])) if c in pools else c for c in plain)
+    draws = r.integers(0, 1 << 40, len(plain)).tolist()
+    return "".join(pools[c][k % len(pools[c])] if c in pools else c for c, k in zip(plain, draws))
 
 
 def _valid_example(kind: str, pattern: str, r: np.random.Generator) -> str:
@@ -412,20 +425,25 @@ def _apart(base: Column, more: Column) -> Column:
 
 def _found(text: Column, precision: float) -> Column:
     """Struct of base and spans."""
-    none = F.array().cast(SPANS)
-    quick = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"\+[0-9]"}
-    base = [F.when(text.rlike(quick[k]), F.filter(matches(text, p, k), _valid(k))).otherwise(none) for k, p in zip(BASE, (EMAIL, IP, CARD, PHONE))]
-
-    def chosen(kind: str) -> Column:
-        def keep(body: Column, before: Column) -> Column:
-            trees = model(kind, precision)
-            return let(F.array(*features(body, before, kind)), lambda f: trees.chosen([f[i] for i in range(len(FEATURES))]))
-
-        return F.concat(*[matches(text, p, kind, keep) for p in GENERATORS[kind]])
-
-    more = F.when(text.rlike("[0-9]"), F.concat(*map(chosen, GENERATORS))).otherwise(none)
+    patterns = [("email", EMAIL, "@"), ("ip", IP, "dotted"), ("card", CARD, "digit"), ("phone", PHONE, "+")]
+    patterns += [(k, p, "digit") for k, several in GENERATORS.items() for p in several]
+
+    def good(x: Column) -> Column:
+        out = F.lit(False)
+        for kind in KINDS:
+            if kind in BASE:
+                rule = _valid(kind)(x)
+            else:
+                rule = let(F.array(*features(x["body"], x["before"], kind)), model(kind, precision).chosen)
+            out = F.when(x["kind"] == kind, rule).otherwise(out)
+        return out
+
+    bare = lambda x: F.struct(*[x[c].alias(c) for c in ("start", "rank", "end", "kind", "body")])
+    kept = F.transform(F.filter(matches(text, patterns), good), bare)
+    base, more = (lambda v: F.filter(v, lambda x: x["rank"] < len(BASE))), (lambda v: F.filter(v, lambda x: x["rank"] >= len(BASE)))
     some = lambda x: F.when(F.size(x["more"]) == 0, x["base"]).otherwise(F.array_sort(F.concat(x["base"], _apart(x["base"], x["more"]))))
-    return let(F.struct(F.array_sort(F.concat(*base)).alias("base"), more.alias("more")), lambda x: F.struct(x["base"].alias("base"), some(x).alias("spans")))
+    parts = let(kept, lambda v: F.struct(F.array_sort(base(v)).alias("base"), more(v).alias("more")))
+    return let(parts, lambda x: F.struct(x["base"].alias("base"), some(x).alias("spans")))
 
 
 def detect(docs: DataFrame, precision: float = 0.95) -> DataFrame:
