@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mensura.llm import decontam, licenses, linededup, neardup, packing, perspectives, pii, quality, tokenfile, topk
+from mensura.llm import decontam, licenses, linededup, neardup, packing, periodic, perspectives, pii, quality, tokenfile, topk
 from mensura.session import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -58,6 +58,31 @@ def op10_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), public_tokenizers.path(VOCABULARY), 4096, end=1, keep_ids=False)
 
 
+def op11_word_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Where ten divides the crc32 h of the decimal doc_id (a null id has none), words from a on repeat
+    the p words that stand there."""
+    hashed = table(spark, sf, "documents").select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    chosen = F.when(F.pmod("h", F.lit(10)) == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    split = hashed.withColumns({"w": F.when(F.size(chosen) > 0, chosen), "g": F.floor(F.col("h") / 10)}).withColumn("n", F.size("w").cast("bigint"))
+    split = split.withColumn("a", F.pmod("g", "n")).withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.pmod("g", F.lit(8)))))
+    again = F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("w", F.when(i < F.col("a"), i).otherwise(F.col("a") + F.pmod(i - F.col("a"), F.col("p"))).cast("int")))
+    docs = split.select("doc_id", F.coalesce(F.array_join(again, " "), F.col("text")).alias("text"))
+    found = periodic.collapse(docs).withColumn("best", F.get(F.array_sort("runs", _longest), F.lit(0)))
+    lines = F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"]))
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def _longest(a: Column, b: Column) -> Column:
+    """Order of runs by exact length / period, from the greatest; ties by start, then period."""
+    more = a["length"] * b["period"] - b["length"] * a["period"]
+    return F.when(more != 0, -F.signum(more)).when(a["start"] != b["start"], F.signum(a["start"] - b["start"])).otherwise(F.signum(a["period"] - b["period"])).cast("int")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_pii_spans": op2_pii_spans,
@@ -69,10 +94,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_site_lines": op8_site_lines,
     "op9_bayes_quality": op9_bayes_quality,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_word_runs": op11_word_runs,
 }
 ORACLES: dict[str, str] = {
     "op1_license_scan": licenses.oracle(),
     "op3_block_topk": topk.ORACLE,
     "op7_perspectives": perspectives.ORACLE,
     "op8_site_lines": linededup.oracle(),
+    "op11_word_runs": periodic.ORACLE,
 }
