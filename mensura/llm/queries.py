@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mensura.llm import decontam, licenses, linededup, neardup, packing, periodic, perspectives, pii, quality, tokenfile, topk
+from mensura.llm import bpe, decontam, licenses, linededup, neardup, packing, periodic, perspectives, pii, quality, tokenfile, topk
 from mensura.session import table
 
 VOCABULARY = "word_bpe_49k.json"
+BYTE_VOCABULARY = "byte_bpe_50k.json"
 
 
 def op1_license_scan(spark: SparkSession, sf: str) -> DataFrame:
@@ -83,6 +84,13 @@ def _longest(a: Column, b: Column) -> Column:
     return F.when(more != 0, -F.signum(more)).when(a["start"] != b["start"], F.signum(a["start"] - b["start"])).otherwise(F.signum(a["period"] - b["period"])).cast("int")
 
 
+def op12_bpe_automaton(spark: SparkSession, sf: str) -> DataFrame:
+    path = public_tokenizers.path(BYTE_VOCABULARY)
+    both = bpe.decode(bpe.encode(table(spark, sf, "documents").select("doc_id", "text"), path), path)
+    decimal = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
+    return both.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(decimal.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_pii_spans": op2_pii_spans,
@@ -95,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bayes_quality": op9_bayes_quality,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_word_runs": op11_word_runs,
+    "op12_bpe_automaton": op12_bpe_automaton,
 }
 ORACLES: dict[str, str] = {
     "op1_license_scan": licenses.oracle(),

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import contextlib
 import functools
-from collections.abc import Iterator
+import os
+from collections.abc import Callable, Iterator
 
 import numpy as np
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +44,19 @@ def own_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
                 spark.conf.set(key, value)
 
 
+_sent: set[tuple[str, str]] = set()
+
+
+def shipped(spark: SparkSession, path: str) -> Callable[[], str]:
+    """Sends a small file of the driver to all executors, later ones too; what is returned gives its path
+    within a task."""
+    sc = spark.sparkContext
+    if (sc.applicationId, path) not in _sent:
+        sc.addFile(path)
+        _sent.add((sc.applicationId, path))
+    return functools.partial(SparkFiles.get, os.path.basename(path))
+
+
 def narrowed(docs: DataFrame, *needed: str) -> tuple[DataFrame, list[Column]]:
     """docs as the needed columns and one struct ``rest`` of all others, whatever their names, and the
     expressions that give docs' columns again."""
