@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mensura.llm import bpe, decontam, licenses, linededup, neardup, packing, periodic, perspectives, pii, quality, tokenfile, topk
+from mensura.llm import bpe, decontam, licenses, linededup, neardup, packing, periodic, perspectives, pii, quality, spelling, tokenfile, topk
 from mensura.session import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -91,6 +92,19 @@ def op12_bpe_automaton(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(decimal.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def _one_letter_less(doc_id: int | None, run: bytes) -> bytes:
+    """The run less one code point where 31 divides the crc32 of ``doc_id:run``; a null id changes none."""
+    h = 1 if doc_id is None else zlib.crc32(run, zlib.crc32(b"%d:" % doc_id))
+    if h % 31:
+        return run
+    s = run.decode()
+    return (s[: h % len(s)] + s[h % len(s) + 1 :]).encode()
+
+
+def op13_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.groups(table(spark, sf, "documents"), least=7, often=2, times=10, change=_one_letter_less)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_pii_spans": op2_pii_spans,
@@ -104,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_word_runs": op11_word_runs,
     "op12_bpe_automaton": op12_bpe_automaton,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 ORACLES: dict[str, str] = {
     "op1_license_scan": licenses.oracle(),
@@ -111,4 +126,5 @@ ORACLES: dict[str, str] = {
     "op7_perspectives": perspectives.ORACLE,
     "op8_site_lines": linededup.oracle(),
     "op11_word_runs": periodic.ORACLE,
+    "op13_spelling_variants": spelling.ORACLE,
 }
