@@ -500,6 +500,59 @@ def test_decontamination_of_frequent_items_and_tiny_tables(spark):
         assert {(x["doc_id"], x["item_id"]) for x in got} == want and all(x["cosine"] > 0.2 for x in got)
 
 
+def _paraphrases(r, items, word):
+    """(text, item) of three kinds each: every third word replaced, every third left out, halves swapped."""
+    out = []
+    for i, x in enumerate(items):
+        w = x.split()
+        half = len(w) // 2
+        kinds = [word() if k % 3 == 2 else y for k, y in enumerate(w)], [y for k, y in enumerate(w) if k % 3 != 1], w[half:] + w[:half]
+        for p in kinds:
+            before, after = ([word() for _ in range(int(r.integers(0, 90)))] for _ in range(2))
+            out.append((" ".join([*before, *p, *after]), i))
+    return out
+
+
+def test_decontamination_finds_paraphrases_by_cosine_only(spark):
+    r = np.random.default_rng(63)
+    vocabulary = ["".join(r.choice(list("abcdefgh"), 6)) for _ in range(4000)]
+    share = 1 / np.arange(1, 4001)
+    word = lambda: vocabulary[int(r.choice(4000, p=share / share.sum()))]
+    items = [" ".join(word() for _ in range(int(r.integers(15, 60)))) for _ in range(260)]
+    made = _paraphrases(r, items, word)
+    clean = [" ".join(word() for _ in range(250)) for _ in range(200)]
+    df = spark.createDataFrame(rows_of([*clean, *(t for t, _ in made)]), SCHEMA)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = {(len(clean) + k, i) for k, (_, i) in enumerate(made)}
+    got = {(x["doc_id"], x["item_id"]) for x in decontam.contaminated(df, bench).collect()}
+    assert len(got & want) >= 0.9 * len(want), f"{len(got & want)} of {len(want)}"
+    assert len(got - want) <= 0.01 * len(got)
+    # The cosine decides: without it only what keeps 0.7 of an item in order is there.
+    beyond = decontam.contaminated(df, bench, cosine=2.0).count()
+    assert beyond <= 0.2 * len(want)
+    kept = {x["doc_id"] for x in decontam.clean(df, bench).collect()}
+    assert len(kept & set(range(len(clean)))) >= len(clean) - 2
+    assert kept == set(range(len(clean) + len(made))) - {d for d, _ in got}
+
+
+def test_short_items_are_held_whole(spark):
+    texts = ["one two three four", "two, one three", "ONE TWO", "three", "", None, "zwei drei"]
+    bench = spark.createDataFrame([(1, "one two"), (2, "three"), (3, "..."), (4, ""), (5, "one two three"), (6, "zwei")], "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in decontam.contaminated(spark.createDataFrame(rows_of(texts), SCHEMA), bench).collect()}
+    assert got == {(0, 1), (0, 2), (0, 5), (1, 2), (2, 1), (3, 2), (6, 6)}
+
+
+def test_heaviest_subsequence():
+    r = np.random.default_rng(1)
+    for _ in range(50):
+        a, b, w = r.integers(0, 6, 9), r.integers(0, 6, 14).tolist(), r.random(9)
+        t = np.zeros((10, 15))
+        for i in range(9):
+            for j in range(14):
+                t[i + 1, j + 1] = max(t[i, j + 1], t[i + 1, j], t[i, j] + w[i] if a[i] == b[j] else 0)
+        assert decontam.heaviest(a.astype(np.uint64), w, b) == pytest.approx(t[-1, -1])
+
+
 def test_common_subsequence():
     r = np.random.default_rng(0)
     for _ in range(50):
