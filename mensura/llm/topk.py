@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from mensura.llm.shared import spread, stage
 
-BLOCKS = "part int, number long, ids binary, dims int, rows binary, queries binary, query_rows binary, floors binary"
+BLOCKS = "part int, number long, first long, ids binary, dims int, rows binary, queries binary, query_numbers binary, query_rows binary, floors binary"
+FOUND = "query_number long, query_id long, vec_id long, score long"
 
 
 def quantised(vector: Column, scale: int = 256) -> Column:
@@ -64,16 +65,16 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, bl
     """The k best of all other rows for every row whose vec_id is divisible by ``every``: query_id,
     rank, vec_id, score; ties to the smaller vec_id; fewer than k rows if there are fewer. Vectors
     that are null or hold a null or non-finite component, and null vec_ids, take no part; shorter
-    vectors count as padded with zeros; rows that share the query's vec_id are its own. Scores must
-    fit a long. A task holds one group of blocks and one block of queries, whatever the table holds."""
+    vectors count as padded with zeros. Repeated query rows have k answers each, and only the query's own
+    row is no candidate: others with its vec_id are. Scores must fit a long. A task holds one group of blocks and one block of queries, whatever the table holds."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number = TaskContext.get().partitionId(), 0
+        part, number, passed = TaskContext.get().partitionId(), 0, 0
         ids: list[int] = []
         rows: list[list[int]] = []
 
         def cut(n: int) -> pa.RecordBatch:
-            nonlocal number
+            nonlocal number, passed
             a = np.array(ids[:n], np.int64)
             dims = max(map(len, rows[:n]))
             m = np.zeros((n, dims), np.int64)
@@ -82,13 +83,14 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, bl
             del ids[:n], rows[:n]
             q = np.flatnonzero(a % every == 0)
             s = _dot(m[q], m)
-            own = a[q][:, None] == a[None, :]
             # The k-th score within its own block is a floor for a query's k-th score.
-            worst = np.where(own, np.iinfo(np.int64).max, -s)
+            worst = -s
+            worst[np.arange(len(q)), q] = np.iinfo(np.int64).max
             floors = -np.partition(worst, k - 1, axis=1)[:, k - 1] if n > k else np.full(len(q), np.iinfo(np.int64).min)
-            number += 1
-            values = (part, number - 1, a.tobytes(), dims, m.tobytes(), a[q].tobytes(), m[q].tobytes(), floors.astype(np.int64).tobytes())
-            kinds = (pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+            first = (part << 40) + passed  # rows are numbered in this order
+            number, passed = number + 1, passed + n
+            values = (part, number - 1, first, a.tobytes(), dims, m.tobytes(), a[q].tobytes(), (first + q).astype(np.int64).tobytes(), m[q].tobytes(), floors.astype(np.int64).tobytes())
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
             return pa.record_batch([pa.array([v], t) for v, t in zip(values, kinds)], names=[c.split()[0] for c in BLOCKS.split(", ")])
 
         for batch in batches:
@@ -109,12 +111,12 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, bl
     sizes = blocks.agg(F.count("*").alias("n"), F.sum(F.length("queries") / 8).alias("q")).first()
     groups, sets = max(1, math.ceil((sizes["n"] or 0) / group)), max(1, math.ceil((sizes["q"] or 0) / query_block))
     blocks = blocks.withColumn("g", spread(F.struct("part", "number"), groups))
-    index = blocks.select("ids", "dims", "rows", "g", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))).alias("s"))
+    index = blocks.select("first", "ids", "dims", "rows", "g", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))).alias("s"))
     asked = blocks.filter(F.length("queries") > 0).withColumn("s", spread(F.struct("number", "part"), sets))
-    asked = asked.select("queries", "dims", "query_rows", "floors", "s", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
-    found = index.groupBy("g", "s").cogroup(asked.groupBy("g", "s")).applyInArrow(score, "query_id long, vec_id long, score long")
+    asked = asked.select("queries", "query_numbers", "dims", "query_rows", "floors", "s", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
+    found = index.groupBy("g", "s").cogroup(asked.groupBy("g", "s")).applyInArrow(score, FOUND)
     # Each group returned its k best; the best of those are the best of all, k a task before the shuffle.
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("query_number").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
@@ -123,13 +125,14 @@ def _score(blocks: list[dict], asked: list[dict], k: int) -> pa.RecordBatch:
     """The k best of these blocks for these queries."""
     empty = np.zeros(0, np.int64)
     if not blocks or not asked:
-        return pa.record_batch([pa.array(empty)] * 3, names=["query_id", "vec_id", "score"])
+        return pa.record_batch([pa.array(empty)] * 4, names=["query_number", "query_id", "vec_id", "score"])
     dims = max(r["dims"] for r in [*blocks, *asked])
     matrix = lambda raw, d: _wide(np.frombuffer(raw, np.int64).reshape(-1, d) if d else np.zeros((0, 0), np.int64), dims)
     ids = [np.frombuffer(b["ids"], np.int64) for b in blocks]
     rows = [matrix(b["rows"], b["dims"]) if dims else np.zeros((len(i), 0), np.int64) for b, i in zip(blocks, ids)]
     rows = [m if len(m) == len(i) else np.zeros((len(i), dims), np.int64) for m, i in zip(rows, ids)]
     qid = np.concatenate([np.frombuffer(r["queries"], np.int64) for r in asked])
+    own = np.concatenate([np.frombuffer(r["query_numbers"], np.int64) for r in asked])
     q = np.concatenate([matrix(r["query_rows"], r["dims"]) if r["dims"] else np.zeros((len(r["queries"]) // 8, dims), np.int64) for r in asked])
     floor = np.concatenate([np.frombuffer(r["floors"], np.int64) for r in asked])
     high, low = np.stack([m.max(axis=0) for m in rows]), np.stack([m.min(axis=0) for m in rows])
@@ -146,20 +149,20 @@ def _score(blocks: list[dict], asked: list[dict], k: int) -> pa.RecordBatch:
         for b in np.unique(order[active, step]):
             who = active[order[active, step] == b]
             s = _dot(q[who], rows[b])
-            i, j = np.nonzero((s >= kth[who][:, None]) & (qid[who][:, None] != ids[b][None, :]))
+            i, j = np.nonzero((s >= kth[who][:, None]) & (own[who][:, None] != blocks[b]["first"] + np.arange(len(ids[b]))))
             new.append((who[i], s[i, j], ids[b][j]))
         top, score, vec = (np.concatenate(x) for x in zip(*new))
         keep = _best(top, score, vec, k)
         top, score, vec = top[keep], score[keep], vec[keep]
         kth = _kth(top, score, len(qid), k, floor)
-    return pa.record_batch([pa.array(qid[top]), pa.array(vec), pa.array(score)], names=["query_id", "vec_id", "score"])
+    return pa.record_batch([pa.array(own[top]), pa.array(qid[top]), pa.array(vec), pa.array(score)], names=["query_number", "query_id", "vec_id", "score"])
 
 
 ORACLE = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
-r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
+s AS (SELECT q.n, q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.n <> q.n),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
 SELECT * FROM r WHERE rank <= 5"""

@@ -313,9 +313,9 @@ def test_topk_equals_brute_force(spark):
     rows += [(600, None, 1), (650, [float("nan")] * 8, 1), (700, [None] * 8, 1), (750, [float("inf")] + [0.0] * 7, 1), (None, [0.1] * 8, 1), (50, rows[50][1], 1), (800, [0.3, -0.2], 2)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     fine = [(i, [int(np.floor(256 * float(np.float32(x)))) for x in v]) for i, v, _ in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
-    want = []  # rows that share a query's id are its own; their answers count together
-    for q in sorted({i for i, _ in fine if i % 50 == 0}):
-        scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for p, a in fine if p == q for i, b in fine if i != q)
+    want = []  # every query row has its own answers, other rows of its id among them
+    for n, (q, a) in enumerate(fine):
+        scored = [] if q % 50 else sorted((-sum(x * y for x, y in zip(a, b)), i) for m, (i, b) in enumerate(fine) if m != n)
         want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored[:5])]
     got = topk.search(df, block=32, group=2, query_block=4).collect()
     assert sorted((g["query_id"], g["rank"], g["vec_id"], g["score"]) for g in got) == sorted(want)
@@ -326,6 +326,15 @@ def test_topk_equals_brute_force(spark):
     assert [(g["rank"], g["vec_id"]) for g in two] == [(1, 1)]
 
 
+def test_topk_answers_each_repeated_query_row(spark):
+    rows = [(i, [1.0 + i / 100, 2.0]) for i in range(1, 9)] + [(50, [1.0, 1.0])] * 2 + [(100, [1.0, 1.0])]
+    got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), block=4).collect()
+    of = {q: sorted((g["rank"], g["vec_id"]) for g in got if g["query_id"] == q) for q in (50, 100)}
+    assert of == {50: [(k, 9 - k) for k in range(1, 6) for _ in (0, 1)], 100: [(k, 9 - k) for k in range(1, 6)]}
+    low = topk.search(spark.createDataFrame([(50, [1.0]), (50, [2.0]), (51, [0.5])], "vec_id long, embedding array<float>")).collect()
+    assert sorted((g["rank"], g["vec_id"], g["score"]) for g in low) == [(1, 50, 131072)] * 2 + [(2, 51, 32768), (2, 51, 65536)]
+
+
 def test_topk_keeps_the_last_rank_of_one_block(spark):
     r = np.random.default_rng(31)
     for n, block in ((40, 1024), (200, 50)):  # one block; the nearest ids are the nearest vectors
