@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mensura.llm.shared import own_batches, spread, stage
+from mensura.llm.shared import own_batches, shipped, spread, stage
 from mensura.llm.wordids import word_ids
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -27,9 +27,10 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, end: int = 1, keep_i
     """Token ids of each text with ``end`` appended, cut at multiples of ``capacity``. Null text is
     empty and yields the one piece that holds ``end``. With keep_ids each piece carries its ids as
     little-endian unsigned 32-bit numbers."""
+    path = shipped(docs.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = word_ids(vocabulary)
+        ids_of = word_ids(path())
         names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + keep_ids]
         for batch in batches:
             for i, j, ids, ends in ids_of.ended(batch.column(1), end):

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mensura.llm.shared import own_batches, place, stage
+from mensura.llm.shared import own_batches, place, shipped, stage
 from mensura.llm.wordids import word_ids
 
 MAGIC, BLOCK = b"PFOR0001", 256
@@ -131,12 +131,13 @@ def write(docs: DataFrame, path: str, vocabulary: str, end: int = 1, file_ids: i
     doc_ids by a hash of the text) to files of about ``file_ids`` ids under path, a folder that all
     executors share. Null text is empty. Returns the manifest (file, part, number, documents, ids,
     base: ids in all files before it). A retried task writes the same bytes under the same name."""
+    sent = shipped(docs.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(path)
-        ids_of, context = word_ids(vocabulary), TaskContext.get()
+        ids_of, context = word_ids(sent()), TaskContext.get()
         part, attempt = context.partitionId(), context.taskAttemptId()
         made, docs_, lengths, parts, size = [], [], [], [], 0
 
