@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mensura.functions.scalar import c, clip, flagged
-from mensura.operators.robust import MAD_SCALE, quantile
+from mensura.operators.ranking import quantiles
+from mensura.operators.robust import MAD_SCALE
 from mensura.staging import numbered
 
 
@@ -48,8 +49,9 @@ def flag_counts(df: DataFrame, flags: str) -> DataFrame:
 def nuisance(df: DataFrame, x: str, tail: float = 0.08) -> DataFrame:
     """Adds robust z, a score of how far it is out, and flags beyond the quantile tails; centre,
     scale and quantiles are one row."""
-    one = df.agg(F.median(x).alias("_med"), quantile(x, tail).alias("_lo"), quantile(x, 1 - tail).alias("_hi"))
-    mad = df.crossJoin(F.broadcast(one.select("_med"))).agg((MAD_SCALE * F.median(F.abs(c(x) - F.col("_med")))).alias("_mad"))
+    one = quantiles(df, {"_med": (x, 0.5), "_lo": (x, tail), "_hi": (x, 1 - tail)})
+    off = df.crossJoin(F.broadcast(one.select("_med"))).select(F.abs(c(x) - F.col("_med")).alias("_off"))
+    mad = quantiles(off, {"_mad": ("_off", 0.5)}).select((MAD_SCALE * F.col("_mad")).alias("_mad"))
     z = (c(x) - F.col("_med")) / F.greatest(F.col("_mad"), F.lit(1e-9))
     out = df.crossJoin(F.broadcast(one)).crossJoin(F.broadcast(mad))
     flags = flagged({"low_tail": c(x) < F.col("_lo"), "high_tail": c(x) > F.col("_hi"), "outlier": F.abs(z) > 3.5})

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mensura.functions.scalar import c, finite
+from mensura.operators.ranking import quantiles
 
 MAD_SCALE = 1.4826
 
@@ -24,13 +25,15 @@ def iqr(x) -> Column:
 
 
 def with_mad(df: DataFrame, x: str, by: list[str]) -> DataFrame:
-    """One row a group: n, centre (median) and scale (1.4826 times the median deviation). Two
-    aggregates; the medians join back, so no window holds a group."""
-    centre = df.groupBy(*by).agg(finite_median(x).alias("centre"))
+    """One row a group: n, centre (median) and scale (1.4826 times the median deviation), exact for groups
+    of any size. The medians join back, so no window holds a group."""
+    centre = quantiles(df, {"centre": (x, 0.5)}, by)
     both = df.join(centre.withColumnsRenamed({b: f"_{b}" for b in by}), _same(by)) if by else df.crossJoin(F.broadcast(centre))
-    return both.groupBy(*by).agg(
-        F.count(finite(x)).alias("n"), F.first("centre").alias("centre"), (MAD_SCALE * finite_median(F.abs(c(x) - F.col("centre")))).alias("scale")
-    )
+    off = both.select(*by, "centre", finite(x).alias("_x"))
+    scale = quantiles(off, {"_scale": (F.abs(F.col("_x") - F.col("centre")), 0.5)}, by).withColumnsRenamed({b: f"_{b}" for b in by})
+    one = off.groupBy(*by).agg(F.count("_x").alias("n"), F.first("centre").alias("centre"))
+    one = one.join(scale, _same(by)) if by else one.crossJoin(F.broadcast(scale))
+    return one.select(*by, "n", "centre", (MAD_SCALE * F.col("_scale")).alias("scale"))
 
 
 def _same(by: list[str]) -> Column:
@@ -82,9 +85,8 @@ def runs(df: DataFrame, by: list[str], x: str, gap: float, order: list[str]) ->
 
 
 def tertiles(df: DataFrame, x: str, name: str, low: float = 1 / 3, high: float = 2 / 3) -> DataFrame:
-    """low, medium or high against the global quantiles; ties share a bin. The quantiles are one
-    row."""
-    cuts = df.agg(quantile(x, low).alias("_q1"), quantile(x, high).alias("_q2"))
+    """low, medium or high against the global quantiles, which are one row; ties share a bin."""
+    cuts = quantiles(df, {"_q1": (x, low), "_q2": (x, high)})
     label = F.when(c(x) <= F.col("_q1"), "low").when(c(x) <= F.col("_q2"), "medium").otherwise("high")
     return df.crossJoin(F.broadcast(cuts)).withColumn(name, label).drop("_q1", "_q2")
 
@@ -105,15 +107,7 @@ def unit_scale(df: DataFrame, x: str, by: list[str], name: str) -> DataFrame:
 
 def median_of(df: DataFrame, x: str, inner: list[str], outer: list[str], how: str) -> DataFrame:
     """Median over groups of the inner median or mean: two different things."""
-    first = (finite_median(x) if how == "median" else F.avg(finite(x))).alias("_v")
-    return df.groupBy(*inner).agg(first).groupBy(*outer).agg(F.count("*").alias("groups"), finite_median("_v").alias("value"))
-
-
-def average_rank(df: DataFrame, x: str, by: list[str], name: str) -> DataFrame:
-    """Ranks from one, ties sharing their mean, without one window over all rows: counts of distinct
-    values are summed before them."""
-    counts = df.groupBy(*by, x).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*by).orderBy(x)
-    ranks = counts.withColumn(name, F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - (F.col("_n") - 1) / 2.0).drop("_n")
-    ranks = ranks.withColumnsRenamed({b: f"_{b}" for b in by} | {x: "_x"})
-    return df.join(ranks, _same(by) & F.col(x).eqNullSafe(F.col("_x"))).drop("_x", *[f"_{b}" for b in by])
+    first = quantiles(df, {"_v": (x, 0.5)}, inner) if how == "median" else df.groupBy(*inner).agg(F.avg(finite(x)).alias("_v"))
+    values = quantiles(first, {"value": ("_v", 0.5)}, outer).withColumnsRenamed({b: f"_{b}" for b in outer})
+    sizes = first.groupBy(*outer).agg(F.count("*").alias("groups"))
+    return (sizes.join(values, _same(outer)) if outer else sizes.crossJoin(F.broadcast(values))).select(*outer, "groups", "value")

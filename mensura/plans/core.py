@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mensura.operators.ranking import quantiles
 from mensura.session import table
 
 
@@ -12,14 +13,9 @@ def method_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Per language: count, non-collapse rate, median, IQR, cap rate and utility of n_chars."""
     lines = F.size(F.split("text", "\n"))
     d = table(spark, sf, "documents").select("lang", "n_chars", lines.alias("n_lines"))
-    g = d.groupBy("lang").agg(
-        F.count("*").alias("n"),
-        F.avg((F.col("n_chars") > 1).cast("double")).alias("noncollapse"),
-        F.median("n_chars").alias("med"),
-        (F.percentile("n_chars", 0.75) - F.percentile("n_chars", 0.25)).alias("iqr"),
-        F.avg((F.col("n_chars") >= 5000).cast("double")).alias("cap"),
-        F.median("n_lines").alias("med_lines"),
-    )
+    g = d.groupBy("lang").agg(F.count("*").alias("n"), F.avg((F.col("n_chars") > 1).cast("double")).alias("noncollapse"), F.avg((F.col("n_chars") >= 5000).cast("double")).alias("cap"))
+    q = quantiles(d, {"med": ("n_chars", 0.5), "q1": ("n_chars", 0.25), "q3": ("n_chars", 0.75), "med_lines": ("n_lines", 0.5)}, ["lang"])
+    g = g.alias("g").join(q.alias("q"), F.col("g.lang").eqNullSafe(F.col("q.lang"))).select("g.*", "med", (F.col("q3") - F.col("q1")).alias("iqr"), "med_lines")
     utility = F.least(F.col("med") / 5000, F.lit(1.0)) + 0.15 * F.col("noncollapse") - 0.25 * F.col("cap")
     return g.select(
         "lang", "n", F.round("noncollapse", 6).alias("noncollapse_rate"), F.round("med", 4).alias("median_chars"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mensura.functions import scalar as S
 from mensura.operators import audit, dedup, robust, split
+from mensura.operators.ranking import average_rank
 from mensura.session import table
 from mensura.staging import numbered
 
@@ -385,14 +386,14 @@ _RANKED = "SELECT quality, toxic, n_chars, rank() OVER (ORDER BY n_chars) + (cou
 
 
 def _labelled(spark, sf) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", "n_chars", "source", "lang").join(table(spark, sf, "labels"), "doc_id")
-    return robust.average_rank(d, "n_chars", [], "r")
+    d = table(spark, sf, "documents").select("doc_id", "n_chars", "source", "lang", F.size(F.split("text", "\n")).alias("n_lines"))
+    return d.join(table(spark, sf, "labels"), "doc_id")
 
 
 @query(f"WITH r AS ({_RANKED}) SELECT sum(r) FILTER (quality = 1) - count(*) FILTER (quality = 1) * (count(*) FILTER (quality = 1) + 1) / 2.0 AS u, count(*) FILTER (quality = 1) AS n1, count(*) FILTER (quality = 0) AS n0 FROM r")
 def mann_whitney_u(spark, sf):
     n1 = F.count_if(F.col("quality") == 1)
-    return _labelled(spark, sf).agg((F.sum(F.when(F.col("quality") == 1, F.col("r"))) - n1 * (n1 + 1) / 2.0).alias("u"), n1.alias("n1"), F.count_if(F.col("quality") == 0).alias("n0"))
+    return average_rank(_labelled(spark, sf), "n_chars", [], "r").agg((F.sum(F.when(F.col("quality") == 1, F.col("r"))) - n1 * (n1 + 1) / 2.0).alias("u"), n1.alias("n1"), F.count_if(F.col("quality") == 0).alias("n0"))
 
 
 @query("""WITH r AS (SELECT lang, n_chars, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2.0 AS r FROM documents),
@@ -413,8 +414,21 @@ def spearman_rho(spark, sf):
     return spearman(d, "n_chars", "l").select(F.round("rho", 6).alias("rho"), "n")
 
 
-@query()
+# Tails by adding up densities: of the normal from 0, of chi-square beyond h, of Student's t from 0.
+@query("""WITH d AS (SELECT n_chars AS x, len(string_split(text, chr(10))) AS o, quality, lang FROM documents JOIN labels USING (doc_id)),
+r AS (SELECT *, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY o) + (count(*) OVER (PARTITION BY o) - 1) / 2.0 AS ro FROM d),
+t AS (SELECT sum(k * k * k - k) AS t FROM (SELECT count(*)::DOUBLE AS k FROM d GROUP BY x)),
+m AS (SELECT sum(rx) FILTER (quality = 1) - count(*) FILTER (quality = 1) * (count(*) FILTER (quality = 1) + 1) / 2.0 AS u, count(*) FILTER (quality = 1)::DOUBLE AS n1, count(*) FILTER (quality = 0)::DOUBLE AS n0,
+  corr(rx, ro) AS rho, count(*)::DOUBLE AS n FROM r),
+g AS (SELECT count(*)::DOUBLE AS n, sum(rx) AS s FROM r GROUP BY lang),
+h AS (SELECT (12.0 / (any_value(m.n) * (any_value(m.n) + 1)) * sum(g.s * g.s / g.n) - 3 * (any_value(m.n) + 1)) / (1 - any_value(t.t) / (any_value(m.n) * any_value(m.n) * any_value(m.n) - any_value(m.n))) AS h, count(*) - 1.0 AS k FROM g, m, t),
+z AS (SELECT *, greatest(0.0, abs(u - n1 * n0 / 2) - 0.5) / sqrt(n1 * n0 / 12 * (n + 1 - t / (n * (n - 1)))) AS z, abs(rho) * sqrt((n - 2) / (1 - rho * rho)) AS s FROM m, t, h),
+i AS (SELECT unnest(range(100000)) + 0.5 AS i)
+SELECT 'mann_whitney_u' AS test, round(any_value(u), 6) AS statistic, round(1 - 2 * sum(exp(-power(z * i / 1e5, 2) / 2) / sqrt(2 * pi()) * z / 1e5), 6) AS p_value FROM z, i
+UNION ALL SELECT 'kruskal_wallis', round(any_value(h), 6), round(sum(power(h + i / 500, k / 2 - 1) * exp(-(h + i / 500) / 2) / (power(2, k / 2) * gamma(k / 2)) / 500), 6) FROM z, i
+UNION ALL SELECT 'spearman', round(any_value(rho), 6), round(1 - 2 * sum(exp(lgamma((n - 1) / 2) - lgamma((n - 2) / 2)) / sqrt((n - 2) * pi()) * power(1 + power(s * i / 1e5, 2) / (n - 2), -(n - 1) / 2) * s / 1e5), 6) FROM z, i""")
 def association_tests(spark, sf):
     from mensura.operators.stats import association
 
-    return association(_labelled(spark, sf).select("n_chars", "quality", "lang", "r"), "n_chars", "quality", "lang")
+    got = association(_labelled(spark, sf), "n_chars", "quality", "lang", "n_lines")
+    return got.select("test", F.round("statistic", 6).alias("statistic"), F.round("p_value", 6).alias("p_value"))

@@ -68,3 +68,19 @@ def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
     sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n")).select(F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     own = ranged.withColumn(name, F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
     return own.join(F.broadcast(sizes), F.col("_range") == F.col("_r")).withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_r", "_before")
+
+
+def running(df: DataFrame, group: list[str], order: list[str], width: str, name: str) -> DataFrame:
+    """Adds the sum of ``width`` over the rows before in their group by ``order``, which tells its rows
+    apart. Rows are ranged by group and order and summed within their range; ranges add what lies before
+    them, of which a group has no more than there are ranges."""
+    ranged = stage(df.repartitionByRange(*group, *order).withColumn("_range", F.spark_partition_id()), "ranged")
+    here = Window.partitionBy("_range", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("_range", *group).agg(F.sum(width).alias("_w")).withColumn("_before", F.coalesce(F.sum("_w").over(before), F.lit(0)))
+    sums = sums.select(F.col("_range").alias("_r"), *[F.col(g).alias(f"_r{i}") for i, g in enumerate(group)], "_before")
+    same = F.col("_range") == F.col("_r")
+    for i, g in enumerate(group):
+        same &= F.col(g).eqNullSafe(F.col(f"_r{i}"))
+    own = ranged.withColumn(name, F.coalesce(F.sum(width).over(here), F.lit(0)))
+    return own.join(sums, same).withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_r", "_before", *[f"_r{i}" for i in range(len(group))])
