@@ -8,28 +8,71 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mensura.functions.scalar import affine_inverse, clip, distance
+from mensura.staging import stage
 
 
 def nearest(points: DataFrame, targets: DataFrame, item: str, point: str, target: str, radius: float | None = None) -> DataFrame:
     """points with target id and distance of the nearest target of the same item; ties to the least
     id. With a radius both sides meet in grid cells of its size (3 x 3 probed), which is exact up to
-    the radius; without one each item's points meet its targets."""
-    t = targets.select(F.col(item).alias("_i"), F.col(target).alias("_t"), F.col("x").alias("_tx"), F.col("y").alias("_ty"))
+    the radius; without one by ``nearest_any``."""
     if radius is None:
-        both = points.join(t, F.col(item) == F.col("_i"))
-    else:
-        cell = lambda v: F.floor(F.col(v) / radius)
-        probe = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-        near = points.withColumn("_p", F.explode(probe)).withColumns({"_cx": cell("x") + F.col("_p.a"), "_cy": cell("y") + F.col("_p.b")})
-        t = t.withColumns({"_gx": cell("_tx"), "_gy": cell("_ty")})
-        both = near.join(t, (F.col(item) == F.col("_i")) & (F.col("_cx") == F.col("_gx")) & (F.col("_cy") == F.col("_gy")))
-    both = both.withColumn("_d", distance("x", "y", "_tx", "_ty"))
-    if radius is not None:
-        both = both.filter(F.col("_d") <= radius)
+        return nearest_any(points, targets, item, point, target)
+    t = targets.select(F.col(item).alias("_i"), F.col(target).alias("_t"), F.col("x").alias("_tx"), F.col("y").alias("_ty"))
+    cell = lambda v: F.floor(F.col(v) / radius)
+    probe = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    near = points.withColumn("_p", F.explode(probe)).withColumns({"_cx": cell("x") + F.col("_p.a"), "_cy": cell("y") + F.col("_p.b")})
+    t = t.withColumns({"_gx": cell("_tx"), "_gy": cell("_ty")})
+    both = near.join(t, (F.col(item) == F.col("_i")) & (F.col("_cx") == F.col("_gx")) & (F.col("_cy") == F.col("_gy")))
+    both = both.withColumn("_d", distance("x", "y", "_tx", "_ty")).filter(F.col("_d") <= radius)
     best = both.groupBy(item, point).agg(F.min(F.struct("_d", "_t")).alias("b"))
     return best.select(item, point, F.col("b._t").alias(target), F.col("b._d").alias("distance"))
 
 
+def nearest_any(points: DataFrame, targets: DataFrame, item: str, point: str, target: str, leaf: int = 8, depth: int = 20) -> DataFrame:
+    """The nearest target of the same item at any distance, ties to the least id; points of items without
+    targets, and places that are null or not finite, are absent.
+
+    Targets lie in a tree of cells: a cell of more than ``leaf`` places is cut into 4 x 4, ``depth`` times
+    at most. All points go down together, a level a round: of a point's cells those stay that may be
+    nearer than the farthest corner of any of them, as no cell is empty. So a point meets few targets,
+    however they cluster and however far it is."""
+    real = lambda d: d.filter(d["x"].isNotNull() & d["y"].isNotNull() & ~F.isnan("x") & ~F.isnan("y") & (F.abs("x") < float("inf")) & (F.abs("y") < float("inf")))
+    t = real(targets.select(F.col(item).alias("i"), F.col(target).alias("t"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))
+    t = t.groupBy("i", "x", "y").agg(F.min("t").alias("t"))
+    boxes = t.groupBy("i").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("wide"))
+    boxes = stage(boxes.withColumn("wide", F.greatest(F.col("wide") * (1 + 1e-12), F.lit(1e-300))), "boxes")
+    keys = ["i", "cx", "cy"]
+    cells, leaves, left, level = [], None, t.join(boxes, "i"), 0
+    while True:
+        cell = lambda v, low, k=level: F.floor((F.col(v) - F.col(low)) / F.col("wide") * 4.0**k).cast("long")
+        left = left.withColumns({"cx": cell("x", "x0"), "cy": cell("y", "y0")})
+        sized = stage(left.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("leaf", (F.col("n") <= leaf) | (F.lit(level) == depth)), "cells")
+        here = left.join(sized.filter("leaf"), keys, "left_semi").select("i", F.lit(level).alias("level"), "cx", "cy", "t", F.col("x").alias("tx"), F.col("y").alias("ty"))
+        leaves = here if leaves is None else leaves.unionByName(here)
+        cells.append(sized.select(*keys, "leaf"))
+        if sized.filter("NOT leaf").isEmpty():
+            break
+        left = stage(left.join(sized.filter("NOT leaf"), keys, "left_semi"), "crowded")
+        level += 1
+    p = real(points.select(F.col(item).alias("i"), F.col(point).alias("p"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))).distinct()
+    met = p.join(boxes, "i").join(cells[0], "i").withColumn("level", F.lit(0))
+    step = F.col("wide") / F.pow(F.lit(4.0), "level")
+    low = lambda v, c, v0: F.greatest(F.col(v0) + F.col(c) * step - F.col(v), F.col(v) - F.col(v0) - (F.col(c) + 1) * step, F.lit(0.0))
+    high = lambda v, c, v0: F.greatest(F.abs(F.col(v0) + F.col(c) * step - F.col(v)), F.abs(F.col(v) - F.col(v0) - (F.col(c) + 1) * step))
+    for k, below in enumerate(cells[1:]):
+        children = below.select("i", F.floor(F.col("cx") / 4).alias("px"), F.floor(F.col("cy") / 4).alias("py"), F.col("cx").alias("x_"), F.col("cy").alias("y_"), F.col("leaf").alias("leaf_"))
+        down = met.filter("NOT leaf").withColumnsRenamed({"cx": "px", "cy": "py"}).join(children, ["i", "px", "py"])
+        down = down.withColumns({"cx": F.col("x_"), "cy": F.col("y_"), "leaf": F.col("leaf_"), "level": F.lit(k + 1)}).select(*met.columns)
+        met = met.filter("leaf").unionByName(down)
+        bound = F.min(F.hypot(high("x", "cx", "x0"), high("y", "cy", "y0"))).over(Window.partitionBy("i", "p"))
+        near = F.hypot(low("x", "cx", "x0"), low("y", "cy", "y0"))
+        met = met.withColumns({"_far": bound, "_near": near}).filter(F.col("_near") <= F.col("_far") + 1e-9 * (F.col("_far") + F.col("wide")))
+        met = stage(met.drop("_far", "_near"), "met")
+    both = met.filter("leaf").join(leaves, ["i", "level", "cx", "cy"])
+    best = both.groupBy("i", "p").agg(F.min(F.struct(distance("x", "y", "tx", "ty").alias("d"), "t")).alias("b"))
+    return best.select(F.col("i").alias(item), F.col("p").alias(point), F.col("b.t").alias(target), F.col("b.d").alias("distance"))
+
+
 def hungarian(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows and columns of a least-cost full matching of the smaller side, by shortest augmenting
     paths with potentials."""

@@ -1,25 +1,13 @@
-"""Plant images, one at a time: colour masks, the shoot-side region of interest and its basal
-transition, structural candidates, white backgrounds and crops.
-
-Rules are fixed by their thresholds; shapes come from the primitives of ``raster``."""
+"""Plant images, one at a time: colours, white backgrounds, corners and crops. What plants are made of is
+found on pixel tables, in ``plant``."""
 
 from __future__ import annotations
 
 import math
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
-
-from mensura.operators import keypoints, raster
-from mensura.operators.graph import merged_endpoints, persistent_junctions, pixel_graph
-
-MAD = 1.4826
-# Where the boundary of a region came from.
-FROM_SEED = "estimated_seed"
-FROM_ROOT = "seed_base_root_mask"
-FROM_HINT = "manifest_automatic_base_hint_fallback"
 
+from mensura.operators import raster
 
 class Colours:
     """The channels of an eight-bit image as numbers: r, g, b, hue (0 to 179), saturation, value, and
@@ -47,11 +35,6 @@ def frame(shape: tuple[int, ...], thickness: int) -> np.ndarray:
     return out
 
 
-def _spread(v: np.ndarray) -> tuple[float, float]:
-    centre = float(np.median(v))
-    return centre, float(np.median(np.abs(v - centre)))
-
-
 def audit_mask(image: np.ndarray) -> np.ndarray:
     """The inclusive vegetation rule for audits and crops, opened and closed, without specks."""
     c = Colours(image)
@@ -62,30 +45,6 @@ def audit_mask(image: np.ndarray) -> np.ndarray:
     return raster.at_least(m, max(20, round(m.size * 0.00004)))
 
 
-def confident_mask(image: np.ndarray) -> tuple[np.ndarray, dict]:
-    """Plant pixels by statistics of the border. Where the border is nearly of one colour, what is far
-    from it (the largest component, holes filled) if that is a likely share of the image; otherwise
-    colour well beyond the border's saturation and excess of green, without small components."""
-    edge = frame(image.shape, max(2, round(min(image.shape[:2]) * 0.04)))
-    least = max(20, round(edge.size * 0.00004))
-    rgb = image.astype(float)
-    off = np.linalg.norm(rgb - np.median(rgb[edge], axis=0), axis=2)
-    centre, deviation = _spread(off[edge])
-    if deviation <= 3.0:
-        limit = max(9.0, centre + 6 * MAD * deviation + 5)
-        m = raster.largest(raster.closed(off >= limit, 1))
-        m = raster.filled(m) if m.sum() >= least else np.zeros_like(edge)
-        if 0.0001 <= m.mean() <= 0.45:
-            return m, {"uniform": True, "limit": limit}
-    c = Colours(image)
-    (s, s_mad), (x, x_mad) = _spread(c.saturation[edge]), _spread(c.excess[edge])
-    saturated, excess = float(np.clip(s + 4 * MAD * s_mad, 45, 85)), float(np.clip(x + 3 * MAD * x_mad, 15, 30))
-    hue = (c.hue >= 18) & (c.hue <= 100) & (c.saturation >= saturated) & (c.value >= 22)
-    more = (c.excess >= excess) & (c.saturation >= max(28.0, 0.62 * saturated)) & (c.g >= 35) & (c.g >= c.r - 3) & (c.g >= c.b - 3)
-    m = raster.closed(raster.opened(hue | more, 1), 2)
-    return raster.at_least(m, least, 0.025), {"uniform": False, "saturation": saturated, "excess": excess}
-
-
 def on_white(image: np.ndarray, level: int = 248) -> np.ndarray:
     """Foreground of an image on white."""
     return (image < level).any(axis=2)
@@ -97,106 +56,6 @@ def green_core(image: np.ndarray) -> np.ndarray:
     return (c.hue >= 24) & (c.hue <= 92) & (c.saturation >= 30) & (c.excess >= 7)
 
 
-def seed_mask(image: np.ndarray, root: np.ndarray) -> np.ndarray:
-    """The attached seed: the largest brown component near the root."""
-    c = Colours(image)
-    brown = (c.hue <= 35) & (c.saturation >= 24) & (c.value >= 18) & (c.value <= 245) & ((c.r >= 0.98 * c.g) | (c.r >= 1.08 * c.b))
-    m = raster.at_least(raster.closed(brown & raster.dilate(root, 3), 1), max(8, round(root.size * 0.00001)))
-    return raster.largest(m) if m.any() else m
-
-
-def valid_hint(hint, shape: tuple[int, int]) -> np.ndarray | None:
-    """A place (x, y) clipped into the frame; None if it is no finite pair within 5 % of it."""
-    try:
-        xy = np.array([float(v) for v in hint])
-    except (TypeError, ValueError):
-        return None
-    size = np.array([shape[1], shape[0]], float)
-    if xy.shape != (2,) or not np.isfinite(xy).all() or (xy < -0.05 * size).any() or (xy > 1.05 * size).any():
-        return None
-    return np.clip(xy, 0, size - 1)
-
-
-def _points(m: np.ndarray) -> np.ndarray:
-    return np.argwhere(m)[:, ::-1].astype(float)
-
-
-def _nearest(points: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    """The point nearest to any target; targets are taken some at a time."""
-    best = np.full(len(points), np.inf)
-    for k in range(0, len(targets), 256):
-        best = np.minimum(best, ((points[:, None] - targets[None, k : k + 256]) ** 2).sum(axis=2).min(axis=1))
-    return points[int(np.argmin(best))]
-
-
-def _direction(points: np.ndarray, base: np.ndarray) -> np.ndarray:
-    """Unit vector from the base to the far end of the points, or along their principal axis."""
-    if len(points) < 2:
-        return np.array([1.0, 0.0])
-    off = np.linalg.norm(points - base, axis=1)
-    way = points[off >= np.quantile(off, 0.82)].mean(axis=0) - base
-    if np.linalg.norm(way) < 1e-6:
-        middle = points.mean(axis=0)
-        way = np.linalg.eigh(np.cov((points - middle).T))[1][:, -1]
-        way = way if way @ (middle - base) >= 0 else -way
-    return way / max(np.linalg.norm(way), 1e-6)
-
-
-def _linked(m: np.ndarray, seed: np.ndarray) -> np.ndarray:
-    """What lies in bridged components that hold some of the seed; the largest component without one."""
-    if not (m & seed).any():
-        return raster.largest(m)
-    wide = raster.at_least(raster.dilate(m, 2), max(6, round(m.size * 0.000005)))
-    return raster.linked(wide, seed) & m
-
-
-def region_of_interest(image: np.ndarray, shoot: np.ndarray, root: np.ndarray, full: np.ndarray, hint=None) -> dict:
-    """The part of the plant on the shoot's side of its seed (of the root, without one; of a hint,
-    without either): the shoot beyond the boundary and a collar about it, as far as green is linked to
-    them, with the green of the shoot put back where less than 0.9 of it stayed; the transition, which
-    is what of it lies in the collar; and shares that tell how well that went."""
-    shoot, root, full = (np.asarray(m, bool) for m in (shoot, root, full))
-    if not shoot.any():
-        raise ValueError("the shoot mask is empty")
-    at, seed, core = valid_hint(hint, shoot.shape), seed_mask(image, root), green_core(image) & full
-    sources = [(FROM_SEED, seed), (FROM_ROOT, root)]
-    source, target = next(((name, _points(m)) for name, m in sources if m.any()), (FROM_HINT, None if at is None else np.rint(at)[None]))
-    if target is None:
-        raise ValueError("no seed, root or hint to start from")
-    own = _points(shoot)
-    base = _nearest(own, target)
-    green = core & shoot
-    way = _direction(_points(green) if green.sum() >= 20 else own, base)
-    y, x = np.mgrid[: shoot.shape[0], : shoot.shape[1]]
-    along = (x - base[0]) * way[0] + (y - base[1]) * way[1]
-    across = np.abs((y - base[1]) * way[0] - (x - base[0]) * way[1])
-    whole = _points(full)
-    diagonal = max(1.0, float(np.hypot(*(whole.max(axis=0) - whole.min(axis=0)))) if len(whole) else math.hypot(*shoot.shape))
-    collar, side = max(8.0, 0.035 * diagonal), along >= -max(2.0, 0.004 * diagonal)
-    beside = across <= max(7.0, 0.035 * diagonal)
-    margin, stray = raster.dilate(seed, 1), root & ~raster.dilate(shoot, 3)
-    about = full & side & (along <= collar) & beside & ~stray
-    roi = raster.closed(((shoot & side) | about) & ~margin, 1)
-    roi = _linked(roi, core & (along >= max(3.0, 0.012 * diagonal)))
-    if not roi.any():
-        roi = raster.largest(shoot & side)
-    share = lambda part, of: float((part & of).sum()) / max(1, int(of.sum()))
-    before = share(roi, green)
-    if before < 0.9:
-        roi = roi | (raster.dilate(green, 2) & shoot & ~margin)
-    roi = roi & ~stray
-    transition = roi & (along >= 0) & (along <= collar) & beside
-    places = _points(transition if transition.any() else roi)
-    inward = base + way * max(4.0, 0.012 * diagonal)
-    return {
-        "roi": roi, "transition": transition, "seed": seed, "boundary": base, "direction": way, "diagonal": diagonal, "source": source,
-        "centre": places[np.argmin(np.linalg.norm(places - inward, axis=1))] if len(places) else inward,
-        "shoot_retention": share(roi, shoot), "green_retention": share(roi, green), "root_overlap": share(roi, root),
-        "green_retention_before": before, "repaired": before < 0.9,
-        "hint_distance": float("nan") if at is None else float(np.linalg.norm(base - _nearest(own, np.rint(at)[None]))),
-    }
-
-
 def focused(image: np.ndarray, roi: np.ndarray, sigma: float = 0.8) -> np.ndarray:
     """The region on white, with soft edges outwards of the given spread; none with 0."""
     alpha = roi.astype(float)
@@ -210,9 +69,6 @@ def focused(image: np.ndarray, roi: np.ndarray, sigma: float = 0.8) -> np.ndarra
     return np.rint(image * alpha[..., None] + 255 * (1 - alpha[..., None])).astype(np.uint8)
 
 
-# --- candidates ---------------------------------------------------------------------------------------
-
-
 def corners(support: np.ndarray, most: int, quality: float = 0.045, apart: float = 8.0) -> np.ndarray:
     """(x, y) of corners of a mask: the smaller eigenvalue of its gradients' moments over 7 x 7 pixels,
     local maxima of at least a share of the largest, the strongest first and none nearer than apart."""
@@ -237,67 +93,6 @@ def corners(support: np.ndarray, most: int, quality: float = 0.045, apart: float
     return np.array(kept).reshape(-1, 2)
 
 
-def candidates(support: np.ndarray, skel: np.ndarray, contrast: np.ndarray, attention: np.ndarray, most: int, geometry_only: bool = False, transition: np.ndarray | None = None, merge: bool = True) -> pd.DataFrame:
-    """Scored structure of one item, before suppression: x, y, kind, score, contrast, attention by rank.
-    Line ends (merged where they touch), lasting junctions, the skeleton's point nearest to the middle
-    of the transition, corners of the support, and places near the skeleton where the contrast is the
-    largest around and in the top 4 % of the support. What the rules of ``keypoints`` reject is left
-    out; with geometry_only contrast and attention count as 0."""
-    contrast, attention = (np.zeros_like(m, float) if geometry_only else m.astype(float) for m in (contrast, attention))
-    none = pd.DataFrame({k: pd.Series(dtype=t) for k, t in (("x", float), ("y", float), ("kind", str), ("score", float), ("contrast", float), ("attention", float))})
-    if not skel.any():
-        return none
-    xy, adjacency = pixel_graph(skel)
-    degree = np.zeros(skel.shape, int)
-    degree[xy[:, 1].astype(int), xy[:, 0].astype(int)] = [len(a) for a in adjacency]
-    own = _points(support)
-    diagonal = max(1.0, float(np.hypot(*(own.max(axis=0) - own.min(axis=0))))) if len(own) else 1.0
-    apart = max(8, round(0.05 * diagonal))
-    ends = skel & (degree == 1)
-    found = [("endpoint", p) for p in (merged_endpoints(ends, diagonal) if merge else raster.centroids(ends))]
-    found += [("junction", p) for p in persistent_junctions(skel & (degree >= 3), skel, diagonal)]
-    if transition is not None and transition.any():
-        near = _points(skel & raster.dilate(transition, max(2, round(0.01 * diagonal))))
-        if len(near):
-            found.append(("basal_transition", near[np.argmin(np.linalg.norm(near - _points(transition).mean(axis=0), axis=1))]))
-    found += [("corner", p) for p in corners(support, 3 * most, apart=apart)]
-    if not geometry_only and support.any():
-        r = max(5, apart // 2) // 2
-        wide = np.pad(contrast, r, constant_values=-np.inf)
-        top = np.lib.stride_tricks.sliding_window_view(wide, (2 * r + 1, 2 * r + 1)).max(axis=(2, 3))
-        high = (contrast >= top) & (contrast >= np.quantile(contrast[support], 0.96)) & raster.dilate(skel, 4) & support
-        found += [("distinctive", p) for p in _points(high)]
-    rows = []
-    for kind, (x, y) in found:
-        i, j = int(np.clip(round(y), 0, skel.shape[0] - 1)), int(np.clip(round(x), 0, skel.shape[1] - 1))
-        if support[i, j]:
-            score = keypoints.PRIORS[kind] + 0.24 * contrast[i, j] + 0.08 * attention[i, j]
-            least = {"corner": 0.32 if geometry_only else 0.56, "distinctive": 0.57}.get(kind, -math.inf)
-            if score >= least:
-                rows.append((float(x), float(y), kind, float(score), float(contrast[i, j]), float(attention[i, j])))
-    return pd.DataFrame(rows, columns=none.columns).sort_values(["score", "kind", "y", "x"], ascending=[False, True, True, True], ignore_index=True) if rows else none
-
-
-def candidate_table(pixels: DataFrame, most: int = 30, item: str = "item") -> DataFrame:
-    """``candidates`` of every item of a pixel table (item, x, y, contrast, attention) whose rows are its
-    support; an item is one image."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, top = pdf["x"].min() - 2, pdf["y"].min() - 2
-        shape = int(pdf["y"].max() - top) + 3, int(pdf["x"].max() - left) + 3
-        at = (pdf["y"] - top).to_numpy(int), (pdf["x"] - left).to_numpy(int)
-        support, maps = np.zeros(shape, bool), np.zeros((2, *shape))
-        support[at] = True
-        for k, name in enumerate(("contrast", "attention")):
-            maps[k][at] = pdf[name]
-        whole, skel = raster.structural_support(support)
-        got = candidates(whole, skel, maps[0], maps[1], most)
-        return got.assign(x=got["x"] + left, y=got["y"] + top, **{item: pdf[item].iloc[0]})[[item, *got.columns]]
-
-    kind = pixels.schema[item].dataType.simpleString()
-    return pixels.select(item, "x", "y", "contrast", "attention").groupBy(item).applyInPandas(run, f"{item} {kind}, x double, y double, kind string, score double, contrast double, attention double")
-
-
 # --- white backgrounds and crops ----------------------------------------------------------------------
 
 
@@ -319,7 +114,7 @@ def full_plant(image: np.ndarray) -> np.ndarray:
     c, green = Colours(image), raster.at_least(green_core(image), 8)
     brown = (c.r >= 1.04 * c.g) & (c.g >= 1.02 * c.b) & (c.saturation >= 35)
     m = (green | brown) & ~scanner_lines(green | brown)
-    return raster.filled(raster.closed(_linked(m, green), 1)) if green.any() else green
+    return raster.filled(raster.closed(raster.linked(m, green), 1)) if green.any() else green
 
 
 def normalised(image: np.ndarray, pad: float = 0.05, sigma: float = 0.8) -> tuple[np.ndarray, np.ndarray]:

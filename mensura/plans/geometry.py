@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mensura.functions import scalar as S
-from mensura.operators import audit, curve, graph, keypoints, match, phenotype, raster, robust
+from mensura.operators import audit, curve, graph, keypoints, match, plant, raster, robust
 from mensura.session import table
 
 QUERIES, ORACLES = {}, {}
@@ -321,7 +321,7 @@ def mask_components(spark, sf):
 
 @query()
 def skeleton_structures(spark, sf):
-    return graph.structures(raster.dilate_pixels(_mask(spark, sf), 6))
+    return plant.structures(raster.dilate_pixels(_mask(spark, sf), 6))
 
 
 @query()
@@ -333,7 +333,7 @@ def rooted_organ_paths(spark, sf):
 def structural_candidates(spark, sf):
     m = raster.dilate_pixels(_mask(spark, sf), 6)
     maps = {"contrast": ((F.col("x") * 7 + F.col("y") * 13) % 50) / 50.0, "attention": ((F.col("x") + F.col("y") * 3) % 20) / 20.0}
-    return phenotype.candidate_table(m.withColumns(maps))
+    return plant.candidates(m.withColumns(maps))
 
 
 @query()

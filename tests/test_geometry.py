@@ -71,27 +71,23 @@ def test_fork_and_leave_one_out(fork):
     assert len(drops) == 3 and all(d["drop"] > 0 for d in drops)
 
 
+def lowest(g):
+    return max(g["nodes"], key=lambda n: n["y"])["node"]
+
+
 def test_straight_shoot(masks):
     m = np.zeros((25, 25), bool)
     m[3:22, 12] = True
     g = regions(graph.point_graph(m, points((12, 21), (12, 3)), 25, 0.05))
-    out = graph.organ_paths(g, *masks, 25)
-    assert [p["kind"] for p in out["paths"]] == ["main_axis"] and out["failure"] == ""
-    roi, transition = np.zeros_like(m), np.zeros_like(m)
-    roi[3:22, 10:15], transition[19:22, 10:15] = True, True
-    out = graph.organ_paths(g, *masks, 25, roi, transition)
-    assert len(out["paths"]) == 1 and out["selection_rule"] == "learned node inside phenotype ROI nearest shoot-side basal transition"
-    bare = regions(graph.point_graph(m, points((12, 3), (12, 6)), 100, 0.05))
-    far = np.zeros_like(m)
-    far[21:, 12] = True
-    assert graph.organ_paths(bare, *masks, 100, roi, far)["failure"] == "no_learned_node_near_shoot_side_transition"
+    out = graph.organ_paths(g, lowest(g), masks[0], 25)
+    assert [p["kind"] for p in out["paths"]] == ["main_axis"] and out["failure"] == "" and out["base"] == lowest(g)
 
 
 def test_fork_paths_and_missing_tip(fork, masks):
     three = regions(graph.point_graph(fork, points((4, 4), (20, 4), (12, 21)), 25, 0.05))
     two = regions(graph.point_graph(fork, points((4, 4), (12, 21)), 25, 0.05))
-    assert [p["kind"] for p in graph.organ_paths(three, *masks, 25)["paths"]] == ["main_axis", "lateral_branch"]
-    assert len(graph.organ_paths(two, *masks, 25)["paths"]) == 1
+    assert [p["kind"] for p in graph.organ_paths(three, lowest(three), masks[0], 25)["paths"]] == ["main_axis", "lateral_branch"]
+    assert len(graph.organ_paths(two, lowest(two), masks[0], 25)["paths"]) == 1
 
 
 def test_pruning_modes():
@@ -99,17 +95,17 @@ def test_pruning_modes():
     m[8:42, 22] = True
     for k in range(9):
         m[22 - k, 22 + k] = True
-    shoot, root = np.zeros_like(m), np.zeros_like(m)
-    shoot[:34], root[30:] = m[:34], True
+    shoot = np.zeros_like(m)
+    shoot[:34] = m[:34]
     shoot = raster.dilate(shoot, 1)
     g = graph.point_graph(m, points((22, 41, 0.9), (22, 8, 0.9), (30, 14, 0.9)), 400, 0.05)
     for n in g["nodes"]:
         n["region"] = "seed_base_root" if n["y"] > 34 else "shoot"
-    assert len(graph.organ_paths(g, shoot, root, 400)["paths"]) == 1
-    local = graph.organ_paths(g, shoot, root, 400, mode="local_learned_support")
+    assert len(graph.organ_paths(g, lowest(g), shoot, 400)["paths"]) == 1
+    local = graph.organ_paths(g, lowest(g), shoot, 400, mode="local_learned_support")
     assert len(local["paths"]) == 2 and local["decisions"][0]["reason"] == "accepted"
     with pytest.raises(ValueError):
-        graph.organ_paths(g, shoot, root, 400, mode="other")
+        graph.organ_paths(g, lowest(g), shoot, 400, mode="other")
 
 
 def test_spur_pruning():
@@ -122,29 +118,15 @@ def test_spur_pruning():
     assert not out[27, 22:24].any() and out[5, 20] and out[34, 20] and out[9, 31] and info["removed"] >= 2
 
 
-def test_merged_endpoints():
-    ends = np.zeros((80, 80), bool)
-    for x, y in ((10, 10), (11, 14), (12, 18), (60, 60)):
-        ends[y, x] = True
-    assert len(graph.merged_endpoints(ends, 250)) == 2
-
-
-def test_persistent_junctions():
-    skel = np.zeros((100, 100), bool)
-    skel[50:90, 50] = True
-    for k in range(35):
-        skel[50 - k, 50 - k] = skel[50 - k, 50 + k] = True
-    xy, adjacency = graph.pixel_graph(skel)
-    junctions = np.zeros_like(skel)
-    for (x, y), near in zip(xy.astype(int), adjacency):
-        junctions[y, x] = len(near) >= 3
-    assert len(graph.persistent_junctions(junctions, skel, 100)) == 1
-
-
 def test_rooted_paths(fork):
-    paths, failure = graph.rooted_paths(fork, raster.dilate(fork, 1), np.zeros((0, 2)), 25)
-    assert failure == "" and sorted(p["kind"] for p in paths) == ["lateral_branch", "main_axis"]
-    assert graph.rooted_paths(np.zeros((5, 5), bool), np.zeros((5, 5), bool), np.zeros((0, 2)), 7) == ([], "skeleton_too_small")
+    paths, failure = graph.rooted_paths(fork, (12, 21), np.zeros((0, 2)), 25)
+    assert failure == "" and [p["kind"] for p in paths] == ["main_axis", "lateral_branch"]
+    assert tuple(paths[0]["points"][0]) == (12, 21)
+    assert graph.rooted_paths(np.zeros((5, 5), bool), (0, 0), np.zeros((0, 2)), 7) == ([], "skeleton_too_small")
+    traits = {(t["x"], t["y"]): t for t in graph.end_traits(fork, raster.dilate(fork, 1))}
+    assert set(traits) == {(4, 4), (20, 4), (12, 21)}
+    assert traits[12, 21]["stub"] == 9 and traits[12, 21]["width"] == traits[12, 21]["width"] > 0
+    assert traits[4, 4]["far"] == pytest.approx(16 * math.sqrt(2))
 
 
 def test_spline_stays_in_the_box_and_near_in_length():

@@ -1,9 +1,8 @@
-"""Colour masks, region of interest, candidates and crops on drawn plants."""
+"""Colours, audit masks, corners and crops on drawn plants."""
 
 import colorsys
 
 import numpy as np
-import pytest
 
 from mensura.operators import phenotype as P
 from mensura.operators import raster
@@ -32,92 +31,25 @@ def test_colours_agree_with_the_standard_library():
         assert min(abs(c.hue[y, x] - h * 180), 180 - abs(c.hue[y, x] - h * 180)) <= 0.51 and abs(c.saturation[y, x] - s * 255) <= 0.51 and c.value[y, x] == round(v * 255)
 
 
-@pytest.mark.parametrize("turn", [0, 1, 2, 3])
-def test_region_keeps_the_shoot_and_leaves_the_root(turn):
-    image, shoot, root, full = plant(turn)
-    out = P.region_of_interest(image, shoot, root, full)
-    assert out["shoot_retention"] > 0.9 and out["root_overlap"] < 0.2 and out["source"] == P.FROM_SEED and out["seed"].any()
-    way = [(1, 0), (0, -1), (-1, 0), (0, 1)][turn]
-    assert out["direction"] @ way > 0.7 and out["transition"].any() and (out["roi"] >= out["transition"]).all()
-    assert out["roi"][tuple(np.rint(out["centre"]).astype(int)[::-1])]
-
-
-def test_hints_stand_in_for_root_and_seed():
-    image, shoot, root, _ = plant(root=False)
-    out = P.region_of_interest(image, shoot, root, shoot, hint=(80.0, 60.0))
-    assert out["source"] == P.FROM_HINT and out["shoot_retention"] > 0.9 and out["hint_distance"] == 0
-    for hint in (None, (float("nan"), 1), (1,), ("a", 2), (500, 10), (-30, 0)):
-        with pytest.raises(ValueError):
-            P.region_of_interest(image, shoot, root, shoot, hint=hint)
-    assert P.valid_hint((205, -3), (120, 200)).tolist() == [199, 0]
-    with pytest.raises(ValueError):
-        P.region_of_interest(image, np.zeros_like(shoot), root, shoot)
-
-
-def test_lost_green_comes_back():
-    image, shoot, root, full = plant()
-    shoot = shoot.copy()
-    shoot[5:15, 150:190] = True  # a leaf apart from the rest, too far to be linked by size
-    image = image.copy()
-    image[5:15, 150:190] = (60, 150, 50)
-    out = P.region_of_interest(image, shoot, root, full | shoot)
-    assert out["green_retention"] >= 0.9
-
-
 def test_focused_is_white_outside():
     image, shoot, root, full = plant()
-    roi = P.region_of_interest(image, shoot, root, full)["roi"]
-    hard, soft = P.focused(image, roi, 0.0), P.focused(image, roi, 0.8)
-    assert (hard[~roi] == 255).all() and (hard[roi] == image[roi]).all() and (soft[roi] == image[roi]).all()
+    hard, soft = P.focused(image, shoot, 0.0), P.focused(image, shoot, 0.8)
+    assert (hard[~shoot] == 255).all() and (hard[shoot] == image[shoot]).all() and (soft[shoot] == image[shoot]).all()
     canvas, mapping = raster.letterbox_pixels(hard, 224)
     assert canvas.shape == (224, 224, 3)
 
 
-def test_masks_follow_the_background():
-    image, shoot, root, full = plant()
-    m, how = P.confident_mask(image)
-    assert how["uniform"] and (m & shoot).sum() > 0.95 * shoot.sum() and m.sum() < 1.3 * full.sum()
-    r = np.random.default_rng(1)
-    noisy = image.copy()
-    noisy[~full] = r.integers(90, 200, (int((~full).sum()), 1)) + r.integers(-4, 5, (int((~full).sum()), 3))
-    m, how = P.confident_mask(noisy)
-    assert not how["uniform"] and (m & shoot).sum() > 0.9 * shoot.sum() and (m & ~full).sum() < 0.05 * shoot.sum()
+def test_audit_mask():
+    image, shoot, _, _ = plant()
     audit = P.audit_mask(image)
     assert (audit & shoot).sum() > 0.9 * shoot.sum() and not P.audit_mask(np.full((50, 50, 3), 200, np.uint8)).any()
 
 
-def test_candidates_of_a_fork():
-    support = np.zeros((120, 160), bool)
-    support[58:63, 10:150] = True
-    support[10:60, 88:93] = True
-    whole, skel = raster.structural_support(support)
-    contrast = np.zeros(support.shape)
-    contrast[60, 40] = 1.0
-    got = P.candidates(whole, skel, contrast, np.zeros_like(contrast), 30, transition=(np.mgrid[:120, :160][1] < 22) & support)
-    kinds = got["kind"].value_counts()
-    assert kinds["endpoint"] == 3 and kinds["junction"] == 1 and kinds["basal_transition"] == 1
-    best = got[got["kind"] == "distinctive"]
-    assert len(best) == 0 or (best["score"] >= 0.57).all()
-    assert (got["score"].diff().dropna() <= 0).all() and "corner" not in kinds
-    shape = P.candidates(whole, skel, contrast, contrast, 30, geometry_only=True)
-    assert (shape["kind"] == "corner").any() and "distinctive" not in set(shape["kind"])
+def test_corners_of_a_square():
     square = np.zeros((60, 60), bool)
     square[15:45, 20:50] = True
     found = P.corners(square, 30)
     assert len(found) == 4 and all(min(np.hypot(*(found - c).T)) <= 3 for c in ((20, 15), (49, 15), (20, 44), (49, 44)))
-    assert len(P.candidates(whole, np.zeros_like(skel), contrast, contrast, 30)) == 0
-    strong = np.where(whole, 0.2, 0.0)
-    strong[60, 40] = 1.5
-    assert (P.candidates(whole, skel, strong, strong, 30)["kind"] == "distinctive").sum() >= 1
-
-
-def test_candidate_table(spark):
-    cells = [(i, x + 300, y - 7, 0.5, 0.1) for i in range(2) for y in range(30) for x in range(60) if 12 <= y < 17 or (30 <= x < 35 and y < 17)]
-    df = spark.createDataFrame(cells, "item long, x int, y int, contrast double, attention double")
-    rows = P.candidate_table(df).collect()
-    by = {i: [(r["kind"], r["x"], r["y"]) for r in rows if r["item"] == i] for i in range(2)}
-    assert by[0] == by[1] and {"endpoint", "junction"} <= {k for k, *_ in by[0]}
-    assert all(300 <= x < 360 and -7 <= y < 23 for _, x, y in by[0]) and P.candidate_table(df.limit(0)).count() == 0
 
 
 def test_crops_and_white():
