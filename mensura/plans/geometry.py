@@ -116,6 +116,42 @@ def nearest_neighbour_radius(spark, sf):
     return match.nearest(_points(spark, sf, 1, 2), b, "item", "vec_id", "target", 12.0).withColumn("distance", F.round("distance", 6))
 
 
+@query(f"""WITH a AS ({_POINTS.format(i=1, j=2)}), b AS ({_POINTS.format(i=3, j=4)}), d AS (SELECT a.item, a.vec_id, b.vec_id AS target, sqrt((a.x * 9 - b.x) ** 2 + (a.y * 9 - b.y) ** 2) AS d FROM a JOIN b ON a.item // 10 = b.item // 10)
+SELECT item // 10 AS item, vec_id, target, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(d, 9), target) AS r FROM d) WHERE r = 1""")
+def nearest_neighbour_any(spark, sf):
+    """Points far beyond their targets, too."""
+    wide = lambda d: d.withColumn("item", F.floor(F.col("item") / 10).cast("long"))
+    a = wide(_points(spark, sf, 1, 2)).withColumns({"x": F.col("x") * 9, "y": F.col("y") * 9})
+    b = wide(_points(spark, sf, 3, 4)).withColumnRenamed("vec_id", "target")
+    return match.nearest(a, b, "item", "vec_id", "target").withColumn("distance", F.round("distance", 6))
+
+
+@query(f"""WITH a AS ({_POINTS.format(i=1, j=2)}), b AS ({_POINTS.format(i=3, j=4)}), n AS (SELECT a.item, a.vec_id AS node, a.x, a.y, round(b.x, 2) AS score, ['shoot_root_overlap', 'seed_base_root', 'shoot'][1 + a.vec_id % 3] AS region FROM a JOIN b USING (vec_id)),
+s AS (SELECT DISTINCT item, floor(x)::INT + i AS x, floor(y)::INT + j AS y FROM ({_POINTS.format(i=5, j=6)}), range(-4, 5) t(i), range(-4, 5) u(j)), r AS (SELECT DISTINCT item, floor(x)::INT + i AS x, floor(y)::INT + j AS y FROM ({_POINTS.format(i=7, j=8)}), range(-4, 5) t(i), range(-4, 5) u(j)),
+m AS (SELECT * FROM s INTERSECT SELECT * FROM r), d AS (SELECT n.item, node, any_value(region) AS region, any_value(score) AS score, min(sqrt((n.x - m.x) ** 2 + (n.y - m.y) ** 2)) AS d FROM n JOIN m USING (item) GROUP BY 1, 2),
+b1 AS (SELECT item, node FROM d QUALIFY row_number() OVER (PARTITION BY item ORDER BY list_position(['shoot_root_overlap', 'seed_base_root', 'shoot'], region), round(d, 9), score DESC, node) = 1)
+SELECT i.item, node, CASE WHEN node IS NULL THEN 'no_shoot_root_interface' ELSE '' END AS failure, 'learned node ranked by interface-compatible region then interface distance' AS rule FROM (SELECT DISTINCT item FROM a) i LEFT JOIN b1 USING (item)""")
+def interface_bases(spark, sf):
+    """The base of each item among its nodes, by where two masks meet."""
+    region = F.element_at(F.array(*map(F.lit, ("shoot_root_overlap", "seed_base_root", "shoot"))), (F.col("vec_id") % 3 + 1).cast("int"))
+    score = _points(spark, sf, 3, 4).select("vec_id", F.round("x", 2).alias("score"))
+    nodes = _points(spark, sf, 1, 2).join(score, "vec_id").withColumn("region", region).withColumnRenamed("vec_id", "node")
+    pixels = lambda i, j: raster.dilate_pixels(_points(spark, sf, i, j).select("item", F.floor("x").cast("int").alias("x"), F.floor("y").cast("int").alias("y")), 2)
+    scale = nodes.select("item").distinct().withColumn("diagonal", F.lit(200.0))
+    return plant.bases(nodes, pixels(5, 6), pixels(7, 8), scale)
+
+
+@query(f"""WITH e AS (SELECT a.item, a.vec_id, a.x, a.y, round(b.x, 2) AS c, round(b.y / 7, 1) AS s, (a.vec_id % 5)::DOUBLE AS w, round(a.x + b.y, 0) AS f FROM ({_POINTS.format(i=1, j=2)}) a JOIN ({_POINTS.format(i=3, j=4)}) b USING (vec_id)),
+u AS (SELECT *, {", ".join(f"CASE WHEN max({k}) OVER w1 - min({k}) OVER w1 <= 1e-12 THEN 1.0 ELSE ({k} - min({k}) OVER w1) / (max({k}) OVER w1 - min({k}) OVER w1) END AS u{k}" for k in "cswf")} FROM e WINDOW w1 AS (PARTITION BY item)),
+t AS (SELECT *, 0.55::DOUBLE * uc + 0.05::DOUBLE * (1 - us) + 0.15::DOUBLE * uw + 0.25::DOUBLE * uf AS t FROM u), r AS (SELECT *, row_number() OVER o AS k, lead(t) OVER o AS n FROM t WINDOW o AS (PARTITION BY item ORDER BY t DESC, y, x))
+SELECT item, x, y, round(t, 6) AS score, round(coalesce(t - n, 1), 6) AS margin FROM r WHERE k = 1""")
+def root_choice(spark, sf):
+    a, b = _points(spark, sf, 1, 2), _points(spark, sf, 3, 4).select("vec_id", F.col("x").alias("bx"), F.col("y").alias("by"))
+    traits = {"colour": F.round("bx", 2), "stub": F.round(F.col("by") / 7, 1), "width": (F.col("vec_id") % 5).cast("double"), "far": F.round(F.col("x") + F.col("by"), 0)}
+    got = plant.roots(a.join(b, "vec_id").withColumns(traits))
+    return got.select("item", "x", "y", F.round("score", 6).alias("score"), F.round("margin", 6).alias("margin"))
+
+
 @query(f"""WITH a AS ({_POINTS.format(i=1, j=2)}), v AS (SELECT * FROM (VALUES ('identity', 1.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE), ('flip', -1.0, 0.0, 200.0, 0.0, 1.0, 0.0), ('turn', 0.8, -0.6, 30.0, 0.6, 0.8, -20.0)) AS t(view, a, b, tx, d, e, ty)),
 m AS (SELECT vec_id, view, e / (a * e - b * d) * x + -b / (a * e - b * d) * y + (b * ty - e * tx) / (a * e - b * d) AS x, -d / (a * e - b * d) * x + a / (a * e - b * d) * y + (d * tx - a * ty) / (a * e - b * d) AS y FROM (SELECT a.vec_id, a.x, a.y, v.view, v.a, v.b, v.tx, v.d, v.e, v.ty FROM a, v))
 SELECT vec_id, view, round(x, 6) AS x, round(y, 6) AS y FROM m WHERE x >= 0 AND x < 200 AND y >= 0 AND y < 200""")

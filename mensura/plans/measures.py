@@ -6,18 +6,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mensura.functions import scalar as S
-from mensura.operators import evaluate, keypoints, match, raster, robust, split
+from mensura.operators import evaluate, keypoints, match, plant, raster, robust, split
 from mensura.plans.geometry import _POINTS, _mask, _points
 from mensura.session import table
+from mensura.staging import stage
 from mensura.sources import files
 
 QUERIES, ORACLES = {}, {}
 
 
-def query(sql: str):
+def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
-        ORACLES[f.__name__] = sql
+        if sql:
+            ORACLES[f.__name__] = sql
         return f
 
     return add
@@ -54,6 +56,48 @@ def audit_vegetation_pixels(spark, sf):
     return raster.audit_vegetation(_image(spark, sf)).groupBy("item").agg(F.count("*").alias("pixels"), F.sum("x").alias("sx"), F.sum("y").alias("sy"))
 
 
+def _frames(image: DataFrame) -> DataFrame:
+    return image.groupBy("item").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
+
+
+@query(f"""WITH p AS ({_IMAGE}), f AS (SELECT item AS i, max(x) + 1 AS w, max(y) + 1 AS h, greatest(2, round_even(0.04 * least(max(x) + 1, max(y) + 1), 0)) AS t FROM p GROUP BY 1),
+e AS (SELECT item, r, g, b, CASE WHEN greatest(r, g, b) = 0 THEN 0 ELSE round_even(255.0::DOUBLE * (greatest(r, g, b) - least(r, g, b)) / greatest(r, g, b), 0) END AS s, 2 * g - r - b AS e FROM p JOIN f ON item = i WHERE NOT (x BETWEEN t AND w - 1 - t AND y BETWEEN t AND h - 1 - t)),
+c AS (SELECT item, median(r) AS r0, median(g) AS g0, median(b) AS b0, median(s) AS s0, median(e) AS e0 FROM e GROUP BY 1), o AS (SELECT *, sqrt((r - r0) ** 2 + (g - g0) ** 2 + (b - b0) ** 2) AS off FROM e JOIN c USING (item)), k AS (SELECT item, median(off) AS o0 FROM o GROUP BY 1),
+m AS (SELECT item, any_value(r0) AS r0, any_value(g0) AS g0, any_value(b0) AS b0, any_value(o0) AS o0, median(abs(off - o0)) AS od, any_value(s0) AS s0, 1.4826 * median(abs(s - s0)) AS ss, any_value(e0) AS e0, 1.4826 * median(abs(e - e0)) AS es FROM o JOIN k USING (item) GROUP BY 1)
+SELECT item, r0, g0, b0, od <= 3.0 AS uniform, round(greatest(9.0, o0 + 6 * 1.4826 * od + 5), 4) AS "limit", round(least(greatest(s0 + 4 * ss, 45.0), 85.0), 4) AS saturation, round(least(greatest(e0 + 3 * es, 15.0), 30.0), 4) AS excess FROM m""")
+def confident_mask_limits(spark, sf):
+    image = _image(spark, sf)
+    return plant.limits(image, _frames(image)).withColumns({k: F.round(k, 4) for k in ("limit", "saturation", "excess")})
+
+
+@query()
+def confident_mask_pixels(spark, sf):
+    """Masks of images with a vivid bar on what is left of the noise."""
+    image = _planted(spark, sf)
+    return plant.confident(image, _frames(image)).groupBy("item", "uniform").agg(F.count("*").alias("pixels"), F.sum("x").alias("sx"), F.sum("y").alias("sy"))
+
+
+def _planted(spark, sf) -> DataFrame:
+    """Images with a plant drawn in: a green bar whose length and place follow the item, a brown seed at its
+    foot and a pale root below, on noise, which every third item has less of."""
+    rows = _image(spark, sf)
+    i, x, y = F.col("item"), F.col("x"), F.col("y")
+    foot = 24 + i % 9
+    part = F.when(x.between(14, 17) & y.between(4 + i % 5, foot), "shoot").when(x.between(14, 17) & y.between(foot + 1, foot + 4), "seed").when(x.between(15, 16) & y.between(foot + 5, 46), "root")
+    colours = {"r": (60, 140, 200), "g": (150, 80, 180), "b": (50, 30, 140)}
+    paint = lambda c: F.when(F.col("part") == "shoot", colours[c][0]).when(F.col("part") == "seed", colours[c][1]).when(F.col("part") == "root", colours[c][2]).otherwise(F.when(i % 3 == 0, 120 + F.col(c) % 3).otherwise(F.col(c) % 128 + 64))
+    return stage(rows.withColumn("part", part).select("item", "x", "y", *[paint(c).cast("long").alias(c) for c in "rgb"], "part"), "planted")
+
+
+@query()
+def region_of_interest_measures(spark, sf):
+    image = _planted(spark, sf)
+    mask = lambda rule: image.filter(rule).select("item", "x", "y")
+    hints = image.groupBy("item").agg(F.lit(15.0).alias("hint_x"), F.max("y").cast("double").alias("hint_y"))
+    _, told = plant.region_of_interest(image, mask("part = 'shoot'"), mask("part IN ('seed', 'root')"), mask("part IS NOT NULL"), _frames(image), hints)
+    return told.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in told.dtypes])
+
+
 @query(f"""WITH p AS ({_IMAGE}), n AS (SELECT item, g, -4 * g + lag(g) OVER (PARTITION BY item, y ORDER BY x) + lead(g) OVER (PARTITION BY item, y ORDER BY x) + lag(g) OVER (PARTITION BY item, x ORDER BY y) + lead(g) OVER (PARTITION BY item, x ORDER BY y) AS lap FROM p)
 SELECT item, round(var_pop(lap), 4) AS sharpness FROM n WHERE lap IS NOT NULL GROUP BY item""")
 def sharpness(spark, sf):
