@@ -52,10 +52,10 @@ def _bands(most: int, rows: int) -> tuple[list[int], list[tuple[int, ...]]]:
     raise AssertionError
 
 
-def band_pairs(df: DataFrame, id_: str, hashed: str, most: int) -> DataFrame:
-    """Pairs id_a < id_b whose hashes differ in at most ``most`` bits; exact, as such a pair agrees on
-    one of the keys of ``_bands``. Equal hashes meet as one row first: a group of copies is joined once."""
-    distinct = stage(df.select(c(hashed).alias("h")).distinct(), "hashes")
+def hash_pairs(df: DataFrame, hashed: str, most: int) -> DataFrame:
+    """(ha, hb, distance) for ha < hb among the distinct hashes that differ in at most ``most`` bits; exact,
+    as such a pair agrees on one of the keys of ``_bands``. Copies of a hash are one row."""
+    distinct = stage(df.select(c(hashed).alias("h")).filter("h IS NOT NULL").distinct(), "hashes")
     edges, sets = _bands(most, distinct.count())
     bits = F.concat(*[F.lpad(F.conv(F.substring("h", 1 + 8 * k, 8), 16, 2), 32, "0") for k in (0, 1)])
     block = lambda i: F.substring(F.col("bits"), edges[i] + 1, edges[i + 1] - edges[i])
@@ -63,12 +63,41 @@ def band_pairs(df: DataFrame, id_: str, hashed: str, most: int) -> DataFrame:
     banded = distinct.withColumn("bits", bits).select("h", F.explode(keys).alias("b")).select("h", "b.*")
     a, b = banded.alias("a"), banded.alias("b")
     close = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.h") < F.col("b.h")))
-    close = close.select(F.col("a.h").alias("ha"), F.col("b.h").alias("hb")).withColumn("distance", hamming64("ha", "hb")).filter(F.col("distance") <= most).distinct()
-    same = distinct.select(F.col("h").alias("ha"), F.col("h").alias("hb"), F.lit(0).alias("distance"))
-    pairs = close.union(same)
-    left, right = df.select(c(id_).alias("ia"), c(hashed).alias("ha")), df.select(c(id_).alias("ib"), c(hashed).alias("hb"))
-    out = pairs.join(left, "ha").join(right, "hb").filter((F.col("distance") > 0) | (F.col("ia") < F.col("ib")))
-    return out.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"), "distance")
+    return close.select(F.col("a.h").alias("ha"), F.col("b.h").alias("hb")).withColumn("distance", hamming64("ha", "hb")).filter(F.col("distance") <= most).distinct()
+
+
+def classes(df: DataFrame, id_: str, keys: list[str]) -> DataFrame:
+    """One row a class of rows with the same keys: its least id and how many rows it has."""
+    return df.groupBy(*keys).agg(F.min(id_).alias("class_id"), F.count("*").alias("copies"))
+
+
+def members(df: DataFrame, id_: str, hashed: str) -> DataFrame:
+    """(id, class_id, copies) of each row with a hash: the least id with the same hash, and how many have it."""
+    of = classes(df, id_, [hashed]).withColumnRenamed(hashed, "_h")
+    return df.select(id_, F.col(hashed).alias("_own")).join(of, F.col("_own") == F.col("_h")).select(id_, "class_id", "copies")
+
+
+def class_pairs(df: DataFrame, id_: str, hashed: str, most: int) -> DataFrame:
+    """(id_a, id_b, distance, copies_a, copies_b) for id_a < id_b, the least ids of two hashes within
+    ``most`` bits. Rows of the same hash are ``members`` of one class, so a group of m copies adds m rows
+    there and none here."""
+    one = stage(classes(df.filter(c(hashed).isNotNull()), id_, [hashed]).withColumnRenamed(hashed, "h"), "classes")
+    side = lambda k: one.select(F.col("h").alias(f"h{k}"), F.col("class_id").alias(f"i{k}"), F.col("copies").alias(f"n{k}"))
+    both = hash_pairs(one, "h", most).join(side("a"), "ha").join(side("b"), "hb")
+    first = F.col("ia") < F.col("ib")
+    return both.select(
+        F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"), "distance",
+        F.when(first, F.col("na")).otherwise(F.col("nb")).alias("copies_a"), F.when(first, F.col("nb")).otherwise(F.col("na")).alias("copies_b"),
+    )
+
+
+def near_components(df: DataFrame, id_: str, hashed: str, most: int) -> DataFrame:
+    """(node, root): the least id that hashes within ``most`` bits lead to. Classes are linked, and copies
+    take their class's root."""
+    own = stage(members(df, id_, hashed), "members")
+    reps = own.select(F.col("class_id").alias("node")).distinct()
+    roots = components(reps, class_pairs(df, id_, hashed, most).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
+    return own.join(roots, F.col("class_id") == F.col("node")).select(F.col(id_).alias("node"), "root")
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from mensura.functions import scalar as S
 from mensura.operators import audit, dedup, robust, split
 from mensura.operators.ranking import average_rank
 from mensura.session import table
-from mensura.staging import numbered
+from mensura.staging import numbered, stage
 
 QUERIES, ORACLES = {}, {}
 
@@ -126,14 +126,23 @@ def simhash_signatures(spark, sf):
     return _hashed(spark, sf)
 
 
-@query(_PAIRS(3))
+# Copies of a signature are one class, named by its least member.
+_CLASS_PAIRS = lambda d: f"WITH c AS MATERIALIZED (SELECT simhash, min(doc_id) AS id, count(*) AS n FROM ({_SIM}) GROUP BY 1) SELECT a.id AS id_a, b.id AS id_b, ({_hamming('a.simhash', 'b.simhash')})::INT AS distance, a.n AS copies_a, b.n AS copies_b FROM c a JOIN c b ON a.id < b.id WHERE {_hamming('a.simhash', 'b.simhash')} <= {d}"
+
+
+@query(f"SELECT doc_id, min(doc_id) OVER (PARTITION BY simhash) AS class_id, count(*) OVER (PARTITION BY simhash) AS copies FROM ({_SIM})")
+def near_dup_classes(spark, sf):
+    return dedup.members(_hashed(spark, sf), "doc_id", "simhash")
+
+
+@query(_CLASS_PAIRS(3))
 def near_dup_pairs_hamming3(spark, sf):
-    return dedup.band_pairs(_hashed(spark, sf), "doc_id", "simhash", 3)
+    return dedup.class_pairs(_hashed(spark, sf), "doc_id", "simhash", 3)
 
 
-@query(_PAIRS(5))
+@query(_CLASS_PAIRS(5))
 def near_dup_pairs_hamming5(spark, sf):
-    return dedup.band_pairs(_hashed(spark, sf), "doc_id", "simhash", 5)
+    return dedup.class_pairs(_hashed(spark, sf), "doc_id", "simhash", 5)
 
 
 @query(f"""WITH RECURSIVE e AS MATERIALIZED ({_PAIRS(3)}), b AS (SELECT id_a AS x, id_b AS y FROM e UNION ALL SELECT id_b, id_a FROM e),
@@ -141,25 +150,29 @@ r(node, reach) AS (SELECT DISTINCT x, x FROM b UNION SELECT r.node, b.y FROM r J
 m AS (SELECT node, min(reach) AS root FROM r GROUP BY node), l AS (SELECT root, count(*) AS size, printf('near_%03d', row_number() OVER (ORDER BY root)) AS label FROM m GROUP BY root)
 SELECT node, root, size, label FROM m JOIN l USING (root)""")
 def near_dup_components(spark, sf):
-    pairs = dedup.band_pairs(_hashed(spark, sf), "doc_id", "simhash", 3)
-    nodes = table(spark, sf, "documents").select(F.col("doc_id").alias("node"))
-    return dedup.near_labels(dedup.components(nodes, pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))).select("node", "root", "size", "label")
+    return dedup.near_labels(dedup.near_components(_hashed(spark, sf), "doc_id", "simhash", 3)).select("node", "root", "size", "label")
 
 
 _BUCKET = "(('0x' || substr(sha256('7|' || doc_id::VARCHAR), 1, 8))::BIGINT % 10000)"
 
 
-@query(f"""WITH s AS MATERIALIZED ({_SIM}), d AS (SELECT doc_id, simhash, md5(text) AS h2, CASE WHEN {_BUCKET} < 1500 THEN 'val' ELSE 'train' END AS part FROM documents JOIN s USING (doc_id))
-SELECT a.doc_id AS id_a, b.doc_id AS id_b, ({_hamming('a.simhash', 'b.simhash')})::INT AS distance, ({_hamming('a.h2', 'b.h2')})::INT AS second_distance
-FROM d a JOIN d b ON a.doc_id < b.doc_id WHERE a.part <> b.part AND {_hamming('a.simhash', 'b.simhash')} <= 3 AND {_hamming('a.h2', 'b.h2')} <= 36""")
+@query(f"""WITH s AS MATERIALIZED ({_SIM}), d AS (SELECT simhash, md5(text) AS h2, CASE WHEN {_BUCKET} < 1500 THEN 'val' ELSE 'train' END AS part, min(doc_id) AS id, count(*) AS n FROM documents JOIN s USING (doc_id) GROUP BY ALL)
+SELECT a.id AS id_a, b.id AS id_b, ({_hamming('a.simhash', 'b.simhash')})::INT AS distance, ({_hamming('a.h2', 'b.h2')})::INT AS second_distance, a.n AS copies_a, b.n AS copies_b
+FROM d a JOIN d b ON a.id < b.id WHERE a.part <> b.part AND {_hamming('a.simhash', 'b.simhash')} <= 3 AND {_hamming('a.h2', 'b.h2')} <= 36""")
 def cross_split_near_dups(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.md5("text").alias("h2"))
-    info = split.by_bucket(d, "7", "doc_id").select(F.col("doc_id").alias("i"), "h2", "part")
-    pairs = dedup.band_pairs(_hashed(spark, sf), "doc_id", "simhash", 3)
-    a = info.select(F.col("i").alias("id_a"), F.col("h2").alias("ha"), F.col("part").alias("pa"))
-    b = info.select(F.col("i").alias("id_b"), F.col("h2").alias("hb"), F.col("part").alias("pb"))
-    both = pairs.join(a, "id_a").join(b, "id_b").withColumn("second_distance", S.hamming64("ha", "hb"))
-    return both.filter("pa <> pb AND second_distance <= 36").select("id_a", "id_b", "distance", "second_distance")
+    """Between classes of the same text in the same part: copies are counted, not paired."""
+    d = split.by_bucket(table(spark, sf, "documents").select("doc_id", F.md5("text").alias("h2")), "7", "doc_id")
+    of = stage(dedup.classes(_hashed(spark, sf).join(d, "doc_id"), "doc_id", ["simhash", "h2", "part"]), "classes")
+    same = of.select(F.col("simhash").alias("ha"), F.col("simhash").alias("hb"), F.lit(0).alias("distance")).distinct()
+    pairs = dedup.hash_pairs(of, "simhash", 3).unionByName(same)
+    side = lambda k: of.select(F.col("simhash").alias(f"h{k}"), *[F.col(x).alias(f"{x}_{k}") for x in ("class_id", "copies", "h2", "part")])
+    both = pairs.join(side("a"), "ha").join(side("b"), "hb").withColumn("second_distance", S.hamming64("h2_a", "h2_b"))
+    both = both.filter((F.col("part_a") != F.col("part_b")) & (F.col("second_distance") <= 36) & ((F.col("ha") != F.col("hb")) | (F.col("class_id_a") < F.col("class_id_b"))))
+    first = F.col("class_id_a") < F.col("class_id_b")
+    return both.select(
+        F.least("class_id_a", "class_id_b").alias("id_a"), F.greatest("class_id_a", "class_id_b").alias("id_b"), "distance", "second_distance",
+        F.when(first, F.col("copies_a")).otherwise(F.col("copies_b")).alias("copies_a"), F.when(first, F.col("copies_b")).otherwise(F.col("copies_a")).alias("copies_b"),
+    )
 
 
 @query(f"""SELECT sha256(text) AS h, count(DISTINCT CASE WHEN {_BUCKET} < 1500 THEN 'val' ELSE 'train' END) AS splits, count(*) AS n FROM documents GROUP BY 1

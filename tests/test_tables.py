@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mensura.functions import scalar
-from mensura.operators import audit, dedup, keypoints, match, robust, split, stats
+from mensura.operators import audit, dedup, keypoints, match, robust, split, stats, ranking
 from mensura.sources import files
 
 
@@ -99,7 +99,7 @@ def test_robust(spark):
     assert {r["u"] for r in scaled.collect()} == {1.0}
     ties = robust.tertiles(spark.createDataFrame([(1.0,)] * 5 + [(9.0,)], "v double"), "v", "t")
     assert {(r["v"], r["t"]) for r in ties.collect()} == {(1.0, "low"), (9.0, "high")}
-    ranks = robust.average_rank(spark.createDataFrame([(3,), (1,), (3,), (2,)], "v int"), "v", [], "r")
+    ranks = ranking.average_rank(spark.createDataFrame([(3,), (1,), (3,), (2,)], "v int"), "v", [], "r")
     assert sorted(r["r"] for r in ranks.collect()) == [1.0, 2.0, 3.5, 3.5]
     assert robust.rank01(df.limit(1), "v", ["g"], ["v"]).first()["rank01"] == 0
 
@@ -121,8 +121,11 @@ def test_dedup_and_split(spark):
     rows = [(i, format(h, "016x")) for i, h in enumerate([0, 1, 3, 7, 0xFFFF, 0, 2**63, 2**63 + 1])]
     df = spark.createDataFrame(rows, "id long, h string")
     for most in (0, 1, 3, 8):
-        want = {(a, b, (x ^ y).bit_count()) for a, x in ((i, int(h, 16)) for i, h in rows) for b, y in ((i, int(h, 16)) for i, h in rows) if a < b and (x ^ y).bit_count() <= most}
-        assert {tuple(r) for r in dedup.band_pairs(df, "id", "h", most).collect()} == want
+        first = {h: min(i for i, g in rows if g == h) for _, h in rows}
+        copies = {h: sum(g == h for _, g in rows) for _, h in rows}
+        want = {(a, b, (int(x, 16) ^ int(y, 16)).bit_count(), copies[x], copies[y]) for x, a in first.items() for y, b in first.items() if a < b and (int(x, 16) ^ int(y, 16)).bit_count() <= most}
+        assert {tuple(r) for r in dedup.class_pairs(df, "id", "h", most).collect()} == want
+    assert {tuple(r) for r in dedup.members(df, "id", "h").collect()} == {(i, first[h], copies[h]) for i, h in rows}
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(30, 31)], "a long, b long")
     label = dedup.components(spark.range(33).withColumnRenamed("id", "node"), edges)
     roots = {r["node"]: r["root"] for r in label.collect()}
@@ -223,3 +226,62 @@ def test_archive_holds_the_package(tmp_path):
     (tmp_path / "m.zip").write_bytes(session._archive())
     code = f"import sys; sys.path.insert(0, {str(tmp_path / 'm.zip')!r}); import mensura.operators.graph as g; print(g.__file__)"
     assert "m.zip" in subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd="/").stdout
+
+
+def test_many_copies_are_one_class(spark):
+    rows = [(i, "0000000000000000") for i in range(5000)] + [(5000 + i, format(1 << i, "016x")) for i in range(3)] + [(9000, "00ffffffffffffff"), (9001, None)]
+    df = spark.createDataFrame(rows, "id long, h string")
+    pairs = dedup.class_pairs(df, "id", "h", 1).collect()
+    assert sorted(tuple(r) for r in pairs) == [(0, 5000 + i, 1, 5000, 1) for i in range(3)]
+    roots = {r["node"]: r["root"] for r in dedup.near_components(df, "id", "h", 1).collect()}
+    assert len(roots) == 5004 and all(roots[i] == 0 for i in range(5003)) and roots[9000] == 9000
+
+
+def _splits(sizes, targets):
+    """Whether some way of dealing the sizes has these sums."""
+    sums = {tuple(targets)}
+    for n in sizes:
+        sums = {(*t[:k], t[k] - n, *t[k + 1 :]) for t in sums for k in range(len(t)) if t[k] >= n}
+    return bool(sums)
+
+
+def test_exact_plans_equal_a_full_search():
+    import random
+
+    rng, found, none = random.Random(3), 0, 0
+    for _ in range(300):
+        cells = {}
+        for _ in range(rng.randrange(1, 12)):
+            cell = rng.choice("ab"), rng.choice([2, 3, 3, 4, 5, 7])
+            cells[cell] = cells.get(cell, 0) + 1
+        total = sum(n * k for (_, n), k in cells.items())
+        a = rng.randrange(total + 1)
+        b = rng.randrange(total - a + 1)
+        targets = {"test": a, "val": b, "train": total - a - b}
+        able = _splits([n for (_, n), k in cells.items() for _ in range(k)], targets.values())
+        try:
+            plan = split.exact_plan(cells, targets)
+            found += 1
+            assert able and {k: sum(n * (e - f) for _, n, p, f, e in plan if p == k) for k in targets} == targets
+            for c, k in cells.items():
+                places = sorted((f, e) for s, n, _, f, e in plan if (s, n) == c)
+                assert places[0][0] == 0 and places[-1][1] == k and all(x[1] == y[0] for x, y in zip(places, places[1:]))
+        except split.NoExactSplit:
+            none += 1
+            assert not able
+    assert found > 50 and none > 20
+    assert split.exact_plan({("a", 5): 2, ("a", 4): 2, ("a", 2): 1}, {"x": 10, "y": 6, "z": 4}) and split.exact_plan({(None, 5): 1, (None, 4): 2, (None, 3): 3}, {"x": 9, "y": 13})
+    many = split.exact_plan({("a", 1): 10**6, ("b", 1): 10**5, ("b", 333_333): 1}, {"x": 400_000, "y": 1_033_333})
+    assert {(s, p): e - f for s, n, p, f, e in many if n == 1}["a", "x"] > 250_000
+
+
+def test_exact_counts_over_tables(spark):
+    rows = [(i, f"g{i // 3}" if i < 60 else f"g{i}" if i < 90 else None, "x" if i % 2 else None) for i in range(100)]
+    df = spark.createDataFrame(rows, "id long, g string, s string")
+    got = split.exact_counts(df, "g", "s", {"test": 13, "val": 17, "train": 70}, "7").collect()
+    parts = [r["part"] for r in got]
+    assert [parts.count(k) for k in ("test", "val", "train")] == [13, 17, 70] and len({(r["g"], r["part"]) for r in got}) == len({r[1] for r in rows})
+    with pytest.raises(split.NoExactSplit):
+        split.exact_counts(df.filter("id >= 88"), "g", "s", {"test": 5, "train": 7}, "7")
+    with pytest.raises(split.NoExactSplit):
+        split.exact_counts(df, "g", "s", {"test": 5}, "7")
