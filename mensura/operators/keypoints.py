@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mensura.functions.scalar import c, clip, cosine
+from mensura.operators.match import settled
 
 # Prior score of each kind of structure.
 PRIORS = {"endpoint": 0.68, "junction": 0.76, "basal_transition": 0.80, "corner": 0.32, "distinctive": 0.30}
@@ -61,21 +61,18 @@ def ordered(df: DataFrame, item: str) -> DataFrame:
 
 def cover(df: DataFrame, item: str, radius: float) -> DataFrame:
     """Structure coverage: basal points and endpoints first, then the rest by score; a point within the
-    radius of a kept one adds its role to it rather than a point."""
-    first = {"basal_transition": 0, "endpoint": 1}
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(_p=pdf["kind"].map(first).fillna(2)).sort_values(["_p", "score", "kind", "y", "x"], ascending=[True, False, True, True, True])
-        kept: list[dict] = []
-        for r in pdf.to_dict("records"):
-            near = [k for k in kept if (k["x"] - r["x"]) ** 2 + (k["y"] - r["y"]) ** 2 <= radius**2]
-            if near:
-                near[0]["roles"].add(r["kind"])
-            else:
-                kept.append(r | {"roles": {r["kind"]}})
-        return pd.DataFrame([{item: k[item], "x": k["x"], "y": k["y"], "kind": k["kind"], "score": k["score"], "roles": sorted(k["roles"])} for k in kept])
-
-    return df.groupBy(item).applyInPandas(run, f"{item} {df.schema[item].dataType.simpleString()}, x double, y double, kind string, score double, roles array<string>")
+    radius of a kept one adds its role to the first such rather than a point."""
+    first = F.when(F.col("kind") == "basal_transition", 0).when(F.col("kind") == "endpoint", 1).otherwise(2)
+    kept, every = settled(df.select(item, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "kind", "score"), item, [first, -F.col("score"), F.col("kind"), F.col("y"), F.col("x")], radius, touching=True)
+    cell = lambda v: F.floor(F.col(v) / radius)
+    around = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p in (-1, 0, 1) for q in (-1, 0, 1)]))
+    about = kept.select(item, F.col("x").alias("kx"), F.col("y").alias("ky"), F.col("_o").alias("ko"), around.alias("s"))
+    about = about.select(item, "kx", "ky", "ko", (cell("kx") + F.col("s.p")).alias("cx"), (cell("ky") + F.col("s.q")).alias("cy"))
+    met = every.withColumns({"cx": cell("x"), "cy": cell("y")}).join(about, [item, "cx", "cy"])
+    met = met.filter((F.pow(F.col("x") - F.col("kx"), 2) + F.pow(F.col("y") - F.col("ky"), 2) <= radius**2) & (F.col("ko") <= F.col("_o")))
+    own = met.groupBy(item, "_o").agg(F.min("ko").alias("ko"), F.first("kind").alias("kind"))
+    roles = own.groupBy(item, "ko").agg(F.array_sort(F.collect_set("kind")).alias("roles")).withColumnRenamed("ko", "_o")
+    return every.join(roles, [item, "_o"]).select(item, "x", "y", "kind", "score", "roles")
 
 
 def span_ratio(df: DataFrame, support: DataFrame, item: str) -> DataFrame:

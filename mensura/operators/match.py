@@ -118,21 +118,29 @@ def assigned(a: np.ndarray, b: np.ndarray, radius: float) -> list[tuple[int, int
     return [(int(i), int(j), float(d[i, j])) for i, j in zip(*hungarian(d)) if d[i, j] <= radius]
 
 
-def greedy(a: np.ndarray, b: np.ndarray, radius: float) -> list[tuple[int, int, float]]:
-    """Closest pair first; ties by row, then column."""
-    if not len(a) or not len(b):
-        return []
-    d = np.hypot(a[:, None, 0] - b[None, :, 0], a[:, None, 1] - b[None, :, 1])
-    rows, cols, out = set(), set(), []
-    for k in np.argsort(d, axis=None, kind="stable"):
-        i, j = divmod(int(k), d.shape[1])
-        if d[i, j] > radius:
-            break
-        if i not in rows and j not in cols:
-            rows.add(i)
-            cols.add(j)
-            out.append((i, j, float(d[i, j])))
-    return out
+def greedy_pairs(a: DataFrame, b: DataFrame, item: str, radius: float) -> DataFrame:
+    """(item, ax, ay, bx, by, distance): closest pair first, ties by the place in a, then in b, each row
+    once, within the radius. Pairs within it meet on a grid; a round takes every pair that is the first of
+    both its rows, which the sequential choice takes too, and drops what these rows had. Rows with a place
+    that is null or not finite match nothing; repeated rows are rows of their own."""
+    real = lambda d, k: d.select(F.col(item).alias("i"), *[F.col(v).cast("double").alias(f"{k}{v}") for v in "xy"]).filter(" AND ".join(f"abs({k}{v}) < double('infinity')" for v in "xy"))
+    sides = [stage(real(d, k).withColumn(k, F.struct(f"{k}x", f"{k}y", F.monotonically_increasing_id().alias("n"))), "points") for d, k in ((a, "a"), (b, "b"))]
+    cell = lambda v: F.floor(F.col(v) / radius)
+    near = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p in (-1, 0, 1) for q in (-1, 0, 1)])
+    left = sides[0].withColumn("s", F.explode(near)).withColumns({"cx": cell("ax") + F.col("s.p"), "cy": cell("ay") + F.col("s.q")}).drop("s")
+    right = sides[1].withColumns({"cx": cell("bx"), "cy": cell("by")})
+    d = distance("ax", "ay", "bx", "by")
+    pairs = left.join(right, ["i", "cx", "cy"]).withColumn("d", d).filter(F.col("d") <= radius).select("i", F.struct("d", "a", "b").alias("p"))
+    found, pairs = None, stage(pairs, "pairs")
+    while found is None or not pairs.isEmpty():
+        firsts = [pairs.groupBy("i", F.col(f"p.{k}").alias(k)).agg(F.min("p").alias("p")).select("i", "p") for k in "ab"]
+        taken = stage(firsts[0].join(firsts[1], ["i", "p"]), "taken")
+        found = taken if found is None else found.unionByName(taken)
+        for k in "ab":
+            used = taken.select("i", F.col(f"p.{k}").alias("_u"))
+            pairs = pairs.join(used, (pairs["i"] == used["i"]) & (F.col(f"p.{k}") == F.col("_u")), "left_anti")
+        pairs = stage(pairs, "pairs")
+    return found.select(F.col("i").alias(item), "p.a.ax", "p.a.ay", "p.b.bx", "p.b.by", F.col("p.d").alias("distance"))
 
 
 def score(n_a: int, n_b: int, pairs: list[tuple[int, int, float]]) -> dict[str, float]:
@@ -145,21 +153,37 @@ def score(n_a: int, n_b: int, pairs: list[tuple[int, int, float]]) -> dict[str,
 
 
 def match_sets(a: DataFrame, b: DataFrame, item: str, radius: float, how: str = "optimal") -> DataFrame:
-    """One row an item on either side: counts, matches, precision, recall, f1, error (null if none).
-    An item's points are few; items are spread."""
-    rule = {"optimal": assigned, "greedy": greedy}[how]
+    """One row an item on either side: counts, matches, precision, recall, f1, error (null if none). Greedy
+    pairs come from rounds over all items; an optimal assignment takes an item's few points in one task."""
+    kind = a.schema[item].dataType.simpleString()
+    if how == "greedy":
+        return _scored(a, b, item, greedy_pairs(a, b, item, radius))
+    if how != "optimal":
+        raise ValueError(f"unknown matching {how}")
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         x, y = (p.sort_values(["x", "y"])[["x", "y"]].to_numpy(float) for p in (left, right))
-        pairs = rule(x, y, radius)
+        pairs = assigned(x, y, radius)
         key = (left if len(left) else right)[item].iloc[0]
         return pd.DataFrame([{item: key, "n_a": len(x), "n_b": len(y), "matches": len(pairs), **score(len(x), len(y), pairs)}])
 
-    kind = a.schema[item].dataType.simpleString()
     out = a.select(item, "x", "y").groupBy(item).cogroup(b.select(item, "x", "y").groupBy(item)).applyInPandas(run, f"{item} {kind}, n_a int, n_b int, matches int, precision double, recall double, f1 double, error double")
     return out.withColumn("error", F.when(~F.isnan("error"), F.col("error")))
 
 
+def _scored(a: DataFrame, b: DataFrame, item: str, pairs: DataFrame) -> DataFrame:
+    """``score`` over tables: an item has a row on one side at least."""
+    from mensura.operators.ranking import quantiles
+
+    size = lambda d, name: d.groupBy(item).agg(F.count("*").cast("int").alias(name))
+    out = size(a, "n_a").join(size(b, "n_b"), item, "full").join(size(pairs, "matches"), item, "left").fillna(0)
+    k, n_a, n_b = F.col("matches"), F.col("n_a"), F.col("n_b")
+    out = out.withColumns({"precision": F.when(n_b > 0, k / n_b).otherwise(0.0), "recall": F.when(n_a > 0, k / n_a).otherwise(0.0)})
+    p, r = F.col("precision"), F.col("recall")
+    out = out.withColumn("f1", F.when(k > 0, 2 * p * r / (p + r)).otherwise(0.0))
+    return out.join(quantiles(pairs, {"error": ("distance", 0.5)}, [item]), item, "left")
+
+
 def back_mapped(points: DataFrame, views: DataFrame, size: float, view: str = "view") -> DataFrame:
     """Points of views in reference coordinates, those beyond the frame dropped. views: view and m,
     an array of six affine terms; a view set has a handful of rows."""
@@ -184,22 +208,38 @@ def usable(accepted: Column, capped: Column) -> Column:
     return ((accepted >= 2) & (capped == 0)).cast("int")
 
 
-def suppressed(df: DataFrame, item: str, radius: float, most: int | None = None) -> DataFrame:
-    """Greedy suppression: by score descending (then y, x), points nearer than the radius to a kept
-    one go. ``most`` is the operator's cap for an item."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "y", "x"], ascending=[False, True, True])
-        kept: list[int] = []
-        p = pdf[["x", "y"]].to_numpy(float)
-        for i in range(len(p)):
-            if most is not None and len(kept) >= most:
-                break
-            if all(np.hypot(*(p[i] - p[k])) >= radius for k in kept):
-                kept.append(i)
-        return pdf.iloc[kept].assign(rank=range(1, len(kept) + 1))
+def settled(df: DataFrame, item: str, order: list[Column], radius: float, touching: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(kept, all) of greedy suppression by order: points nearer than the radius to a kept one go (with
+    touching, also those just as far). all has df's columns and ``_o``, which orders an item's rows.
 
-    return df.groupBy(item).applyInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) + ", rank int")
+    Rounds: a point that is the first of all open ones in its 3 x 3 cells of the radius is kept, as the
+    sequential rule would keep it; what is near it goes. Cells meet by aggregates, and kept points, of
+    which a cell has few, meet the open points about them; no pairs within a cell are made."""
+    every = stage(df.withColumn("_o", F.struct(*[o.alias(f"o{k}") for k, o in enumerate(order)], F.monotonically_increasing_id().alias("n"))), "points")
+    cell = lambda v: F.floor(F.col(v) / radius)
+    around = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p in (-1, 0, 1) for q in (-1, 0, 1)]))
+    open_ = every.select(F.col(item).alias("i"), "x", "y", "_o", cell("x").alias("cx"), cell("y").alias("cy"))
+    kept = None
+    while kept is None or not open_.isEmpty():
+        best = open_.groupBy("i", "cx", "cy").agg(F.min("_o").alias("b")).withColumn("s", around)
+        best = best.groupBy("i", (F.col("cx") + F.col("s.p")).alias("cx"), (F.col("cy") + F.col("s.q")).alias("cy")).agg(F.min("b").alias("b"))
+        now = stage(open_.join(best, ["i", "cx", "cy"]).filter(F.col("_o") == F.col("b")).drop("b"), "kept")
+        kept = now if kept is None else kept.unionByName(now)
+        about = now.select(F.col("i"), F.col("x").alias("kx"), F.col("y").alias("ky"), F.col("_o").alias("ko"), "cx", "cy").withColumn("s", around)
+        about = about.select("i", "kx", "ky", "ko", (F.col("cx") + F.col("s.p")).alias("cx"), (F.col("cy") + F.col("s.q")).alias("cy"))
+        d = distance("x", "y", "kx", "ky")
+        gone = open_.join(about, ["i", "cx", "cy"]).filter(((d <= radius) if touching else (d < radius)) | (F.col("_o") == F.col("ko"))).select("i", "_o").distinct()
+        open_ = stage(open_.join(gone, ["i", "_o"], "left_anti"), "open")
+    return kept.select(F.col("i").alias(item), "x", "y", "_o"), every
+
+
+def suppressed(df: DataFrame, item: str, radius: float, most: int | None = None) -> DataFrame:
+    """Greedy suppression: by score descending (then y, x), points nearer than the radius to a kept one go;
+    adds rank among the kept. ``most`` is the operator's cap for an item, beyond which nothing is kept."""
+    kept, every = settled(df, item, [-F.col("score"), F.col("y"), F.col("x")], radius)
+    out = every.join(kept.select(item, "_o"), [item, "_o"], "left_semi")
+    out = out.withColumn("rank", F.row_number().over(Window.partitionBy(item).orderBy("_o"))).drop("_o")
+    return (out if most is None else out.filter(F.col("rank") <= most)).select(*df.columns, "rank")
 
 
 def peaks_1d(df: DataFrame, item: str, order: str, x: str, tau: float) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mensura.functions import scalar
-from mensura.operators import audit, dedup, keypoints, match, robust, split, stats, ranking
+from mensura.operators import audit, dedup, graph, keypoints, match, ranking, robust, split, stats
 from mensura.sources import files
 
 
