@@ -341,6 +341,14 @@ def dijkstra_paths(spark, sf):
     return graph.distances_from(_trade(spark, sf), "item", "a", "b", "weight").withColumn("distance", F.round("distance", 4))
 
 
+@query(f"""WITH RECURSIVE e AS ({_GRAPH}), w AS (SELECT item, a AS x, b AS y, weight FROM e UNION ALL SELECT item, b, a, weight FROM e), f AS (SELECT item, least(min(a), min(b)) AS node FROM e GROUP BY item),
+r(item, node, distance, seen) AS (SELECT item, node, 0.0::DOUBLE, [node] FROM f UNION ALL SELECT r.item, w.y, r.distance + w.weight, list_append(r.seen, w.y) FROM r JOIN w ON w.item = r.item AND w.x = r.node AND NOT list_contains(r.seen, w.y)),
+b AS (SELECT item, node, arg_min(seen, distance) AS seen FROM r GROUP BY item, node)
+SELECT item, node, unnest(range(len(seen)))::INT AS step, unnest(seen) AS via FROM b""")
+def shortest_path_rows(spark, sf):
+    return graph.path_rows(graph.shortest_trees(_trade(spark, sf), "item", "a", "b", "weight"), "item")
+
+
 @query()
 def mask_skeleton(spark, sf):
     return raster.skeleton_pixels(raster.dilate_pixels(_mask(spark, sf), 3))

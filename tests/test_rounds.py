@@ -99,3 +99,33 @@ def test_spanning_trees_equal_the_sequential_rule(spark):
     assert sorted(map(tuple, got)) == sorted(want)
     path = spark.range(3000).selectExpr("1 AS item", "id AS a", "id + 1 AS b", "double(pmod(id * 7919, 3001)) AS w")
     assert graph.spanning_trees(path, "item", "a", "b", "w").count() == 3000
+
+
+def test_shortest_ways_equal_the_sequential_rule(spark):
+    import heapq
+
+    rows = random_edges(5)
+    df = spark.createDataFrame(rows, "item int, a int, b int, w double")
+    trees = graph.shortest_trees(df, "item", "a", "b", "w")
+    got = {(r["item"], r["node"]): r for r in trees.collect()}
+    steps = {}
+    for r in graph.path_rows(trees, "item").collect():
+        steps.setdefault((r["item"], r["node"]), {})[r["step"]] = r["via"]
+    for i in {r[0] for r in rows}:
+        near = {}
+        for _, u, v, w in (r for r in rows if r[0] == i and None not in r):
+            near.setdefault(u, []).append((v, w))
+            near.setdefault(v, []).append((u, w))
+        best, heap = {}, [(0.0, min(near))]
+        while heap:
+            d, u = heapq.heappop(heap)
+            if u not in best:
+                best[u] = d
+                for v, w in near[u]:
+                    heapq.heappush(heap, (d + w, v))
+        assert {n for j, n in got if j == i} == set(best)
+        for n, d in best.items():
+            r, way = got[i, n], steps[i, n]
+            assert r["distance"] == pytest.approx(d, abs=1e-9) and sorted(way) == list(range(r["hops"] + 1)) and way[0] == min(near) and way[r["hops"]] == n
+            length = sum(min(w for v, w in near[way[k]] if v == way[k + 1]) for k in range(r["hops"]))
+            assert length == pytest.approx(d, abs=1e-9)
