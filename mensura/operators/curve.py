@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mensura.functions.scalar import angle_between
+from mensura.staging import running, stage
 
 
 def measures(df: DataFrame, path: list[str], order: str, x: str, y: str) -> DataFrame:
@@ -166,11 +167,35 @@ def _paths(df: DataFrame, path: str, order: str, x: str, y: str, f, schema: str)
 
 
 def simplified_paths(df: DataFrame, path: str, order: str, x: str, y: str, epsilon: float) -> DataFrame:
-    def f(key, p):
-        i = simplify(p, epsilon)
-        return pd.DataFrame({path: key, "position": i, "x": p[i, 0], "y": p[i, 1]})
-
-    return _paths(df, path, order, x, y, f, "position int, x double, y double")
+    """(path, position, x, y) of what ``simplify`` keeps of each path, its rows by order, x and y (rows
+    without a place are none), numbered from 0.
+
+    All open stretches of all paths are cut in one round: of the points of a stretch the farthest from its
+    chord, the first of equal ones, is found by an aggregate, and a stretch that none is further from
+    than epsilon is done with. So a path may have any number of points; none lies in one task."""
+    rows = df.select(F.col(path).alias("i"), F.col(order).alias("o"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
+    rows = stage(rows.withColumns({"n": F.monotonically_increasing_id(), "one": F.lit(1)}), "points")
+    p = stage(running(rows, ["i"], ["o", "x", "y", "n"], "one", "k").select("i", "k", "x", "y"), "paths")
+    place = lambda k: p.select(F.col("i").alias("i"), F.col("k").alias(k), F.struct("x", "y").alias(f"p{k}"))
+    ends = p.groupBy("i").agg(F.lit(0).cast("bigint").alias("a"), F.max("k").alias("b"))
+    kept = stage(ends.select("i", F.explode(F.array_distinct(F.array("a", "b"))).alias("k")), "kept")
+    # Open points, each with the stretch it is in.
+    open_ = p.join(ends, "i").filter((F.col("k") > F.col("a")) & (F.col("k") < F.col("b")))
+    while True:
+        open_ = stage(open_, "open")
+        if open_.isEmpty():
+            break
+        chords = open_.select("i", "a", "b").distinct().join(place("a"), ["i", "a"]).join(place("b"), ["i", "b"])
+        chords = chords.select("i", "a", F.col("pa.x").alias("ax"), F.col("pa.y").alias("ay"), (F.col("pb.x") - F.col("pa.x")).alias("dx"), (F.col("pb.y") - F.col("pa.y")).alias("dy"))
+        qx, qy, size = F.col("x") - F.col("ax"), F.col("y") - F.col("ay"), F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")
+        t = F.when(size > 0, F.least(F.greatest((qx * F.col("dx") + qy * F.col("dy")) / size, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+        off = F.hypot(qx - t * F.col("dx"), qy - t * F.col("dy"))
+        far = open_.join(chords, ["i", "a"]).groupBy("i", "a").agg(F.max(F.struct(off.alias("off"), (-F.col("k")).alias("k"))).alias("m"))
+        cut = stage(far.filter(F.col("m.off") > epsilon).select("i", "a", (-F.col("m.k")).alias("m")), "cuts")
+        kept = kept.unionByName(cut.select("i", F.col("m").alias("k")))
+        k, m = F.col("k"), F.col("m")
+        open_ = open_.join(cut, ["i", "a"]).filter(k != m).select("i", "k", "x", "y", F.when(k < m, F.col("a")).otherwise(m).alias("a"), F.when(k < m, m).otherwise(F.col("b")).alias("b"))
+    return kept.join(p, ["i", "k"]).select(F.col("i").alias(path), F.col("k").cast("int").alias("position"), "x", "y")
 
 
 def resampled_paths(df: DataFrame, path: str, order: str, x: str, y: str, samples: int = 240) -> DataFrame:

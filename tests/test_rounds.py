@@ -129,3 +129,25 @@ def test_shortest_ways_equal_the_sequential_rule(spark):
             assert r["distance"] == pytest.approx(d, abs=1e-9) and sorted(way) == list(range(r["hops"] + 1)) and way[0] == min(near) and way[r["hops"]] == n
             length = sum(min(w for v, w in near[way[k]] if v == way[k + 1]) for k in range(r["hops"]))
             assert length == pytest.approx(d, abs=1e-9)
+
+
+def test_simplified_paths_equal_the_sequential_rule(spark):
+    import numpy as np
+
+    from mensura.operators import curve
+
+    rng = random.Random(6)
+    rows = []
+    for i, n in enumerate((1, 2, 3, 40, 400)):
+        x = y = 0.0
+        for k in range(n):
+            x, y = x + rng.random(), y + rng.gauss(0, 1)
+            rows.append((i, k, round(x, 3), round(y, 3)))
+    rows += [(9, k, float(k % 2), 0.0) for k in range(9)] + [(8, 0, None, 1.0), (8, 1, 2.0, 2.0)]
+    got = {}
+    for r in curve.simplified_paths(spark.createDataFrame(rows, "p int, o int, x double, y double"), "p", "o", "x", "y", 0.8).collect():
+        got.setdefault(r["p"], {})[r["position"]] = (r["x"], r["y"])
+    for i in (0, 1, 2, 3, 4, 9):
+        p = np.array([r[2:] for r in rows if r[0] == i])
+        assert got[i] == {int(k): tuple(p[k]) for k in curve.simplify(p, 0.8)}
+    assert got[8] == {0: (2.0, 2.0)}
