@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mensura.functions.scalar import c, clip, flagged
+from mensura.functions.scalar import c, clip, finite, flagged
 from mensura.operators.ranking import quantiles
 from mensura.operators.robust import MAD_SCALE
 from mensura.staging import numbered
@@ -85,6 +85,36 @@ def gate(df: DataFrame, checks: dict[str, Column], human: tuple[str, ...] = ())
     return out.withColumns({"failed": F.array_join(F.array_sort(F.map_keys(F.map_filter("checks", lambda k, v: ~F.coalesce(v, F.lit(True))))), ";"), "status": F.when(passed, "pass").otherwise("stop_or_revise")})
 
 
+# Checks as results name them, on the mean or median over items of a metric.
+STRUCTURE_GATES = {
+    "noncollapse_ratio_gte_0_83": ("noncollapse", "mean", ">=", 0.83),
+    "repeatability_f1_gte_0_60": ("f1", "median", ">=", 0.60),
+    "localization_error_lte_0_05": ("error", "median", "<=", 0.05),
+    "photometric_count_difference_lte_1": ("count_difference", "median", "<=", 1.0),
+    "safety_cap_hit_ratio_eq_0": ("cap_hit", "mean", "<=", 0.0),
+    "skeleton_coverage_gte_0_55": ("coverage", "median", ">=", 0.55),
+    "longitudinal_span_gte_0_65": ("span", "median", ">=", 0.65),
+}
+CLEAN_GATES = {
+    "safety_cap_hit_rate_eq_0": ("cap_hit", "mean", "<=", 0.0),
+    "repeatability_f1_gte_0_60": ("f1", "median", ">=", 0.60),
+    "photometric_count_difference_lte_1": ("count_difference", "median", "<=", 1.0),
+    "white_mask_hit_ratio_gte_0_80": ("mask_hit", "median", ">=", 0.80),
+}
+
+
+def machine_gate(df: DataFrame, rules: dict[str, tuple[str, str, str, float]]) -> DataFrame:
+    """One row from a table of items: each metric that the rules name, as its mean or exact median over
+    the items' finite values, with checks, failed and status as ``gate`` has them. A metric that no item
+    has fails its checks, so an empty table passes none."""
+    of = {metric: how for metric, how, _, _ in rules.values()}
+    medians = quantiles(df, {m: (m, 0.5) for m, how in of.items() if how == "median"})
+    means = df.agg(*[F.avg(finite(m)).alias(m) for m, how in of.items() if how == "mean"])
+    holds = lambda m, sign, bound: F.col(m) >= bound if sign == ">=" else F.col(m) <= bound
+    checks = {name: F.coalesce(holds(m, sign, bound), F.lit(False)) for name, (m, _, sign, bound) in rules.items()}
+    return gate(medians.crossJoin(F.broadcast(means)).select(*of), checks)
+
+
 def histogram(df: DataFrame, x: str) -> DataFrame:
     """One row: map of value to count with sorted keys."""
     counts = df.groupBy(F.col(x).cast("string").alias("k")).agg(F.count("*").alias("n"))

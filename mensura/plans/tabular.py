@@ -445,3 +445,36 @@ def association_tests(spark, sf):
 
     got = association(_labelled(spark, sf), "n_chars", "quality", "lang", "n_lines")
     return got.select("test", F.round("statistic", 6).alias("statistic"), F.round("p_value", 6).alias("p_value"))
+
+
+# Metrics of items by plain formulas of the documents' columns; every seventh document has no error.
+_METRICS = {
+    "noncollapse": ("n_chars > 100", "(n_chars > 100)::INT"), "f1": ("least(n_chars / 2000.0, 1.0)", "least(n_chars / 2000.0, 1.0)"),
+    "error": ("CASE WHEN doc_id % 7 > 0 THEN 20.0 / n_chars END", "CASE WHEN doc_id % 7 > 0 THEN 20.0 / n_chars END"),
+    "count_difference": ("doc_id % 4", "doc_id % 4"), "cap_hit": ("n_chars >= 30000", "(n_chars >= 30000)::INT"),
+    "coverage": ("1.0 - 300.0 / (n_chars + 300)", "1.0 - 300.0 / (n_chars + 300)"), "span": ("doc_id % 100 / 100.0", "doc_id % 100 / 100.0"), "mask_hit": ("doc_id % 50 / 40.0", "doc_id % 50 / 40.0"),
+}
+
+
+def _gates_sql(rules: dict) -> str:
+    of = {m: how for m, how, _, _ in rules.values()}
+    metrics = ", ".join(f"{'avg' if how == 'mean' else 'median'}(({_METRICS[m][1]})::DOUBLE) AS {m}" for m, how in of.items())
+    failed = ", ".join(f"CASE WHEN NOT coalesce({m} {sign} {bound}, false) THEN '{name}' END" for name, (m, _, sign, bound) in sorted(rules.items()))
+    return f"""WITH o AS (SELECT {metrics} FROM documents WHERE n_chars > 0), g AS (SELECT *, array_to_string(list_filter([{failed}], lambda x: x IS NOT NULL), ';') AS failed FROM o)
+SELECT {", ".join(f"round({m}, 6) AS {m}" for m in of)}, failed, CASE WHEN failed = '' THEN 'pass' ELSE 'stop_or_revise' END AS status FROM g"""
+
+
+def _gates(spark, sf, rules: dict) -> DataFrame:
+    of = list(dict.fromkeys(m for m, *_ in rules.values()))
+    rows = table(spark, sf, "documents").filter("n_chars > 0").select(*[F.expr(f"double({_METRICS[m][0]})").alias(m) for m in of])
+    return audit.machine_gate(rows, rules).select(*[F.round(m, 6).alias(m) for m in of], "failed", "status")
+
+
+@query(_gates_sql(audit.STRUCTURE_GATES))
+def structure_gates(spark, sf):
+    return _gates(spark, sf, audit.STRUCTURE_GATES)
+
+
+@query(_gates_sql(audit.CLEAN_GATES))
+def clean_gates(spark, sf):
+    return _gates(spark, sf, audit.CLEAN_GATES)

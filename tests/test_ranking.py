@@ -98,3 +98,12 @@ def test_association_leaves_out_what_is_missing(spark):
     assert got["mann_whitney_u"] == (3.0, pytest.approx(1.0))  # 1, 3 and 6 against 2 and 4
     assert got["spearman"][0] == pytest.approx(1 - 6 * (1 + 1 + 1 + 1) / (5 * 24))
     assert got["kruskal_wallis"][0] == pytest.approx(12 / 30 * (9 / 2 + 144 / 3) - 18)
+
+
+def test_machine_gates_fail_on_what_is_missing(spark):
+    metrics = list(dict.fromkeys(m for m, *_ in audit.STRUCTURE_GATES.values()))
+    df = spark.createDataFrame([(1.0, 0.9, 0.01, 1.0, 0.0, 0.8, 0.7), (1.0, 0.7, math.nan, 0.0, 0.0, 0.6, 0.9), (1.0, 0.5, 0.04, 9.0, 0.0, 0.5, 0.6)], ", ".join(f"{m} double" for m in metrics))
+    one = audit.machine_gate(df, audit.STRUCTURE_GATES).first()
+    assert (one["f1"], one["error"], one["status"], one["failed"]) == (0.7, pytest.approx(0.025), "pass", "")
+    none = audit.machine_gate(df.limit(0), audit.STRUCTURE_GATES).first()
+    assert none["status"] == "stop_or_revise" and none["failed"].count(";") == len(audit.STRUCTURE_GATES) - 1
