@@ -437,14 +437,14 @@ g AS (SELECT count(*)::DOUBLE AS n, sum(rx) AS s FROM r GROUP BY lang),
 h AS (SELECT (12.0 / (any_value(m.n) * (any_value(m.n) + 1)) * sum(g.s * g.s / g.n) - 3 * (any_value(m.n) + 1)) / (1 - any_value(t.t) / (any_value(m.n) * any_value(m.n) * any_value(m.n) - any_value(m.n))) AS h, count(*) - 1.0 AS k FROM g, m, t),
 z AS (SELECT *, greatest(0.0, abs(u - n1 * n0 / 2) - 0.5) / sqrt(n1 * n0 / 12 * (n + 1 - t / (n * (n - 1)))) AS z, abs(rho) * sqrt((n - 2) / (1 - rho * rho)) AS s FROM m, t, h),
 i AS (SELECT unnest(range(100000)) + 0.5 AS i)
-SELECT 'mann_whitney_u' AS test, round(any_value(u), 6) AS statistic, round(1 - 2 * sum(exp(-power(z * i / 1e5, 2) / 2) / sqrt(2 * pi()) * z / 1e5), 6) AS p_value FROM z, i
-UNION ALL SELECT 'kruskal_wallis', round(any_value(h), 6), round(sum(power(h + i / 500, k / 2 - 1) * exp(-(h + i / 500) / 2) / (power(2, k / 2) * gamma(k / 2)) / 500), 6) FROM z, i
-UNION ALL SELECT 'spearman', round(any_value(rho), 6), round(1 - 2 * sum(exp(lgamma((n - 1) / 2) - lgamma((n - 2) / 2)) / sqrt((n - 2) * pi()) * power(1 + power(s * i / 1e5, 2) / (n - 2), -(n - 1) / 2) * s / 1e5), 6) FROM z, i""")
+SELECT 'mann_whitney_u' AS test, round(any_value(u), 6) AS statistic, round(1 - 2 * sum(exp(-power(z * i / 1e5, 2) / 2) / sqrt(2 * pi()) * z / 1e5), 5) AS p_value FROM z, i
+UNION ALL SELECT 'kruskal_wallis', round(any_value(h), 6), round(sum(power(h + i / 500, k / 2 - 1) * exp(-(h + i / 500) / 2) / (power(2, k / 2) * gamma(k / 2)) / 500), 5) FROM z, i
+UNION ALL SELECT 'spearman', round(any_value(rho), 6), round(1 - 2 * sum(exp(lgamma((n - 1) / 2) - lgamma((n - 2) / 2)) / sqrt((n - 2) * pi()) * power(1 + power(s * i / 1e5, 2) / (n - 2), -(n - 1) / 2) * s / 1e5), 5) FROM z, i""")
 def association_tests(spark, sf):
     from mensura.operators.stats import association
 
     got = association(_labelled(spark, sf), "n_chars", "quality", "lang", "n_lines")
-    return got.select("test", F.round("statistic", 6).alias("statistic"), F.round("p_value", 6).alias("p_value"))
+    return got.select("test", F.round("statistic", 6).alias("statistic"), F.round("p_value", 5).alias("p_value"))
 
 
 # Metrics of items by plain formulas of the documents' columns; every seventh document has no error.
