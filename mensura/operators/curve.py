@@ -176,25 +176,25 @@ def simplified_paths(df: DataFrame, path: str, order: str, x: str, y: str, epsil
     rows = df.select(F.col(path).alias("i"), F.col(order).alias("o"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
     rows = stage(rows.withColumns({"n": F.monotonically_increasing_id(), "one": F.lit(1)}), "points")
     p = stage(running(rows, ["i"], ["o", "x", "y", "n"], "one", "k").select("i", "k", "x", "y"), "paths")
-    place = lambda k: p.select(F.col("i").alias("i"), F.col("k").alias(k), F.struct("x", "y").alias(f"p{k}"))
-    ends = p.groupBy("i").agg(F.lit(0).cast("bigint").alias("a"), F.max("k").alias("b"))
-    kept = stage(ends.select("i", F.explode(F.array_distinct(F.array("a", "b"))).alias("k")), "kept")
-    # Open points, each with the stretch it is in.
-    open_ = p.join(ends, "i").filter((F.col("k") > F.col("a")) & (F.col("k") < F.col("b")))
+    here = F.struct("k", "x", "y")
+    ends = p.groupBy("i").agg(F.min(here).alias("a"), F.max(here).alias("b"))
+    kept = ends.select("i", F.explode(F.array_distinct(F.array("a.k", "b.k"))).alias("k"))
+    # Open points, each with the ends of the stretch it is in.
+    open_ = p.join(ends, "i").filter((F.col("k") > F.col("a.k")) & (F.col("k") < F.col("b.k")))
+    dx, dy, qx, qy = F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y"), F.col("x") - F.col("a.x"), F.col("y") - F.col("a.y")
+    size = dx * dx + dy * dy
+    t = F.when(size > 0, F.least(F.greatest((qx * dx + qy * dy) / size, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+    off = F.hypot(qx - t * dx, qy - t * dy)
     while True:
         open_ = stage(open_, "open")
-        if open_.isEmpty():
+        far = open_.groupBy("i", F.col("a.k").alias("at")).agg(F.max(F.struct(off.alias("off"), (-F.col("k")).alias("k"), "x", "y")).alias("m")).filter(F.col("m.off") > epsilon)
+        cut = stage(far.select("i", "at", F.struct((-F.col("m.k")).alias("k"), F.col("m.x").alias("x"), F.col("m.y").alias("y")).alias("m")), "cuts")
+        if cut.isEmpty():
             break
-        chords = open_.select("i", "a", "b").distinct().join(place("a"), ["i", "a"]).join(place("b"), ["i", "b"])
-        chords = chords.select("i", "a", F.col("pa.x").alias("ax"), F.col("pa.y").alias("ay"), (F.col("pb.x") - F.col("pa.x")).alias("dx"), (F.col("pb.y") - F.col("pa.y")).alias("dy"))
-        qx, qy, size = F.col("x") - F.col("ax"), F.col("y") - F.col("ay"), F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")
-        t = F.when(size > 0, F.least(F.greatest((qx * F.col("dx") + qy * F.col("dy")) / size, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
-        off = F.hypot(qx - t * F.col("dx"), qy - t * F.col("dy"))
-        far = open_.join(chords, ["i", "a"]).groupBy("i", "a").agg(F.max(F.struct(off.alias("off"), (-F.col("k")).alias("k"))).alias("m"))
-        cut = stage(far.filter(F.col("m.off") > epsilon).select("i", "a", (-F.col("m.k")).alias("m")), "cuts")
-        kept = kept.unionByName(cut.select("i", F.col("m").alias("k")))
-        k, m = F.col("k"), F.col("m")
-        open_ = open_.join(cut, ["i", "a"]).filter(k != m).select("i", "k", "x", "y", F.when(k < m, F.col("a")).otherwise(m).alias("a"), F.when(k < m, m).otherwise(F.col("b")).alias("b"))
+        kept = kept.unionByName(cut.select("i", "m.k"))
+        met = open_.join(cut.withColumnRenamed("i", "_i"), (F.col("i") == F.col("_i")) & (F.col("a.k") == F.col("at"))).filter(F.col("k") != F.col("m.k"))
+        before = F.col("k") < F.col("m.k")
+        open_ = met.select("i", "k", "x", "y", F.when(before, F.col("a")).otherwise(F.col("m")).alias("a"), F.when(before, F.col("m")).otherwise(F.col("b")).alias("b"))
     return kept.join(p, ["i", "k"]).select(F.col("i").alias(path), F.col("k").cast("int").alias("position"), "x", "y")
 
 
