@@ -32,12 +32,33 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.forall(vector, finite)
 
 
+_MOST = np.iinfo(np.int64).max
+
+
 def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact a @ b.T of integers: in doubles where every sum is below 2**53."""
-    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
-    if most < 2**53:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
+    """Exact a @ b.T of integers; beyond a long the nearest one, its least aside, so that it can be negated."""
+    x, y = a.astype(np.float64), b.astype(np.float64)
+    most = float(np.abs(x).max(initial=0)) * float(np.abs(y).max(initial=0)) * max(1, a.shape[1])
+    if most < 2**53:  # every sum is exact in doubles
+        return (x @ y.T).astype(np.int64)
+    exact = a @ b.T  # modulo 2**64
+    if most < 2**62:
+        return exact
+    about, error = x @ y.T, 1e-12 * (np.abs(x) @ np.abs(y).T)
+    exact[about - error >= 2.0**63] = _MOST
+    exact[about + error <= -(2.0**63)] = -_MOST
+    for i, j in zip(*np.nonzero(np.abs(np.abs(about) - 2.0**63) < error)):  # too near the edge to tell in doubles
+        exact[i, j] = max(-_MOST, min(_MOST, sum(u * v for u, v in zip(a[i].tolist(), b[j].tolist()))))
+    return exact
+
+
+def _bounds(q: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """No score of q in a block with these largest and smallest values is greater. Large values are bounded
+    in doubles, as their sums may not fit a long where the scores do."""
+    up, down, high_, low_ = (x.astype(np.float64) for x in (np.maximum(q, 0), np.minimum(q, 0), high, low))
+    most = float(np.abs(up - down).max(initial=0)) * max(float(np.abs(high_).max(initial=0)), float(np.abs(low_).max(initial=0))) * max(1, q.shape[1])
+    bound = up @ high_.T + down @ low_.T
+    return bound if most < 2**52 else bound + 1e-12 * (up @ np.abs(high_).T - down @ np.abs(low_).T) + 1.0
 
 
 def _wide(m: np.ndarray, dims: int) -> np.ndarray:
@@ -66,7 +87,8 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, bl
     rank, vec_id, score; ties to the smaller vec_id; fewer than k rows if there are fewer. Vectors
     that are null or hold a null or non-finite component, and null vec_ids, take no part; shorter
     vectors count as padded with zeros. Repeated query rows have k answers each, and only the query's own
-    row is no candidate: others with its vec_id are. Scores must fit a long. A task holds one group of blocks and one block of queries, whatever the table holds."""
+    row is no candidate: others with its vec_id are. Components and scores beyond a long count as the nearest
+    one. A task holds one group of blocks and one block of queries, whatever the table holds."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, passed = TaskContext.get().partitionId(), 0, 0
@@ -110,9 +132,10 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, bl
     blocks = stage(ranged.mapInArrow(build, BLOCKS), "blocks")
     sizes = blocks.agg(F.count("*").alias("n"), F.sum(F.length("queries") / 8).alias("q")).first()
     groups, sets = max(1, math.ceil((sizes["n"] or 0) / group)), max(1, math.ceil((sizes["q"] or 0) / query_block))
-    blocks = blocks.withColumn("g", spread(F.struct("part", "number"), groups))
+    # Keys of both sides are of one type: Spark deals an int and a long of the same value to different tasks.
+    blocks = blocks.withColumn("g", spread(F.struct("part", "number"), groups).cast("int"))
     index = blocks.select("first", "ids", "dims", "rows", "g", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))).alias("s"))
-    asked = blocks.filter(F.length("queries") > 0).withColumn("s", spread(F.struct("number", "part"), sets))
+    asked = blocks.filter(F.length("queries") > 0).withColumn("s", spread(F.struct("number", "part"), sets).cast("int"))
     asked = asked.select("queries", "query_numbers", "dims", "query_rows", "floors", "s", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
     found = index.groupBy("g", "s").cogroup(asked.groupBy("g", "s")).applyInArrow(score, FOUND)
     # Each group returned its k best; the best of those are the best of all, k a task before the shuffle.
@@ -136,7 +159,7 @@ def _score(blocks: list[dict], asked: list[dict], k: int) -> pa.RecordBatch:
     q = np.concatenate([matrix(r["query_rows"], r["dims"]) if r["dims"] else np.zeros((len(r["queries"]) // 8, dims), np.int64) for r in asked])
     floor = np.concatenate([np.frombuffer(r["floors"], np.int64) for r in asked])
     high, low = np.stack([m.max(axis=0) for m in rows]), np.stack([m.min(axis=0) for m in rows])
-    bound = _dot(np.maximum(q, 0), high) + _dot(np.minimum(q, 0), low)
+    bound = _bounds(q, high, low)
     order = np.argsort(-bound, axis=1, kind="stable")
     top, score, vec = empty, empty, empty
     kth = floor.copy()

@@ -350,6 +350,44 @@ def test_topk_keeps_the_last_rank_of_one_block(spark):
         assert got == want
 
 
+@pytest.mark.parametrize("parts", [12, 211])
+def test_topk_meets_every_block(spark, parts):
+    """Blocks and queries of a group came to different tasks, as their keys were of different types."""
+    r = np.random.default_rng(8)
+    v = r.normal(size=(3000, 4)).round(2).astype(np.float32)
+    a = np.floor(256 * v.astype(float)).astype(np.int64)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    conf = {"spark.sql.shuffle.partitions": str(parts), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in conf}
+    for key, value in conf.items():
+        spark.conf.set(key, value)
+    try:
+        got = topk.search(df, block=20, group=4, query_block=20).collect()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    want = set()
+    for q in range(0, 3000, 50):
+        s = a @ a[q]
+        order = [i for i in np.lexsort((np.arange(3000), -s)) if i != q][:5]
+        want |= {(q, k + 1, int(i), int(s[i])) for k, i in enumerate(order)}
+    assert {(g["query_id"], g["rank"], g["vec_id"], g["score"]) for g in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("scale", [1e4, 2e6, 2e7])
+def test_topk_of_large_components(spark, scale):
+    """Bounds beyond a long wrapped and dropped blocks, though the scores fit one."""
+    r = np.random.default_rng(5)
+    v = r.normal(size=(300, 64)).astype(np.float32) * np.float32(scale) * (r.random((300, 64)) < (1 if scale < 1e7 else 0.05))
+    a = [[int(np.floor(256 * float(x))) for x in row] for row in v]
+    got = topk.search(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>"), block=16, group=8).collect()
+    want = set()
+    for q in range(0, 300, 50):
+        best = sorted((-max(1 - 2**63, min(2**63 - 1, sum(x * y for x, y in zip(a[q], a[i])))), i) for i in range(300) if i != q)[:5]
+        want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(best)}
+    assert {(g["query_id"], g["rank"], g["vec_id"], g["score"]) for g in got} == want and len(got) == len(want)
+
+
 @pytest.mark.parametrize("parts,block", [(1, 4096), (1, 8), (2, 1024), (8, 64), (64, 1024)])
 def test_topk_whatever_the_partitions(spark, parts, block):
     path = "/root/testdata/sf0.01/embeddings.parquet"
