@@ -255,11 +255,14 @@ def peaks_1d(df: DataFrame, item: str, order: str, x: str, tau: float) -> DataFr
 
 def grid_peaks(df: DataFrame, item: str, value: str, least: float, radius: int = 1, inner: bool = True) -> DataFrame:
     """Cells of a grid (x, y) that reach their neighbourhood's maximum and ``least``; with inner, not
-    on the border. Neighbours come by one explode and aggregate."""
-    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1)])
-    spread = df.select(item, F.col(value).alias("_v"), "x", "y", F.explode(steps).alias("s"))
-    around = spread.groupBy(item, (F.col("x") + F.col("s.a")).alias("x"), (F.col("y") + F.col("s.b")).alias("y")).agg(F.max("_v").alias("_max"))
-    out = df.join(around, [item, "x", "y"]).filter((F.col(value) >= F.col("_max")) & (F.col(value) >= least)).drop("_max")
+    on the border. The maximum comes along rows, then along columns."""
+    reach = F.array(*[F.lit(k) for k in range(-radius, radius + 1)])
+    spread = df.select(item, F.col(value).alias("_max"), "y", F.col("x").alias("_x"), F.explode(reach).alias("_s"))
+    rows = spread.groupBy(item, (F.col("_x") + F.col("_s")).alias("x"), "y").agg(F.max("_max").alias("_max"))
+    spread = rows.select(item, "x", F.col("y").alias("_y"), "_max", F.explode(reach).alias("_s"))
+    around = spread.groupBy(item, "x", (F.col("_y") + F.col("_s")).alias("y")).agg(F.max("_max").alias("_max"))
+    high = df.filter(F.col(value) >= least)
+    out = high.join(around.hint("merge"), [item, "x", "y"]).filter(F.col(value) >= F.col("_max")).drop("_max")
     if inner:
         size = df.groupBy(item).agg(F.max("x").alias("_w"), F.max("y").alias("_h"))
         out = out.join(size, item).filter((F.col("x") > 0) & (F.col("y") > 0) & (F.col("x") < F.col("_w")) & (F.col("y") < F.col("_h"))).drop("_w", "_h")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mensura.functions.scalar import c, clip, half_even
+from mensura.staging import dealt
 
 EIGHT = [(dx, dy) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dx, dy) != (0, 0)]
 
@@ -89,9 +90,10 @@ def interface(a: DataFrame, b: DataFrame, radius: int, item: str = "item") -> Da
 
 
 def lookup(points: DataFrame, mask: DataFrame, width: int, height: int, item: str = "item", name: str = "hit") -> DataFrame:
-    """Whether each point's pixel (half to even, clipped to the frame) is in the mask."""
+    """Whether each point's pixel (half to even, clipped to the frame) is in the mask. A mask may have many
+    times the rows of the table it was grown from, which the planner doesn't count, so it is not broadcast."""
     at = points.withColumns({"_px": clip(half_even("x"), 0, width - 1).cast("int"), "_py": clip(half_even("y"), 0, height - 1).cast("int")})
-    there = mask.select(F.col(item).alias("_i"), F.col("x").cast("int").alias("_mx"), F.col("y").cast("int").alias("_my"), F.lit(1).alias("_there")).distinct()
+    there = mask.select(F.col(item).alias("_i"), F.col("x").cast("int").alias("_mx"), F.col("y").cast("int").alias("_my"), F.lit(1).alias("_there")).distinct().hint("merge")
     out = at.join(there, (F.col(item) == F.col("_i")) & (F.col("_px") == F.col("_mx")) & (F.col("_py") == F.col("_my")), "left")
     return out.withColumn(name, F.coalesce("_there", F.lit(0))).drop("_px", "_py", "_i", "_mx", "_my", "_there")
 
@@ -121,8 +123,10 @@ def laplacian_variance(pixels: DataFrame, value: str, item: str = "item") -> Dat
 
 
 def heatmap(points: DataFrame, sigma: float, width: int, height: int, item: str = "item") -> DataFrame:
-    """Gaussian target heatmap, largest value by cell within three sigma."""
+    """Gaussian target heatmap, largest value by cell within three sigma. A point makes some hundred cells, so
+    points are dealt by item first, few to a task; cells of an item come together without another shuffle."""
     r = int(np.ceil(3 * sigma))
+    points = dealt(points, item, 5_000)
     steps = F.array(*[F.lit(k) for k in range(-r, r + 1)])
     cells = points.withColumns({"_cx": half_even("x").cast("int"), "_cy": half_even("y").cast("int")})
     cells = cells.withColumn("_dx", F.explode(steps)).withColumn("_dy", F.explode(steps))

@@ -224,3 +224,20 @@ def test_mask_queries_take_every_pixel_and_point(spark, tmp_path):
         assert (g["nodes"], g["rejected"], g["merged"], g["edges"]) == (len(w["nodes"]), len(w["rejected"]), w["merged"], len(w["edges"]))
         assert g["coverage"] == pytest.approx(w["coverage"])
         assert g["nodes"] + g["rejected"] + g["merged"] == len(v)
+
+
+def test_masks_are_not_broadcast(spark):
+    """A grown mask has many times the rows that the planner expects."""
+    from mensura.plans import measures
+
+    plan = measures.point_regions(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def test_heatmap_points_are_dealt_over_tasks(spark):
+    """A small file of points made one task of all cells."""
+    from mensura.operators import raster
+
+    rows = spark.range(12_000).selectExpr("id % 300 AS item", "id % 190 * 1.0D AS x", "id % 170 * 1.0D AS y", "1.0D AS confidence").coalesce(1)
+    h = raster.heatmap(rows, 2.0, 200, 200)
+    assert h.rdd.getNumPartitions() == 3 and h.groupBy("item", "gx", "gy").count().filter("count > 1").isEmpty()
