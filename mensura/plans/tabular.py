@@ -126,8 +126,8 @@ def simhash_signatures(spark, sf):
     return _hashed(spark, sf)
 
 
-# Copies of a signature are one class, named by its least member.
-_CLASS_PAIRS = lambda d: f"WITH c AS MATERIALIZED (SELECT simhash, min(doc_id) AS id, count(*) AS n FROM ({_SIM}) GROUP BY 1) SELECT a.id AS id_a, b.id AS id_b, ({_hamming('a.simhash', 'b.simhash')})::INT AS distance, a.n AS copies_a, b.n AS copies_b FROM c a JOIN c b ON a.id < b.id WHERE {_hamming('a.simhash', 'b.simhash')} <= {d}"
+# Copies of a signature are one class, named by its least member; the other members follow, a row each.
+_CLASS_PAIRS = lambda d: f"WITH s AS MATERIALIZED ({_SIM}), c AS MATERIALIZED (SELECT simhash, min(doc_id) AS id, count(*) AS n FROM s GROUP BY 1) SELECT 'pair' AS kind, a.id AS id_a, b.id AS id_b, ({_hamming('a.simhash', 'b.simhash')})::INT AS distance, a.n AS copies_a, b.n AS copies_b FROM c a JOIN c b ON a.id < b.id WHERE {_hamming('a.simhash', 'b.simhash')} <= {d} UNION ALL SELECT 'copy', id, doc_id, 0, n, n FROM s JOIN c USING (simhash) WHERE doc_id > id"
 
 
 @query(f"SELECT doc_id, min(doc_id) OVER (PARTITION BY simhash) AS class_id, count(*) OVER (PARTITION BY simhash) AS copies FROM ({_SIM})")
@@ -137,12 +137,12 @@ def near_dup_classes(spark, sf):
 
 @query(_CLASS_PAIRS(3))
 def near_dup_pairs_hamming3(spark, sf):
-    return dedup.class_pairs(_hashed(spark, sf), "doc_id", "simhash", 3)
+    return dedup.class_links(_hashed(spark, sf), "doc_id", "simhash", 3)
 
 
 @query(_CLASS_PAIRS(5))
 def near_dup_pairs_hamming5(spark, sf):
-    return dedup.class_pairs(_hashed(spark, sf), "doc_id", "simhash", 5)
+    return dedup.class_links(_hashed(spark, sf), "doc_id", "simhash", 5)
 
 
 @query(f"""WITH RECURSIVE e AS MATERIALIZED ({_PAIRS(3)}), b AS (SELECT id_a AS x, id_b AS y FROM e UNION ALL SELECT id_b, id_a FROM e),
@@ -156,23 +156,27 @@ def near_dup_components(spark, sf):
 _BUCKET = "(('0x' || substr(sha256('7|' || doc_id::VARCHAR), 1, 8))::BIGINT % 10000)"
 
 
-@query(f"""WITH s AS MATERIALIZED ({_SIM}), d AS (SELECT simhash, md5(text) AS h2, CASE WHEN {_BUCKET} < 1500 THEN 'val' ELSE 'train' END AS part, min(doc_id) AS id, count(*) AS n FROM documents JOIN s USING (doc_id) GROUP BY ALL)
-SELECT a.id AS id_a, b.id AS id_b, ({_hamming('a.simhash', 'b.simhash')})::INT AS distance, ({_hamming('a.h2', 'b.h2')})::INT AS second_distance, a.n AS copies_a, b.n AS copies_b
-FROM d a JOIN d b ON a.id < b.id WHERE a.part <> b.part AND {_hamming('a.simhash', 'b.simhash')} <= 3 AND {_hamming('a.h2', 'b.h2')} <= 36""")
+@query(f"""WITH s AS MATERIALIZED ({_SIM}), r AS MATERIALIZED (SELECT doc_id, simhash, md5(text) AS h2, CASE WHEN {_BUCKET} < 1500 THEN 'val' ELSE 'train' END AS part FROM documents JOIN s USING (doc_id)), d AS MATERIALIZED (SELECT simhash, h2, part, min(doc_id) AS id, count(*) AS n FROM r GROUP BY ALL)
+SELECT 'pair' AS kind, a.id AS id_a, b.id AS id_b, ({_hamming('a.simhash', 'b.simhash')})::INT AS distance, ({_hamming('a.h2', 'b.h2')})::INT AS second_distance, a.n AS copies_a, b.n AS copies_b
+FROM d a JOIN d b ON a.id < b.id WHERE a.part <> b.part AND {_hamming('a.simhash', 'b.simhash')} <= 3 AND {_hamming('a.h2', 'b.h2')} <= 36
+UNION ALL SELECT 'copy', id, doc_id, 0, 0, n, n FROM r JOIN d USING (simhash, h2, part) WHERE doc_id > id""")
 def cross_split_near_dups(spark, sf):
-    """Between classes of the same text in the same part: copies are counted, not paired."""
+    """Between classes of the same text in the same part; the members of a class follow, a row each."""
     d = split.by_bucket(table(spark, sf, "documents").select("doc_id", F.md5("text").alias("h2")), "7", "doc_id")
-    of = stage(dedup.classes(_hashed(spark, sf).join(d, "doc_id"), "doc_id", ["simhash", "h2", "part"]), "classes")
+    rows = stage(_hashed(spark, sf).join(d, "doc_id"), "rows")
+    of = stage(dedup.classes(rows, "doc_id", ["simhash", "h2", "part"]), "classes")
     same = of.select(F.col("simhash").alias("ha"), F.col("simhash").alias("hb"), F.lit(0).alias("distance")).distinct()
     pairs = dedup.hash_pairs(of, "simhash", 3).unionByName(same)
     side = lambda k: of.select(F.col("simhash").alias(f"h{k}"), *[F.col(x).alias(f"{x}_{k}") for x in ("class_id", "copies", "h2", "part")])
     both = pairs.join(side("a"), "ha").join(side("b"), "hb").withColumn("second_distance", S.hamming64("h2_a", "h2_b"))
     both = both.filter((F.col("part_a") != F.col("part_b")) & (F.col("second_distance") <= 36) & ((F.col("ha") != F.col("hb")) | (F.col("class_id_a") < F.col("class_id_b"))))
     first = F.col("class_id_a") < F.col("class_id_b")
-    return both.select(
+    both = both.select(
         F.least("class_id_a", "class_id_b").alias("id_a"), F.greatest("class_id_a", "class_id_b").alias("id_b"), "distance", "second_distance",
         F.when(first, F.col("copies_a")).otherwise(F.col("copies_b")).alias("copies_a"), F.when(first, F.col("copies_b")).otherwise(F.col("copies_a")).alias("copies_b"),
     )
+    member = rows.join(of, ["simhash", "h2", "part"]).select(F.col("doc_id").alias("id"), "class_id", "copies")
+    return dedup.with_members(both, member, ["distance", "second_distance"])
 
 
 @query(f"""SELECT sha256(text) AS h, count(DISTINCT CASE WHEN {_BUCKET} < 1500 THEN 'val' ELSE 'train' END) AS splits, count(*) AS n FROM documents GROUP BY 1

@@ -312,3 +312,15 @@ def test_simhash_memory_is_bounded():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(got[0]) == 2000 and len(set(got[0].column(1).to_pylist())) == 1 and peak < 100e6
+
+
+def test_class_links_hold_every_link(spark):
+    """Pairs between classes and the members of each give back all pairs of rows."""
+    rows = [(i, format(h, "016x")) for i, h in enumerate([0, 1, 3, 7, 0, 0, 1, 2**63])]
+    got = [tuple(r) for r in dedup.class_links(spark.createDataFrame(rows, "id long, h string"), "id", "h", 2).collect()]
+    of = {i: {i} for i, _ in rows}
+    for kind, a, b, *_ in got:
+        if kind == "copy":
+            of[a].add(b)
+    linked = {(min(x, y), max(x, y)) for kind, a, b, *_ in got if kind == "pair" for x in of[a] for y in of[b]} | {(x, y) for m in of.values() for x in m for y in m if x < y}
+    assert linked == {(i, j) for i, x in rows for j, y in rows if i < j and (int(x, 16) ^ int(y, 16)).bit_count() <= 2}
