@@ -151,3 +151,16 @@ def test_simplified_paths_equal_the_sequential_rule(spark):
         p = np.array([r[2:] for r in rows if r[0] == i])
         assert got[i] == {int(k): tuple(p[k]) for k in curve.simplify(p, 0.8)}
     assert got[8] == {0: (2.0, 2.0)}
+
+
+def test_small_items_take_no_rounds_and_equal_them(spark):
+    """Many small graphs are dealt once; rounds over all of them shuffled every edge again and again."""
+    import random
+
+    r = random.Random(4)
+    rows = [(i, f"n{r.randrange(9)}", f"n{r.randrange(9)}", float(r.randrange(4))) for i in range(300) for _ in range(r.randrange(1, 14))] + [(None, "a", "b", 1.0), (7, None, "b", 1.0)]
+    edges = spark.createDataFrame(rows, "item long, a string, b string, w double")
+    same = lambda f: sorted(map(tuple, f(graph.LARGE).collect()), key=repr) == sorted(map(tuple, f(5).collect()), key=repr) == sorted(map(tuple, f(0).collect()), key=repr)
+    assert same(lambda n: graph.spanning_trees(edges, "item", "a", "b", "w", large=n))
+    assert same(lambda n: graph.shortest_trees(edges, "item", "a", "b", "w", large=n))
+    assert same(lambda n: graph.path_rows(graph.shortest_trees(edges, "item", "a", "b", "w", large=n), "item", large=n))
