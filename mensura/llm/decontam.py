@@ -22,6 +22,7 @@ from mensura.llm.shared import chunked, hashed_words, stage, text_batches
 
 HALF = 32
 SHORT = 4  # items of fewer words stand whole or not at all
+DENSE = 512  # words that most documents have, multiplied as dense columns
 FOUND = "doc_id long, item_id long, cosine double, lcs double, answer double, word long"
 
 
@@ -256,123 +257,142 @@ def _judge(space: Space, least: float, loose: float, answer: float) -> Callable[
     return judged
 
 
-def _tf(texts: list[str], vocabulary: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse TF-IDF of passages: (passage, word, value), rows of unit length."""
-    h, starts = hashed_words(texts)
-    begin, text = halves(starts)
-    at = place(vocabulary, h)
-    some = np.flatnonzero(at >= 0)
-    half = np.searchsorted(begin, some, side="right") - 1
-    follows = np.zeros(len(begin) + 1, bool)
-    follows[1:-1] = text[1:] == text[:-1]
-    row = np.concatenate([half, half[follows[half]] - 1])
-    word = np.concatenate([at[some], at[some][follows[half]]])
-    key, count = np.unique(row * np.int64(len(vocabulary)) + word, return_counts=True)
-    row, word = key // len(vocabulary), key % len(vocabulary)
-    value = count * idf[word]
-    norm = np.sqrt(np.bincount(row, value**2, minlength=len(begin)))
-    return row, word, value / np.maximum(norm[row], 1e-9)
-
-
-def _gram(texts: list[str], vocabulary: np.ndarray, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """A'(A basis) of the passages of these texts, in the basis' precision."""
-    out = np.zeros(basis.shape, basis.dtype)
-    for s, e in chunked(texts, 300_000):
-        row, word, value = _tf(texts[s:e], vocabulary, idf)
-        value = value.astype(basis.dtype)
-        if len(row):
-            n = int(row.max()) + 1
-            edge = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-            y = np.zeros((n, basis.shape[1]), basis.dtype)
-            y[row[edge]] = np.add.reduceat(basis[word] * value[:, None], edge, axis=0)
-            order = np.argsort(word, kind="stable")
-            w = word[order]
+def _gram(texts: list[str], vocabulary: np.ndarray, idf: np.ndarray, basis: np.ndarray, often: np.ndarray, total: np.ndarray) -> None:
+    """Adds A'(A basis) to total, where the rows of A are the passages' TF-IDF vectors of unit length. As a
+    passage is the sum of two half windows, words are taken once by half window; ``often`` are places of
+    words that many have, which are multiplied as dense columns, all others as sparse ones."""
+    size, dense = np.int64(len(vocabulary)), np.full(len(vocabulary), -1)
+    dense[often] = np.arange(len(often))
+    head = basis[often]
+    for s, e in chunked(texts, 100_000):
+        h, starts = hashed_words(texts[s:e])
+        begin, text = halves(starts)
+        at = place(vocabulary, h)
+        some = np.flatnonzero(at >= 0)
+        if not len(some):
+            continue
+        key, count = np.unique((np.searchsorted(begin, some, side="right") - 1) * size + at[some], return_counts=True)
+        half, word = key // size, key % size
+        value = (count * idf[word]).astype(np.float32)
+        follows = np.zeros(len(begin), bool)
+        follows[:-1] = text[1:] == text[:-1]
+        next_ = np.minimum(np.searchsorted(key, key + size), len(key) - 1)  # the same word in the next half window
+        both = (key[next_] == key + size) & follows[half]
+        own = np.bincount(half, value.astype(float) ** 2, minlength=len(begin))
+        norm = own + 2 * np.bincount(half[both], value[both].astype(float) * value[next_[both]], minlength=len(begin))
+        pair = np.flatnonzero(follows)
+        norm[pair] += own[pair + 1]
+        common_, rest = dense[word] >= 0, dense[word] < 0
+        d = np.zeros((len(begin), len(often)), np.float32)
+        d[half[common_], dense[word[common_]]] = value[common_]
+        y = d @ head
+        r, w, v = half[rest], word[rest], value[rest, None]
+        if len(r):
+            edge = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+            y[r[edge]] += np.add.reduceat(basis[w] * v, edge, axis=0)
+        passage = y.copy()
+        passage[pair] += y[pair + 1]
+        passage /= np.maximum(norm, 1e-18)[:, None].astype(np.float32)
+        back = passage.copy()
+        back[pair + 1] += passage[pair]
+        total[often] += d.T @ back
+        if len(r):
+            order = np.argsort(w, kind="stable")
+            w = w[order]
             edge = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
-            out[w[edge]] += np.add.reduceat((y[row] * value[:, None])[order], edge, axis=0)
-    return out
+            total[w[edge]] += np.add.reduceat(back[r[order]] * v[order], edge, axis=0)
 
 
-def build(docs: DataFrame, blocks: list[list[tuple]], rank: int, least: float, sample_docs: int, words: int, seed: int) -> list[Space]:
-    """A latent space for each block of items: vocabulary from the items and a sample of at most
-    ``sample_docs`` distinct texts in hash order (at most ``words`` beyond the items' own), document
-    frequencies over all documents in one pass for all blocks, and the SVD over the sample's passages and
-    the block's items, the items weighted to count as much."""
-    h = np.concatenate([hashed_words([t])[0] for items in blocks for _, t in items])
-    # In the order of a hash of the text: equal texts tie, and one of them stays.
-    seen = docs.select("text", F.xxhash64("text", F.lit(seed)).alias("_o"))
-    last = seen.select("_o").orderBy("_o").limit(sample_docs).agg(F.max("_o").alias("m")).first()["m"]
-    chosen = seen.filter(F.col("_o") <= F.lit(last if last is not None else 0)).dropDuplicates(["_o"]).select("text")
-    sampled = stage(chosen, "sampled")
+def counted(docs: DataFrame) -> DataFrame:
+    """(w, n): of every word hash the documents that have it, and of null all documents. Tasks add up
+    what they read, a bounded number of words at a time."""
 
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found, count = np.unique(np.concatenate([np.unique(hashed_words([t])[0]) for t in batch.column(0).to_pylist()] or [np.zeros(0, np.uint64)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(count)], names=["w", "n"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, words, counts, held = 0, [], [], 0
 
-    often = sampled.mapInArrow(heads, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(words).collect()
-    common_words = np.array([r["w"] for r in often], np.int64).astype(np.uint64)
-    vocabulary = np.unique(np.concatenate([h, common_words]))
+        def added() -> tuple[np.ndarray, np.ndarray]:
+            word, back = np.unique(np.concatenate([np.zeros(0, np.uint64), *words]), return_inverse=True)
+            return word, np.bincount(back, np.concatenate([np.zeros(0, np.int64), *counts]), minlength=len(word)).astype(np.int64)
 
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(len(vocabulary), np.int64), 0
         for batch in batches:
             text = batch.column(0).to_pylist()
             n += len(text)
             for s, e in chunked(text, 300_000):
                 x, starts = hashed_words(text[s:e])
-                p = place(vocabulary, x)
-                doc = np.repeat(np.arange(e - s), np.diff(starts))
-                pairs = np.unique((doc * np.int64(len(vocabulary)) + p)[p >= 0])
-                total += np.bincount(pairs % len(vocabulary), minlength=len(vocabulary))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[some, -1]), pa.array(np.r_[total[some], n])], names=["w", "n"])
-
-    counts = docs.select("text").mapInArrow(frequencies, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()
-    df = np.zeros(len(vocabulary))
-    for r in counts:
-        if r["w"] >= 0:
-            df[r["w"]] = r["n"]
-    n = max(1, sum(r["n"] for r in counts if r["w"] < 0))
+                word, back = np.unique(x, return_inverse=True)
+                pairs = np.unique(np.repeat(np.arange(e - s), np.diff(starts)) * np.int64(len(word)) + back)
+                words.append(word)
+                counts.append(np.bincount(pairs % max(1, len(word)), minlength=len(word)))
+                held += len(word)
+            if held > 500_000:
+                word, count = added()
+                words, counts, held = [word], [count], len(word)
+                if held > 250_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(count)], names=["w", "n"])
+                    words, counts, held = [], [], 0
+        word, count = added()
+        yield pa.RecordBatch.from_arrays([pa.array([*word.astype(np.int64).tolist(), None], pa.int64()), pa.array(np.r_[count, n])], names=["w", "n"])
+
+    return docs.select("text").mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+
+
+def build(docs: DataFrame, blocks: list[list[tuple]], rank: int, least: float, words: int, seed: int) -> list[Space]:
+    """A latent space for each block of items: vocabulary from the items and the ``words`` that most
+    documents have, frequencies over all documents in one pass for all blocks, and the SVD over the
+    passages of all documents and the block's items, the items weighted to count as much."""
+    h = np.unique(np.concatenate([hashed_words([t])[0] for items in blocks for _, t in items]))
+    counts = stage(counted(docs), "counts")
+    top = counts.filter("w IS NOT NULL").orderBy(F.desc("n"), "w").limit(words).collect()
+    own = docs.sparkSession.createDataFrame(pa.table({"w": pa.array(h.astype(np.int64))}))
+    found = {r["w"]: r["n"] for r in [*top, *counts.join(F.broadcast(own), "w", "left_semi").collect()]}
+    common_words = np.array([r["w"] for r in top], np.int64).astype(np.uint64)
+    vocabulary = np.unique(np.concatenate([h, common_words]))
+    df = np.array([found.get(w, 0) for w in vocabulary.astype(np.int64).tolist()], float)
+    n = max(1, sum(r["n"] for r in counts.filter("w IS NULL").collect()))
     idf = np.log1p((n + 1) / (df + 1))  # never 0: an item may stand in any share of the documents
-    return [_space(sampled, items, vocabulary, df, idf, common_words, float(np.log(n + 1)), rank, least, seed) for items in blocks]
+    return [_space(docs, items, vocabulary, df, idf, common_words, float(np.log(n + 1)), rank, least, seed) for items in blocks]
 
 
-def _space(sampled: DataFrame, items: list[tuple], every: np.ndarray, df: np.ndarray, idf: np.ndarray, common_words: np.ndarray, other: float, rank: int, least: float, seed: int) -> Space:
-    """The space of one block, over its own words and the sample's frequent ones."""
+def _space(docs: DataFrame, items: list[tuple], every: np.ndarray, df: np.ndarray, idf: np.ndarray, common_words: np.ndarray, other: float, rank: int, least: float, seed: int) -> Space:
+    """The space of one block, over its own words and the frequent ones."""
     texts = [t or "" for _, t in items]
     h, at = hashed_words(texts)
     vocabulary = np.unique(np.concatenate([h, common_words]))
     own = np.searchsorted(every, vocabulary)
     df, idf = df[own], idf[own]
+    often = np.argsort(-df, kind="stable")[:DENSE]
     r = np.random.default_rng(seed)
     k = min(rank + 16, len(vocabulary))
     # The driver holds a few matrices of vocabulary by rank in single precision; sums are in double.
     basis = np.linalg.qr(r.standard_normal((len(vocabulary), k), np.float32))[0]
+    # A task's sum is a matrix, whatever it reads: no more tasks than keep all cores busy.
+    read = docs.select("text").coalesce(4 * docs.sparkSession.sparkContext.defaultParallelism)
     for _ in range(2):
         def part(batches: Iterator[pa.RecordBatch], basis: np.ndarray = basis) -> Iterator[pa.RecordBatch]:
             total, n = np.zeros(basis.shape), 0  # of a partition
             for batch in batches:
                 t = batch.column(0).to_pylist()
                 n += len(t)
-                total += _gram(t, vocabulary, idf, basis)
-            size = 2048
+                _gram(t, vocabulary, idf, basis, often, total)
+            size = 512
             if n:
-                blocks = range(0, len(total), size)
-                yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int64()), pa.array([total[b : b + size].astype(np.float32).tobytes() for b in blocks], pa.binary())], names=["b", "m"])
+                for b in range(0, len(total), size):
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([total[b : b + size].astype(np.float32).tobytes()], pa.binary())], names=["b", "m"])
 
         def added(t: pa.Table) -> pa.Table:
             total = sum(np.frombuffer(x.as_py(), np.float32).astype(float) for x in t.column("m"))
             return pa.table({"b": pa.array([t.column("b")[0].as_py()]), "m": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
-        sums = sampled.mapInArrow(part, "b long, m binary").groupBy("b").applyInArrow(added, "b long, m binary").collect()
+        sums = read.mapInArrow(part, "b long, m binary").groupBy("b").applyInArrow(added, "b long, m binary").collect()
         rest = np.zeros(basis.shape, np.float32)
         for row in sums:
             m = np.frombuffer(row["m"], np.float32).reshape(-1, k)
             rest[row["b"] : row["b"] + len(m)] = m
         del sums
-        y = _gram(texts, vocabulary, idf, basis)
-        y *= np.float32(max(1.0, 4 * np.linalg.norm(rest) / max(np.linalg.norm(y), 1e-9)))
-        rest += y
+        y = np.zeros(basis.shape)
+        _gram(texts, vocabulary, idf, basis, often, y)
+        y *= max(1.0, 4 * np.linalg.norm(rest) / max(np.linalg.norm(y), 1e-9))
+        rest += y.astype(np.float32)
         basis = np.linalg.qr(rest)[0]
     basis = basis[:, :rank]
     loadings = basis * idf[:, None].astype(np.float32)
@@ -387,8 +407,8 @@ def _space(sampled: DataFrame, items: list[tuple], every: np.ndarray, df: np.nda
 #   rank          dimensions of a space; block: items of a space, together: spaces of a pass over docs
 #   cosine        of a passage that may be a paraphrase, loose: the share of the item's idf it keeps in order
 #   least         the share that text of any cosine keeps in order; answer: of the item's last quarter
-#   sample_docs   texts that a space is fitted on, words: how many of their frequent words it has
-def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = 160, cosine: float = 0.2, least: float = 0.7, loose: float = 0.5, answer: float = 0.5, sample_docs: int = 2000, words: int = 8000, block: int = 200, together: int = 10, seed: int = 3) -> DataFrame:
+#   words         how many words of most documents a space has beside the items' own
+def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = 160, cosine: float = 0.2, least: float = 0.7, loose: float = 0.5, answer: float = 0.5, words: int = 8000, block: int = 200, together: int = 10, seed: int = 3) -> DataFrame:
     """doc_id, item_id, cosine, lcs, answer and word (where the passage begins) for every document and item
     that it holds: near one passage a subsequence of ``least`` of the item's words, or of ``loose`` of their
     idf if the passage's cosine is ``cosine`` or more, and of ``answer`` of its last quarter. Items of fewer than four
@@ -398,7 +418,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = 160, cosine:
     Items are taken in blocks, so what a task holds does not grow with the benchmark."""
     typed = docs.select(F.col("doc_id").cast("long"), "text")
     out = docs.sparkSession.createDataFrame([], FOUND)
-    for spaces in _spaces(typed, benchmark, rank, least, sample_docs, words, block, together, seed):
+    for spaces in _spaces(typed, benchmark, rank, least, words, block, together, seed):
 
         def run(batches: Iterator[pa.RecordBatch], spaces: list[Space] = spaces) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -410,10 +430,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = 160, cosine:
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, rank: int = 160, cosine: float = 0.2, least: float = 0.7, loose: float = 0.5, answer: float = 0.5, sample_docs: int = 2000, words: int = 8000, block: int = 200, together: int = 10, seed: int = 3) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, rank: int = 160, cosine: float = 0.2, least: float = 0.7, loose: float = 0.5, answer: float = 0.5, words: int = 8000, block: int = 200, together: int = 10, seed: int = 3) -> DataFrame:
     """The rows of docs (all columns) that hold no item by the rule of ``contaminated``."""
     out = docs
-    for spaces in _spaces(docs, benchmark, rank, least, sample_docs, words, block, together, seed):
+    for spaces in _spaces(docs, benchmark, rank, least, words, block, together, seed):
 
         def run(batches: Iterator[pa.RecordBatch], spaces: list[Space] = spaces) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -425,7 +445,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, rank: int = 160, cosine: float
     return out
 
 
-def _spaces(docs: DataFrame, benchmark: DataFrame, rank: int, least: float, sample_docs: int, words: int, block: int, together: int, seed: int) -> Iterator[list[Space]]:
+def _spaces(docs: DataFrame, benchmark: DataFrame, rank: int, least: float, words: int, block: int, together: int, seed: int) -> Iterator[list[Space]]:
     text_batches(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long"), "text").filter("text IS NOT NULL").distinct()
     sets = -(-items.count() // (block * together))
@@ -434,4 +454,4 @@ def _spaces(docs: DataFrame, benchmark: DataFrame, rank: int, least: float, samp
         rows = sorted(((r["item_id"], r["text"]) for r in some.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
         rows = [r for r in rows if len(hashed_words([r[1]])[0])]
         if rows:
-            yield build(docs, [rows[i : i + block] for i in range(0, len(rows), block)], rank, least, sample_docs, words, seed)
+            yield build(docs, [rows[i : i + block] for i in range(0, len(rows), block)], rank, least, words, seed)

@@ -815,3 +815,37 @@ def test_plan_is_best_fit_decreasing():
 
 def test_digest_of_no_spans():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_latent_space_is_fitted_on_all_documents(spark):
+    r = np.random.default_rng(4)
+    vocabulary = np.array([f"w{i}" for i in range(300)])
+    texts = [" ".join(r.choice(vocabulary[:: 1 + i % 3], int(r.integers(1, 150)))) for i in range(2300)] + ["", None]
+    items = [(i, " ".join(r.choice(vocabulary, 12))) for i in range(5)]
+    space = decontam.build(spark.createDataFrame(rows_of(texts), SCHEMA).repartition(3), [items], 20, 0.7, 100, 3)[0]
+    sets = [set(t.split()) if t else set() for t in texts]
+    count = {w: sum(w in s for s in sets) for w in vocabulary}
+    word = {int(shared.hashed_words([w])[0][0]): w for w in vocabulary}
+    names = [word[int(h)] for h in space.words]
+    idf = np.log1p((len(texts) + 1) / (np.array([count[w] for w in names]) + 1))
+    assert space.idf == pytest.approx(idf)
+    hundred = sorted(count, key=lambda w: (-count[w], int(shared.hashed_words([w])[0].astype(np.int64)[0])))[:100]
+    assert set(names) == set(hundred) | {w for _, t in items for w in t.split()}
+
+    place, rows = {w: i for i, w in enumerate(names)}, {"docs": [], "items": []}
+    for kind, group in (("docs", texts), ("items", [t for _, t in items])):
+        for t in group:
+            w = (t or "").split()
+            for s in range(0, len(w), decontam.HALF):
+                v = np.zeros(len(names))
+                for x in w[s : s + 2 * decontam.HALF]:
+                    if x in place:
+                        v[place[x]] += idf[place[x]]
+                rows[kind].append(v / max(np.linalg.norm(v), 1e-9))
+    a, b = (np.array(rows[k]) for k in ("docs", "items"))
+    basis = np.linalg.qr(np.random.default_rng(3).standard_normal((len(names), 36), np.float32))[0]
+    for _ in range(2):
+        rest, y = a.T @ (a @ basis), b.T @ (b @ basis)
+        basis = np.linalg.qr(rest + y * max(1.0, 4 * np.linalg.norm(rest) / np.linalg.norm(y)))[0]
+    got = np.linalg.qr(space.loadings / idf[:, None])[0]
+    assert np.linalg.norm(got.T @ basis[:, :20], axis=0) == pytest.approx(1, abs=1e-3)
