@@ -9,7 +9,7 @@ left after the noise within them, so that sparse sites lean on what is above the
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +23,7 @@ MARKS = "!#$%&*|=<>{}[]\\^~+"
 SEPARATORS = "|\u00bb\u203a\u2022\u00b7"
 N_SHAPE = 8
 MOST_WORDS = 400
-BROADCAST_SITES = 200_000  # paths (a few dozen bytes each) up to which their table is broadcast
+BROADCAST_SITES = 200_000  # paths or labels (a few dozen bytes each) up to which their table is broadcast
 KINDS = ("good", "toxic")
 _CAPITALS = re.compile("[A-ZÀ-ÖØ-Þ]")
 
@@ -97,84 +97,136 @@ def telling(counts: DataFrame, y: str, total: float, positive: float, least: flo
     return np.sort(np.array([r["w"] for r in best.collect()], np.int64).astype(np.uint64))
 
 
-def fit(shape: np.ndarray, hits: list[np.ndarray], words: np.ndarray, y: np.ndarray, epochs: int = 300, rate: float = 0.3, decay: float = 1e-4) -> Linear:
-    """Logistic regression on shape and the words that each text hits, by full-batch adaptive gradients."""
-    centre, scale = shape.mean(axis=0), shape.std(axis=0) + 1e-6
-    x = (shape - centre) / scale
-    doc, place = np.repeat(np.arange(len(hits)), [len(h) for h in hits]), np.searchsorted(words, np.concatenate([np.zeros(0, np.uint64), *hits]))
-    w, s, b = np.zeros(len(words)), np.zeros(N_SHAPE), 0.0
-    gw, gs, gb = np.full(len(words), 1e-8), np.full(N_SHAPE, 1e-8), 1e-8
-    share = y.mean()
-    weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share))  # classes count alike
-    for _ in range(epochs):
-        m = np.bincount(doc, w[place], minlength=len(y)) + x @ s + b
-        e = weight * (y - 1 / (1 + np.exp(-np.clip(m, -30, 30)))) / len(y)
-        dw, ds, db = np.bincount(place, e[doc], minlength=len(words)) - decay * w, e @ x - decay * s, e.sum()
-        gw, gs, gb = gw + dw * dw, gs + ds * ds, gb + db * db
-        w, s, b = w + rate * dw / np.sqrt(gw), s + rate * ds / np.sqrt(gs), b + rate * db / np.sqrt(gb)
-    return Linear(words, w, s, float(b), centre, scale)
-
-
-def sample(docs: DataFrame, labels: DataFrame, most: int, seed: int) -> DataFrame:
-    """At most ``most`` labelled documents in hash order, one row a label: good, toxic, shape (doubles)
-    and words (sorted hashes) as bytes. Of documents with one doc_id that of the least text hash
-    counts. Texts stay in the executors."""
-    known = labels.filter("quality IS NOT NULL AND toxic IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("quality").cast("double").alias("good"), F.col("toxic").cast("double").alias("toxic"))
-    chosen = known.distinct().orderBy(F.xxhash64("_id", F.lit(seed)), "_id", "good", "toxic").limit(most)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", "good", "toxic", "text")
+class Sums:
+    """What one step of a fit needs of the labelled texts: loss, gradient and second derivatives of the
+    logistic loss at some weights (words, shape, bias), where the classes count alike."""
+
+    def __init__(self, words: np.ndarray, centre: np.ndarray, scale: np.ndarray, share: float):
+        self.words, self.centre, self.scale, self.share = words, centre, scale, share
+        self.size = len(words) + N_SHAPE + 1
+
+    def of(self, shape: np.ndarray, hits: list[np.ndarray], y: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The sums over these texts, in one row."""
+        x = np.zeros((len(y), self.size))
+        x[np.repeat(np.arange(len(hits)), [len(h) for h in hits]), np.searchsorted(self.words, np.concatenate([np.zeros(0, np.uint64), *hits]))] = 1
+        x[:, len(self.words) : -1] = (shape - self.centre) / self.scale
+        x[:, -1] = 1
+        m = x @ at
+        p = 1 / (1 + np.exp(-np.clip(m, -500, 500)))
+        weight = np.where(y > 0, 0.5 / self.share, 0.5 / (1 - self.share))
+        loss = weight @ np.logaddexp(0, np.where(y > 0, -m, m))
+        return np.concatenate([[loss], (weight * (p - y)) @ x, (x.T @ (x * (weight * p * (1 - p))[:, None])).ravel()])
+
+
+def descended(sums: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], n: float, sizes: dict[str, int], decay: float = 1e-4, most: int = 40) -> dict[str, np.ndarray]:
+    """The weights of least mean loss plus half the decay times their squares (not the bias'), of each
+    kind, by Newton's steps, which are halved where they lead up. ``sums`` adds up a point a kind."""
+    trial, at, best, step, done = {k: np.zeros(p) for k, p in sizes.items()}, {}, {}, {}, set()
+    for _ in range(most):
+        got = sums({k: w for k, w in trial.items() if k not in done})
+        for k, row in got.items():
+            p = sizes[k]
+            keep = np.r_[np.full(p - 1, decay), 0.0]
+            w = trial[k]
+            value = row[0] / n + keep @ (w * w) / 2
+            if k in best and value > best[k] and np.abs(step[k]).max() > 1e-9:
+                step[k] = step[k] / 2
+            else:
+                if k in best and best[k] - value < 1e-10:
+                    done.add(k)
+                at[k], best[k] = w, min(value, best.get(k, value))
+                gradient, second = row[1 : p + 1] / n + keep * w, row[p + 1 :].reshape(p, p) / n + np.diag(keep + 1e-9)
+                step[k] = -np.linalg.solve(second, gradient)
+            trial[k] = at[k] + step[k]
+        if len(done) == len(sizes):
+            break
+    return at
+
+
+def sample(docs: DataFrame, labels: DataFrame, most: int | None, seed: int) -> DataFrame:
+    """The labelled documents, one row a label: _id, good, toxic and text. Of documents with one doc_id
+    that of the least text hash counts. ``most`` takes so many labels only, in hash order."""
+    known = labels.filter("quality IS NOT NULL AND toxic IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("quality").cast("double").alias("good"), F.col("toxic").cast("double").alias("toxic")).distinct()
+    if most is not None:
+        known = known.orderBy(F.xxhash64("_id", F.lit(seed)), "_id", "good", "toxic").limit(most)
+    texts = docs.select("doc_id", "text")
+    if not texts.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        texts = texts.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("doc_id", "t.text")
+    small = labels.count() <= BROADCAST_SITES
+    return texts.join(F.broadcast(known) if small else known, F.col("doc_id") == F.col("_id")).select("_id", "good", "toxic", "text")
+
+
+def fitted(docs: DataFrame, labels: DataFrame, most: int | None, seed: int) -> list[Linear | None]:
+    """A classifier for each of KINDS; None where the labels don't have both classes. The driver gets
+    the telling words and sums over all labelled texts, which are added up in the executors."""
+    seen = sample(docs, labels, most, seed).select(*KINDS, "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, total = ["w", "n", *[f"n_{k}" for k in KINDS]], np.zeros(3)
         for batch in batches:
-            text = batch.column(3).to_pylist()
+            y, text = [batch.column(k).to_numpy() for k in range(2)], batch.column(2).to_pylist()
+            total += [len(text), *map(np.sum, y)]
             for s, e in chunked(text):
                 x = features(text[s:e])
-                at = np.searchsorted(x.doc, np.arange(e - s + 1))
-                made = [pa.array([r.tobytes() for r in x.shape], pa.binary()), pa.array([x.word[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())]
-                yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(s, e - s) for k in range(3)], *made, batch.column(4).slice(s, e - s)], names=["_id", "good", "toxic", "shape", "words", "hash"])
+                word, at = np.unique(x.word, return_inverse=True)
+                sums = [np.bincount(at, v[s:e][x.doc], minlength=len(word)) for v in y]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, [word.astype(np.int64), np.bincount(at, minlength=len(word)).astype(float), *sums])), names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), *[pa.array([t]) for t in total]], names=names)
 
-    read = texts.withColumn("hash", F.xxhash64("text")).mapInArrow(run, f"_id {labels.schema['doc_id'].dataType.simpleString()}, good double, toxic double, shape binary, words binary, hash long")
-    one = read.groupBy("_id", "good", "toxic").agg(F.min_by(F.struct("shape", "words"), F.struct("hash", "shape")).alias("x"))
-    return one.select("_id", "good", "toxic", "x.shape", "x.words")
-
-
-def fitted(docs: DataFrame, labels: DataFrame, most: int, seed: int) -> list[Linear | None]:
-    """A classifier for each of KINDS; None where the labels don't have both classes. The driver gets
-    the telling words, and of each sampled document its shape and which of these it has."""
     with own_batches(docs.sparkSession):
-        seen = stage(sample(docs, labels, most, seed), "sample")
-    n, *positive = seen.agg(F.count("*"), *map(F.sum, KINDS)).first()
-    able = [bool(n) and 0 < p < n for p in positive]
+        counted = seen.mapInArrow(words, "w long, n double, " + ", ".join(f"n_{k} double" for k in KINDS))
+        counts = stage(counted.groupBy("w").agg(*[F.sum(c).alias(c) for c in counted.columns[1:]]), "words")
+    total = counts.filter("w IS NULL").first()
+    n, positive = (float(total["n"]), {k: float(total[f"n_{k}"]) for k in KINDS}) if total else (0.0, {})
+    able = [k for k in KINDS if 0 < positive.get(k, 0.0) < n]
+    if not able:
+        return [None] * len(KINDS)
+    chosen = {k: telling(counts.filter("w IS NOT NULL"), k, n, positive[k]) for k in able}
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
-            size = [len(f) for f in found]
-            word, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_inverse=True)
-            sums = [np.bincount(at, np.repeat(batch.column(k).to_numpy(), size), minlength=len(word)) for k in range(2)]
-            columns = [word.astype(np.int64), np.bincount(at, minlength=len(word)).astype(float), *sums]
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["w", "n", *[f"n_{k}" for k in KINDS]])
-
-    counted = seen.select(*KINDS, "words").mapInArrow(words, "w long, n double, " + ", ".join(f"n_{k} double" for k in KINDS))
-    counts = stage(counted.groupBy("w").agg(*[F.sum(c).alias(c) for c in counted.columns[1:]]), "words") if any(able) else None
-    chosen = [telling(counts, k, float(n), float(p)) if ok else None for k, p, ok in zip(KINDS, positive, able)]
-
-    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
-            own = [pa.array([np.intersect1d(f, c, assume_unique=True).tobytes() if c is not None else b"" for f in found], pa.binary()) for c in chosen]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *own, *batch.columns[2:]], names=["shape", *KINDS, *[f"y_{k}" for k in KINDS]])
+            text = batch.column(2).to_pylist()
+            for s, e in chunked(text):
+                x = features(text[s:e])
+                at = np.searchsorted(x.doc, np.arange(e - s + 1))
+                own = [pa.array([np.intersect1d(x.word[i:j], chosen[k], assume_unique=True).tobytes() if k in chosen else b"" for i, j in zip(at, at[1:])], pa.binary()) for k in KINDS]
+                y = [batch.column(k).slice(s, e - s) for k in range(2)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, x.shape.T.copy()), *own, *y], names=[*shapes, *KINDS, *[f"y_{k}" for k in KINDS]])
 
-    if not any(able):
-        return [None] * len(KINDS)
-    marked = seen.select("shape", "words", *KINDS)
-    rows = marked.mapInArrow(hits, "shape binary, good binary, toxic binary, y_good double, y_toxic double").collect()
-    rows.sort(key=lambda r: (r["shape"], r["good"], r["toxic"], r["y_good"], r["y_toxic"]))
-    shape = np.array([np.frombuffer(r["shape"]) for r in rows])
-    out: list[Linear | None] = []
-    for k, c, ok in zip(KINDS, chosen, able):
-        own = [np.frombuffer(r[k], np.uint64) for r in rows]
-        out.append(fit(shape, own, c, np.array([r[f"y_{k}"] for r in rows])) if ok else None)
-    return out
+    shapes = [f"s{i}" for i in range(N_SHAPE)]
+    fields = [*[f"{c} double" for c in shapes], *[f"{k} binary" for k in KINDS], *[f"y_{k} double" for k in KINDS]]
+    with own_batches(docs.sparkSession):
+        marked = stage(seen.mapInArrow(marks, ", ".join(fields)), "marked")
+    told = marked.agg(*[F.avg(c).alias(f"m_{c}") for c in shapes], *[F.stddev_pop(c).alias(f"d_{c}") for c in shapes]).first()
+    centre, scale = (np.array([told[f"{m}_{c}"] for c in shapes]) for m in "md")
+    scale = scale + 1e-6
+    rules = {k: Sums(chosen[k], centre, scale, positive[k] / n) for k in able}
+    few = marked.coalesce(4 * docs.sparkSession.sparkContext.defaultParallelism)  # a task's sums have one size, whatever it reads
+    block = 1 << 14
+
+    def added(points: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = {k: np.zeros(1 + w.size + w.size**2) for k, w in points.items()}
+            for batch in batches:
+                for s in range(0, batch.num_rows, 1000):
+                    b = batch.slice(s, 1000)
+                    shape = np.column_stack([b.column(i).to_numpy() for i in range(N_SHAPE)])
+                    for k, w in points.items():
+                        i = N_SHAPE + KINDS.index(k)
+                        total[k] += rules[k].of(shape, [np.frombuffer(v, np.uint64) for v in b.column(i).to_pylist()], b.column(i + len(KINDS)).to_numpy(), w)
+            for k, row in total.items():
+                for i in range(0, len(row), block):
+                    yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([i], pa.int64()), pa.array([row[i : i + block].tobytes()], pa.binary())], names=["k", "i", "m"])
+
+        def joined(t: pa.Table) -> pa.Table:
+            m = np.sum([np.frombuffer(v, float) for v in sorted(t.column("m").to_pylist())], axis=0)
+            return pa.table({"k": t.column("k")[:1], "i": t.column("i")[:1], "m": pa.array([m.tobytes()], pa.binary())})
+
+        parts = few.mapInArrow(part, "k string, i long, m binary").groupBy("k", "i").applyInArrow(joined, "k string, i long, m binary").collect()
+        return {k: np.concatenate([np.frombuffer(r["m"], float) for r in sorted(parts, key=lambda r: r["i"]) if r["k"] == k]) for k in points}
+
+    found = descended(added, n, {k: r.size for k, r in rules.items()})
+    return [Linear(chosen[k], found[k][: len(chosen[k])], found[k][len(chosen[k]) : -1], float(found[k][-1]), centre, scale) if k in able else None for k in KINDS]
 
 
 @dataclass(frozen=True)
@@ -247,7 +299,7 @@ def combined(scored: DataFrame, host: str, path: str, able: list[bool], keep: fl
     return out.drop("_good", "_toxic", *paths.columns, *hosts.columns)
 
 
-def _scored(docs: DataFrame, labels: DataFrame, host: str, path: str, most: int, keep: float, seed: int) -> DataFrame:
+def _scored(docs: DataFrame, labels: DataFrame, host: str, path: str, most: int | None, keep: float, seed: int) -> DataFrame:
     """docs has the needed columns and ``rest`` only."""
     models = fitted(docs, labels, most, seed)
     neutral = (0.5, 0.0)
@@ -268,21 +320,21 @@ def _scored(docs: DataFrame, labels: DataFrame, host: str, path: str, most: int,
 ADDED = ["p_doc", "p_host", "p_path", "p_good", "p_toxic", "accepted"]
 
 
-def score(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", most: int = 4000, keep: float = 0.5, seed: int = 11) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", most: int | None = None, keep: float = 0.5, seed: int = 11) -> DataFrame:
     """docs (all rows; columns of the added names are replaced) with p_doc (the classifier's own), p_host
     and p_path (posterior means of the site's other documents), p_good (all of it), p_toxic (likewise)
     and accepted: p_good at least ``keep`` and p_toxic below one half. Labels may repeat or lack rows;
     with no usable label every document gets one half and is accepted. Null text is empty; null hosts
-    and paths form groups of their own. Two classifiers are fitted on at most ``most`` labels, in hash
-    order and then by doc_id and label, so that ties at the bound don't matter: good quality, and
-    toxic. All other sums are over all documents, and partial before the shuffle, so hosts of any size
+    and paths form groups of their own. Two classifiers, good quality and toxic, are fitted on all labels;
+    ``most``, if given, takes so many in hash order and then by doc_id and label, so that ties at the
+    bound don't matter. All other sums are over all documents, and partial before the shuffle, so hosts of any size
     will do. Columns of tables with addresses: ``sites``."""
     packed, columns = narrowed(docs, "doc_id", "text", host, path)
     out = _scored(packed, labels, host, path, most, keep, seed)
     return out.select(*[x for c, x in zip(docs.columns, columns) if c not in ADDED], *ADDED)
 
 
-def accept(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", most: int = 4000, keep: float = 0.5, seed: int = 11) -> DataFrame:
+def accept(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", most: int | None = None, keep: float = 0.5, seed: int = 11) -> DataFrame:
     """The rows of docs that ``score`` accepts, as they are."""
     packed, columns = narrowed(docs, "doc_id", "text", host, path)
     return _scored(packed, labels, host, path, most, keep, seed).filter("accepted").select(*columns)

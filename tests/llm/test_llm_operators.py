@@ -849,3 +849,29 @@ def test_latent_space_is_fitted_on_all_documents(spark):
         basis = np.linalg.qr(rest + y * max(1.0, 4 * np.linalg.norm(rest) / np.linalg.norm(y)))[0]
     got = np.linalg.qr(space.loadings / idf[:, None])[0]
     assert np.linalg.norm(got.T @ basis[:, :20], axis=0) == pytest.approx(1, abs=1e-3)
+
+
+def test_classifier_is_fitted_on_all_labels(spark):
+    # A word in two thirds of 90 toxic texts among 6,000 labels decides; 4,000 labels would give other weights.
+    r = np.random.default_rng(6)
+    words = [f"word{i}" for i in range(60)]
+    rows, labels = [], []
+    for i in range(6000):
+        toxic, good = i % 67 == 0, i % 3 > 0
+        rows.append((i, " ".join([*r.choice(words, 12), *["slur"] * (toxic and i % 2), *["nice"] * (good or i % 5 == 0)])))
+        labels.append((i, int(good), int(toxic)))
+    docs_ = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int").repartition(3)
+    assert quality.sample(docs_, known, None, 11).count() == 6000
+    doubled = quality.sample(docs_.unionByName(docs_.withColumn("text", F.lit("other"))), known, None, 11)
+    assert doubled.count() == 6000
+    for model, y in zip(quality.fitted(docs_, known, None, 11), (1, 2)):
+        x = quality.features([t for _, t in rows])
+        doc, word = x.hits(model.words)
+        m = np.zeros((6000, len(model.words) + quality.N_SHAPE + 1))
+        m[doc, word], m[:, len(model.words) : -1], m[:, -1] = 1, (x.shape - x.shape.mean(axis=0)) / (x.shape.std(axis=0) + 1e-6), 1
+        t = np.array([label[y] for label in labels])
+        w = np.concatenate([model.weights, model.shape, [model.bias]])
+        weight = np.where(t > 0, 0.5 / t.mean(), 0.5 / (1 - t.mean()))
+        slope = m.T @ (weight * (1 / (1 + np.exp(-m @ w)) - t)) / 6000 + 1e-4 * w * (np.arange(len(w)) < len(w) - 1)
+        assert len(model.words) and np.abs(slope).max() < 1e-6
