@@ -358,10 +358,10 @@ def candidates(pixels: DataFrame, most: int = 30, transition: DataFrame | None =
         whole, skeleton = raster.structural_support(np.pad(m, 2))
         y, x = whole.nonzero()
         own = max(1.0, float(np.hypot(np.ptp(x), np.ptp(y)))) if len(x) else 1.0
-        rows = pd.DataFrame({"item": [key] * len(x), "x": x - 2, "y": y - 2, "skeleton": skeleton[y, x], "corner": False, "diagonal": own})
-        found = corners(whole, 3 * most, apart=max(8, round(0.05 * own))).astype(int) - 2
-        rows.loc[pd.MultiIndex.from_frame(rows[["x", "y"]]).isin(list(map(tuple, found.tolist()))), "corner"] = True
-        return rows
+        found = corners(whole, 3 * most, apart=max(8, round(0.05 * own))).astype(int)
+        corner = np.zeros(whole.shape, bool)
+        corner[found[:, 1], found[:, 0]] = True
+        return pd.DataFrame({"item": key, "x": x - 2, "y": y - 2, "skeleton": skeleton[y, x], "corner": corner[y, x], "diagonal": own})
 
     kind = pixels.schema["item"].dataType.simpleString()
     support = stage(raster.per_item(pixels, f, f"item {kind}, x int, y int, skeleton boolean, corner boolean, diagonal double"), "supports")

@@ -169,24 +169,32 @@ def closed(m: np.ndarray, radius: int) -> np.ndarray:
 
 def label(m: np.ndarray, connectivity: int = 8) -> tuple[np.ndarray, int]:
     """Component numbers from one, in row order of their first pixel."""
-    m = m.astype(bool)
-    out = np.zeros(m.shape, np.int64)
-    steps = EIGHT if connectivity == 8 else [(1, 0), (-1, 0), (0, 1), (0, -1)]
-    count = 0
-    for y, x in zip(*np.nonzero(m)):
-        if out[y, x]:
-            continue
-        count += 1
-        stack = [(y, x)]
-        out[y, x] = count
-        while stack:
-            b, a = stack.pop()
-            for dx, dy in steps:
-                v, u = b + dy, a + dx
-                if 0 <= v < m.shape[0] and 0 <= u < m.shape[1] and m[v, u] and not out[v, u]:
-                    out[v, u] = count
-                    stack.append((v, u))
-    return out, count
+    h, w = m.shape
+    wide = np.zeros((h, w + 1), bool)  # an empty column ends the runs of each row
+    wide[:, :w] = m
+    flat = wide.reshape(-1)
+    step = np.diff(flat.astype(np.int8), prepend=0, append=0)
+    start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    reach = 1 if connectivity == 8 else 0
+    # Each run meets a stretch of the runs in the row above.
+    low = np.searchsorted(end, start - (w + 1) - reach, side="right")
+    n = np.maximum(np.searchsorted(start, end - (w + 1) + reach) - low, 0)
+    a = np.repeat(np.arange(len(start)), n)
+    b = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+    root = np.arange(len(start))
+    while True:
+        p, q = root[a], root[b]
+        least = np.minimum(p, q)
+        if (p == q).all():
+            break
+        np.minimum.at(root, p, least)
+        np.minimum.at(root, q, least)
+        while (root[root] != root).any():
+            root = root[root]
+    first, own = np.unique(root, return_inverse=True)
+    out = np.zeros(wide.shape, np.int64)
+    out.reshape(-1)[flat] = np.repeat(own + 1, end - start)
+    return out[:, :w].copy(), len(first)
 
 
 def centroids(m: np.ndarray) -> np.ndarray:
@@ -253,8 +261,8 @@ def skeleton(m: np.ndarray) -> np.ndarray:
         before = m.sum()
         for turn in (0, 1):
             ring = [_shifted(m, -dx, -dy, False) for dx, dy in order]
-            around = sum(r.astype(int) for r in ring)
-            rises = sum(((~ring[k]) & ring[(k + 1) % 8]).astype(int) for k in range(8))
+            around = sum(r.view(np.uint8) for r in ring)
+            rises = sum((~ring[k] & ring[(k + 1) % 8]).view(np.uint8) for k in range(8))
             n, e, s, w = ring[0], ring[2], ring[4], ring[6]
             free = ~(n & e & s) & ~(e & s & w) if turn == 0 else ~(n & e & w) & ~(n & s & w)
             m = m & ~((around >= 2) & (around <= 6) & (rises == 1) & free)

@@ -179,3 +179,28 @@ def test_nearest_of_any_distance_equals_all_pairs(spark, leaf):
         d, n = got.pop((i, k), (None, None))
         assert (d is None) == (not every) and (not every or d == pytest.approx(every[0][0], rel=1e-12) and n in [m for e, m in every if e <= every[0][0] * (1 + 1e-12)])
     assert not got and match.nearest(p, t.limit(0), "item", "p", "t").count() == 0
+
+
+@pytest.mark.parametrize("connectivity", [4, 8])
+def test_labels_follow_runs(connectivity):
+    """Components as a walk from pixel to pixel finds them, numbered in row order; large masks take no such walk."""
+    import time
+
+    r = np.random.default_rng(connectivity)
+    steps = raster.EIGHT if connectivity == 8 else [(1, 0), (-1, 0), (0, 1), (0, -1)]
+    for share in (0.0, 0.2, 0.5, 0.6, 0.9):
+        m = r.random((int(r.integers(1, 30)), int(r.integers(1, 30)))) < share
+        want, n = np.zeros(m.shape, int), 0
+        for y, x in np.argwhere(m):
+            n += not want[y, x]
+            todo = [(y, x)] if not want[y, x] else []
+            while todo:
+                b, a = todo.pop()
+                if 0 <= b < m.shape[0] and 0 <= a < m.shape[1] and m[b, a] and not want[b, a]:
+                    want[b, a] = n
+                    todo += [(b + dy, a + dx) for dx, dy in steps]
+        got = raster.label(m, connectivity)
+        assert got[1] == n and (got[0] == want).all()
+    began = time.process_time()
+    assert raster.label(np.ones((2000, 2000), bool), connectivity)[1] == 1
+    assert time.process_time() - began < 3
