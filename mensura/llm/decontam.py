@@ -22,7 +22,8 @@ from mensura.llm.shared import chunked, hashed_words, stage, text_batches
 
 HALF = 32
 SHORT = 4  # items of fewer words stand whole or not at all
-DENSE = 512  # words that most documents have, multiplied as dense columns
+DENSE = 64  # words that most documents have, multiplied as dense columns
+PIECE, TOGETHER = 32, 512  # rows added up one after the other, and how many such sums at a time
 FOUND = "doc_id long, item_id long, cosine double, lcs double, answer double, word long"
 
 
@@ -54,20 +55,55 @@ class Space:
     rare: Rare
 
 
+def begins(x: np.ndarray) -> np.ndarray:
+    """Where the runs of equal neighbours begin."""
+    return np.flatnonzero(np.r_[len(x) > 0, x[1:] != x[:-1]][: len(x)])
+
+
 def place(vocabulary: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Places in the vocabulary, -1 for other words."""
-    if not len(vocabulary):
-        return np.full(len(h), -1)
-    known = np.zeros(1 << 18, bool)
-    known[vocabulary >> np.uint64(46)] = True
     out = np.full(len(h), -1)
-    some = np.flatnonzero(known[h >> np.uint64(46)])  # most others leave here
-    at = np.minimum(np.searchsorted(vocabulary, h[some]), len(vocabulary) - 1)
-    same = vocabulary[at] == h[some]
-    out[some[same]] = at[same]
+    if not len(vocabulary):
+        return out
+    slot = (vocabulary >> np.uint64(46)).astype(np.int64)  # its words are sorted, so those of a slot follow each other
+    first = np.full(1 << 18, -1, np.int32)
+    first[slot[::-1]] = np.arange(len(slot))[::-1]
+    at = first[h >> np.uint64(46)]
+    some = np.flatnonzero(at >= 0)  # most others leave here
+    at = at[some]
+    while len(some):
+        same = vocabulary[at] == h[some]
+        out[some[same]] = at[same]
+        more = np.flatnonzero(~same & (at + 1 < len(slot)))
+        more = more[slot[at[more] + 1] == slot[at[more]]]
+        some, at = some[more], at[more] + 1
     return out
 
 
+def summed(rows: np.ndarray, pick: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """The sum of rows[pick] over each run of ``pick``; runs begin at ``edge``. They are cut into pieces of
+    at most PIECE, many pieces are added up at a time, the longest first, and then the pieces' sums."""
+    space = np.empty((TOGETHER, rows.shape[1]), rows.dtype)
+    while True:
+        pieces = -(-np.diff(edge, append=len(pick)) // PIECE)
+        first = np.cumsum(pieces) - pieces
+        begin = np.repeat(edge - first * PIECE, pieces) + np.arange(pieces.sum()) * PIECE
+        length = np.diff(begin, append=len(pick))
+        order = np.argsort(-length, kind="stable")
+        begin, length = begin[order], length[order]
+        out = np.empty((len(begin), rows.shape[1]), rows.dtype)
+        for a in range(0, len(begin), TOGETHER):
+            own, left = begin[a : a + TOGETHER], length[a : a + TOGETHER]
+            total = rows.take(pick[own], axis=0)
+            for k in range(1, int(left[0])):
+                n = int(np.searchsorted(-left, -k))  # pieces longer than k
+                total[:n] += rows.take(pick[own[:n] + k], axis=0, out=space[:n], mode="clip")
+            out[order[a : a + TOGETHER]] = total
+        if len(out) == len(edge):
+            return out
+        rows, pick, edge = out, np.arange(len(out)), first
+
+
 def halves(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each half window begins, and the text it belongs to; texts without words have none."""
     n = -(-np.diff(starts) // HALF)
@@ -76,21 +112,25 @@ def halves(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[:-1][text] + rank * HALF, text
 
 
-def latent(space: Space, h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each passage: (latent vector, length of its TF-IDF vector, first word, end word, text)."""
+def windows(begin: np.ndarray, n: int) -> np.ndarray:
+    """The half window of each of n words."""
+    return np.repeat(np.arange(len(begin)), np.diff(begin, append=n))
+
+
+def latent(space: Space, at: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each passage: (latent vector, length of its TF-IDF vector, first word, end word, text); ``at``
+    are the words' places in the vocabulary."""
     begin, text = halves(starts)
     wide = space.loadings.shape[1]
     sums = np.zeros((len(begin), wide + 1), np.float32)
-    at = place(space.words, h)
-    half = lambda words: np.searchsorted(begin, words, side="right") - 1
+    half = windows(begin, len(at))
     some = np.flatnonzero(at >= 0)
-    some = some[space.idf[at[some]] > 0]
     if len(some):
-        own = half(some)
-        edge = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        sums[own[edge], :wide] = np.add.reduceat(space.loadings[at[some]], edge, axis=0)
+        own = half[some]
+        edge = begins(own)
+        sums[own[edge], :wide] = summed(space.loadings, at[some], edge)
         sums[:, wide] = np.bincount(own, space.idf[at[some]] ** 2, minlength=len(begin))
-    sums[:, wide] += np.bincount(half(np.flatnonzero(at < 0)), minlength=len(begin)) * space.other**2
+    sums[:, wide] += np.bincount(half[at < 0], minlength=len(begin)) * space.other**2
     pair = np.flatnonzero(text[:-1] == text[1:])
     passage = sums.copy()
     passage[pair] += sums[pair + 1]
@@ -133,7 +173,8 @@ def within_reach(rare: Rare, h: np.ndarray, starts: np.ndarray) -> tuple[np.ndar
     rank = hit - starts[text]
     low, high = np.maximum((rank - 2 * HALF - n) // HALF + 1, 0), np.minimum((rank + n) // HALF, passages[text] - 1)
     passage = _ranges((np.cumsum(passages) - passages)[text] + low, high - low + 1)
-    key = np.unique(passage * len(rare.item) + np.repeat(entry, high - low + 1))
+    key = np.sort(passage * len(rare.item) + np.repeat(entry, high - low + 1))
+    key = key[begins(key)]
     passage, entry = key // len(rare.item), key % len(rare.item)
     pair, back = np.unique(passage * len(rare.size) + rare.item[entry], return_inverse=True)
     enough = np.bincount(back, rare.count[entry], minlength=len(pair)) >= rare.need[pair % len(rare.size)]
@@ -186,33 +227,69 @@ def shared(masks: dict[int, int], b: list[int]) -> int:
 
 def _found(spaces: list[Space], doc_ids: list, texts: list, cosine: float, least: float, loose: float, answer: float) -> list[tuple]:
     out: list[tuple] = []
-    rules = [_judge(space, least, loose, answer) for space in spaces]
-    for s, e in chunked(texts, 300_000):
+    rules = [(_bound(space, least, loose), _judge(space, least, loose, answer)) for space in spaces]
+    for s, e in chunked(texts, 600_000):
         h, starts = hashed_words(texts[s:e])
-        for space, judged in zip(spaces, rules):
-            out += [(doc_ids[s + t], space.ids[i], r[1], r[0], r[2], -r[3]) for (t, i), r in sorted(_rows(space, judged, h, starts, cosine).items())]
+        for space, rule in zip(spaces, rules):
+            out += [(doc_ids[s + t], space.ids[i], r[1], r[0], r[2], -r[3]) for (t, i), r in sorted(_rows(space, *rule, h, starts, cosine).items())]
     return out
 
 
-def _rows(space: Space, judged: Callable, h: np.ndarray, starts: np.ndarray, cosine: float) -> dict[tuple[int, int], tuple]:
+def _rows(space: Space, likely: Callable, judged: Callable, h: np.ndarray, starts: np.ndarray, cosine: float) -> dict[tuple[int, int], tuple]:
     """Of each text and item it holds: (share, cosine, share of the answer, minus the word) of the best passage."""
     best: dict[tuple[int, int], tuple] = {}
-    passage, norm, begin, end, text = latent(space, h, starts)
+    at = place(space.words, h)
+    passage, norm, begin, end, text = latent(space, at, starts)
     if not len(begin):
         return best
-    score = passage @ space.vectors.T / norm[:, None]
-    near, rare = np.nonzero(score >= cosine), within_reach(space.rare, h, starts)
+    score = (passage @ space.vectors.T / norm[:, None]).ravel()
+    near, rare = np.flatnonzero(score >= cosine), within_reach(space.rare, h, starts)
     many = len(space.ids)
-    for k in np.unique(np.concatenate([near[0] * many + near[1], rare[0] * many + rare[1]])):
-        p, i = divmod(int(k), many)
-        n = len(space.items[i])
-        found = judged(i, h[max(starts[text[p]], begin[p] - n) : min(starts[text[p] + 1], end[p] + n)], bool(score[p, i] >= cosine))
+    pair = np.unique(np.concatenate([near, rare[0] * many + rare[1]]))
+    p, i = pair // many, pair % many
+    low, high = np.maximum(starts[text[p]], begin[p] - space.rare.size[i]), np.minimum(starts[text[p] + 1], end[p] + space.rare.size[i])
+    for k in np.flatnonzero(likely(at, low, high, i, score[pair] >= cosine)).tolist():
+        found = judged(int(i[k]), h[low[k] : high[k]], bool(score[pair[k]] >= cosine))
         if found is not None:
-            row = (found[0], float(score[p, i]), found[1], -int(begin[p] - starts[text[p]]))
-            best[(int(text[p]), i)] = max(best.get((int(text[p]), i), row), row)
+            key = int(text[p[k]]), int(i[k])
+            row = (found[0], float(score[pair[k]]), found[1], -int(begin[p[k]] - starts[key[0]]))
+            best[key] = max(best.get(key, row), row)
     return best
 
 
+def _bound(space: Space, least: float, loose: float, most: int = 500_000) -> Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """Tells of many stretches of words, each with an item, where the item's words that stand in it would do
+    in some order; no other stretch can pass as ``_judge`` has it. About ``most`` words are taken at a time."""
+    size = len(space.words)
+    own = [np.unique(place(space.words, i), return_counts=True) for i in space.items]
+    held = np.zeros((len(own), size), bool)
+    for i, (w, _) in enumerate(own):
+        held[i, w] = True
+    key = np.concatenate([i * size + w for i, (w, _) in enumerate(own)])
+    times = np.concatenate([c for _, c in own])
+    weight = times * space.idf[key % size]
+    need = np.array([required(len(i), least) for i in space.items])
+    enough = loose * (1 - 1e-9) * np.bincount(key // size, weight)  # sums differ by their order
+
+    def likely(at: np.ndarray, low: np.ndarray, high: np.ndarray, item: np.ndarray, near: np.ndarray) -> np.ndarray:
+        out, ends, s = np.zeros(len(item), bool), np.cumsum(high - low), 0
+        while s < len(item):
+            e = max(s + 1, int(np.searchsorted(ends, (ends[s - 1] if s else 0) + most, side="right")))
+            n, i = high[s:e] - low[s:e], item[s:e]
+            pair, word = np.repeat(np.arange(e - s), n), at[_ranges(low[s:e], n)]
+            there = np.flatnonzero((word >= 0) & held[i[pair], word])
+            once = np.sort(pair[there] * size + word[there])
+            once = once[begins(once)]
+            pair = once // size
+            entry = np.searchsorted(key, i[pair] * size + once % size)
+            count, sums = (np.bincount(pair, x[entry], minlength=e - s) for x in (times, weight))
+            out[s:e] = (count >= need[i]) | near[s:e] & (sums >= enough[i])
+            s = e
+        return out
+
+    return likely
+
+
 def _judge(space: Space, least: float, loose: float, answer: float) -> Callable[[int, np.ndarray, bool], tuple[float, float] | None]:
     lists = [i.tolist() for i in space.items]
     tails = [i[-max(3, len(i) // 4) :] for i in lists]
@@ -261,46 +338,52 @@ def _gram(texts: list[str], vocabulary: np.ndarray, idf: np.ndarray, basis: np.n
     """Adds A'(A basis) to total, where the rows of A are the passages' TF-IDF vectors of unit length. As a
     passage is the sum of two half windows, words are taken once by half window; ``often`` are places of
     words that many have, which are multiplied as dense columns, all others as sparse ones."""
-    size, dense = np.int64(len(vocabulary)), np.full(len(vocabulary), -1)
+    weight, dense = idf.astype(np.float32), np.full(len(vocabulary), -1)
     dense[often] = np.arange(len(often))
-    head = basis[often]
-    for s, e in chunked(texts, 100_000):
+    weighted = basis.astype(np.float32) * weight[:, None]
+    for s, e in chunked(texts, 900_000):
         h, starts = hashed_words(texts[s:e])
         begin, text = halves(starts)
         at = place(vocabulary, h)
         some = np.flatnonzero(at >= 0)
         if not len(some):
             continue
-        key, count = np.unique((np.searchsorted(begin, some, side="right") - 1) * size + at[some], return_counts=True)
-        half, word = key // size, key % size
-        value = (count * idf[word]).astype(np.float32)
+        word, half = at[some], windows(begin, len(h))[some]
+        column = dense[word]
+        d = np.bincount((half * len(often) + column)[column >= 0], minlength=len(begin) * len(often)).reshape(len(begin), -1).astype(np.float32)
+        y = d @ weighted[often]
+        rest = np.flatnonzero(column < 0)
+        if len(rest):
+            own = half[rest]
+            edge = begins(own)
+            y[own[edge]] += summed(weighted, word[rest], edge)
+
+        # By word, then half window: the same word in the next half window comes next.
+        bits = len(begin).bit_length()
+        key = np.sort(word << bits | half)
+        edge = begins(key)
+        key, count = key[edge], np.diff(edge, append=len(key))
+        word, half = key >> bits, key & ((1 << bits) - 1)
+        value = count * idf[word]
         follows = np.zeros(len(begin), bool)
         follows[:-1] = text[1:] == text[:-1]
-        next_ = np.minimum(np.searchsorted(key, key + size), len(key) - 1)  # the same word in the next half window
-        both = (key[next_] == key + size) & follows[half]
-        own = np.bincount(half, value.astype(float) ** 2, minlength=len(begin))
-        norm = own + 2 * np.bincount(half[both], value[both].astype(float) * value[next_[both]], minlength=len(begin))
+        both = np.flatnonzero((key[1:] == key[:-1] + 1) & follows[half[:-1]])
+        own = np.bincount(half, value**2, minlength=len(begin))
+        norm = own + 2 * np.bincount(half[both], value[both] * value[both + 1], minlength=len(begin))
         pair = np.flatnonzero(follows)
         norm[pair] += own[pair + 1]
-        common_, rest = dense[word] >= 0, dense[word] < 0
-        d = np.zeros((len(begin), len(often)), np.float32)
-        d[half[common_], dense[word[common_]]] = value[common_]
-        y = d @ head
-        r, w, v = half[rest], word[rest], value[rest, None]
-        if len(r):
-            edge = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-            y[r[edge]] += np.add.reduceat(basis[w] * v, edge, axis=0)
+
         passage = y.copy()
         passage[pair] += y[pair + 1]
         passage /= np.maximum(norm, 1e-18)[:, None].astype(np.float32)
         back = passage.copy()
         back[pair + 1] += passage[pair]
-        total[often] += d.T @ back
-        if len(r):
-            order = np.argsort(w, kind="stable")
-            w = w[order]
-            edge = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
-            total[w[edge]] += np.add.reduceat(back[r[order]] * v[order], edge, axis=0)
+        total[often] += weight[often, None] * (d.T @ back)
+        rest = np.flatnonzero(dense[word] < 0)
+        if len(rest):
+            word, count = word[rest], count[rest]
+            edge = begins(word)
+            total[word[edge]] += weight[word[edge], None] * summed(back, np.repeat(half[rest], count), (np.cumsum(count) - count)[edge])
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -311,19 +394,26 @@ def counted(docs: DataFrame) -> DataFrame:
         n, words, counts, held = 0, [], [], 0
 
         def added() -> tuple[np.ndarray, np.ndarray]:
-            word, back = np.unique(np.concatenate([np.zeros(0, np.uint64), *words]), return_inverse=True)
-            return word, np.bincount(back, np.concatenate([np.zeros(0, np.int64), *counts]), minlength=len(word)).astype(np.int64)
+            word, count = np.concatenate([np.zeros(0, np.uint64), *words]), np.concatenate([np.zeros(0, np.int64), *counts])
+            order = np.argsort(word)
+            word, sums = word[order], np.r_[0, np.cumsum(count[order])]
+            edge = begins(word)
+            return word[edge], np.diff(sums[np.r_[edge, len(word)]])
 
         for batch in batches:
             text = batch.column(0).to_pylist()
             n += len(text)
             for s, e in chunked(text, 300_000):
                 x, starts = hashed_words(text[s:e])
-                word, back = np.unique(x, return_inverse=True)
-                pairs = np.unique(np.repeat(np.arange(e - s), np.diff(starts)) * np.int64(len(word)) + back)
-                words.append(word)
-                counts.append(np.bincount(pairs % max(1, len(word)), minlength=len(word)))
-                held += len(word)
+                for a, b in zip(starts, starts[1:]):
+                    x[a:b].sort()
+                once = np.zeros(len(x), bool)  # a word of a text
+                once[np.union1d(begins(x), starts[:-1][np.diff(starts) > 0])] = True
+                x = np.sort(x[once])
+                edge = begins(x)
+                words.append(x[edge])
+                counts.append(np.diff(edge, append=len(x)))
+                held += len(edge)
             if held > 500_000:
                 word, count = added()
                 words, counts, held = [word], [count], len(word)

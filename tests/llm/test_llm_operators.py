@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -851,6 +852,76 @@ def test_latent_space_is_fitted_on_all_documents(spark):
     assert np.linalg.norm(got.T @ basis[:, :20], axis=0) == pytest.approx(1, abs=1e-3)
 
 
+
+def _zipf(r, n, docs, length):
+    words_ = np.array(["".join(r.choice(list("abcdefgh"), 7)) for _ in range(n)])
+    share = 1 / np.arange(1, n + 1)
+    return words_, [" ".join(words_[r.choice(n, length, p=share / share.sum())]) for _ in range(docs)]
+
+
+def test_fit_costs_a_few_times_the_reading_of_its_words():
+    # The best of three runs each. It took 14 times the hashing with a reduction for each half window, and takes 7 now.
+    r = np.random.default_rng(8)
+    words_, texts = _zipf(r, 20_000, 600, 400)
+    vocabulary = np.unique(shared.hashed_words([" ".join(words_[:9000])])[0])
+    basis = np.linalg.qr(r.standard_normal((len(vocabulary), 176), np.float32))[0]
+    often = decontam.place(vocabulary, shared.hashed_words([" ".join(words_[: decontam.DENSE])])[0])
+
+    def took(f):
+        times = []
+        for _ in range(3):
+            at = time.thread_time()
+            f()
+            times.append(time.thread_time() - at)
+        return min(times)
+
+    fit = took(lambda: decontam._gram(texts, vocabulary, np.ones(len(vocabulary)), basis, often, np.zeros(basis.shape)))
+    read = took(lambda: [shared.hashed_words(texts[k : k + 50]) for k in range(0, len(texts), 50)])
+    assert fit < 11 * read, f"{fit / read:.1f} times"
+
+
+def test_sums_over_runs():
+    r = np.random.default_rng(9)
+    rows = r.standard_normal((50, 7))
+    for size in ([1], [1, 2, 33, 3000, 32, 1, 64], r.integers(1, 40, 2000).tolist()):
+        pick = r.integers(0, 50, sum(size))
+        edge = np.cumsum([0, *size[:-1]])
+        want = [rows[pick[a : a + n]].sum(axis=0) for a, n in zip(edge, size)]
+        assert np.allclose(decontam.summed(rows, pick, edge), want)
+
+
+def test_places_in_crowded_vocabularies():
+    r = np.random.default_rng(10)
+    near = np.uint64(5 << 46) + r.integers(0, 1 << 20, 300).astype(np.uint64)  # all in one slot
+    vocabulary = np.unique(np.r_[near, r.integers(0, 1 << 63, 3000).astype(np.uint64), np.uint64(2**64 - 1)])
+    h = np.r_[vocabulary, near + np.uint64(1), r.integers(0, 1 << 63, 500).astype(np.uint64)]
+    at = {int(w): i for i, w in enumerate(vocabulary)}
+    assert decontam.place(vocabulary, h).tolist() == [at.get(int(x), -1) for x in h]
+    assert decontam.place(vocabulary[:0], h[:3]).tolist() == [-1] * 3
+
+
+def test_bound_loses_nothing_that_is_judged_held():
+    r = np.random.default_rng(11)
+    vocabulary = np.unique(r.integers(0, 1 << 62, 60).astype(np.uint64))
+    items = [r.choice(vocabulary, n) for n in (1, 2, 3, 3, 5, 12, 30, 60)]
+    idf, one = r.random(len(vocabulary)) + 0.1, np.ones(len(vocabulary))
+    rare = decontam.rarest(items, [one[decontam.place(vocabulary, i)] for i in items], 0.7)
+    space = decontam.Space(vocabulary, idf, 1.0, np.zeros((len(vocabulary), 1), np.float32), list(range(len(items))), items, np.zeros((len(items), 1)), rare)
+    judged = decontam._judge(space, 0.7, 0.5, 0.5)
+    h, pairs = [], []
+    for k in range(1200):
+        i = int(r.integers(len(items)))
+        kept = items[i][r.random(len(items[i])) < r.random() + 0.2]
+        part = np.concatenate([kept, r.choice(vocabulary, int(r.integers(0, 8))), r.integers(1 << 62, 1 << 63, 3).astype(np.uint64)])
+        pairs.append((sum(map(len, h)), sum(map(len, h)) + len(part), i, bool(k % 2)))
+        h.append(part)
+    h, (low, high, item, near) = np.concatenate(h), map(np.array, zip(*pairs))
+    held = np.array([judged(i, h[a:b], n) is not None for a, b, i, n in pairs])
+    for most in (40, 500_000):
+        likely = decontam._bound(space, 0.7, 0.5, most)(decontam.place(vocabulary, h), low, high, item, near)
+        assert not (held & ~likely).any() and held.sum() > 200 and (~likely).sum() > 200
+
+
 def test_classifier_is_fitted_on_all_labels(spark):
     # A word in two thirds of 90 toxic texts among 6,000 labels decides; 4,000 labels would give other weights.
     r = np.random.default_rng(6)
