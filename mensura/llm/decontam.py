@@ -228,7 +228,7 @@ def shared(masks: dict[int, int], b: list[int]) -> int:
 def _found(spaces: list[Space], doc_ids: list, texts: list, cosine: float, least: float, loose: float, answer: float) -> list[tuple]:
     out: list[tuple] = []
     rules = [(_bound(space, least, loose), _judge(space, least, loose, answer)) for space in spaces]
-    for s, e in chunked(texts, 600_000):
+    for s, e in chunked(texts, 450_000):
         h, starts = hashed_words(texts[s:e])
         for space, rule in zip(spaces, rules):
             out += [(doc_ids[s + t], space.ids[i], r[1], r[0], r[2], -r[3]) for (t, i), r in sorted(_rows(space, *rule, h, starts, cosine).items())]
@@ -341,7 +341,7 @@ def _gram(texts: list[str], vocabulary: np.ndarray, idf: np.ndarray, basis: np.n
     weight, dense = idf.astype(np.float32), np.full(len(vocabulary), -1)
     dense[often] = np.arange(len(often))
     weighted = basis.astype(np.float32) * weight[:, None]
-    for s, e in chunked(texts, 900_000):
+    for s, e in chunked(texts, 450_000):
         h, starts = hashed_words(texts[s:e])
         begin, text = halves(starts)
         at = place(vocabulary, h)
