@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mensura.llm.shared import chunked, hashed_words, stage, text_batches
+from mensura.llm.shared import chunked, hashed_words, lean, stage, text_batches
 
 HALF = 32
 SHORT = 4  # items of fewer words stand whole or not at all
@@ -423,7 +423,7 @@ def counted(docs: DataFrame) -> DataFrame:
         word, count = added()
         yield pa.RecordBatch.from_arrays([pa.array([*word.astype(np.int64).tolist(), None], pa.int64()), pa.array(np.r_[count, n])], names=["w", "n"])
 
-    return docs.select("text").mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(lean(run), "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
 
 def build(docs: DataFrame, blocks: list[list[tuple]], rank: int, least: float, words: int, seed: int) -> list[Space]:
@@ -473,7 +473,7 @@ def _space(docs: DataFrame, items: list[tuple], every: np.ndarray, df: np.ndarra
             total = sum(np.frombuffer(x.as_py(), np.float32).astype(float) for x in t.column("m"))
             return pa.table({"b": pa.array([t.column("b")[0].as_py()]), "m": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
-        sums = read.mapInArrow(part, "b long, m binary").groupBy("b").applyInArrow(added, "b long, m binary").collect()
+        sums = read.mapInArrow(lean(part), "b long, m binary").groupBy("b").applyInArrow(added, "b long, m binary").collect()
         rest = np.zeros(basis.shape, np.float32)
         for row in sums:
             m = np.frombuffer(row["m"], np.float32).reshape(-1, k)
@@ -516,7 +516,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = 160, cosine:
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], k) for i, k in enumerate(kinds)], names=[c.split()[0] for c in FOUND.split(", ")])
 
-        out = out.unionByName(typed.mapInArrow(run, FOUND))
+        out = out.unionByName(typed.mapInArrow(lean(run), FOUND))
     return out
 
 
@@ -531,7 +531,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, rank: int = 160, cosine: float
                 hit = {g[0] for g in _found(spaces, list(range(len(text))), text, cosine, least, loose, answer)}
                 yield batch.filter(pa.array([k not in hit for k in range(len(text))], pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = out.mapInArrow(lean(run), docs.schema)
     return out
 
 

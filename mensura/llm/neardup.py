@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mensura.llm.shared import chunked, hashed_words, mix, narrowed, own_batches, shingles, stage
+from mensura.llm.shared import chunked, hashed_words, lean, mix, narrowed, own_batches, shingles, stage
 
 HASHES, ROWS, STEP = 128, 4, 16
 BUCKET, BLOCK = 512, 512
@@ -206,7 +206,7 @@ def classed(docs: DataFrame, n: int, threshold: float, tolerance: float) -> tupl
     typed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
     schema = "doc_id long, hash long, key binary, n long, sig binary, bands array<long>"
     with own_batches(docs.sparkSession):
-        signed = stage(typed.mapInArrow(lambda it: _signed(it, n), schema), "signed")
+        signed = stage(typed.mapInArrow(lean(lambda it: _signed(it, n)), schema), "signed")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "hash")).alias("first")
     same = (F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))  # equal in a class
     nodes = stage(signed.groupBy("key").agg(first, F.count("*").alias("n_copies"), *same), "nodes")
@@ -246,7 +246,7 @@ def classed(docs: DataFrame, n: int, threshold: float, tolerance: float) -> tupl
     small = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
     text = typed.join(small, typed["doc_id"].eqNullSafe(chosen["class_id"]) & (typed["hash"] == chosen["_hash"]))
     text = text.select("text", "key", "root", "blocks").dropDuplicates(["key"])  # repeated rows
-    payload = text.mapInArrow(lambda it: _sets(it, n), "set binary, sig binary, key binary, root binary, blocks long")
+    payload = text.mapInArrow(lean(lambda it: _sets(it, n)), "set binary, sig binary, key binary, root binary, blocks long")
     payload = payload.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")))
     payload = payload.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     payload = payload.select("key", "set", "sig", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mensura.llm.shared import own_batches, shipped, spread, stage
+from mensura.llm.shared import lean, own_batches, shipped, spread, stage
 from mensura.llm.wordids import word_ids
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -47,7 +47,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, end: int = 1, keep_i
                 ]
                 yield pa.record_batch(out + [pa.array([x.tobytes() for x in raw], pa.binary())] * keep_ids, names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES + ", ids binary" * keep_ids)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), PIECES + ", ids binary" * keep_ids)
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -100,7 +100,9 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 4096, end: int = 1, k
         cut = stage(pieces(docs, vocabulary, capacity, end, keep_ids), "pieces")
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     buckets = max(1, math.ceil(sum(counts.values()) / 20_000))
-    slots = spark.createDataFrame(plan(counts, capacity), "_length long, _lo long, _hi long, _first long, _each long, _at long")
+    rows = np.array(plan(counts, capacity), np.int64).reshape(-1, 6)
+    # From Arrow: Spark would take a list's rows through Python workers of their own, which then stay.
+    slots = spark.createDataFrame(pa.table(dict(zip(["_length", "_lo", "_hi", "_first", "_each", "_at"], map(pa.array, rows.T.copy())))))
     cut = cut.withColumn("_bucket", spread(F.struct("doc_id", "piece", "start", "ids_crc32"), buckets))
     own = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "ids_crc32")
     ranked = cut.withColumn("_rank", F.row_number().over(own) - 1)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mensura.llm.shared import chunked, hashed_words, narrowed, own_batches, stage
+from mensura.llm.shared import chunked, hashed_words, lean, narrowed, own_batches, stage
 
 MARKS = "!#$%&*|=<>{}[]\\^~+"
 SEPARATORS = "|\u00bb\u203a\u2022\u00b7"
@@ -174,7 +174,7 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int | None, seed: int) -> l
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), *[pa.array([t]) for t in total]], names=names)
 
     with own_batches(docs.sparkSession):
-        counted = seen.mapInArrow(words, "w long, n double, " + ", ".join(f"n_{k} double" for k in KINDS))
+        counted = seen.mapInArrow(lean(words), "w long, n double, " + ", ".join(f"n_{k} double" for k in KINDS))
         counts = stage(counted.groupBy("w").agg(*[F.sum(c).alias(c) for c in counted.columns[1:]]), "words")
     total = counts.filter("w IS NULL").first()
     n, positive = (float(total["n"]), {k: float(total[f"n_{k}"]) for k in KINDS}) if total else (0.0, {})
@@ -196,7 +196,7 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int | None, seed: int) -> l
     shapes = [f"s{i}" for i in range(N_SHAPE)]
     fields = [*[f"{c} double" for c in shapes], *[f"{k} binary" for k in KINDS], *[f"y_{k} double" for k in KINDS]]
     with own_batches(docs.sparkSession):
-        marked = stage(seen.mapInArrow(marks, ", ".join(fields)), "marked")
+        marked = stage(seen.mapInArrow(lean(marks), ", ".join(fields)), "marked")
     told = marked.agg(*[F.avg(c).alias(f"m_{c}") for c in shapes], *[F.stddev_pop(c).alias(f"d_{c}") for c in shapes]).first()
     centre, scale = (np.array([told[f"{m}_{c}"] for c in shapes]) for m in "md")
     scale = scale + 1e-6
@@ -222,7 +222,7 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int | None, seed: int) -> l
             m = np.sum([np.frombuffer(v, float) for v in sorted(t.column("m").to_pylist())], axis=0)
             return pa.table({"k": t.column("k")[:1], "i": t.column("i")[:1], "m": pa.array([m.tobytes()], pa.binary())})
 
-        parts = few.mapInArrow(part, "k string, i long, m binary").groupBy("k", "i").applyInArrow(joined, "k string, i long, m binary").collect()
+        parts = few.mapInArrow(lean(part), "k string, i long, m binary").groupBy("k", "i").applyInArrow(joined, "k string, i long, m binary").collect()
         return {k: np.concatenate([np.frombuffer(r["m"], float) for r in sorted(parts, key=lambda r: r["i"]) if r["k"] == k]) for k in points}
 
     found = descended(added, n, {k: r.size for k, r in rules.items()})
@@ -313,7 +313,7 @@ def _scored(docs: DataFrame, labels: DataFrame, host: str, path: str, most: int
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     with own_batches(docs.sparkSession):
-        scored = stage(docs.mapInArrow(run, fields + ", _good double, _toxic double"), "scored")
+        scored = stage(docs.mapInArrow(lean(run), fields + ", _good double, _toxic double"), "scored")
     return combined(scored, host, path, [m is not None for m in models], keep)
 
 

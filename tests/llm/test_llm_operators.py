@@ -946,3 +946,31 @@ def test_classifier_is_fitted_on_all_labels(spark):
         weight = np.where(t > 0, 0.5 / t.mean(), 0.5 / (1 - t.mean()))
         slope = m.T @ (weight * (1 / (1 + np.exp(-m @ w)) - t)) / 6000 + 1e-4 * w * (np.arange(len(w)) < len(w) - 1)
         assert len(model.words) and np.abs(slope).max() < 1e-6
+
+
+def test_workers_give_back_what_a_task_freed(spark):
+    """Spark keeps Python workers for later stages; what one holds is no longer what its tasks took."""
+    psutil = pytest.importorskip("psutil")
+
+    def held():
+        rolls = []
+        for p in psutil.Process().children(recursive=True):
+            if "python" in p.name():
+                with open(f"/proc/{p.pid}/smaps_rollup") as f:
+                    rolls += re.findall(r"\nPss_Anon:\s+(\d+)", f.read())
+        return sum(map(int, rolls)) / 1024
+
+    def cut(ids, words):
+        texts = ids.select(F.col("id").alias("doc_id"), F.repeat(F.concat_ws(" ", F.lit("alpha beta gamma delta"), F.col("id"), F.lit("")), words // 5).alias("text"))
+        with shared.own_batches(spark, 4000):
+            return packing.pieces(texts, VOCABULARY, 4096, keep_ids=False).agg(F.sum("length")).first()[0]
+
+    cut(spark.range(0, 64, 1, 16), 100)  # all workers have the tokenizer
+    before = held()
+    assert cut(spark.range(0, 40, 1, 4), 100_000) > 4_000_000
+    assert held() - before < 80
+
+
+def test_the_plan_of_packing_takes_no_python_workers(spark):
+    plan = packing.pack(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), VOCABULARY)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_first" in plan and "ExistingRDD" not in plan and "LogicalRDD" not in plan
